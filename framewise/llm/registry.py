@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import bpe, decontamination, url_filters, warc
+from . import bpe, decontamination, quality_classifier, toxicity, url_filters, warc
 
 QUERIES = {
+    "op1_toxicity": toxicity.op1_toxicity,
     "op2_benchmark_decontamination": decontamination.op2_benchmark_decontamination,
     "op5_warc": warc.op5_warc,
     "op6_url_filters": url_filters.op6_url_filters,
     "op9_bpe": bpe.op9_bpe,
+    "op10_quality_classifier": quality_classifier.op10_quality_classifier,
 }
 
 ORACLE_SQL = {
