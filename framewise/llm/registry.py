@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, decontamination, quality_classifier, toxicity, url_filters, warc
+from . import bpe, decontamination, jaccard_join, quality_classifier, toxicity, url_filters, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op2_benchmark_decontamination": decontamination.op2_benchmark_decontamination,
+    "op3_ngram_jaccard_join": jaccard_join.op3_ngram_jaccard_join,
     "op5_warc": warc.op5_warc,
     "op6_url_filters": url_filters.op6_url_filters,
     "op9_bpe": bpe.op9_bpe,
@@ -15,6 +16,7 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op2_benchmark_decontamination": decontamination.SQL,
+    "op3_ngram_jaccard_join": jaccard_join.SQL,
     "op5_warc": warc.SQL,
     "op6_url_filters": url_filters.SQL,
 }
