@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, decontamination, jaccard_join, quality_classifier, toxicity, url_filters, warc
+from . import bpe, decontamination, jaccard_join, quality_classifier, suffix_dedup, toxicity, url_filters, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op2_benchmark_decontamination": decontamination.op2_benchmark_decontamination,
     "op3_ngram_jaccard_join": jaccard_join.op3_ngram_jaccard_join,
+    "op4_suffix_array_dedup": suffix_dedup.op4_suffix_array_dedup,
     "op5_warc": warc.op5_warc,
     "op6_url_filters": url_filters.op6_url_filters,
     "op9_bpe": bpe.op9_bpe,
