@@ -83,13 +83,17 @@ class PairRanks:
 
 
 class RankArrayTokenizer:
-    """Encodes and decodes as the tokenizer file says: NFC, white space, lower case, split, bytes, BPE."""
+    """Encodes and decodes as a word-level tokenizer file says: NFC, white space, lower case, split, bytes, BPE.
 
-    def __init__(self, spec: dict):
+    A file without word ends and without a split of its own needs the pattern that splits its texts; then only
+    encode_pieces() applies, for there is no normalisation.
+    """
+
+    def __init__(self, spec: dict, pattern: str | None = None):
         model = spec["model"]
-        if model["type"] != "BPE" or not model.get("end_of_word_suffix"):
-            raise ValueError("a BPE model with word ends is needed")
-        self.suffix = model["end_of_word_suffix"]
+        if model["type"] != "BPE" or not (pattern or model.get("end_of_word_suffix")):
+            raise ValueError("a BPE model with word ends, or a pattern, is needed")
+        self.suffix = model.get("end_of_word_suffix") or ""
         self.vocab: dict[str, int] = model["vocab"]
         self.tokens = {i: t for t, i in self.vocab.items()}
         self.specials = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
@@ -99,7 +103,7 @@ class RankArrayTokenizer:
         self.merges: dict[tuple[int, int], int] = {}
         for rank, (a, b) in enumerate(m if isinstance(m, list) else m.split(" ") for m in model["merges"]):
             self.merges[self.vocab[a], self.vocab[b]] = rank << 20 | self.vocab[a + b]
-        pattern = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")["pattern"]["Regex"]
+        pattern = pattern or next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")["pattern"]["Regex"]
         self.split = regex.compile(pattern)
         self.special_split = regex.compile("(" + "|".join(map(regex.escape, self.specials)) + ")") if self.specials else None
         symbols = byte_symbols()
@@ -110,9 +114,9 @@ class RankArrayTokenizer:
         self.cache: dict[str, tuple[str, str, int]] = {}
 
     @classmethod
-    def from_file(cls, path: str) -> RankArrayTokenizer:
+    def from_file(cls, path: str, pattern: str | None = None) -> RankArrayTokenizer:
         with open(path, encoding="utf-8") as f:
-            return cls(json.load(f))
+            return cls(json.load(f), pattern)
 
     def merge(self, ids: list[int]) -> list[int]:
         """Merge the symbols of one pre-token."""
@@ -260,17 +264,17 @@ class RankArrayTokenizer:
         return [int(x) for ids, _, _ in next(self.entries([text])) for x in ids.split(" ")]
 
 
-_LOADED: dict[str, RankArrayTokenizer] = {}
+_LOADED: dict[tuple, RankArrayTokenizer] = {}
 
 
-def load(path: str) -> RankArrayTokenizer:
+def load(path: str, pattern: str | None = None) -> RankArrayTokenizer:
     """The tokenizer of this worker; a path that Spark has distributed is found by its name."""
-    if path not in _LOADED:
+    if (path, pattern) not in _LOADED:
         try:
-            _LOADED[path] = RankArrayTokenizer.from_file(path)
+            _LOADED[path, pattern] = RankArrayTokenizer.from_file(path, pattern)
         except FileNotFoundError:
-            _LOADED[path] = RankArrayTokenizer.from_file(SparkFiles.get(path.rsplit("/", 1)[-1]))
-    return _LOADED[path]
+            _LOADED[path, pattern] = RankArrayTokenizer.from_file(SparkFiles.get(path.rsplit("/", 1)[-1]), pattern)
+    return _LOADED[path, pattern]
 
 
 def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:

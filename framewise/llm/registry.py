@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontamination, jaccard_join, quality_classifier, suffix_dedup, toxicity, url_filters, warc
+from . import bpe, decontamination, jaccard_join, quality_classifier, quality_rules, suffix_dedup, token_counts, toxicity, url_filters, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -11,6 +11,8 @@ QUERIES = {
     "op4_suffix_array_dedup": suffix_dedup.op4_suffix_array_dedup,
     "op5_warc": warc.op5_warc,
     "op6_url_filters": url_filters.op6_url_filters,
+    "op7_token_counts": token_counts.op7_token_counts,
+    "op8_quality_rules": quality_rules.op8_quality_rules,
     "op9_bpe": bpe.op9_bpe,
     "op10_quality_classifier": quality_classifier.op10_quality_classifier,
 }
