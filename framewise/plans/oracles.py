@@ -1 +1,271 @@
-ORACLE_SQL = {}
+"""DuckDB SQL for the queries, written independently of the Spark plans."""
+
+from __future__ import annotations
+
+from framewise.functions.text import STOPWORDS
+
+_STOP = ", ".join(f"'{w}'" for w in STOPWORDS)
+
+
+def _tokens(text: str) -> str:
+    """Search terms of a text; the tables hold no scripts without word spaces."""
+    words = rf"regexp_extract_all(lower(coalesce({text}, '')), '[\p{{L}}\p{{N}}_]+')"
+    return rf"list_filter({words}, lambda t: t NOT IN ({_STOP}) AND (length(t) > 1 OR regexp_matches(t, '^\p{{Nd}}$')))"
+
+
+_DISTINCT = "list_filter({0}, lambda x, i: list_position({0}, x) = i)"
+_DOT = "list_dot_product(CAST({0} AS DOUBLE[]), CAST({1} AS DOUBLE[]))"
+_FORMS = "regexp_extract_all(text, '[A-Z][a-z]{5,}')"
+_QV = "(SELECT embedding FROM embeddings WHERE vec_id = 7)"
+_QT = "(SELECT embedding FROM embeddings WHERE vec_id = 11)"
+
+_PLAIN = f"""
+n AS (SELECT count(*) AS n FROM embeddings),
+p AS (
+  SELECT doc_id AS row, 'c' || lpad(CAST(doc_id // 100 AS VARCHAR), 15, '0') AS content_id, CAST(doc_id % 100 AS INTEGER) AS shot_id, CAST(doc_id % 100 // 5 AS INTEGER) AS scene_id,
+    text, text AS dialogue_en, source AS ocr_text, {_DISTINCT.format(_FORMS)}[1:5] AS entities, e.embedding AS v, f.embedding AS d, doc_id IN (SELECT doc_id FROM labels) AS d_mask
+  FROM documents JOIN embeddings e ON doc_id = e.vec_id, n JOIN embeddings f ON f.vec_id = (doc_id + 1) % n.n
+),
+term AS (SELECT lower(entities[1]) AS e FROM p WHERE len(entities) > 0 ORDER BY row LIMIT 1),
+ent AS (
+  SELECT row, CAST(list_contains(list_transform(entities, lambda x: lower(x)), e)
+      OR regexp_matches(lower(dialogue_en || ' ' || ocr_text), '(^|[^\\p{{L}}\\p{{N}}_])' || e || '($|[^\\p{{L}}\\p{{N}}_])') AS DOUBLE) AS entity
+  FROM p, term
+)"""
+
+_CENTER = f"""
+cm AS (SELECT i, avg(CAST(v[i] AS DOUBLE)) AS m FROM p JOIN ent USING (row), range(1, 65) r(i) WHERE entity > 0 GROUP BY i),
+center AS (SELECT list(m / greatest(s, 1e-8) ORDER BY i) AS c FROM cm, (SELECT sqrt(sum(m * m)) AS s FROM cm) WHERE (SELECT count(*) FROM ent WHERE entity > 0) BETWEEN 1 AND (SELECT count(*) - 1 FROM ent))"""
+
+_SHOTS = f"""{_PLAIN},
+sim AS (SELECT row, vec_id AS rep, {_DOT.format("v", "embedding")} AS sim FROM p, embeddings WHERE vec_id % 25 = 0),
+near AS (SELECT row, rep, least(greatest(sim, 0), 1) AS conf FROM sim QUALIFY row_number() OVER (PARTITION BY row ORDER BY sim DESC, rep) = 1),
+s AS (
+  SELECT p.*, conf, d2.text[1:60] AS caption, e2.embedding AS c,
+    {_tokens("p.dialogue_en || ' ' || d2.text[1:60] || ' ' || p.ocr_text || ' ' || array_to_string(p.entities, ' ')")} AS tokens
+  FROM p JOIN near USING (row) JOIN documents d2 ON d2.doc_id = rep JOIN embeddings e2 ON e2.vec_id = rep
+)"""
+
+
+def _bm25(docs: str, queries: str) -> str:
+    """CTEs for scores bm(query_id, row, bm25) of queries(query_id, term) over docs(row, tokens)."""
+    return f"""
+dl AS (SELECT row, len(tokens) AS dl, tokens FROM {docs}),
+st AS (SELECT count(*) AS n_docs, avg(dl) AS avgdl FROM dl),
+tf AS (SELECT row, dl, term, count(*) AS tf FROM (SELECT row, dl, unnest(tokens) AS term FROM dl) GROUP BY ALL),
+raw AS (SELECT term, count(*) AS df, ln(any_value(n_docs) - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM tf, st GROUP BY term),
+idf AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM raw) ELSE raw END AS idf FROM raw),
+bm AS (
+  SELECT query_id, row, sum(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS bm25
+  FROM {queries} JOIN idf USING (term) JOIN tf USING (term), st GROUP BY query_id, row
+),
+bn AS (SELECT query_id, row, CASE WHEN max(bm25) OVER (PARTITION BY query_id) > 0 THEN bm25 / max(bm25) OVER (PARTITION BY query_id) ELSE 0 END AS bm25 FROM bm)"""
+
+
+_DOCS_BM = f"""docs AS (SELECT doc_id AS row, {_tokens("text")} AS tokens FROM documents),
+q AS (SELECT item_id AS query_id, unnest({_tokens("text || ' ' || text[1:20]")}) AS term FROM benchmark WHERE item_id < 8), {_bm25("docs", "q")}"""
+
+_SCORED = f"""{_SHOTS}, {_CENTER},
+q AS (SELECT 0 AS query_id, unnest({_tokens("text")}) AS term FROM benchmark WHERE item_id = 0), {_bm25("s", "q")},
+x AS (
+  SELECT s.row, content_id, shot_id, scene_id, conf, entity, coalesce(bn.bm25, 0) AS bm25, {_DOT.format("v", _QV)} AS vis, CASE WHEN d_mask THEN {_DOT.format("d", _QT)} END AS dia,
+    {_DOT.format("c", _QT)} AS cap, {_DOT.format("v", "(SELECT c FROM center)")} AS anc
+  FROM s JOIN ent ON s.row = ent.row LEFT JOIN bn ON bn.row = s.row
+),
+w AS (
+  SELECT *, 0.35 * greatest(0, least(3, (vis - avg(vis) OVER ()) / stddev_pop(vis) OVER ())) / 3 AS w_visual,
+    coalesce(0.25 * greatest(0, least(3, (dia - avg(dia) OVER ()) / stddev_pop(dia) OVER ())) / 3, 0) AS w_dialogue,
+    conf * 0.15 * greatest(0, least(3, (cap - avg(cap) OVER ()) / stddev_pop(cap) OVER ())) / 3 AS w_caption,
+    0.15 * bm25 AS w_bm25, 0.1 * entity AS w_entity, coalesce(0.05 * greatest(0, least(3, (anc - avg(anc) OVER ()) / stddev_pop(anc) OVER ())) / 3, 0) AS w_anchor
+  FROM x
+),
+cand AS (
+  SELECT row FROM (FROM x ORDER BY vis DESC, row LIMIT {{k}}) UNION SELECT row FROM (FROM x WHERE dia IS NOT NULL ORDER BY dia DESC, row LIMIT {{k}})
+  UNION SELECT row FROM (FROM x ORDER BY cap DESC, row LIMIT {{k}}) UNION SELECT row FROM (FROM x WHERE anc IS NOT NULL ORDER BY anc DESC, row LIMIT {{k}})
+  UNION SELECT row FROM (FROM x WHERE bm25 > 0 ORDER BY bm25 DESC, row LIMIT {{k}}) UNION SELECT row FROM (FROM x WHERE entity > 0 ORDER BY entity + 1e-3 * bm25 DESC, row LIMIT {{k}})
+),
+t AS (SELECT *, w_visual + w_dialogue + w_caption + w_bm25 + w_entity + w_anchor AS score FROM w)"""
+
+
+def _ranked(where: str, top: int, k: int = 512) -> str:
+    return f"""WITH {_SCORED.replace("{k}", str(k))}
+SELECT row, content_id, shot_id, scene_id, round(score, 6) AS score, round(w_visual, 6) AS w_visual, round(w_dialogue, 6) AS w_dialogue, round(w_caption, 6) AS w_caption, round(w_bm25, 6) AS w_bm25,
+  round(w_entity, 6) AS w_entity, round(w_anchor, 6) AS w_anchor, round(vis, 6) AS raw_visual, round(dia, 6) AS raw_dialogue, round(cap, 6) AS raw_caption
+FROM (SELECT * FROM t WHERE score > 0 {where} QUALIFY row_number() OVER (PARTITION BY content_id, scene_id ORDER BY round(score, 9) DESC, row) = 1)
+ORDER BY round(score, 9) DESC, row LIMIT {top}"""
+
+
+_CAPTION = r"""list_filter(list_transform(string_split_regex(regexp_replace(trim(regexp_replace(regexp_replace({0}, '<[^>]+>', ' ', 'g'), '[\s]+', ' ', 'g')), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '')"""
+
+
+def _caption(raw: str, most: int) -> str:
+    sentences = _CAPTION.format(raw)
+    return f"array_to_string(list_filter(ss, lambda x, i: list_position(list_transform(ss, lambda y: lower(y)), lower(x)) = i)[1:{most}], ' ')", sentences
+
+
+_REGISTRY = """
+r AS (
+  SELECT substr(sha1('/footage/' || c_name), 1, 10) AS footage_key, '/footage/' || c_name AS path, 'c' || lpad(CAST(c_custkey % 40 AS VARCHAR), 15, '0') AS content_id, CAST(floor(abs(c_acctbal)) AS BIGINT) AS size,
+    CAST(c_custkey * 1000 AS BIGINT) AS mtime_ns, CAST(c_custkey AS BIGINT) AS item_id, 25.0::DOUBLE AS frame_rate, CASE WHEN c_custkey % 13 = 0 THEN 1 ELSE 2 END AS format_version,
+    CASE WHEN c_custkey % 11 = 0 THEN 'stale' WHEN c_custkey % 7 = 0 THEN 'error' WHEN c_custkey % 3 = 0 THEN 'indexing' ELSE 'ready' END AS state, CAST(c_custkey % 50 AS INTEGER) AS shot_count,
+    CAST(c_custkey % 90 * 10.0 AS DOUBLE) AS duration_s, CASE WHEN c_custkey % 5 = 0 THEN CAST(floor(abs(c_acctbal)) AS BIGINT) + 1 END AS pending_size,
+    CASE WHEN c_custkey % 5 = 0 THEN CAST(c_custkey * 1000 AS BIGINT) END AS pending_mtime_ns, CASE WHEN c_custkey % 5 = 0 THEN 1 END AS pending_hits, c_custkey
+  FROM customer
+),
+sn AS (
+  SELECT substr(sha1('/footage/' || c_name), 1, 10) AS footage_key, '/footage/' || c_name AS path, CAST(CASE WHEN c_custkey % 19 = 0 THEN -1 WHEN c_custkey % 4 = 0 THEN floor(abs(c_acctbal)) + 1 ELSE floor(abs(c_acctbal)) END AS BIGINT) AS size,
+    CAST(CASE WHEN c_custkey % 19 = 0 THEN 0 ELSE c_custkey * 1000 END AS BIGINT) AS mtime_ns, CAST(c_custkey AS BIGINT) AS item_id, 25.0::DOUBLE AS frame_rate
+  FROM customer WHERE c_custkey % 17 <> 0
+  UNION ALL SELECT substr(sha1('/new/' || s_name), 1, 10), '/new/' || s_name, CAST(floor(abs(s_acctbal)) AS BIGINT), CAST(s_suppkey AS BIGINT), CAST(s_suppkey AS BIGINT), 30.0 FROM supplier
+),
+b AS (
+  SELECT * FROM (
+    SELECT coalesce(sn.footage_key, r.footage_key) AS footage_key,
+      CASE WHEN sn.path IS NULL THEN CASE WHEN r.state <> 'stale' THEN 'removed' END
+        WHEN r.path IS NULL OR r.state = 'stale' THEN CASE WHEN sn.size > 0 AND sn.mtime_ns > 0 THEN 'added' ELSE 'pending' END
+        WHEN NOT (sn.size > 0 AND sn.mtime_ns > 0) THEN 'unchanged'
+        WHEN r.format_version <> 2 THEN 'changed'
+        WHEN r.size = sn.size AND r.mtime_ns = sn.mtime_ns THEN 'unchanged'
+        WHEN r.pending_size = sn.size AND r.pending_mtime_ns = sn.mtime_ns AND r.pending_hits + 1 >= 2 THEN 'changed'
+        ELSE 'pending' END AS bucket
+    FROM sn FULL JOIN r ON sn.footage_key = r.footage_key
+  ) WHERE bucket IS NOT NULL
+)"""
+
+_JOBS = """
+j AS (
+  SELECT 'j' || o_orderkey AS job_id, CAST(o_custkey % 500 AS BIGINT) AS content_id, CASE WHEN o_orderkey % 5 = 0 THEN 'running' WHEN o_orderkey % 7 = 0 THEN 'queued' WHEN o_orderkey % 11 = 0 THEN 'error' ELSE 'done' END AS state,
+    CAST(o_custkey % 97 AS DOUBLE) AS created_at FROM orders
+),
+lj AS (SELECT * FROM j QUALIFY row_number() OVER (PARTITION BY content_id ORDER BY created_at DESC, job_id DESC) = 1),
+vj AS (SELECT * FROM j WHERE state IN ('running', 'queued') QUALIFY row_number() OVER (PARTITION BY content_id ORDER BY created_at DESC, job_id DESC) = 1),
+ch AS (
+  SELECT l_orderkey AS content_id, l_linenumber AS ln, CAST(l_quantity AS BIGINT) AS length, CAST(coalesce(sum(CAST(l_quantity AS BIGINT)) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start,
+    CAST(sum(CAST(l_quantity AS BIGINT)) OVER (PARTITION BY l_orderkey) AS BIGINT) AS size FROM lineitem
+),
+up AS (
+  SELECT content_id, CAST(coalesce(sum(length) FILTER (WHERE content_id % 3 <> 0 OR ln < 3), 0) AS BIGINT) AS received, any_value(size) AS size FROM ch GROUP BY content_id
+)"""
+
+_SEGMENTS = """
+g AS (
+  SELECT conv_id, turn AS seg_id, text, 4.0 * turn AS s, 4.0 * turn + 5.0 AS e, list_filter(string_split(text, ' '), lambda w: w <> '') AS ws FROM conversations
+),
+sp AS (SELECT conv_id, unnest(range(0, CAST(floor((max(e) - 1e-9) / 8.0) AS BIGINT) + 1)) AS shot_id FROM g GROUP BY conv_id),
+win AS (SELECT conv_id, CAST(shot_id AS INTEGER) AS shot_id, 8.0 * shot_id - {pad} AS t0, 8.0 * shot_id + 8.0 + {pad} AS t1 FROM sp)"""
+
+
+def _said(pad: float) -> str:
+    inside = "list_filter(ws, lambda w, i: s + 5.0 * i / len(ws) > t0 AND s + 5.0 * (i - 1) / len(ws) < t1)"
+    part = f"CASE WHEN seg_id % 2 = 1 OR len(ws) = 0 THEN ' ' || text WHEN NOT contains(text, ' ') THEN array_to_string({inside}, '') ELSE ' ' || array_to_string({inside}, ' ') END"
+    return f"""WITH {_SEGMENTS.replace("{pad}", str(pad))},
+m AS (SELECT win.conv_id, shot_id, string_agg({part}, '' ORDER BY seg_id) AS said FROM win JOIN g ON g.conv_id = win.conv_id AND e > t0 AND s < t1 GROUP BY ALL)
+SELECT conv_id, shot_id, coalesce(trim(regexp_replace(said, '\\s+', ' ', 'g')), '') AS said FROM win LEFT JOIN m USING (conv_id, shot_id)"""
+
+
+def _z(masked: bool) -> str:
+    x = f"CASE WHEN d_mask THEN {_DOT.format('v', _QV)} END" if masked else _DOT.format("v", _QV)
+    return f"WITH {_PLAIN}, x AS (SELECT row, {x} AS x FROM p) SELECT row, round(coalesce(least(greatest((x - avg(x) OVER ()) / stddev_pop(x) OVER (), 0), 3) / 3, 0), 6) AS z FROM x"
+
+
+_VOCAB = f"""WITH {_PLAIN},
+f AS (SELECT content_id, row * 10 + i - 1 AS pos, CASE WHEN row % 3 = 0 THEN upper(entities[i]) ELSE entities[i] END AS form FROM p, range(1, 6) t(i) WHERE i <= len(entities)),
+c AS (SELECT content_id, form, lower(form) AS key, count(*) AS n, min(pos) AS first FROM f GROUP BY ALL),
+v AS (SELECT *, row_number() OVER (PARTITION BY content_id ORDER BY n DESC, first) - 1 AS pos FROM (FROM c QUALIFY row_number() OVER (PARTITION BY content_id, key ORDER BY n DESC, first) = 1))"""
+
+_cap, _sent = _caption("'<s>' || text[1:300] || ' </s>'", 3)
+_cap2, _sent2 = _caption("text || ' ' || upper(text)", 2)
+
+ORACLE_SQL = {
+    "fused_search": _ranked("", 8),
+    "fused_search_candidates": _ranked("AND row IN (SELECT row FROM cand)", 5, 60),
+    "set1_candidates": f"WITH {_SCORED.replace('{k}', '20')} SELECT row FROM cand",
+    "batch_search": f"WITH {_DOCS_BM} SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(bm25, 9) DESC, row) AS INTEGER) AS place, row, round(bm25, 6) AS bm25 FROM bn QUALIFY place <= 3",
+    "srt3_top_scored": "SELECT doc_id AS row, CAST(n_chars % 7 AS DOUBLE) AS s FROM documents WHERE n_chars % 7 > 0 ORDER BY n_chars % 7 + 1e-3 * (n_chars % 1000 / 1000.0) DESC, doc_id LIMIT 50",
+    "win1_scene_dedupe": f"WITH {_PLAIN} SELECT row, content_id, scene_id, round(s, 6) AS score FROM (SELECT *, {_DOT.format('v', _QV)} AS s FROM p) WHERE s > 0 QUALIFY row_number() OVER (PARTITION BY content_id, scene_id ORDER BY round(s, 9) DESC, row) = 1",
+    "fn1_tokenize": f"SELECT doc_id, CAST(len(t) AS BIGINT) AS n_tokens, md5(array_to_string(t, ' ')) AS digest FROM (SELECT doc_id, {_tokens('text')} AS t FROM documents)",
+    "fn2_bm25_doc": f"""SELECT doc_id, array_to_string({_tokens("text[1:80] || ' ' || lang || ' ' || source || ' ' || lang || ' ' || source || CASE WHEN doc_id % 2 = 1 THEN ' other source' ELSE '' END")}, ' ') AS tokens FROM documents""",
+    "fn5_clean_caption": f"SELECT doc_id, {_cap} AS caption FROM (SELECT doc_id, {_sent} AS ss FROM documents)",
+    "fn6_l2norm": "SELECT vec_id AS row, 1.0::DOUBLE AS norm, round(CAST(embedding[1] AS DOUBLE) / sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))), 6) AS first FROM embeddings",
+    "fn8_zscore": _z(False),
+    "fn8_zscore_masked": _z(True),
+    "fn11_content_id": "SELECT doc_id, substr(sha1(encode(CAST(octet_length(b) AS VARCHAR)) || b[1:1000] || CASE WHEN octet_length(b) > 1000 THEN b[octet_length(b) - 999:] ELSE ''::BLOB END), 1, 16) AS content_id FROM (SELECT doc_id, encode(text) AS b FROM documents)",
+    "fn12_footage_key": f"WITH {_REGISTRY} SELECT footage_key, path FROM r",
+    "fn14_safe_extension": r"SELECT p_partkey, CASE WHEN p_partkey % 3 = 1 THEN '.mp4' ELSE '.bin' END AS ext FROM part",
+    "fn16_timecode": """SELECT l_orderkey, l_linenumber, lpad(CAST(total // f // 3600 AS VARCHAR), 2, '0') || ':' || lpad(CAST(total // f // 60 % 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(total // f % 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(total % f AS VARCHAR), 2, '0') AS tc,
+  CAST(c // 60 AS VARCHAR) || ':' || lpad(CAST(c % 60 AS VARCHAR), 2, '0') AS clock
+FROM (SELECT *, CAST(floor(s * f + 1e-6) AS BIGINT) AS total, CAST(floor(s + 0.5) AS BIGINT) AS c FROM (SELECT l_orderkey, l_linenumber, CAST(l_extendedprice AS DOUBLE) / 3.0 AS s, CASE WHEN l_linenumber = 1 THEN 25 ELSE 23 + l_linenumber END AS f FROM lineitem))""",
+    "fn18_step_number": """SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN '' WHEN o_orderkey % 3 = 0 THEN CAST(d // 60 AS VARCHAR) || ':' || lpad(CAST(d % 60 AS VARCHAR), 2, '0') || ' / 16:40'
+  WHEN o_orderkey % 3 = 1 THEN CAST(d AS VARCHAR) || '.0/1000.0 MB' ELSE CAST(CAST(floor(d / 1000 * 100 + 0.5) AS BIGINT) AS VARCHAR) || '%' END AS step FROM (SELECT o_orderkey, CAST(o_orderkey % 900 AS BIGINT) AS d FROM orders)""",
+    "fn19_names": """SELECT p_partkey, p_name AS base, CASE WHEN length(p_name) > 20 THEN p_name[1:19] || '…' ELSE p_name END AS short, '&lt;&#39;' || p_name || '&amp;&quot;&gt;' AS html FROM part""",
+    "win6_ngrams": rf"""SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY n DESC, i) - 1 AS BIGINT) AS pos, gram FROM (
+  SELECT item_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS gram FROM (SELECT item_id, regexp_extract_all(lower(text[1:60]), '[\p{{L}}\p{{N}}_]+') AS w FROM benchmark), range(1, 4) a(n), range(1, 61) b(i) WHERE i + n - 1 <= len(w)
+) WHERE n > 1 OR (length(gram) >= 3 AND gram NOT IN ({_STOP}))""",
+    "win7_bigrams": "SELECT p_partkey, array_to_string(list_transform(range(1, greatest(1, length(w) - 1) + 1), lambda i: substr(w, i, 2)), '|') AS pairs FROM (SELECT p_partkey, string_split(p_name, ' ')[1] AS w FROM part)",
+    "win8_sentences": f"SELECT item_id, {_cap2} AS kept FROM (SELECT item_id, {_sent2} AS ss FROM benchmark)",
+    "agg2_moments": f"SELECT count(x) AS n, round(avg(x), 6) AS mean, round(stddev_pop(x), 6) AS sd FROM (SELECT {_DOT.format('embedding', _QV)} AS x FROM embeddings)",
+    "agg4_bm25_stats": f"WITH {_DOCS_BM} SELECT term, df, round(idf, 6) AS idf FROM idf",
+    "j6_bm25": f"WITH {_DOCS_BM} SELECT query_id, row, round(bm25, 6) AS bm25 FROM bm",
+    "agg7_bm25_norm": f"WITH {_DOCS_BM} SELECT query_id, row, round(bm25, 6) AS bm25 FROM bn",
+    "agg5_vector_sum": """WITH s AS (SELECT vec_id // 3 AS shot, i, sum(CAST(embedding[i] AS DOUBLE)) AS x FROM embeddings, range(1, 65) r(i) GROUP BY ALL), u AS (SELECT shot, i, x / greatest(sqrt(sum(x * x) OVER (PARTITION BY shot)), 1e-8) AS u FROM s)
+SELECT CAST(shot AS BIGINT) AS shot, round(max(u) FILTER (WHERE i = 1), 6) AS u0, round(max(u) FILTER (WHERE i = 2), 6) AS u1, round(max(u) FILTER (WHERE i = 64), 6) AS u63 FROM u GROUP BY shot""",
+    "agg6_centroid": f"WITH {_PLAIN}, {_CENTER} SELECT round(c[1], 6) AS u0, round(c[2], 6) AS u1, round(c[64], 6) AS u63 FROM center",
+    "agg8_vocab": f"{_VOCAB} SELECT content_id, CAST(pos AS INTEGER) AS pos, key, form FROM v",
+    "agg9_merged_vocab": f"{_VOCAB} SELECT key, form, CAST(content_id[2:] AS BIGINT) AS place FROM v QUALIFY row_number() OVER (PARTITION BY key ORDER BY content_id) = 1",
+    "agg12_medoid": f"""WITH m AS (SELECT label, i, avg(CAST(embedding[i] AS DOUBLE)) AS m FROM embeddings, range(1, 65) r(i) GROUP BY ALL), u AS (SELECT label, list(m / l ORDER BY i) AS u FROM (SELECT *, sqrt(sum(m * m) OVER (PARTITION BY label)) AS l FROM m) GROUP BY label)
+SELECT label, vec_id AS row FROM embeddings JOIN u USING (label) QUALIFY row_number() OVER (PARTITION BY label ORDER BY {_DOT.format('embedding', 'u')} DESC, vec_id) = 1""",
+    "agg13_quota": f"""WITH {_REGISTRY}, w AS (SELECT b.footage_key, bucket, state, duration_s, coalesce(item_id, 0) % 97 AS tenant FROM b LEFT JOIN r USING (footage_key)),
+f AS (SELECT tenant, count(DISTINCT footage_key) FILTER (WHERE bucket IN ('added', 'changed', 'unchanged')) AS n_active, coalesce(sum(duration_s) FILTER (WHERE bucket IN ('added', 'changed', 'unchanged') AND state = 'ready'), 0) / 60.0 AS minutes, bool_or(bucket IN ('added', 'changed')) AS fresh FROM w GROUP BY tenant),
+g AS (SELECT f.*, CASE c_mktsegment WHEN 'BUILDING' THEN 50 WHEN 'FURNITURE' THEN 500 ELSE 3 END AS lf, CASE c_mktsegment WHEN 'BUILDING' THEN 600 WHEN 'FURNITURE' THEN 6000 ELSE 120 END AS lm FROM f LEFT JOIN (SELECT * FROM customer WHERE c_custkey < 97) ON c_custkey = tenant)
+SELECT tenant, n_active, round(minutes, 6) AS minutes, NOT fresh OR (n_active <= lf AND minutes <= lm) AS allowed FROM g""",
+    "agg16_summaries": f"WITH {_PLAIN} SELECT content_id, count(*) FILTER (WHERE len(list_filter(string_split_regex(dialogue_en, '\\s+'), lambda w: w <> '')) >= 3) AS with_dialogue, count(*) FILTER (WHERE len(entities) > 0) AS with_entities, count(*) FILTER (WHERE d_mask) AS masked FROM p GROUP BY content_id",
+    "j1_transcript_window": _said(0.0),
+    "j1_dialogue_window": _said(3.0),
+    "j2_entity_window": f"WITH {_SEGMENTS.replace('{pad}', '3.0')} SELECT win.conv_id, shot_id, count(*) AS n, min(seg_id) AS first, max(seg_id) AS last FROM win JOIN g ON g.conv_id = win.conv_id AND e >= t0 AND s <= t1 GROUP BY ALL",
+    "j4_propagate": f"SELECT a.vec_id AS row, b.vec_id AS rep, round(least(greatest({_DOT.format('a.embedding', 'b.embedding')}, 0), 1), 6) AS confidence FROM embeddings a, embeddings b WHERE b.vec_id % 25 = 0 QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY {_DOT.format('a.embedding', 'b.embedding')} DESC, b.vec_id) = 1",
+    "j7_entity_score": f"WITH {_PLAIN} SELECT row, round(entity / 2, 6) AS entity FROM ent",
+    "j9_owner": f"WITH {_REGISTRY} SELECT content_id, min(footage_key) AS footage_key, arg_min(path, footage_key) AS source_path FROM r WHERE state = 'ready' GROUP BY content_id",
+    "j10_sync_diff": f"WITH {_REGISTRY} SELECT footage_key, bucket FROM b",
+    "j11_apply_sync": f"""WITH {_REGISTRY}, m AS (SELECT coalesce(r.footage_key, b.footage_key) AS k, r.* EXCLUDE (footage_key), bucket, sn.path AS sp, sn.size AS ss, sn.mtime_ns AS sm, sn.item_id AS si, sn.frame_rate AS sf, r.path IS NOT NULL AS known, coalesce(bucket IN ('added', 'changed'), false) AS fresh
+  FROM r FULL JOIN b ON r.footage_key = b.footage_key LEFT JOIN sn ON sn.footage_key = coalesce(r.footage_key, b.footage_key))
+SELECT k AS footage_key, CASE WHEN fresh THEN sp ELSE path END AS path, CASE WHEN fresh THEN '' ELSE content_id END AS content_id, CASE WHEN fresh THEN ss ELSE size END AS size, CASE WHEN fresh THEN sm ELSE mtime_ns END AS mtime_ns,
+  CASE WHEN fresh THEN si ELSE item_id END AS item_id, CASE WHEN fresh THEN sf ELSE frame_rate END AS frame_rate, CASE WHEN fresh THEN 2 ELSE format_version END AS format_version, CASE WHEN fresh THEN 'indexing' WHEN bucket = 'removed' THEN 'stale' ELSE state END AS state,
+  CASE WHEN fresh THEN 0 ELSE shot_count END AS shot_count, CASE WHEN fresh THEN 0.0 ELSE duration_s END AS duration_s, CASE WHEN bucket = 'pending' THEN ss WHEN bucket IS NULL THEN pending_size END AS pending_size,
+  CASE WHEN bucket = 'pending' THEN sm WHEN bucket IS NULL THEN pending_mtime_ns END AS pending_mtime_ns,
+  CASE WHEN bucket = 'pending' THEN CASE WHEN pending_size = ss AND pending_mtime_ns = sm THEN pending_hits + 1 ELSE 1 END WHEN bucket IS NULL THEN pending_hits END AS pending_hits
+FROM m WHERE known OR fresh""",
+    "j12_knn": f"SELECT vec_id AS row, round({_DOT.format('embedding', _QV)}, 6) AS cosine FROM embeddings ORDER BY {_DOT.format('embedding', _QV)} DESC, vec_id LIMIT 10",
+    "j12_knn_masked": f"WITH {_PLAIN} SELECT row, round({_DOT.format('d', _QT)}, 6) AS cosine FROM p WHERE d_mask ORDER BY {_DOT.format('d', _QT)} DESC, row LIMIT 10",
+    "j16_stranded": f"WITH {_REGISTRY}, {_JOBS} SELECT footage_key, state FROM r WHERE state IN ('error', 'indexing', 'uploading') AND footage_key NOT IN (SELECT substr(sha1('/footage/Customer#' || lpad(CAST(content_id AS VARCHAR), 9, '0')), 1, 10) FROM j WHERE state = 'running')",
+    "j17_ocr_codes": "SELECT doc_id, CASE WHEN lang IN ('fr', 'es') THEN lang || '+en' WHEN lang = 'zh' THEN 'ch_sim+en' ELSE 'en' END AS ocr FROM documents",
+    "prj3_owned_results": f"WITH {_REGISTRY}, {_PLAIN}, o AS (SELECT content_id, min(footage_key) AS footage_key, arg_min(path, footage_key) AS source_path FROM r WHERE state = 'ready' GROUP BY content_id), h AS (SELECT row, 'c' || lpad(CAST(row % 60 AS VARCHAR), 15, '0') AS content_id FROM p) SELECT * FROM h JOIN o USING (content_id)",
+    "set3_removed": f"WITH {_REGISTRY} SELECT footage_key FROM b WHERE bucket = 'removed'",
+    "flt2_valid_ids": f"WITH {_PLAIN} SELECT row FROM p WHERE row % 3 = 0",
+    "flt4_hallucination": "SELECT l_orderkey, l_linenumber FROM lineitem WHERE NOT (CAST(l_discount AS DOUBLE) * 10 > 0.6 AND -CAST(l_tax AS DOUBLE) * 20 < -1.0) AND l_linenumber <> 2",
+    "flt7_emotions": """SELECT o_orderkey, coalesce(string_agg(label, ',' ORDER BY score DESC, label DESC) FILTER (WHERE score > 0.3), '') AS emotions FROM (
+  SELECT o_orderkey, label, o_orderkey * m % 100 / 100.0 AS score FROM orders, (VALUES (7, 'joy'), (13, 'fear'), (29, 'anger'), (31, 'surprise')) t(m, label) QUALIFY row_number() OVER (PARTITION BY o_orderkey ORDER BY score DESC, label DESC) <= 3
+) GROUP BY o_orderkey""",
+    "flt12_ner_input": "SELECT doc_id, CAST(CASE WHEN trim(text) <> '' THEN length(text[1:1000]) END AS BIGINT) AS n FROM documents",
+    "flt13_prune": f"WITH {_REGISTRY} SELECT footage_key, state FROM r WHERE state <> 'stale'",
+    "win2_span_merge": """WITH s AS (SELECT l_orderkey AS k, l_linenumber * 10.0::DOUBLE AS b, l_linenumber * 10.0::DOUBLE + CAST(l_quantity AS DOUBLE) / 3.0 AS e, CAST(l_discount AS DOUBLE) AS score FROM lineitem),
+i AS (SELECT *, sum(CASE WHEN b <= m THEN 0 ELSE 1 END) OVER (PARTITION BY k ORDER BY b, e ROWS UNBOUNDED PRECEDING) AS island FROM (SELECT *, max(e) OVER (PARTITION BY k ORDER BY b, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM s))
+SELECT k, round(min(b), 6) AS start, round(max(e), 6) AS "end", round(max(score), 6) AS score FROM i GROUP BY k, island""",
+    "win3_latest_job": f"WITH {_JOBS} SELECT * FROM lj",
+    "win3_live_job": f"WITH {_JOBS} SELECT * FROM vj",
+    "win4_first_owner": f"WITH {_REGISTRY} SELECT content_id, min(footage_key) AS footage_key FROM r WHERE state = 'ready' GROUP BY content_id",
+    "win5_debounce": "SELECT event_id, user_id AS footage, size, coalesce(lag(size) OVER (PARTITION BY user_id ORDER BY ts, event_id) = size, false) AS confirmed FROM (SELECT *, CAST(floor(value / 25) AS BIGINT) AS size FROM events)",
+    "win9_ordinal": f"WITH {_PLAIN} SELECT row, content_id, shot_id, CAST(row_number() OVER (ORDER BY content_id, shot_id) - 1 AS BIGINT) AS ordinal FROM p",
+    "win10_split_spans": """WITH o AS (SELECT o_orderkey, 2.0::DOUBLE AS s, 2.0 + CAST(o_totalprice AS DOUBLE) / 5000.0 AS e FROM orders), n AS (SELECT *, greatest(1, CAST(ceil((e - s) / 8.0 - 1e-6) AS INTEGER)) AS k FROM o), u AS (SELECT *, unnest(range(0, k)) AS part FROM n)
+SELECT o_orderkey, CAST(part AS INTEGER) AS part, round(s + part * ((e - s) / k), 4) AS t0, round(s + (part + 1) * ((e - s) / k), 4) AS t1 FROM u""",
+    "st4_upload": f"WITH {_JOBS} SELECT content_id, received, size, received = size AS complete FROM up",
+    "st9_recover": f"""WITH {_JOBS}, s AS (SELECT job_id, state, CAST(created_at AS BIGINT) AS c, state = 'running' AS run FROM j)
+SELECT job_id, CASE WHEN run THEN 'queued' ELSE state END AS state, array_to_string(list_transform(range(0, 3), lambda i: ['shots', 'visual', 'ocr'][i + 1] || ':' || CASE WHEN c % 4 > i THEN 'done:' || (c + i) WHEN c % 4 = i THEN CASE WHEN run THEN 'pending:0' ELSE 'running:' || (c + i) END ELSE 'pending:' || (c + i) END), ',') AS stages FROM s""",
+    "st10_library_state": f"""WITH {_JOBS} SELECT c.content_id, CASE WHEN vj.job_id IS NOT NULL AND c.content_id % 2 = 0 THEN 'indexing' WHEN c.content_id % 6 = 0 THEN 'ready' WHEN lj.state = 'error' THEN 'error' WHEN c.content_id % 6 = 1 THEN 'stale' WHEN received = size THEN 'uploaded' WHEN received > 0 THEN 'partial' ELSE 'missing' END AS library_state
+FROM (SELECT c_custkey - 1 AS content_id FROM customer) c LEFT JOIN lj ON lj.content_id = c.content_id LEFT JOIN vj ON vj.content_id = c.content_id LEFT JOIN up ON up.content_id = c.content_id""",
+    "st11_screen": "SELECT o_orderkey, CASE WHEN o_orderkey % 2 <> 0 AND o_orderkey % 3 = 0 THEN 'job' WHEN o_orderkey % 5 = 0 THEN 'searching' WHEN o_orderkey % 7 = 0 AND o_orderkey % 4 = 0 THEN 'error' WHEN o_orderkey % 2 <> 0 THEN 'empty' WHEN o_orderkey % 4 = 0 THEN 'nomatch' ELSE 'results' END AS screen FROM orders",
+    "srt7_step_order": """WITH s AS (SELECT l_orderkey AS job_id, ['shots', 'visual', 'transcribe', 'ocr', 'captions', 'text', 'extra'][l_linenumber] AS name, ['pending', 'running', 'done', 'error'][l_partkey % 4 + 1] AS state, l_linenumber AS pos FROM lineitem),
+t AS (SELECT *, CASE WHEN pos < 7 AND state = 'running' THEN 0 WHEN pos < 7 AND state = 'done' THEN 1 ELSE 2 END AS kind FROM s WHERE state <> 'pending')
+SELECT job_id, name, state, row_number() OVER (PARTITION BY job_id ORDER BY kind, CASE WHEN kind = 0 THEN pos ELSE -pos END) AS place FROM t""",
+    "snk9_layers": "SELECT o_orderkey, 60.0::DOUBLE - o_orderkey % 100 AS layer_start, 60.0::DOUBLE AS layer_in, 60.0::DOUBLE + o_custkey % 9 - 1 AS layer_out FROM orders WHERE o_custkey % 9 > 1",
+    "src7_ready_contents": f"WITH {_PLAIN} SELECT content_id, count(*) AS n_shots FROM p WHERE content_id[16:16] <> '1' GROUP BY content_id",
+}

@@ -1 +1,438 @@
-QUERIES = {}
+"""One query per operator, over the tables that the adapters derive."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from framewise.config import Settings
+from framewise.functions import text as T
+from framewise.functions import vectors as V
+from framewise.operators import captions, entities, fusion, intervals, jobs, lexical, sync
+from framewise.sources import adapters as A
+
+#: Rows whose vectors are the visual and the text query, the item whose text is asked, and the vectors' size.
+VISUAL_ROW, TEXT_ROW, ITEM, SIZE = 7, 11, 0, 64
+TYPOS = ("almnd", "antiqeu", "aqaumarine", "blakc", "burlywod", "chocolaet", "cornflwoer", "zz", "qqqqqqqq")
+
+
+def _vector(spark: SparkSession, sf_dir: str, row: int):
+    found = A.vectors(spark, sf_dir).filter(F.col("row") == row).first()
+    return V.literal(found.v)
+
+
+def _item_tokens(spark: SparkSession, sf_dir: str) -> list[str]:
+    item = A.table(spark, sf_dir, "benchmark").filter(F.col("item_id") == ITEM).select(T.tokenize(F.col("text")).alias("t"))
+    return item.first().t
+
+
+def _term(shots: DataFrame) -> list[str]:
+    """The first entity of the first shot that has one."""
+    found = shots.filter(F.size("entities") > 0).orderBy("row").select(F.lower(F.col("entities")[0]).alias("e")).first()
+    return [found.e] if found else []
+
+
+def _r(c: str):
+    return F.round(F.col(c), 6).alias(c)
+
+
+def fn1_tokenize(spark, d):
+    docs = A.table(spark, d, "documents").select("doc_id", T.tokenize(F.col("text")).alias("t"))
+    return docs.select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.md5(F.array_join("t", " ").cast("binary")).alias("digest"))
+
+
+def fn2_bm25_doc(spark, d):
+    docs = A.table(spark, d, "documents")
+    none = F.array().cast("array<string>")
+    doc = T.search_text(F.substring("text", 1, 80), F.col("lang"), F.col("source"), F.array("lang", "source"), none, F.when(F.col("doc_id") % 2 == 0, F.substring("text", 1, 80)).otherwise("other source"))
+    return docs.select("doc_id", F.array_join(T.tokenize(doc), " ").alias("tokens"))
+
+
+def fn5_clean_caption(spark, d):
+    raw = F.concat(F.lit("<s>"), F.substring("text", 1, 300), F.lit(" </s>"))
+    return A.table(spark, d, "documents").select("doc_id", T.clean_caption(raw).alias("caption"))
+
+
+def fn6_l2norm(spark, d):
+    scaled = A.vectors(spark, d).select("row", V.l2norm(F.transform("v", lambda x: x * 3)).alias("u"))
+    return scaled.select("row", F.round(V.dot(F.col("u"), F.col("u")), 6).alias("norm"), F.round(F.col("u")[0], 6).alias("first"))
+
+
+def fn8_zscore(spark, d, masked: bool = False):
+    q = _vector(spark, d, VISUAL_ROW)
+    shots = A.plain_shots(spark, d).select("row", V.dot(F.col("v"), q).alias("x"), "d_mask")
+    if masked:
+        shots = shots.withColumn("x", F.when(F.col("d_mask"), F.col("x")))
+    m = shots.agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("sd"), F.count("x").alias("n"))
+    z = V.clipped_z(F.col("x"), F.col("mean"), F.col("sd"), F.col("n"))
+    return shots.join(F.broadcast(m), how="cross").select("row", F.round(z, 6).alias("z"))
+
+
+def fn8_zscore_masked(spark, d):
+    return fn8_zscore(spark, d, True)
+
+
+def fn11_content_id(spark, d):
+    return A.table(spark, d, "documents").select("doc_id", T.content_id(F.col("text").cast("binary"), 1000).alias("content_id"))
+
+
+def fn12_footage_key(spark, d):
+    return A.registry(spark, d).select("footage_key", "path")
+
+
+def fn14_safe_extension(spark, d):
+    name = F.concat("p_name", F.lit("."), F.when(F.col("p_partkey") % 3 == 0, F.col("p_mfgr")).when(F.col("p_partkey") % 3 == 1, "MP4").otherwise(""))
+    return A.table(spark, d, "part").select("p_partkey", T.safe_extension(name).alias("ext"))
+
+
+def fn16_timecode(spark, d):
+    li = A.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_extendedprice") / 3.0).cast("double").alias("s"), F.when(F.col("l_linenumber") == 1, 0.0).otherwise(23.0 + F.col("l_linenumber")).alias("fps"))
+    return li.select("l_orderkey", "l_linenumber", T.timecode(F.col("s"), F.col("fps")).alias("tc"), T.clock(F.col("s")).alias("clock"))
+
+
+def fn18_step_number(spark, d):
+    o = A.table(spark, d, "orders").select("o_orderkey", F.element_at(F.array(F.lit("transcribe"), F.lit("upload"), F.lit("ocr")), (F.col("o_orderkey") % 3 + 1).cast("int")).alias("name"), (F.col("o_orderkey") % 900).cast("double").alias("done"), F.when(F.col("o_orderkey") % 4 == 0, 0.0).otherwise(1000.0).alias("total"))
+    mb = F.when(F.col("name") == "upload", 1048576.0).otherwise(1.0)
+    return o.select("o_orderkey", T.step_number(F.col("name"), F.col("done") * mb, F.col("total") * mb).alias("step"))
+
+
+def fn19_names(spark, d):
+    p = A.table(spark, d, "part")
+    return p.select("p_partkey", T.base_name(F.concat(F.lit(r"C:\x/"), F.col("p_name"))).alias("base"), T.clamp(F.col("p_name"), 20).alias("short"), T.escape_html(F.concat(F.lit("<'"), F.col("p_name"), F.lit('&">'))).alias("html"))
+
+
+def win7_bigrams(spark, d):
+    return A.table(spark, d, "part").select("p_partkey", F.array_join(T.bigrams(F.element_at(F.split("p_name", " "), 1)), "|").alias("pairs"))
+
+
+def agg2_moments(spark, d):
+    q = _vector(spark, d, VISUAL_ROW)
+    x = A.vectors(spark, d).select(V.dot(F.col("v"), q).alias("x"))
+    return x.agg(F.count("x").alias("n"), F.round(F.avg("x"), 6).alias("mean"), F.round(F.stddev_pop("x"), 6).alias("sd"))
+
+
+def agg4_bm25_stats(spark, d):
+    docs = _bm25_docs(spark, d)
+    post, stats = lexical.postings(docs), lexical.statistics(docs)
+    return lexical.inverse_frequencies(post, stats).select("term", "df", _r("idf"))
+
+
+def _bm25_docs(spark, d):
+    return A.table(spark, d, "documents").select(F.col("doc_id").alias("row"), T.tokenize(F.col("text")).alias("tokens"))
+
+
+def _bm25(spark, d):
+    docs = _bm25_docs(spark, d)
+    post, stats = lexical.postings(docs), lexical.statistics(docs)
+    items = A.table(spark, d, "benchmark").filter("item_id < 8").select(F.col("item_id").alias("query_id"), F.explode(T.tokenize(F.concat_ws(" ", "text", F.substring("text", 1, 20)))).alias("term"))
+    return lexical.scores(post, stats, lexical.inverse_frequencies(post, stats), items)
+
+
+def j6_bm25(spark, d):
+    return _bm25(spark, d).select("query_id", "row", _r("bm25"))
+
+
+def agg7_bm25_norm(spark, d):
+    return lexical.normalised(_bm25(spark, d)).select("query_id", "row", _r("bm25"))
+
+
+def agg5_vector_sum(spark, d):
+    frames = A.vectors(spark, d).withColumn("shot", F.floor(F.col("row") / 3).cast("long"))
+    summed = frames.groupBy("shot").agg(V.l2norm(V.sum_vector("v", SIZE)).alias("u"))
+    return summed.select("shot", *(F.round(F.col("u")[i], 6).alias(f"u{i}") for i in (0, 1, 63)))
+
+
+def agg6_centroid(spark, d):
+    shots = A.plain_shots(spark, d)
+    scored = shots.join(entities.scores(shots, _term(shots)), "row")
+    return fusion.centroid(scored, SIZE).select(*(F.round(F.col("center")[i], 6).alias(f"u{i}") for i in (0, 1, 63)))
+
+
+def agg16_summaries(spark, d):
+    s = A.plain_shots(spark, d)
+    return s.groupBy("content_id").agg(F.count_if(T.word_count(F.col("dialogue_en")) >= 3).alias("with_dialogue"), F.count_if(F.size("entities") > 0).alias("with_entities"), F.count_if("d_mask").alias("masked"))
+
+
+def j12_knn(spark, d):
+    return fusion.nearest(A.vectors(spark, d), "v", _vector(spark, d, VISUAL_ROW), 10).select("row", _r("cosine"))
+
+
+def j12_knn_masked(spark, d):
+    return fusion.nearest(A.plain_shots(spark, d), "d", _vector(spark, d, TEXT_ROW), 10, F.col("d_mask")).select("row", _r("cosine"))
+
+
+def j7_entity_score(spark, d):
+    shots = A.plain_shots(spark, d)
+    return entities.scores(shots, [*_term(shots), "entirely unknown"]).select("row", _r("entity"))
+
+
+def agg8_vocab(spark, d):
+    docs = A.plain_shots(spark, d).select("content_id", "row", F.posexplode("entities").alias("i", "e"))
+    forms = docs.select("content_id", (F.col("row") * 10 + F.col("i")).alias("pos"), F.when(F.col("row") % 3 == 0, F.upper("e")).otherwise(F.col("e")).alias("form"))
+    return entities.vocabulary(forms)
+
+
+def agg9_merged_vocab(spark, d):
+    vocab = agg8_vocab(spark, d)
+    contents = vocab.select("content_id").distinct().withColumn("place", F.substring("content_id", 2, 15).cast("long"))
+    return entities.merged(vocab, contents).select("key", "form", F.col("place").cast("long").alias("place"))
+
+
+def _part_keys(spark, d):
+    words = A.table(spark, d, "part").select(F.explode(F.split("p_name", " ")).alias("key")).distinct()
+    return words.withColumn("pos", F.row_number().over(Window.orderBy("key")))  # at most a vocabulary of a few dozen words
+
+
+def j8_fuzzy(spark, d):
+    terms = spark.createDataFrame([(t,) for t in TYPOS], "term string")
+    return entities.corrected(terms, _part_keys(spark, d)).select("term", "key", F.col("d").cast("long").alias("d"))
+
+
+def fn4_query_entities(spark, d):
+    found = entities.query_entities("Show the blakc almond and Burlywod", _part_keys(spark, d), lambda ts: [["Burlywod"] if "Burlywod" in t else [] for t in ts])
+    return spark.createDataFrame(list(enumerate(found)), "pos int, entity string")
+
+
+def win6_ngrams(spark, d):
+    b = A.table(spark, d, "benchmark")
+    return b.select("item_id", F.posexplode(T.ngrams(T.words(F.substring("text", 1, 60)))).alias("pos", "gram")).withColumn("pos", F.col("pos").cast("long"))
+
+
+def _query(spark, d):
+    shots = A.shots(spark, d).persist()  # every signal reads it
+    return shots, _item_tokens(spark, d), _term(shots), _vector(spark, d, VISUAL_ROW), _vector(spark, d, TEXT_ROW)
+
+
+def _flat(ranked):
+    parts = [_r("score")] + [F.round(F.col(f"w_{c}"), 6).alias(f"w_{c}") for c in fusion.COMPONENTS]
+    return ranked.select("row", "content_id", "shot_id", "scene_id", *parts, F.round("visual_raw", 6).alias("raw_visual"), F.round("dialogue_raw", 6).alias("raw_dialogue"), F.round("caption_raw", 6).alias("raw_caption"))
+
+
+def fused_search(spark, d):
+    """The flagship: eight shots for one query, with contributions and raw cosines."""
+    shots, tokens, terms, qv, qt = _query(spark, d)
+    return _flat(fusion.rank(shots, tokens, terms, qv, qt, SIZE))
+
+
+def fused_search_candidates(spark, d):
+    shots, tokens, terms, qv, qt = _query(spark, d)
+    return _flat(fusion.rank(shots, tokens, terms, qv, qt, SIZE, Settings(candidates=60), exhaustive=False, top_k=5))
+
+
+def set1_candidates(spark, d):
+    shots, tokens, terms, qv, qt = _query(spark, d)
+    return fusion.candidates(fusion.scored_shots(shots, tokens, terms, qv, qt, SIZE), qv, qt, 20)
+
+
+def srt3_top_scored(spark, d):
+    scored = A.table(spark, d, "documents").select(F.col("doc_id").alias("row"), (F.col("n_chars") % 7).cast("double").alias("s"), (F.col("n_chars") % 1000 / 1000.0).alias("t"))
+    return fusion.top_scored(scored, "s", 50, "t").select("row", "s")
+
+
+def win1_scene_dedupe(spark, d):
+    q = _vector(spark, d, VISUAL_ROW)
+    scored = A.plain_shots(spark, d).select("row", "content_id", "scene_id", V.dot(F.col("v"), q).alias("score"))
+    return fusion.best_per_scene(scored).select("row", "content_id", "scene_id", _r("score"))
+
+
+def batch_search(spark, d):
+    """The lexical signal of many queries at once: the best three rows of each."""
+    scored = lexical.normalised(_bm25(spark, d))
+    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("bm25", 9)), "row")
+    return scored.withColumn("place", F.row_number().over(order)).filter("place <= 3").select("query_id", "place", "row", _r("bm25"))
+
+
+def j1_transcript_window(spark, d):
+    return intervals.text_in_window(A.grid(spark, d), A.segments(spark, d), "conv_id", ("shot_id",))
+
+
+def j1_dialogue_window(spark, d):
+    return intervals.text_in_window(A.grid(spark, d, 3.0), A.segments(spark, d), "conv_id", ("shot_id",))
+
+
+def j2_entity_window(spark, d):
+    met = intervals.overlap(A.grid(spark, d, 3.0), A.segments(spark, d).select("conv_id", "seg_id", "start", "end"), "conv_id", closed=True)
+    return met.groupBy("conv_id", "shot_id").agg(F.count("*").alias("n"), F.min("seg_id").alias("first"), F.max("seg_id").alias("last"))
+
+
+def win2_span_merge(spark, d):
+    li = A.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"), (F.col("l_linenumber") * 10.0).alias("start"), (F.col("l_linenumber") * 10.0 + F.col("l_quantity") / 3.0).cast("double").alias("end"), F.col("l_discount").cast("double").alias("score"))
+    return intervals.merge_spans(li, "k").select("k", _r("start"), _r("end"), _r("score"))
+
+
+def win10_split_spans(spark, d):
+    o = A.table(spark, d, "orders").select("o_orderkey", F.lit(2.0).alias("start"), (2.0 + F.col("o_totalprice") / 5000.0).cast("double").alias("end"))
+    return intervals.split_spans(o).select("o_orderkey", "part", F.round("t0", 4).alias("t0"), F.round("t1", 4).alias("t1"))
+
+
+def j4_propagate(spark, d):
+    return captions.propagate(A.vectors(spark, d), A.representatives(spark, d)).select("row", "rep", _r("confidence"))
+
+
+def agg12_medoid(spark, d):
+    labelled = A.table(spark, d, "embeddings").select(F.col("vec_id").alias("row"), F.col("embedding").alias("v"), "label")
+    return captions.medoids(labelled, SIZE)
+
+
+def agg11_kmeans(spark, d):
+    """Representatives of 16 clusters; clusters depend on the library's random starts, so there is no SQL."""
+    return captions.pick_representatives(A.vectors(spark, d), 16, SIZE)
+
+
+def j10_sync_diff(spark, d):
+    return sync.diff(A.snapshot(spark, d), A.registry(spark, d))
+
+
+def j11_apply_sync(spark, d):
+    snap, reg = A.snapshot(spark, d), A.registry(spark, d)
+    return sync.apply(snap, sync.diff(snap, reg), reg)
+
+
+def flt13_prune(spark, d):
+    return sync.pruned(A.registry(spark, d)).select("footage_key", "state")
+
+
+def set3_removed(spark, d):
+    return sync.diff(A.snapshot(spark, d), A.registry(spark, d)).filter("bucket = 'removed'").select("footage_key")
+
+
+def j9_owner(spark, d):
+    return sync.owners(A.registry(spark, d))
+
+
+def prj3_owned_results(spark, d):
+    hits = A.plain_shots(spark, d).select("row", F.concat(F.lit("c"), F.lpad((F.col("row") % 60).cast("string"), 15, "0")).alias("content_id"))
+    return sync.owned(hits, A.registry(spark, d))
+
+
+def win5_debounce(spark, d):
+    return sync.debounced(A.observations(spark, d)).select("event_id", "footage", "size", "confirmed")
+
+
+def agg13_quota(spark, d):
+    reg = A.registry(spark, d)
+    buckets = sync.diff(A.snapshot(spark, d), reg)
+    work = buckets.join(reg.select("footage_key", "state", "duration_s", "item_id"), "footage_key", "left")
+    work = work.withColumn("tenant", F.coalesce(F.col("item_id"), F.lit(0)) % 97)
+    plans = A.table(spark, d, "customer").filter("c_custkey < 97").select(F.col("c_custkey").alias("tenant"), F.element_at(F.create_map(F.lit("BUILDING"), F.lit("pro"), F.lit("MACHINERY"), F.lit("free"), F.lit("FURNITURE"), F.lit("studio")), F.col("c_mktsegment")).alias("plan"))
+    return sync.allowed_work(work, plans).select("tenant", "n_active", _r("minutes"), "allowed")
+
+
+def j16_stranded(spark, d):
+    busy = A.jobs(spark, d).filter("state = 'running'").select(T.footage_key(F.concat(F.lit("/footage/Customer#"), F.lpad(F.col("content_id").cast("string"), 9, "0"))).alias("footage_key"))
+    return sync.stranded(A.registry(spark, d).select("footage_key", "state"), busy)
+
+
+def win3_latest_job(spark, d):
+    return jobs.latest(A.jobs(spark, d))
+
+
+def win3_live_job(spark, d):
+    return jobs.latest(A.jobs(spark, d), live=True)
+
+
+def st4_upload(spark, d):
+    return jobs.received(A.chunks(spark, d))
+
+
+def st9_recover(spark, d):
+    stages = F.array(*(F.struct(F.lit(n).alias("name"), F.when(F.col("created_at") % 4 > i, "done").when(F.col("created_at") % 4 == i, "running").otherwise("pending").alias("state"), (F.col("created_at") + i).cast("long").alias("done"), F.lit(100).cast("long").alias("total")) for i, n in enumerate(("shots", "visual", "ocr"))))
+    out = jobs.recover(A.jobs(spark, d).withColumn("stages", stages))
+    return out.select("job_id", "state", F.array_join(F.transform("stages", lambda s: F.concat_ws(":", s["name"], s["state"], s["done"].cast("string"))), ",").alias("stages"))
+
+
+def st10_library_state(spark, d):
+    job = jobs.latest(A.jobs(spark, d)).select("content_id", "state")
+    live = jobs.latest(A.jobs(spark, d), live=True).select("content_id", F.lit(True).alias("live"))
+    up = jobs.received(A.chunks(spark, d)).select("content_id", "received", "complete")
+    k = F.col("content_id")
+    rows = A.table(spark, d, "customer").select((F.col("c_custkey") - 1).cast("long").alias("content_id"))
+    joined = rows.join(job, "content_id", "left").join(live, "content_id", "left").join(up, "content_id", "left")
+    index = F.when(k % 6 == 0, "ready").when(k % 6 == 1, "stale")
+    state = jobs.library_state(F.col("live") & (k % 2 == 0), index, F.col("state") == "error", F.col("complete"), F.col("received"))
+    return joined.select("content_id", state.alias("library_state"))
+
+
+def srt7_step_order(spark, d):
+    li = A.table(spark, d, "lineitem")
+    name = F.element_at(F.array(*map(F.lit, ("shots", "visual", "transcribe", "ocr", "captions", "text", "extra"))), F.col("l_linenumber"))
+    state = F.element_at(F.array(*map(F.lit, ("pending", "running", "done", "error"))), (F.col("l_partkey") % 4 + 1).cast("int"))
+    declared = F.when(F.col("l_linenumber") < 7, F.col("l_linenumber").cast("int"))
+    stages = li.select(F.col("l_orderkey").alias("job_id"), name.alias("name"), state.alias("state"), F.col("l_linenumber").cast("int").alias("pos"), declared.alias("declared"))
+    return jobs.step_order(stages).select("job_id", "name", "state", F.col("place").cast("long").alias("place"))
+
+
+def st11_screen(spark, d):
+    k = F.col("o_orderkey")
+    s = jobs.screen(k % 2 == 0, k % 3 == 0, k % 5 == 0, k % 7 == 0, k % 4)
+    return A.table(spark, d, "orders").select("o_orderkey", s.alias("screen"))
+
+
+def flt2_valid_ids(spark, d):
+    p = A.plain_shots(spark, d).select("row", F.when(F.col("row") % 3 == 0, F.col("content_id")).when(F.col("row") % 3 == 1, F.upper("content_id")).otherwise(F.concat("content_id", F.lit("\n"))).alias("cid"))
+    return p.filter(T.valid_content_id(F.col("cid"))).select("row")
+
+
+def flt4_hallucination(spark, d):
+    li = A.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_discount") * 10).cast("double").alias("no_speech"), (-F.col("l_tax") * 20).cast("double").alias("logprob"), F.when(F.col("l_linenumber") == 2, "  ").otherwise("said").alias("text"))
+    kept = ~((F.col("no_speech") > 0.6) & (F.col("logprob") < -1.0)) & (T.strip(F.col("text")) != "")
+    return li.filter(kept).select("l_orderkey", "l_linenumber")
+
+
+def flt7_emotions(spark, d):
+    o = A.table(spark, d, "orders").select("o_orderkey", F.array(*(F.struct(((F.col("o_orderkey") * m) % 100 / 100.0).alias("score"), F.lit(n).alias("label")) for m, n in ((7, "joy"), (13, "fear"), (29, "anger"), (31, "surprise")))).alias("found"))
+    top = F.slice(F.sort_array("found", asc=False), 1, 3)
+    return o.select("o_orderkey", F.array_join(F.transform(F.filter(top, lambda x: x["score"] > Settings().emotion_min_score), lambda x: x["label"]), ",").alias("emotions"))
+
+
+def flt12_ner_input(spark, d):
+    return A.table(spark, d, "documents").select("doc_id", F.length(T.ner_input(F.col("text"))).cast("long").alias("n"))
+
+
+def j17_ocr_codes(spark, d):
+    codes = F.create_map(*(F.lit(x) for kv in (("fr", "fr"), ("es", "es"), ("zh", "ch_sim")) for x in kv))
+    lang = F.col("lang")
+    return A.table(spark, d, "documents").select("doc_id", F.concat_ws("+", F.element_at(codes, lang), F.lit("en")).alias("ocr"))
+
+
+def win4_first_owner(spark, d):
+    order = Window.partitionBy("content_id").orderBy("footage_key")
+    return A.registry(spark, d).filter("state = 'ready'").withColumn("n", F.row_number().over(order)).filter("n = 1").select("content_id", "footage_key")
+
+
+def win8_sentences(spark, d):
+    text = F.concat("text", F.lit(" "), F.upper("text"))
+    return A.table(spark, d, "benchmark").select("item_id", T.clean_caption(text, 2).alias("kept"))
+
+
+def win9_ordinal(spark, d):
+    order = Window.orderBy("content_id", "shot_id")
+    s = A.plain_shots(spark, d).select("row", "content_id", "shot_id")
+    return s.withColumn("ordinal", (F.row_number().over(order) - 1).cast("long"))
+
+
+def snk9_layers(spark, d):
+    o = A.table(spark, d, "orders").select("o_orderkey", (F.col("o_orderkey") % 100).cast("double").alias("start_s"), ((F.col("o_orderkey") % 100) + (F.col("o_custkey") % 9) - 1).cast("double").alias("end_s"), F.lit(60.0).alias("t"))
+    return o.filter("end_s > start_s").select("o_orderkey", (F.col("t") - F.col("start_s")).alias("layer_start"), F.col("t").alias("layer_in"), (F.col("t") + F.col("end_s") - F.col("start_s")).alias("layer_out"))
+
+
+def src7_ready_contents(spark, d):
+    s = A.plain_shots(spark, d)
+    contents = s.groupBy("content_id").agg(F.count("*").alias("n_shots")).withColumn("signature", F.when(F.substring("content_id", 16, 1) == "1", "older").otherwise(Settings().signature()))
+    return contents.filter(F.col("signature") == Settings().signature()).orderBy("content_id").select("content_id", "n_shots")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        fused_search, fused_search_candidates, batch_search, set1_candidates, srt3_top_scored, win1_scene_dedupe,
+        fn1_tokenize, fn2_bm25_doc, fn4_query_entities, fn5_clean_caption, fn6_l2norm, fn8_zscore, fn8_zscore_masked, fn11_content_id,
+        fn12_footage_key, fn14_safe_extension, fn16_timecode, fn18_step_number, fn19_names, win6_ngrams, win7_bigrams, win8_sentences,
+        agg2_moments, agg4_bm25_stats, agg5_vector_sum, agg6_centroid, agg7_bm25_norm, agg8_vocab, agg9_merged_vocab, agg11_kmeans,
+        agg12_medoid, agg13_quota, agg16_summaries, j1_transcript_window, j1_dialogue_window, j2_entity_window, j4_propagate, j6_bm25,
+        j7_entity_score, j8_fuzzy, j9_owner, j10_sync_diff, j11_apply_sync, j12_knn, j12_knn_masked, j16_stranded, j17_ocr_codes,
+        prj3_owned_results, set3_removed, flt2_valid_ids, flt4_hallucination, flt7_emotions, flt12_ner_input, flt13_prune,
+        win2_span_merge, win3_latest_job, win3_live_job, win4_first_owner, win5_debounce, win9_ordinal, win10_split_spans,
+        st4_upload, st9_recover, st10_library_state, st11_screen, srt7_step_order, snk9_layers, src7_ready_contents,
+    )
+}
