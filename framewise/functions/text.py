@@ -133,7 +133,7 @@ def clock(seconds: Column) -> Column:
 
 def step_number(name: Column, done: Column, total: Column) -> Column:
     """A stage's progress: empty without a total, else clocks, megabytes or a percentage."""
-    mb = lambda x: F.format_number(x / F.lit(1048576.0), "0.0")
+    mb = lambda x: F.format_string("%.1f", x / F.lit(1048576.0))
     safe = F.when(total == 0, None).otherwise(total)
     return (
         F.when(F.coalesce(total, F.lit(0)) == 0, "")

@@ -74,9 +74,9 @@ x AS (
 ),
 w AS (
   SELECT *, 0.35 * greatest(0, least(3, (vis - avg(vis) OVER ()) / stddev_pop(vis) OVER ())) / 3 AS w_visual,
-    coalesce(0.25 * greatest(0, least(3, (dia - avg(dia) OVER ()) / stddev_pop(dia) OVER ())) / 3, 0) AS w_dialogue,
+    CASE WHEN dia IS NULL THEN 0 ELSE 0.25 * greatest(0, least(3, (dia - avg(dia) OVER ()) / stddev_pop(dia) OVER ())) / 3 END AS w_dialogue,
     conf * 0.15 * greatest(0, least(3, (cap - avg(cap) OVER ()) / stddev_pop(cap) OVER ())) / 3 AS w_caption,
-    0.15 * bm25 AS w_bm25, 0.1 * entity AS w_entity, coalesce(0.05 * greatest(0, least(3, (anc - avg(anc) OVER ()) / stddev_pop(anc) OVER ())) / 3, 0) AS w_anchor
+    0.15 * bm25 AS w_bm25, 0.1 * entity AS w_entity, CASE WHEN anc IS NULL THEN 0 ELSE 0.05 * greatest(0, least(3, (anc - avg(anc) OVER ()) / stddev_pop(anc) OVER ())) / 3 END AS w_anchor
   FROM x
 ),
 cand AS (
@@ -165,7 +165,7 @@ SELECT conv_id, shot_id, coalesce(trim(regexp_replace(said, '\\s+', ' ', 'g')),
 
 def _z(masked: bool) -> str:
     x = f"CASE WHEN d_mask THEN {_DOT.format('v', _QV)} END" if masked else _DOT.format("v", _QV)
-    return f"WITH {_PLAIN}, x AS (SELECT row, {x} AS x FROM p) SELECT row, round(coalesce(least(greatest((x - avg(x) OVER ()) / stddev_pop(x) OVER (), 0), 3) / 3, 0), 6) AS z FROM x"
+    return f"WITH {_PLAIN}, x AS (SELECT row, {x} AS x FROM p) SELECT row, round(CASE WHEN x IS NULL THEN 0 ELSE least(greatest((x - avg(x) OVER ()) / stddev_pop(x) OVER (), 0), 3) / 3 END, 6) AS z FROM x"
 
 
 _VOCAB = f"""WITH {_PLAIN},

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql import types as T
 
 #: Fixed vocabularies.
 JOB_STATES = ("queued", "running", "done", "error")
@@ -13,18 +13,26 @@ FOOTAGE_STATES = ("uploading", "indexing", "ready", "stale", "error")
 STAGE_STATES = ("pending", "running", "done", "error")
 STAGES = ("shots", "visual", "transcribe", "ocr", "captions", "text", "index")
 
-CONTENTS = StructType.fromDDL("content_id STRING, signature STRING, config STRING, fps DOUBLE, duration DOUBLE, language STRING, n_shots INT, built_at STRING")
-SHOTS = StructType.fromDDL(
-    "content_id STRING, shot_id INT, scene_id INT, start_time DOUBLE, end_time DOUBLE, transcript STRING, dialogue_en STRING, dialogue_src STRING, has_dialogue BOOLEAN, "
-    "entities ARRAY<STRING>, emotions ARRAY<STRING>, ocr_text STRING, caption STRING, caption_conf DOUBLE, v ARRAY<FLOAT>, d ARRAY<FLOAT>, d_mask BOOLEAN, c ARRAY<FLOAT>"
+_KINDS = {"string": T.StringType(), "int": T.IntegerType(), "long": T.LongType(), "double": T.DoubleType(), "boolean": T.BooleanType(), "strings": T.ArrayType(T.StringType()), "vector": T.ArrayType(T.FloatType())}
+
+
+def _struct(text: str) -> T.StructType:
+    """A schema from "name kind" pairs; needs no session."""
+    return T.StructType([T.StructField(name, _KINDS[kind]) for name, kind in (f.split() for f in text.split(","))])
+
+
+CONTENTS = _struct("content_id string, signature string, config string, fps double, duration double, language string, n_shots int, built_at string")
+SHOTS = _struct(
+    "content_id string, shot_id int, scene_id int, start_time double, end_time double, transcript string, dialogue_en string, dialogue_src string, has_dialogue boolean, "
+    "entities strings, emotions strings, ocr_text string, caption string, caption_conf double, v vector, d vector, d_mask boolean, c vector"
 )
-SEGMENTS = StructType.fromDDL("content_id STRING, lang STRING, seg_id INT, start DOUBLE, end DOUBLE, text STRING, words ARRAY<STRUCT<word: STRING, start: DOUBLE, end: DOUBLE>>")
-REGISTRY = StructType.fromDDL(
-    "footage_key STRING, path STRING, content_id STRING, size LONG, mtime_ns LONG, item_id LONG, frame_rate DOUBLE, format_version INT, state STRING, shot_count INT, duration_s DOUBLE, "
-    "pending_size LONG, pending_mtime_ns LONG, pending_hits INT"
+SEGMENTS = _struct("content_id string, lang string, seg_id int, start double, end double, text string").add("words", T.ArrayType(_struct("word string, start double, end double")))
+REGISTRY = _struct(
+    "footage_key string, path string, content_id string, size long, mtime_ns long, item_id long, frame_rate double, format_version int, state string, shot_count int, duration_s double, "
+    "pending_size long, pending_mtime_ns long, pending_hits int"
 )
-SNAPSHOT = StructType.fromDDL("path STRING, size LONG, mtime_ns LONG, item_id LONG, frame_rate DOUBLE")
-JOBS = StructType.fromDDL("job_id STRING, content_id STRING, state STRING, stages ARRAY<STRUCT<name: STRING, state: STRING, done: LONG, total: LONG>>, error STRING, created_at DOUBLE")
+SNAPSHOT = _struct("path string, size long, mtime_ns long, item_id long, frame_rate double")
+JOBS = _struct("job_id string, content_id string, state string").add("stages", T.ArrayType(_struct("name string, state string, done long, total long"))).add("error", "string").add("created_at", "double")
 
 
 def unnormalised(shots: DataFrame, column: str, tolerance: float = 1e-3) -> DataFrame:
