@@ -91,12 +91,16 @@ def fuzzy_limit(term: Column) -> Column:
     return F.when(F.length(term) >= FUZZY_MIN_LEN, F.when(F.length(term) <= FUZZY_SHORT_LEN, 1).otherwise(2))
 
 
+def _run_of(tokens: Column, n: int):
+    return lambda i: F.array_join(F.slice(tokens, i, n), " ")
+
+
 def ngrams(tokens: Column, most: int = NGRAM_MAX) -> Column:
     """Runs of `most` words down to one; single stop words and very short ones are left out."""
     parts = []
     for n in range(most, 0, -1):
         at = F.when(F.size(tokens) >= n, F.sequence(F.lit(1), F.size(tokens) - (n - 1))).otherwise(F.array().cast("array<int>"))
-        grams = F.transform(at, lambda i, n=n: F.array_join(F.slice(tokens, i, n), " "))
+        grams = F.transform(at, _run_of(tokens, n))
         if n == 1:
             grams = F.filter(grams, lambda g: ~g.isin(*STOPWORDS) & (F.length(g) >= UNIGRAM_MIN_LEN))
         parts.append(grams)

@@ -139,12 +139,10 @@ j AS (
 ),
 lj AS (SELECT * FROM j QUALIFY row_number() OVER (PARTITION BY content_id ORDER BY created_at DESC, job_id DESC) = 1),
 vj AS (SELECT * FROM j WHERE state IN ('running', 'queued') QUALIFY row_number() OVER (PARTITION BY content_id ORDER BY created_at DESC, job_id DESC) = 1),
-ch AS (
-  SELECT l_orderkey AS content_id, l_linenumber AS ln, CAST(l_quantity AS BIGINT) AS length, CAST(coalesce(sum(CAST(l_quantity AS BIGINT)) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start,
-    CAST(sum(CAST(l_quantity AS BIGINT)) OVER (PARTITION BY l_orderkey) AS BIGINT) AS size FROM lineitem
-),
+ch AS (SELECT l_orderkey AS content_id, l_linenumber AS ln, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS length FROM lineitem GROUP BY ALL),
 up AS (
-  SELECT content_id, CAST(coalesce(sum(length) FILTER (WHERE content_id % 3 <> 0 OR ln < 3), 0) AS BIGINT) AS received, any_value(size) AS size FROM ch GROUP BY content_id
+  SELECT content_id, CAST(coalesce(sum(length) FILTER (WHERE ln < cut), 0) AS BIGINT) AS received, CAST(sum(length) AS BIGINT) AS size
+  FROM (SELECT *, CASE WHEN content_id % 3 = 0 AND bool_or(ln = 3) OVER (PARTITION BY content_id) THEN 3 ELSE 1000 END AS cut FROM ch) GROUP BY content_id
 )"""
 
 _SEGMENTS = """
@@ -224,6 +222,9 @@ SELECT tenant, n_active, round(minutes, 6) AS minutes, NOT fresh OR (n_active <=
     "j2_entity_window": f"WITH {_SEGMENTS.replace('{pad}', '3.0')} SELECT win.conv_id, shot_id, count(*) AS n, min(seg_id) AS first, max(seg_id) AS last FROM win JOIN g ON g.conv_id = win.conv_id AND e >= t0 AND s <= t1 GROUP BY ALL",
     "j4_propagate": f"SELECT a.vec_id AS row, b.vec_id AS rep, round(least(greatest({_DOT.format('a.embedding', 'b.embedding')}, 0), 1), 6) AS confidence FROM embeddings a, embeddings b WHERE b.vec_id % 25 = 0 QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY {_DOT.format('a.embedding', 'b.embedding')} DESC, b.vec_id) = 1",
     "j7_entity_score": f"WITH {_PLAIN} SELECT row, round(entity / 2, 6) AS entity FROM ent",
+    # terms of at most six letters, so one edit: there the two distances agree
+    "j8_fuzzy": """WITH k AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS key FROM part), t(term) AS (VALUES ('anvli'), ('widgte'), ('glzmo'), ('boltt'), ('plaet'), ('smalll'), ('xxxxxx'), ('ring'), ('hott'), ('gera'))
+SELECT term, key, CAST(damerau_levenshtein(term, key) AS BIGINT) AS d FROM t, k WHERE damerau_levenshtein(term, key) <= 1 QUALIFY row_number() OVER (PARTITION BY term ORDER BY d, key) = 1""",
     "j9_owner": f"WITH {_REGISTRY} SELECT content_id, min(footage_key) AS footage_key, arg_min(path, footage_key) AS source_path FROM r WHERE state = 'ready' GROUP BY content_id",
     "j10_sync_diff": f"WITH {_REGISTRY} SELECT footage_key, bucket FROM b",
     "j11_apply_sync": f"""WITH {_REGISTRY}, m AS (SELECT coalesce(r.footage_key, b.footage_key) AS k, r.* EXCLUDE (footage_key), bucket, sn.path AS sp, sn.size AS ss, sn.mtime_ns AS sm, sn.item_id AS si, sn.frame_rate AS sf, r.path IS NOT NULL AS known, coalesce(bucket IN ('added', 'changed'), false) AS fresh
@@ -256,14 +257,14 @@ SELECT k, round(min(b), 6) AS start, round(max(e), 6) AS "end", round(max(score)
     "win5_debounce": "SELECT event_id, user_id AS footage, size, coalesce(lag(size) OVER (PARTITION BY user_id ORDER BY ts, event_id) = size, false) AS confirmed FROM (SELECT *, CAST(floor(value / 25) AS BIGINT) AS size FROM events)",
     "win9_ordinal": f"WITH {_PLAIN} SELECT row, content_id, shot_id, CAST(row_number() OVER (ORDER BY content_id, shot_id) - 1 AS BIGINT) AS ordinal FROM p",
     "win10_split_spans": """WITH o AS (SELECT o_orderkey, 2.0::DOUBLE AS s, 2.0 + CAST(o_totalprice AS DOUBLE) / 5000.0 AS e FROM orders), n AS (SELECT *, greatest(1, CAST(ceil((e - s) / 8.0 - 1e-6) AS INTEGER)) AS k FROM o), u AS (SELECT *, unnest(range(0, k)) AS part FROM n)
-SELECT o_orderkey, CAST(part AS INTEGER) AS part, round(s + part * ((e - s) / k), 4) AS t0, round(s + (part + 1) * ((e - s) / k), 4) AS t1 FROM u""",
+SELECT o_orderkey, CAST(part AS INTEGER) AS part, round(s + part * ((e - s) / k), 8) AS t0, round(s + (part + 1) * ((e - s) / k), 8) AS t1 FROM u""",
     "st4_upload": f"WITH {_JOBS} SELECT content_id, received, size, received = size AS complete FROM up",
     "st9_recover": f"""WITH {_JOBS}, s AS (SELECT job_id, state, CAST(created_at AS BIGINT) AS c, state = 'running' AS run FROM j)
 SELECT job_id, CASE WHEN run THEN 'queued' ELSE state END AS state, array_to_string(list_transform(range(0, 3), lambda i: ['shots', 'visual', 'ocr'][i + 1] || ':' || CASE WHEN c % 4 > i THEN 'done:' || (c + i) WHEN c % 4 = i THEN CASE WHEN run THEN 'pending:0' ELSE 'running:' || (c + i) END ELSE 'pending:' || (c + i) END), ',') AS stages FROM s""",
     "st10_library_state": f"""WITH {_JOBS} SELECT c.content_id, CASE WHEN vj.job_id IS NOT NULL AND c.content_id % 2 = 0 THEN 'indexing' WHEN c.content_id % 6 = 0 THEN 'ready' WHEN lj.state = 'error' THEN 'error' WHEN c.content_id % 6 = 1 THEN 'stale' WHEN received = size THEN 'uploaded' WHEN received > 0 THEN 'partial' ELSE 'missing' END AS library_state
 FROM (SELECT c_custkey - 1 AS content_id FROM customer) c LEFT JOIN lj ON lj.content_id = c.content_id LEFT JOIN vj ON vj.content_id = c.content_id LEFT JOIN up ON up.content_id = c.content_id""",
     "st11_screen": "SELECT o_orderkey, CASE WHEN o_orderkey % 2 <> 0 AND o_orderkey % 3 = 0 THEN 'job' WHEN o_orderkey % 5 = 0 THEN 'searching' WHEN o_orderkey % 7 = 0 AND o_orderkey % 4 = 0 THEN 'error' WHEN o_orderkey % 2 <> 0 THEN 'empty' WHEN o_orderkey % 4 = 0 THEN 'nomatch' ELSE 'results' END AS screen FROM orders",
-    "srt7_step_order": """WITH s AS (SELECT l_orderkey AS job_id, ['shots', 'visual', 'transcribe', 'ocr', 'captions', 'text', 'extra'][l_linenumber] AS name, ['pending', 'running', 'done', 'error'][l_partkey % 4 + 1] AS state, l_linenumber AS pos FROM lineitem),
+    "srt7_step_order": """WITH s AS (SELECT l_orderkey AS job_id, ['shots', 'visual', 'transcribe', 'ocr', 'captions', 'text', 'extra'][l_linenumber] AS name, ['pending', 'running', 'done', 'error'][min(l_partkey) % 4 + 1] AS state, l_linenumber AS pos FROM lineitem GROUP BY l_orderkey, l_linenumber),
 t AS (SELECT *, CASE WHEN pos < 7 AND state = 'running' THEN 0 WHEN pos < 7 AND state = 'done' THEN 1 ELSE 2 END AS kind FROM s WHERE state <> 'pending')
 SELECT job_id, name, state, row_number() OVER (PARTITION BY job_id ORDER BY kind, CASE WHEN kind = 0 THEN pos ELSE -pos END) AS place FROM t""",
     "snk9_layers": "SELECT o_orderkey, 60.0::DOUBLE - o_orderkey % 100 AS layer_start, 60.0::DOUBLE AS layer_in, 60.0::DOUBLE + o_custkey % 9 - 1 AS layer_out FROM orders WHERE o_custkey % 9 > 1",

@@ -13,7 +13,7 @@ from framewise.sources import adapters as A
 
 #: Rows whose vectors are the visual and the text query, the item whose text is asked, and the vectors' size.
 VISUAL_ROW, TEXT_ROW, ITEM, SIZE = 7, 11, 0, 64
-TYPOS = ("almnd", "antiqeu", "aqaumarine", "blakc", "burlywod", "chocolaet", "cornflwoer", "zz", "qqqqqqqq")
+TYPOS = ("anvli", "widgte", "glzmo", "boltt", "plaet", "smalll", "zz", "xxxxxx", "ring", "hott", "gera")
 
 
 def _vector(spark: SparkSession, sf_dir: str, row: int):
@@ -81,7 +81,7 @@ def fn12_footage_key(spark, d):
 
 
 def fn14_safe_extension(spark, d):
-    name = F.concat("p_name", F.lit("."), F.when(F.col("p_partkey") % 3 == 0, F.col("p_mfgr")).when(F.col("p_partkey") % 3 == 1, "MP4").otherwise(""))
+    name = F.concat("p_name", F.lit("."), F.when(F.col("p_partkey") % 3 == 0, F.col("p_brand")).when(F.col("p_partkey") % 3 == 1, "MP4").otherwise(""))
     return A.table(spark, d, "part").select("p_partkey", T.safe_extension(name).alias("ext"))
 
 
@@ -189,7 +189,7 @@ def j8_fuzzy(spark, d):
 
 
 def fn4_query_entities(spark, d):
-    found = entities.query_entities("Show the blakc almond and Burlywod", _part_keys(spark, d), lambda ts: [["Burlywod"] if "Burlywod" in t else [] for t in ts])
+    found = entities.query_entities("Show the widgte anvli and Gizmo", _part_keys(spark, d), lambda ts: [["Gizmo"] if "Gizmo" in t else [] for t in ts])
     return spark.createDataFrame(list(enumerate(found)), "pos int, entity string")
 
 
@@ -262,7 +262,7 @@ def win2_span_merge(spark, d):
 
 def win10_split_spans(spark, d):
     o = A.table(spark, d, "orders").select("o_orderkey", F.lit(2.0).alias("start"), (2.0 + F.col("o_totalprice") / 5000.0).cast("double").alias("end"))
-    return intervals.split_spans(o).select("o_orderkey", "part", F.round("t0", 4).alias("t0"), F.round("t1", 4).alias("t1"))
+    return intervals.split_spans(o).select("o_orderkey", "part", F.round("t0", 8).alias("t0"), F.round("t1", 8).alias("t1"))
 
 
 def j4_propagate(spark, d):
@@ -354,7 +354,7 @@ def st10_library_state(spark, d):
 
 
 def srt7_step_order(spark, d):
-    li = A.table(spark, d, "lineitem")
+    li = A.table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("l_partkey"))
     name = F.element_at(F.array(*map(F.lit, ("shots", "visual", "transcribe", "ocr", "captions", "text", "extra"))), F.col("l_linenumber"))
     state = F.element_at(F.array(*map(F.lit, ("pending", "running", "done", "error"))), (F.col("l_partkey") % 4 + 1).cast("int"))
     declared = F.when(F.col("l_linenumber") < 7, F.col("l_linenumber").cast("int"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from framewise.functions import text as T
@@ -131,13 +131,11 @@ def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A chunk per order line: each order is an upload whose chunks start where the running sum of quantities ends,
+    """A chunk per order and line: each order is an upload whose chunks start where the running sum of quantities ends,
     but for some that are shifted."""
-    li = table(spark, sf_dir, "lineitem")
-    from pyspark.sql import Window
-
+    li = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.sum(F.col("l_quantity").cast("long")).alias("length"))
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber")
-    length = F.col("l_quantity").cast("long")
+    length = F.col("length")
     start = F.coalesce(F.sum(length).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     base = li.select(F.col("l_orderkey").alias("content_id"), "l_linenumber", length.alias("length"), start.alias("_start"), F.sum(length).over(Window.partitionBy("l_orderkey")).alias("size"))
     shifted = (F.col("content_id") % 3 == 0) & (F.col("l_linenumber") == 3)
