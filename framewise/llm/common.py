@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -38,7 +39,23 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete materialized tables that nothing reads any more, and let Spark drop the shuffle files of done steps.
+
+    Only for frames whose every reader has itself been materialized; a lost executor then recomputes nothing here.
+    """
+    spark = frames[0].sparkSession
+    jvm = spark.sparkContext._jvm
+    for frame in frames:
+        path = jvm.org.apache.hadoop.fs.Path(frame._scratch)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    jvm.System.gc()
 
 
 def small(df: DataFrame, rows: int, limit: int) -> DataFrame:

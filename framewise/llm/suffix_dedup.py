@@ -7,8 +7,9 @@
    such string is cut. The dictionary is the set of phrases, each with its first document; the parse is the
    list of phrases of each document. A phrase whose first document is earlier is removed as a whole.
 4. Only where one trigger has several phrases can their insides share strings. There the suffixes of the
-   dictionary's phrases are brought together by their first LENGTH bytes (through a 128-bit digest), and a
-   string is removed where an earlier document has its suffix.
+   dictionary's phrases are brought together by their first LENGTH bytes, and a string is removed where an
+   earlier document has its suffix: first by a rolling hash, which leaves the suffixes that may recur, then
+   those by a 128-bit digest.
 
 Defined results: a null or empty text has no bytes; a text shorter than LENGTH keeps all; rows that share a
 doc_id are judged each on its own text and never remove from each other; a row with a null doc_id keeps all
@@ -17,34 +18,38 @@ and removes nothing elsewhere; an empty table gives no rows; other columns are i
 
 from __future__ import annotations
 
-import gc
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import binary_column, materialize, slices, small, table
+from .common import binary_column, discard, materialize, slices, small, table
 
 #: Bytes of a string that is removed where it repeats, and of the rolling hash's window.
-LENGTH, TRIGGER = 50, 16
-#: Shared triggers up to this count (8 bytes each) are sent to the scans; beyond, they are joined by document.
-BROADCAST_TRIGGERS = 4_000_000
-#: Per-document lists up to so many bytes in all are broadcast; beyond, text and lists meet in a shuffle.
-BROADCAST_BYTES = 48 << 20
+LENGTH, TRIGGER = 50, 24
+#: Shared hashes up to this count (8 bytes each) are sent to the scans; beyond, they are joined by document.
+BROADCAST_HASHES = 6_000_000
+#: Whole copies up to this count (16 bytes each) are broadcast to be left out; beyond, they are left out by a shuffle.
+BROADCAST_COPIES = 1_000_000
 _POSITIONS = np.uint64(20)  # low bits of a packed minimum: the position within a piece of the text
 
 
-def rolling(text: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the TRIGGER bytes from each position on."""
-    h = text.astype(np.uint64) + np.uint64(1)
-    width, factor = 1, 0x9E3779B97F4A7C15
-    while width < TRIGGER:
-        h = h[:-width] * np.uint64(factor) + h[width:]
+def rolling(text: np.ndarray, size: int) -> np.ndarray:
+    """A 64-bit hash of the `size` bytes from each position on."""
+    n = len(text) - size + 1
+    part, width, factor = text.astype(np.uint64) + np.uint64(1), 1, 0x9E3779B97F4A7C15
+    h, done = np.zeros(n, np.uint64), 0
+    while True:  # double the width; where size has its bit, append that many bytes
+        if size & width:
+            h = h * np.uint64(factor) + part[done : done + n]
+            done += width
+        if done == size:
+            break
+        part = part[:-width] * np.uint64(factor) + part[width:]
         factor = factor * factor % (1 << 64)
         width *= 2
     h ^= h >> np.uint64(31)
@@ -56,7 +61,7 @@ def phrases(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First and last start of the strings that each trigger rules, and the trigger's hash, over the whole text."""
     if len(text) < LENGTH:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    h, n = rolling(np.frombuffer(text, np.uint8)), len(text) - LENGTH + 1
+    h, n = rolling(np.frombuffer(text, np.uint8), TRIGGER), len(text) - LENGTH + 1
     span, piece = LENGTH - TRIGGER + 1, (1 << int(_POSITIONS)) - LENGTH
     owners = []
     for at in range(0, n, piece):
@@ -82,19 +87,8 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def attach(docs: DataFrame, lists: DataFrame, how: str) -> DataFrame:
-    """Join per-document lists (materialized) to texts: broadcast if they are small, else by a shuffle."""
-    sized = [f.name for f in lists.schema if isinstance(f.dataType, T.ArrayType)]
-    row = F.lit(24)
-    for name in sized:
-        row = row + 16 * F.size(name)
-    total = lists.agg(F.sum(row)).first()[0] or 0
-    return docs.join(small(lists, total, BROADCAST_BYTES), ["doc_id", "rid"], how)
-
-
-def release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of finished, unreferenced steps now rather than at some later collection."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Join per-document lists to texts; they grow with the corpus, so no side is broadcast at any size."""
+    return docs.join(lists, ["doc_id", "rid"], how)
 
 
 def whole_copies(docs: DataFrame) -> DataFrame:
@@ -104,18 +98,63 @@ def whole_copies(docs: DataFrame) -> DataFrame:
     return materialize(long.join(heads, "digest").filter("doc_id > head").select("doc_id", "rid").distinct(), "copies")
 
 
-def shared_triggers(docs: DataFrame) -> DataFrame:
-    """Hashes of the triggers that occur in several documents."""
+def _triggers(batch: pa.RecordBatch) -> list[np.ndarray]:
+    return [np.unique(phrases(t)[2]) for t in binary_column(batch, "text")]
+
+
+def _open_suffixes(batch: pa.RecordBatch) -> list[np.ndarray]:
+    """The rolling hashes of the LENGTH-byte strings in each text's open runs."""
+    out = []
+    for text, runs in zip(binary_column(batch, "text"), batch.column(batch.schema.get_field_index("runs")).to_pylist(), strict=True):
+        h = rolling(np.frombuffer(text, np.uint8), LENGTH)
+        out.append(np.unique(np.concatenate([h[r["first"] : r["last"] + 1] for r in runs])))
+    return out
+
+
+def with_shared(docs: DataFrame, hashes: Callable[[pa.RecordBatch], list[np.ndarray]], label: str, use: Callable[[pa.RecordBatch, list[np.ndarray] | np.ndarray], pa.RecordBatch], schema: str) -> DataFrame:
+    """What use(batch, shared) makes of each batch, where shared are those hashes that several doc_ids have.
+
+    shared is one sorted array for all documents if they are few enough to send, else a list of one for each.
+    """
+    spark = docs.sparkSession
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1_000):
-            found = [np.unique(phrases(t)[2]).view(np.int64) for t in binary_column(batch, "text")]
+            found = [x.view(np.int64) for x in hashes(batch)]
             offsets = np.concatenate(([0], np.cumsum([len(x) for x in found]))).astype(np.int32)
             flat = pa.array(np.concatenate(found) if found else np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), flat)], names=["doc_id", "triggers"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(offsets), flat)], names=["doc_id", "rid", "hashes"])
 
-    rows = docs.select("doc_id", "text").mapInArrow(scan, "doc_id long, triggers array<long>").select("doc_id", F.explode("triggers").alias("trigger"))
-    return rows.groupBy("trigger").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("trigger")
+    listed = docs.mapInArrow(scan, "doc_id long, rid long, hashes array<long>").select("doc_id", "rid", F.explode("hashes").alias("hash"))
+    counted = listed.groupBy("hash").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("hash")
+    shared = materialize(counted, label)
+    if shared.count() <= BROADCAST_HASHES:
+        sent = spark.sparkContext.broadcast(np.sort(shared.toArrow().column(0).to_numpy().view(np.uint64)))
+
+        def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in slices(batches, 500):
+                yield use(batch, sent.value)
+
+        out = materialize(docs.mapInArrow(apply, schema), f"{label}-used")
+        discard(shared)
+        return out
+    lists = materialize(listed.join(shared, "hash").groupBy("doc_id", "rid").agg(F.collect_set("hash").alias("hashes")), f"{label}-lists")
+
+    def apply_listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 500):
+            own = batch.column(batch.schema.get_field_index("hashes")).to_pylist()
+            yield use(batch, [np.sort(np.array(x, np.int64).view(np.uint64)) for x in own])
+
+    out = materialize(attach(docs, lists, "inner").select(*docs.columns, "hashes").mapInArrow(apply_listed, schema), f"{label}-used")
+    discard(shared, lists)
+    return out
+
+
+def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Where values occur in the sorted array known."""
+    if not len(known) or not len(values):
+        return np.zeros(0, np.int64)
+    return np.flatnonzero(known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values)
 
 
 _PHRASES = "doc_id long, rid long, first int, last int, trigger long, phrase long"
@@ -127,10 +166,7 @@ def _phrase_batch(batch: pa.RecordBatch, shared: list[np.ndarray] | np.ndarray)
     ids, rids = batch.column(0).to_pylist(), batch.column(1).to_pylist()
     for k, text in enumerate(binary_column(batch, "text")):
         first, last, trigger = phrases(text)
-        known = shared[k] if isinstance(shared, list) else shared
-        at = np.searchsorted(known, trigger)
-        keep = np.flatnonzero(known[np.minimum(at, len(known) - 1)] == trigger) if len(known) and len(trigger) else ()
-        for i in keep:
+        for i in _among(trigger, shared[k] if isinstance(shared, list) else shared):
             s, e = int(first[i]), int(last[i])
             out.append((ids[k], rids[k], s, e, int(trigger[i].view(np.int64)), xxhash.xxh3_64_intdigest(text[s : e + LENGTH]) - (1 << 63)))
     columns = list(zip(*out, strict=True)) if out else [()] * 6
@@ -138,70 +174,44 @@ def _phrase_batch(batch: pa.RecordBatch, shared: list[np.ndarray] | np.ndarray)
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["doc_id", "rid", "first", "last", "trigger", "phrase"])
 
 
-def parse(docs: DataFrame) -> DataFrame:
-    """The parse: the phrases of each document whose triggers occur in other documents too."""
-    spark = docs.sparkSession
-    shared = materialize(shared_triggers(docs), "triggers")
-    release(spark)
-    if shared.count() <= BROADCAST_TRIGGERS:
-        sent = spark.sparkContext.broadcast(np.sort(shared.toArrow().column(0).to_numpy().view(np.uint64)))
-
-        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in slices(batches, 500):
-                yield _phrase_batch(batch, sent.value)
-
-        return materialize(docs.mapInArrow(scan, _PHRASES), "parse")
-
-    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 1_000):
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([np.unique(phrases(t)[2]).view(np.int64) for t in binary_column(batch, "text")], pa.list_(pa.int64()))], names=["doc_id", "rid", "triggers"])
-
-    rows = docs.mapInArrow(own, "doc_id long, rid long, triggers array<long>").select("doc_id", "rid", F.explode("triggers").alias("trigger"))
-    lists = materialize(rows.join(shared, "trigger").groupBy("doc_id", "rid").agg(F.collect_set("trigger").alias("triggers")), "trigger-lists")
+_SUFFIXES = "doc_id long, rid long, at int, s1 long, s2 long"
 
-    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 500):
-            column = batch.column(batch.schema.get_field_index("triggers"))
-            yield _phrase_batch(batch, [np.sort(np.array(x, np.int64).view(np.uint64)) for x in column.to_pylist()])
 
-    return materialize(attach(docs, lists, "inner").select("doc_id", "rid", "text", "triggers").mapInArrow(listed, _PHRASES), "parse")
+def _suffix_batch(batch: pa.RecordBatch, shared: list[np.ndarray] | np.ndarray) -> pa.RecordBatch:
+    """Place and digest of the strings in open runs whose rolling hashes are shared."""
+    ids, rids = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+    runs = batch.column(batch.schema.get_field_index("runs")).to_pylist()
+    doc, rid, places, digests = [], [], [], []
+    for k, text in enumerate(binary_column(batch, "text")):
+        starts = np.concatenate([np.arange(r["first"], r["last"] + 1) for r in runs[k]])
+        starts = starts[_among(rolling(np.frombuffer(text, np.uint8), LENGTH)[starts], shared[k] if isinstance(shared, list) else shared)].tolist()
+        doc += [ids[k]] * len(starts)
+        rid += [rids[k]] * len(starts)
+        places += starts
+        digests += [xxhash.xxh3_128_digest(text[i : i + LENGTH]) for i in starts]
+    halves = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+    return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(rid, pa.int64()), pa.array(places, pa.int32()), pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy())], names=["doc_id", "rid", "at", "s1", "s2"])
 
 
 def repeated_runs(docs: DataFrame) -> DataFrame:
     """doc_id, rid and runs (first and last start, of strings that an earlier document holds) of texts that have any."""
-    spark = docs.sparkSession
-    parsed = parse(docs)
+    parsed = with_shared(docs, _triggers, "triggers", _phrase_batch, _PHRASES)
     dictionary = materialize(parsed.groupBy("trigger", "phrase").agg(F.min("doc_id").alias("origin"), F.max("doc_id").alias("latest")), "dictionary")
     several = dictionary.groupBy("trigger").agg(F.count("*").alias("n")).filter("n > 1").select("trigger", F.lit(True).alias("several"))
     entries = dictionary.join(several, "trigger", "left").filter("origin < latest OR several").select("trigger", "phrase", "origin", F.coalesce("several", F.lit(False)).alias("several"))
     placed = parsed.join(entries, ["trigger", "phrase"]).filter("origin < doc_id OR several")
     state = placed.select("doc_id", "rid", "first", "last", (F.col("origin") == F.col("doc_id")).alias("open"))
     state = materialize(state, "phrase-states")
-    release(spark)
+    discard(parsed, dictionary)
     opened = state.filter("open").groupBy("doc_id", "rid").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
     opened = materialize(opened, "open-phrases")
-
-    def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 200):
-            ids, rids = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            runs = batch.column(batch.schema.get_field_index("runs")).to_pylist()
-            rows, digests = [], []
-            for k, text in enumerate(binary_column(batch, "text")):
-                for run in runs[k]:
-                    for at in range(run["first"], run["last"] + 1):
-                        rows.append((ids[k], rids[k], at))
-                        digests.append(xxhash.xxh3_128_digest(text[at : at + LENGTH]))
-            halves = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-            columns = list(zip(*rows, strict=True)) if rows else [()] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int32()), pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy())], names=["doc_id", "rid", "at", "s1", "s2"])
-
     texts = attach(docs, opened, "inner").select("doc_id", "rid", "text", "runs")
-    listed = materialize(texts.mapInArrow(suffixes, "doc_id long, rid long, at int, s1 long, s2 long"), "suffixes")
+    listed = with_shared(texts, _open_suffixes, "suffixes", _suffix_batch, _SUFFIXES)
     origins = listed.groupBy("s1", "s2").agg(F.min("doc_id").alias("origin"), F.max("doc_id").alias("latest")).filter("origin < latest")
     inner = listed.join(origins, ["s1", "s2"]).filter("origin < doc_id").select("doc_id", "rid", F.col("at").alias("first"), F.col("at").alias("last"))
     runs = state.filter("NOT open").select("doc_id", "rid", "first", "last").unionByName(inner)
     out = materialize(runs.groupBy("doc_id", "rid").agg(F.collect_list(F.struct("first", "last")).alias("runs")), "runs")
-    release(spark)
+    discard(state, opened, listed)
     return out
 
 
@@ -219,7 +229,7 @@ def _lists(docs: DataFrame) -> DataFrame:
     """runs, and whether a text is a whole copy, for the rows that have either."""
     keyed = _keyed(docs)
     copies = whole_copies(keyed)
-    rest = keyed.join(small(copies, copies.count(), BROADCAST_BYTES // 32), ["doc_id", "rid"], "left_anti")
+    rest = keyed.join(small(copies, copies.count(), BROADCAST_COPIES), ["doc_id", "rid"], "left_anti")
     runs = repeated_runs(rest)
     none = F.array().cast(runs.schema["runs"].dataType)
     return materialize(runs.select("doc_id", "rid", "runs", F.lit(False).alias("copy")).unionByName(copies.select("doc_id", "rid", none.alias("runs"), F.lit(True).alias("copy"))), "run-lists")
@@ -228,9 +238,8 @@ def _lists(docs: DataFrame) -> DataFrame:
 def marked(docs: DataFrame) -> DataFrame:
     """The documents' own columns with _runs and _copy, null where nothing is removed."""
     lists = _lists(docs.select("doc_id", "text")).withColumnsRenamed({"doc_id": "_doc_id", "rid": "_rid", "runs": "_runs", "copy": "_copy"})
-    total = lists.agg(F.sum(16 * F.size("_runs") + 24)).first()[0] or 0
     keys = (F.col("doc_id").cast("long") == F.col("_doc_id")) & (F.xxhash64(F.col("doc_id").cast("long"), "text") == F.col("_rid"))
-    return docs.join(small(lists, total, BROADCAST_BYTES), keys, "left").drop("_doc_id", "_rid")
+    return docs.join(lists, keys, "left").drop("_doc_id", "_rid")
 
 
 def kept_bytes(text: bytes | None, runs: list[dict] | None, copy: bool | None) -> tuple[bytes, int, int]:

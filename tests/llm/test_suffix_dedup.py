@@ -55,8 +55,8 @@ def test_against_brute_force(spark, seed):
 
 
 def test_shuffled_paths_give_the_same(spark, monkeypatch):
-    monkeypatch.setattr(sd, "BROADCAST_TRIGGERS", -1)
-    monkeypatch.setattr(sd, "BROADCAST_BYTES", -1)
+    monkeypatch.setattr(sd, "BROADCAST_HASHES", -1)
+    monkeypatch.setattr(sd, "BROADCAST_COPIES", -1)
     rows = corpus(3) + ODD
     assert run(spark, rows) == brute(rows)
     assert run(spark, []) == []
@@ -70,7 +70,7 @@ def test_phrases_cover_every_string_once(monkeypatch):
         starts = [p for s, e in zip(whole[0], whole[1], strict=True) for p in range(s, e + 1)]
         assert starts == list(range(n - sd.LENGTH + 1))
         monkeypatch.setattr(sd, "_POSITIONS", np.uint64(9))  # several pieces
-        h = sd.rolling(np.frombuffer(text, np.uint8))
+        h = sd.rolling(np.frombuffer(text, np.uint8), sd.TRIGGER)
         for s, e, t in zip(*sd.phrases(text), strict=True):
             assert all(t in h[p : p + sd.LENGTH - sd.TRIGGER + 1] for p in range(s, e + 1))
         monkeypatch.setattr(sd, "_POSITIONS", np.uint64(20))
