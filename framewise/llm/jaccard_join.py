@@ -1,16 +1,17 @@
 """N-gram Jaccard join of documents with themselves, by a token-group matrix.
 
 1. Every text becomes its set of hashed five-word shingles; texts with the same set are one class.
-2. Classes are put into groups of similar ones: a class joins the least class that shares min-hashes with it,
-   if their sets do link, and groups that touch are one.
-3. The matrix holds, for each group, the union of its members' prefix tokens. In a fixed order of tokens (rare
+2. Classes are partitioned into groups of similar ones. A class that links to the least class that shares its
+   min-hashes is in that one's component, and a component is a pure group: no link within it is looked for.
+   Other classes are grouped by the min-hashes alone. Large groups are dealt into blocks of bounded size.
+3. The matrix holds, for each block, the union of its members' prefix tokens. In a fixed order of tokens (rare
    before frequent, then by hash) the prefix of a set is so long that two sets that link share at least
    SHARED of their prefix tokens.
-4. A class is a query to every group but its own. The matrix bounds how much they can share; only groups that
-   reach SHARED are opened, and only members that reach it themselves are compared, exactly.
-5. Verified links and groups give the components.
+4. The matrix bounds what the members of two blocks can share; only pairs of blocks that reach SHARED are opened,
+   and all their sets compared at once, exactly. An opened pair yields at most one link for each set it joins.
+5. Links, and the components they make, give the result.
 
-A group of near copies is thus one row of the matrix, and no pairs within it are made. The order of tokens
+A group of near copies is thus a few rows of the matrix, and no pairs within it are made. The order of tokens
 comes from a count sketch of all texts; it steers the work alone, never the result.
 
 Defined results: a null, empty or blank text has an empty set and is alone; a text of fewer than five words is
@@ -36,10 +37,12 @@ from .components import components
 WORDS, PERCENT = 5, 75
 #: Prefix tokens that two linking sets share at least.
 SHARED = 3
-#: Min-hashes of a class that are tried for its group, and how many of them must agree.
+#: Min-hashes of a class, and how many of them two classes of a group have in common.
 KEYS, AGREE = 6, 2
-#: Cells of the count sketch (a bit each is broadcast), its chunks, and the least count of a frequent token.
-CELL_BITS, CHUNKS, FREQUENT = 22, 64, 48
+#: Cells of the count sketch (a byte each is broadcast), its chunks, and the least excess of a frequent token.
+CELL_BITS, CHUNKS, FREQUENT = 23, 64, 3
+#: Sets and tokens of a block at most; a set with more tokens is a block of its own.
+BLOCK_SETS, BLOCK_TOKENS = 256, 100_000
 #: Rows of ids or tokens (16 bytes) that are broadcast; beyond, the join is a shuffle.
 BROADCAST_ROWS = 1_000_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -74,8 +77,8 @@ def links(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def frequent_cells(docs: DataFrame, bits: int = CELL_BITS, least: int = FREQUENT) -> bytes:
-    """A bit for each cell of hashes: whether it counts more tokens of all documents than most cells do."""
+def frequency_levels(docs: DataFrame, bits: int = CELL_BITS, least: int = FREQUENT) -> bytes:
+    """A level for each cell of hashes: 0 up to the usual count, then a step for each quarter of a doubling."""
     cells, per = 1 << bits, (1 << bits) // CHUNKS
     shift = np.uint64(64 - bits)
 
@@ -103,33 +106,32 @@ def frequent_cells(docs: DataFrame, bits: int = CELL_BITS, least: int = FREQUENT
 
     schema = "chunk int, part int, counts binary"
     summed = docs.select("text").mapInArrow(count, schema).groupBy("chunk").applyInArrow(add, "chunk int, total long, counts binary").collect()
-    bound = 2 * sum(r.total for r in summed) // cells + least
-    out = np.zeros(cells, bool)
+    usual = sum(r.total for r in summed) / cells
+    out = np.zeros(cells, np.uint8)
     for r in summed:
-        out[r.chunk * per : (r.chunk + 1) * per] = np.frombuffer(zlib.decompress(r.counts), np.uint32) > bound
-    return np.packbits(out).tobytes()
+        excess = (np.frombuffer(zlib.decompress(r.counts), np.uint32) - usual) / least
+        out[r.chunk * per : (r.chunk + 1) * per] = np.floor(4 * np.log2(np.maximum(excess, 1)) + (excess > 1)).clip(0, 255)
+    return zlib.compress(out.tobytes(), 1)
 
 
 def signatures(docs: DataFrame) -> DataFrame:
     """doc_id, n, sig (a digest of the set), keys (min-hashes) and prefix (tokens) of every document."""
     spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(frequent_cells(docs))
+    sent = spark.sparkContext.broadcast(frequency_levels(docs))
     shift = np.uint64(64 - CELL_BITS)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent = np.unpackbits(np.frombuffer(sent.value, np.uint8)).astype(bool)
+        levels = np.frombuffer(zlib.decompress(sent.value), np.uint8)
         for batch in slices(batches, 1_000):
             sizes, sigs, keys, prefixes = [], [], [], []
             for text in binary_column(batch, "text"):
                 s = shingles(text)
                 n = len(s)
-                common = frequent[s >> shift]
-                rare = s[~common]
-                basis = rare if len(rare) else s
-                ordered = np.concatenate((rare, s[common]))
+                level = levels[s >> shift]
+                ordered = s[np.argsort(level, kind="stable")]
                 sizes.append(n)
                 sigs.append(xxhash.xxh3_128_digest(s.tobytes()) if n else None)
-                keys.append([int((basis * m).min().view(np.int64)) for m in _SALTS] if n else [])
+                keys.append([int((s * m).min().view(np.int64)) for m in _SALTS] if n else [])
                 prefixes.append(ordered[: min(n, n - needed(n) + SHARED)].view(np.int64))
             offsets = np.concatenate(([0], np.cumsum([len(p) for p in prefixes]))).astype(np.int32)
             flat = pa.array(np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64))
@@ -155,40 +157,124 @@ def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
         for batch in slices(batches, 500):
             ok = []
             for a, b in zip(binary_column(batch, "text_a"), binary_column(batch, "text_b"), strict=True):
-                if b is not last:
-                    if b != last:
-                        kept = shingles(b)
-                    last = b
+                if b != last:
+                    last, kept = b, shingles(b)
                 ok.append(links(shingles(a), kept))
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     return materialize(both.mapInArrow(compare, "a long, b long").distinct(), "verified")
 
 
-def group_links(sets: DataFrame, docs: DataFrame) -> DataFrame:
-    """Verified links of classes to the least class that shares AGREE of their min-hashes."""
-    keyed = sets.select("doc_id", "n", F.posexplode("keys").alias("k", "key"))
+def similar(sets: DataFrame) -> DataFrame:
+    """doc_id and head: for each class, the least class that shares most (AGREE at least) of its min-hashes."""
+    keyed = sets.select("doc_id", F.posexplode("keys").alias("k", "key"))
     heads = keyed.groupBy("k", "key").agg(F.min("doc_id").alias("head"), F.max("doc_id").alias("last")).filter("head < last")
     arcs = keyed.join(heads.select("k", "key", "head"), ["k", "key"]).filter("doc_id > head")
     agreed = arcs.groupBy("doc_id", "head").agg(F.count("*").alias("agree")).filter(F.col("agree") >= AGREE)
-    return verify(agreed.select(F.col("head").alias("a"), F.col("doc_id").alias("b")), docs)
-
-
-def matrix_links(sets: DataFrame, groups: DataFrame, docs: DataFrame) -> DataFrame:
-    """Verified links between classes of different groups."""
-    grouped = sets.join(groups.withColumnRenamed("id", "doc_id"), "doc_id", "left")
-    tokens = grouped.select("doc_id", "n", F.coalesce("component", "doc_id").alias("g"), F.explode("prefix").alias("token"))
-    # a token within one group alone tells nothing of another; a minimum and a maximum need no list of groups
-    bridging = materialize(tokens.groupBy("token").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).filter("lo < hi").select("token"), "bridging")
-    rows = materialize(tokens.join(small(bridging, bridging.count(), BROADCAST_ROWS), "token").select("doc_id", "n", "g", "token"), "tokens")
-    matrix = rows.select("token", F.col("g").alias("h")).distinct()
-    least = F.least(F.lit(SHARED), F.ceil(F.col("n") * PERCENT / 100))
-    queries = rows.join(matrix, "token").filter("h < g").groupBy("doc_id", "n", "h").agg(F.count("*").alias("bound")).filter(F.col("bound") >= least)
-    member = rows.select(F.col("doc_id").alias("member"), F.col("n").alias("size"), F.col("g").alias("h"), "token")
-    fits = (100 * F.least("n", "size") >= PERCENT * F.greatest("n", "size")) & (F.col("doc_id") != F.col("member"))
-    opened = queries.select("doc_id", "h").join(rows.select("doc_id", "n", "token"), "doc_id").join(member, ["token", "h"]).filter(fits)
-    pairs = opened.groupBy("doc_id", "member", "n").agg(F.count("*").alias("shared")).filter(F.col("shared") >= least)
-    return verify(pairs.select(F.col("doc_id").alias("a"), F.col("member").alias("b")), docs)
+    return materialize(agreed.groupBy("doc_id").agg(F.max(F.struct("agree", (-F.col("head")).alias("h"))).alias("x")).select("doc_id", (-F.col("x.h")).alias("head")), "similar")
+
+
+_BLOCK = ("pure", "g", "salt")
+
+
+def blocks(sets: DataFrame, pure: DataFrame, heads: DataFrame) -> DataFrame:
+    """The sets with their block: whether its group is a component, the group, and a share of it."""
+    named = sets.join(pure.withColumnRenamed("id", "doc_id"), "doc_id", "left").join(heads, "doc_id", "left")
+    grouped = named.select("doc_id", "n", "prefix", F.col("component").isNotNull().alias("pure"), F.coalesce("component", "head", "doc_id").alias("g"))
+    grouped = materialize(grouped, "grouped")
+    shares = F.ceil(F.greatest(F.count("*") / BLOCK_SETS, F.sum("n") / BLOCK_TOKENS))
+    large = materialize(grouped.groupBy("pure", "g").agg(shares.alias("shares")).filter("shares > 1"), "large-groups")
+    dealt = grouped.join(small(large, large.count(), BROADCAST_ROWS), ["pure", "g"], "left")
+    return dealt.select("doc_id", "n", "prefix", "pure", "g", F.pmod(F.xxhash64("doc_id"), F.coalesce("shares", F.lit(1))).alias("salt"))
+
+
+def block_pairs(dealt: DataFrame) -> DataFrame:
+    """The pairs of blocks (structs a and b) whose unions share enough; a block with itself unless it is pure."""
+    block = F.struct(*_BLOCK)
+    tokens = dealt.select("n", *_BLOCK, F.explode("prefix").alias("token"))
+    # a token of one block alone, or of one component, tells nothing; a minimum and a maximum need no list of blocks
+    ends = tokens.groupBy("token").agg(F.min(block).alias("lo"), F.max(block).alias("hi"))
+    bridging = materialize(ends.filter("lo <> hi AND NOT (lo.pure AND hi.pure AND lo.g = hi.g)").select("token"), "bridging")
+    rows = tokens.join(small(bridging, bridging.count(), BROADCAST_ROWS), "token")
+    matrix = materialize(rows.groupBy("token", *_BLOCK).agg(F.min("n").alias("lo"), F.max("n").alias("hi")), "matrix")
+    side = lambda c: matrix.select("token", F.struct(*_BLOCK).alias(c), F.col("lo").alias(f"lo_{c}"), F.col("hi").alias(f"hi_{c}"))
+    meet = side("a").join(side("b"), "token").filter(
+        (F.col("a") < F.col("b"))
+        & ~(F.col("a.pure") & F.col("b.pure") & (F.col("a.g") == F.col("b.g")))
+        & (100 * F.col("hi_a") >= PERCENT * F.col("lo_b"))
+        & (100 * F.col("hi_b") >= PERCENT * F.col("lo_a"))
+    )
+    bound = meet.groupBy("a", "b").agg(F.count("*").alias("shared"), F.min(F.least("lo_a", "lo_b")).alias("least"))
+    across = bound.filter(F.col("shared") >= F.least(F.lit(SHARED), F.ceil(F.col("least") * PERCENT / 100))).select("a", "b")
+    within = dealt.filter("NOT pure").groupBy(*_BLOCK).count().filter("count > 1").select(block.alias("a"), block.alias("b"))
+    return materialize(across.unionByName(within), "block-pairs")
+
+
+def compare_blocks(a: list[np.ndarray], b: list[np.ndarray], same: bool) -> list[tuple[int, int]]:
+    """Links between the sets of two blocks: those that join what was apart, found from all pairs at once."""
+    ta, tb = np.concatenate(a), np.concatenate(b)
+    oa, ob = np.repeat(np.arange(len(a)), [len(x) for x in a]), np.repeat(np.arange(len(b)), [len(x) for x in b])
+    common = np.intersect1d(ta, tb)
+    both = np.zeros((len(a), len(b)), np.float32)
+    width = max(1, 4_000_000 // max(len(a), len(b)))
+    for at in range(0, len(common), width):
+        part = common[at : at + width]
+        sides = []
+        for tokens, owner, n in ((ta, oa, len(a)), (tb, ob, len(b))):
+            k = np.searchsorted(part, tokens)
+            hit = part[np.minimum(k, len(part) - 1)] == tokens
+            m = np.zeros((n, len(part)), np.float32)
+            m[owner[hit], k[hit]] = 1
+            sides.append(m)
+        both += sides[0] @ sides[1].T
+    na, nb = np.array([len(x) for x in a])[:, None], np.array([len(x) for x in b])[None, :]
+    linked = 100 * both >= PERCENT * (na + nb - both)
+    parent = list(range(len(a) + len(b)))
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    out = []
+    for i, j in zip(*(x.tolist() for x in np.nonzero(linked)), strict=True):
+        x, y = root(i), root(j if same else len(a) + j)
+        if x != y:
+            parent[y] = x
+            out.append((i, j))
+    return out
+
+
+def open_blocks(pairs: DataFrame, dealt: DataFrame, docs: DataFrame) -> DataFrame:
+    """Verified links between the members of the blocks of each pair."""
+    block = F.struct(*_BLOCK)
+    wanted = pairs.select(F.col("a").alias("block")).union(pairs.select("b")).distinct()
+    places = materialize(dealt.select("doc_id", block.alias("block")).join(wanted, "block").distinct(), "places")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    held = texts.join(small(places, places.count(), BROADCAST_ROWS // 4), "doc_id").groupBy("block").agg(F.collect_list(F.struct("doc_id", "text")).alias("members"))
+    held = materialize(held, "blocks")
+    side = lambda c: held.select(F.col("block").alias(c), F.col("members").alias(f"members_{c}"))
+    met = pairs.join(side("a"), "a").join(side("b"), "b").select((F.col("a") == F.col("b")).alias("same"), "members_a", "members_b")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, kept = None, None
+        for batch in slices(batches, 16):
+            out: list[tuple[int, int]] = []
+            for row in batch.to_pylist():
+                loaded = []
+                for members in (row["members_b"], row["members_a"]):
+                    mark = [m["doc_id"] for m in members]
+                    if mark != last or members is row["members_a"]:
+                        loaded.append((mark, [shingles(m["text"]) for m in members]))
+                        if members is row["members_b"]:
+                            last, kept = mark, loaded[-1]
+                    else:
+                        loaded.append(kept)
+                (ib, b), (ia, a) = loaded
+                out += [(ia[i], ib[j]) for i, j in compare_blocks(a, b, row["same"])]
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
+
+    return materialize(met.mapInArrow(compare, "a long, b long").filter("a <> b").distinct(), "opened")
 
 
 def join(docs: DataFrame) -> DataFrame:
@@ -199,14 +285,16 @@ def join(docs: DataFrame) -> DataFrame:
     members = materialize(named.select("doc_id", "sig").distinct().join(classes, "sig"), "classes")
     copies = members.filter("doc_id <> head").select("doc_id", "sig")
     sets = named.join(small(copies, copies.count(), BROADCAST_ROWS), ["doc_id", "sig"], "left_anti").select("doc_id", "n", "keys", "prefix")
-    first = group_links(sets, docs)
-    second = matrix_links(sets, components(first), docs)
+    heads = similar(sets)
+    first = verify(heads.select(F.col("head").alias("a"), F.col("doc_id").alias("b")), docs)
+    dealt = materialize(blocks(sets, components(first), heads), "dealt")
+    second = open_blocks(block_pairs(dealt), dealt, docs)
     # a doc_id with several texts ties their classes together
     repeated = members.groupBy("doc_id").agg(F.count("*").alias("texts")).filter("texts > 1").select("doc_id")
     ties = members.join(repeated, "doc_id").select(F.col("doc_id").alias("a"), F.col("head").alias("b"))
     whole = components(first.unionByName(second).unionByName(ties))
-    heads = members.select("doc_id", "sig", "head").join(whole.withColumnRenamed("id", "head"), "head", "left")
-    named_out = heads.select("doc_id", "sig", F.coalesce("component", "head").alias("component_id"))
+    ends = members.select("doc_id", "sig", "head").join(whole.withColumnRenamed("id", "head"), "head", "left")
+    named_out = ends.select("doc_id", "sig", F.coalesce("component", "head").alias("component_id"))
     out = signed.select("doc_id", F.col("n").alias("n_shingles"), "sig").join(named_out, ["doc_id", "sig"], "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 

@@ -71,6 +71,13 @@ def test_order_of_tokens_never_changes_the_result(spark, monkeypatch):
         assert run(spark, rows) == brute(rows)
 
 
+def test_blocks_of_any_size_give_the_same(spark, monkeypatch):
+    rows = corpus(7, 70)
+    monkeypatch.setattr(jj, "BLOCK_SETS", 3)
+    monkeypatch.setattr(jj, "BLOCK_TOKENS", 150)
+    assert run(spark, rows) == brute(rows)
+
+
 def test_repeated_ids_tie_and_empty_table(spark):
     a, b = "a b c d e f g h", "m n o p q r s t"
     rows = [(5, a), (5, b), (2, a), (9, b), (9, b), (1, "z z z")]
