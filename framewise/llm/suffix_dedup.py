@@ -205,13 +205,15 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     discard(parsed, dictionary)
     opened = state.filter("open").groupBy("doc_id", "rid").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
     opened = materialize(opened, "open-phrases")
-    texts = attach(docs, opened, "inner").select("doc_id", "rid", "text", "runs")
+    # read twice below, so it is shuffled once and written
+    texts = materialize(attach(docs, opened, "inner").select("doc_id", "rid", "text", "runs"), "open-texts")
+    discard(opened)
     listed = with_shared(texts, _open_suffixes, "suffixes", _suffix_batch, _SUFFIXES)
     origins = listed.groupBy("s1", "s2").agg(F.min("doc_id").alias("origin"), F.max("doc_id").alias("latest")).filter("origin < latest")
     inner = listed.join(origins, ["s1", "s2"]).filter("origin < doc_id").select("doc_id", "rid", F.col("at").alias("first"), F.col("at").alias("last"))
     runs = state.filter("NOT open").select("doc_id", "rid", "first", "last").unionByName(inner)
     out = materialize(runs.groupBy("doc_id", "rid").agg(F.collect_list(F.struct("first", "last")).alias("runs")), "runs")
-    discard(state, opened, listed)
+    discard(state, texts, listed)
     return out
 
 
