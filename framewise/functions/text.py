@@ -49,9 +49,9 @@ def clean_caption(text: Column, most: int = MAX_SENTENCES) -> Column:
     plain = strip(F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), "<[^>]+>", " "), r"(?U)\s+", " "))
     plain = F.regexp_replace(plain, "^['\" ]+|['\" ]+$", "")
     sentences = F.filter(F.transform(F.split(plain, r"(?<=[.!?])\s+"), strip), lambda s: s != "")
-    lowered = F.transform(sentences, F.lower)
-    first = F.filter(F.zip_with(sentences, F.sequence(F.lit(1), F.greatest(F.size(sentences), F.lit(1))), lambda s, i: F.struct(s.alias("s"), i.alias("i"))), lambda x: x["s"].isNotNull() & (F.array_position(lowered, F.lower(x["s"])) == x["i"]))
-    return F.concat_ws(" ", F.slice(F.transform(first, lambda x: x["s"]), 1, most))
+    fresh = lambda out, s: (F.size(out) < most) & ~F.exists(out, lambda o: F.lower(o) == F.lower(s))
+    first = F.aggregate(sentences, F.array().cast("array<string>"), lambda out, s: F.when(fresh(out, s), F.concat(out, F.array(s))).otherwise(out))
+    return F.concat_ws(" ", first)
 
 
 def word_count(text: Column) -> Column:

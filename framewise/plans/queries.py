@@ -44,12 +44,12 @@ def fn1_tokenize(spark, d):
 def fn2_bm25_doc(spark, d):
     docs = A.table(spark, d, "documents")
     none = F.array().cast("array<string>")
-    doc = T.search_text(F.substring("text", 1, 80), F.col("lang"), F.col("source"), F.array("lang", "source"), none, F.when(F.col("doc_id") % 2 == 0, F.substring("text", 1, 80)).otherwise("other source"))
+    doc = T.search_text(F.col("text"), F.col("lang"), F.col("source"), F.array("lang", "source"), none, F.when(F.col("doc_id") % 2 == 0, F.col("text")).otherwise("other source"))
     return docs.select("doc_id", F.array_join(T.tokenize(doc), " ").alias("tokens"))
 
 
 def fn5_clean_caption(spark, d):
-    raw = F.concat(F.lit("<s>"), F.substring("text", 1, 300), F.lit(" </s>"))
+    raw = F.concat(F.lit("<s>"), "text", F.lit(" </s>"))
     return A.table(spark, d, "documents").select("doc_id", T.clean_caption(raw).alias("caption"))
 
 
@@ -73,7 +73,7 @@ def fn8_zscore_masked(spark, d):
 
 
 def fn11_content_id(spark, d):
-    return A.table(spark, d, "documents").select("doc_id", T.content_id(F.col("text").cast("binary"), 1000).alias("content_id"))
+    return A.table(spark, d, "documents").select("doc_id", T.content_id(F.col("text").cast("binary")).alias("content_id"))
 
 
 def fn12_footage_key(spark, d):
