@@ -195,7 +195,7 @@ def fn4_query_entities(spark, d):
 
 def win6_ngrams(spark, d):
     b = A.table(spark, d, "benchmark")
-    return b.select("item_id", F.posexplode(T.ngrams(T.words(F.substring("text", 1, 60)))).alias("pos", "gram")).withColumn("pos", F.col("pos").cast("long"))
+    return b.select("item_id", F.posexplode(T.ngrams(T.words(F.col("text")))).alias("pos", "gram")).withColumn("pos", F.col("pos").cast("long"))
 
 
 def _query(spark, d):

@@ -21,3 +21,10 @@ def test_documents_are_not_cut(spark, tmp_path):
     assert captions[2] == f"{long} one. {long} two. {long} three."
     ids = {r.doc_id: r.content_id for r in Q.fn11_content_id(spark, str(tmp_path)).collect()}
     assert ids[3] != ids[4] and ids[3] == hashlib.sha1(b"6001" + texts[3].encode()).hexdigest()[:16]
+
+
+def test_ngrams_of_whole_items(spark, tmp_path):
+    words = [f"word{i}" for i in range(40)]
+    spark.createDataFrame([(0, " ".join(words))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    grams = [r.gram for r in Q.win6_ngrams(spark, str(tmp_path)).orderBy("pos").collect()]
+    assert grams == [" ".join(words[i : i + n]) for n in (3, 2, 1) for i in range(41 - n)]
