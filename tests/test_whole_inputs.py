@@ -28,3 +28,16 @@ def test_ngrams_of_whole_items(spark, tmp_path):
     spark.createDataFrame([(0, " ".join(words))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     grams = [r.gram for r in Q.win6_ngrams(spark, str(tmp_path)).orderBy("pos").collect()]
     assert grams == [" ".join(words[i : i + n]) for n in (3, 2, 1) for i in range(41 - n)]
+
+
+def test_all_items_are_scored(spark, tmp_path, monkeypatch):
+    from framewise.operators import lexical
+
+    _documents(spark, tmp_path, [f"alpha{i} beta{i} gamma" for i in range(12)])
+    spark.createDataFrame([(i, f"alpha{i} beta{i}") for i in range(12)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    best = lambda: {(r.query_id, r.row): r.bm25 for r in Q.j6_bm25(spark, str(tmp_path)).collect()}
+    small = best()
+    assert set(small) == {(i, i) for i in range(12)} == {(r.query_id, r.row) for r in Q.agg7_bm25_norm(spark, str(tmp_path)).collect()}
+    assert {r.query_id for r in Q.batch_search(spark, str(tmp_path)).collect()} == set(range(12))
+    monkeypatch.setattr(lexical, "BROADCAST_TERMS", 0)
+    assert best() == small
