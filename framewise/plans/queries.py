@@ -149,7 +149,7 @@ def agg6_centroid(spark, d):
 
 
 def agg16_summaries(spark, d):
-    s = A.plain_shots(spark, d)
+    s = A.text_shots(spark, d)
     return s.groupBy("content_id").agg(F.count_if(T.word_count(F.col("dialogue_en")) >= 3).alias("with_dialogue"), F.count_if(F.size("entities") > 0).alias("with_entities"), F.count_if("d_mask").alias("masked"))
 
 
@@ -162,13 +162,13 @@ def j12_knn_masked(spark, d):
 
 
 def j7_entity_score(spark, d):
-    shots = A.plain_shots(spark, d)
+    shots = A.text_shots(spark, d)
     return entities.scores(shots, [*_term(shots), "entirely unknown"]).select("row", _r("entity"))
 
 
 def agg8_vocab(spark, d):
-    docs = A.plain_shots(spark, d).select("content_id", "row", F.posexplode("entities").alias("i", "e"))
-    forms = docs.select("content_id", (F.col("row") * 10 + F.col("i")).alias("pos"), F.when(F.col("row") % 3 == 0, F.upper("e")).otherwise(F.col("e")).alias("form"))
+    docs = A.text_shots(spark, d).select("content_id", "row", F.posexplode("entities").alias("i", "e"))
+    forms = docs.select("content_id", (F.shiftleft(F.col("row").cast("long"), 31) + F.col("i")).alias("pos"), F.when(F.col("row") % 3 == 0, F.upper("e")).otherwise(F.col("e")).alias("form"))
     return entities.vocabulary(forms)
 
 

@@ -21,29 +21,32 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("row"), F.col("embedding").alias("v"))
 
 
-def plain_shots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Shots without captions: ids, texts, entities, and the visual and dialogue vectors."""
+def text_shots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A shot per document, with or without an embedding: ids, texts and entities."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row"), "text", "source")
-    emb = vectors(spark, sf_dir)
-    n = emb.agg(F.count("*").alias("n"))
     masked = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("row")).distinct().withColumn("_m", F.lit(True))
-    base = docs.join(emb, "row").join(masked, "row", "left").join(F.broadcast(n), how="cross")  # one row
-    base = base.withColumn("_next", (F.col("row") + 1) % F.col("n")).join(emb.select(F.col("row").alias("_next"), F.col("v").alias("d")), "_next")
     shot = (F.col("row") % PER_CONTENT).cast("int")
-    return base.select(
+    return docs.join(masked, "row", "left").select(
         "row",
         F.concat(F.lit("c"), F.lpad(F.floor(F.col("row") / PER_CONTENT).cast("string"), 15, "0")).alias("content_id"),
         shot.alias("shot_id"),
         F.floor(shot / PER_SCENE).cast("int").alias("scene_id"),
         F.col("text").alias("dialogue_en"),
         F.col("source").alias("ocr_text"),
-        F.slice(F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Z][a-z]{5,}"), F.lit(0))), 1, 5).alias("entities"),
-        "v",
-        "d",
+        F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Z][a-z]{5,}"), F.lit(0))).alias("entities"),
         F.coalesce("_m", F.lit(False)).alias("d_mask"),
     )
 
 
+def plain_shots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shots without captions: ids, texts, entities, and the visual and dialogue vectors."""
+    emb = vectors(spark, sf_dir)
+    n = emb.agg(F.count("*").alias("n"))
+    base = text_shots(spark, sf_dir).join(emb, "row").join(F.broadcast(n), how="cross")  # one row
+    base = base.withColumn("_next", (F.col("row") + 1) % F.col("n")).join(emb.select(F.col("row").alias("_next"), F.col("v").alias("d")), "_next")
+    return base.select("row", "content_id", "shot_id", "scene_id", "dialogue_en", "ocr_text", "entities", "v", "d", "d_mask")
+
+
 def representatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """rep and rv: every PER_REP-th shot."""
     return vectors(spark, sf_dir).filter(F.col("row") % PER_REP == 0).select(F.col("row").alias("rep"), F.col("v").alias("rv"))
@@ -53,7 +56,7 @@ def shots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Full shots: captions come from the nearest representative, whose vector stands for the caption's."""
     base = plain_shots(spark, sf_dir)
     near = propagate(base, representatives(spark, sf_dir)).select("row", "rep", F.col("confidence").alias("caption_conf"))
-    captions = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("rep"), F.substring("text", 1, 60).alias("caption"))
+    captions = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("rep"), F.col("text").alias("caption"))
     c = vectors(spark, sf_dir).select(F.col("row").alias("rep"), F.col("v").alias("c"))
     out = base.join(near, "row").join(captions, "rep").join(c, "rep")
     none = F.array().cast("array<string>")

@@ -41,3 +41,19 @@ def test_all_items_are_scored(spark, tmp_path, monkeypatch):
     assert {r.query_id for r in Q.batch_search(spark, str(tmp_path)).collect()} == set(range(12))
     monkeypatch.setattr(lexical, "BROADCAST_TERMS", 0)
     assert best() == small
+
+
+def test_all_names_and_documents_without_a_vector(spark, tmp_path):
+    from framewise.sources import adapters as A
+
+    names = [f"{a}lphabet{b}" for a in "ABCDEFGH" for b in ("a", "b")]
+    _documents(spark, tmp_path, [" ".join(names), "Alphabeta again here", "x " * 60 + "lastword"])
+    spark.createDataFrame([(2, 1)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(i, [1.0] * 64) for i in range(1)], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    d = str(tmp_path)
+    vocab = {r.key: r.pos for r in Q.agg8_vocab(spark, d).collect()}
+    assert set(vocab) == {n.lower() for n in names} and len(vocab) == 16
+    assert {r.key for r in Q.agg9_merged_vocab(spark, d).collect()} == set(vocab)
+    assert [r.entity for r in Q.j7_entity_score(spark, d).orderBy("row").collect()] == [0.5, 0.5, 0.0]
+    assert tuple(Q.agg16_summaries(spark, d).first())[1:] == (3, 2, 1)
+    assert A.shots(spark, d).first().caption == " ".join(names)
