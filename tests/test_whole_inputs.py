@@ -57,3 +57,14 @@ def test_all_names_and_documents_without_a_vector(spark, tmp_path):
     assert [r.entity for r in Q.j7_entity_score(spark, d).orderBy("row").collect()] == [0.5, 0.5, 0.0]
     assert tuple(Q.agg16_summaries(spark, d).first())[1:] == (3, 2, 1)
     assert A.shots(spark, d).first().caption == " ".join(names)
+
+
+def test_propagate_in_blocks(spark, monkeypatch):
+    from framewise.operators import captions
+
+    shots = spark.createDataFrame([(i, [float(i % 7), float(i % 5), 1.0]) for i in range(60)], "row long, v array<float>")
+    reps = shots.filter("row % 3 = 0").selectExpr("row as rep", "v as rv")
+    ask = lambda: sorted(map(tuple, captions.propagate(shots, reps).collect()))
+    whole = ask()
+    monkeypatch.setattr(captions, "BROADCAST_REPS", 6)
+    assert len(whole) == 60 and ask() == whole
