@@ -2,8 +2,8 @@
 
 A document's histograms of character classes and of common words are compared with those of its language,
 summed over all documents of that language, by the Jensen-Shannon distance. A language's common words are its
-WORD_BINS largest bins of hashed words; the rest is one more bin. A document whose language is missing, or is
-none of the LANGUAGES largest, is compared with the nearest of them. Texts under MIN_WORDS words are too short
+WORD_BINS largest bins of hashed words; the rest is one more bin. A document whose language is missing is compared
+with the nearest of all. Beyond BLOCK languages, documents are judged against one block of languages after another. Texts under MIN_WORDS words are too short
 to be judged; the limit of a longer one falls with its length towards a constant. References hold what the corpus
 holds: they presume that odd documents are a small part of a language.
 
@@ -19,15 +19,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import binary_column, slices, table
+from .common import binary_column, materialize, slices, table
 
 #: Base rules: fewest words, and the percentage of words in repeated windows of WINDOW words.
 MIN_BASE_WORDS, MAX_REPEAT_PERCENT, WINDOW = 10, 20, 5
-#: Shortest text whose distributions are judged, bins of hashed words, common ones among them, languages.
-MIN_WORDS, HASH_BITS, WORD_BINS, LANGUAGES = 40, 12, 48, 64
+#: Shortest text whose distributions are judged, bins of hashed words, common ones among them, languages
+#: that a task sums up before it hands them on (four times as many), and languages that are sent at once.
+MIN_WORDS, HASH_BITS, WORD_BINS, LANGUAGES, BLOCK = 40, 12, 48, 64, 4096
 #: Limits of the two distances: a constant, and what is added over the root of the number of words.
 CLASS_LIMIT, CLASS_SLACK, WORD_LIMIT, WORD_SLACK = 0.16, 0.9, 0.05, 4.0
 
@@ -102,6 +103,7 @@ class References:
 
     def __init__(self, counts: dict[str, np.ndarray]):
         self.names = sorted(counts)
+        self.at = {name: i for i, name in enumerate(self.names)}
         self.common, self.classes, self.words = [], [], []
         for name in self.names:
             classes, bins = counts[name][:CLASSES], counts[name][CLASSES:]
@@ -110,9 +112,24 @@ class References:
             self.classes.append(classes / max(classes.sum(), 1))
             self.words.append(_with_rest(bins, common))
 
+    def extend(self, name: str, classes: list, top: list, total: int) -> None:
+        """Adds a language, in order of names, by its (class, count) and its largest (-count, bin), with the sum of all bins."""
+        counts, bins = np.zeros(CLASSES, np.int64), np.zeros(_BINS, np.int64)
+        for i, n in classes:
+            counts[i] = n
+        for n, i in top:
+            bins[i - CLASSES] = -n
+        common = np.argsort(-bins, kind="stable")[:WORD_BINS]
+        shares = bins[common] / max(total, 1)
+        self.at[name] = len(self.names)
+        self.names.append(name)
+        self.common.append(common)
+        self.classes.append(counts / max(counts.sum(), 1))
+        self.words.append(np.append(shares, max(0.0, 1.0 - shares.sum())))
+
     def distances(self, lang: str | None, classes: np.ndarray, bins: np.ndarray) -> tuple[float, float]:
         """Class and word distance to the language's own reference, or to the nearest one."""
-        own = [self.names.index(lang)] if lang in self.names else range(len(self.names))
+        own = [self.at[lang]] if lang in self.at else range(len(self.names))
         p = classes / max(classes.sum(), 1)
         found = [(distance(p, self.classes[i]), distance(_with_rest(bins, self.common[i]), self.words[i])) for i in own]
         return min(found, key=sum, default=(0.0, 0.0))
@@ -132,8 +149,8 @@ def distance(p: np.ndarray, q: np.ndarray) -> float:
     return float(np.sqrt(max(0.0, (left + right) / 2)))
 
 
-def references(docs: DataFrame) -> References:
-    """The references, from all documents that name a language."""
+def reference_blocks(docs: DataFrame) -> Iterator[tuple[int, int, References]]:
+    """Number of blocks, block, and its references, from all documents that name a language; block _block(lang) holds lang."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -156,12 +173,33 @@ def references(docs: DataFrame) -> References:
     parts = docs.filter("lang IS NOT NULL").select("lang", "text").mapInArrow(count, "lang string, bins array<long>, counts array<long>")
     summed = parts.select("lang", F.explode(F.arrays_zip("bins", "counts")).alias("x")).groupBy("lang", F.col("x.bins").alias("bin")).agg(F.sum("x.counts").alias("n"))
     summed = summed.persist()
-    largest = summed.groupBy("lang").agg(F.sum("n").alias("mass")).orderBy(F.desc("mass"), "lang").limit(LANGUAGES)
-    out: dict[str, np.ndarray] = {}
-    for r in summed.join(F.broadcast(largest), "lang").select("lang", "bin", "n").collect():  # LANGUAGES * bins at most
-        out.setdefault(r.lang, np.zeros(CLASSES + _BINS, np.int64))[r.bin] = r.n
+    is_class = F.col("bin") < CLASSES
+    top = F.slice(F.sort_array(F.collect_list(F.when(~is_class, F.struct((-F.col("n")).alias("n"), "bin")))), 1, WORD_BINS)
+    tables = summed.groupBy("lang").agg(F.collect_list(F.when(is_class, F.struct("bin", "n"))).alias("classes"), top.alias("top"), F.sum(F.when(~is_class, F.col("n"))).alias("total"))
+    blocks = max(1, -(-summed.select("lang").distinct().count() // BLOCK))
+    for k in range(blocks):
+        out = References({})
+        for r in sorted((tables if blocks == 1 else tables.filter(_block(blocks) == k)).collect(), key=lambda r: r.lang):  # about BLOCK rows
+            out.extend(r.lang, r.classes, r.top, r.total or 0)
+        yield blocks, k, out
     summed.unpersist()
-    return References(out)
+
+
+def _block(blocks: int) -> Column:
+    return F.pmod(F.xxhash64("lang"), F.lit(blocks))
+
+
+def references(docs: DataFrame) -> References:
+    """The references of all languages at once."""
+    out = References({})
+    parts = [p for *_, p in reference_blocks(docs)]
+    for name, part in sorted(((n, p) for p in parts for n in p.names), key=lambda x: x[0]):
+        i = part.at[name]
+        out.at[name] = len(out.names)
+        out.names.append(name)
+        for kind in ("common", "classes", "words"):
+            getattr(out, kind).append(getattr(part, kind)[i])
+    return out
 
 
 def judge(docs: DataFrame, known: References) -> DataFrame:
@@ -192,6 +230,22 @@ def judge(docs: DataFrame, known: References) -> DataFrame:
 _NAMES = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "class_distance", "word_distance"]
 
 
+def judge_all(docs: DataFrame) -> DataFrame:
+    """judge() against every language: named documents against their own block, others against the nearest of all blocks."""
+    named, other = None, None
+    for blocks, k, known in reference_blocks(docs):
+        if blocks == 1:
+            return judge(docs, known)
+        own = judge(docs.filter(F.col("lang").isNotNull() & (_block(blocks) == k)), known)
+        named = own if named is None else named.unionByName(own)
+        if other is None:
+            other = materialize(docs.filter("lang IS NULL").select("doc_id", "lang", "text").withColumn("_id", F.monotonically_increasing_id()), "unnamed")
+        found = judge(other.withColumnRenamed("doc_id", "_doc").withColumnRenamed("_id", "doc_id"), known).withColumnRenamed("doc_id", "_id")
+        nearest = found if k == 0 else nearest.unionByName(found)
+    order = Window.partitionBy("_id").orderBy(F.col("class_distance") + F.col("word_distance"), "class_distance")
+    best = nearest.withColumn("_place", F.row_number().over(order)).filter("_place = 1")
+    return named.unionByName(best.join(other.select("_id", "doc_id"), "_id").select(*_NAMES))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return judge(docs, references(docs))
+    return judge_all(table(spark, sf_dir, "documents"))
