@@ -153,12 +153,17 @@ def agg16_summaries(spark, d):
     return s.groupBy("content_id").agg(F.count_if(T.word_count(F.col("dialogue_en")) >= 3).alias("with_dialogue"), F.count_if(F.size("entities") > 0).alias("with_entities"), F.count_if("d_mask").alias("masked"))
 
 
+def _asked_vectors(spark, d):
+    return A.vectors(spark, d).filter(F.col("row") % 50 == 0).select(F.col("row").alias("query_id"), F.col("v").alias("q"))
+
+
 def j12_knn(spark, d):
-    return fusion.nearest(A.vectors(spark, d), "v", _vector(spark, d, VISUAL_ROW), 10).select("row", _r("cosine"))
+    return fusion.nearest_of_each(A.vectors(spark, d), _asked_vectors(spark, d), 10).select("query_id", "row", _r("cosine"))
 
 
 def j12_knn_masked(spark, d):
-    return fusion.nearest(A.plain_shots(spark, d), "d", _vector(spark, d, TEXT_ROW), 10, F.col("d_mask")).select("row", _r("cosine"))
+    shots = A.plain_shots(spark, d).filter("d_mask").select("row", F.col("d").alias("v"))
+    return fusion.nearest_of_each(shots, _asked_vectors(spark, d), 10).select("query_id", "row", _r("cosine"))
 
 
 def j7_entity_score(spark, d):

@@ -68,3 +68,16 @@ def test_propagate_in_blocks(spark, monkeypatch):
     whole = ask()
     monkeypatch.setattr(captions, "BROADCAST_REPS", 6)
     assert len(whole) == 60 and ask() == whole
+
+
+def test_neighbours_of_every_fiftieth_row(spark, tmp_path, monkeypatch):
+    import numpy as np
+    from framewise.operators import fusion
+
+    v = np.random.default_rng(3).standard_normal((160, 8)).astype(np.float32)
+    spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    want = {(q, int(r)) for q in (0, 50, 100, 150) for r in np.argsort(-(v.astype(float) @ v[q].astype(float)))[:10]}
+    for block in (1000, 2):
+        monkeypatch.setattr(fusion, "BROADCAST_QUERIES", block)
+        got = [(r.query_id, r.row) for r in Q.j12_knn(spark, str(tmp_path)).collect()]
+        assert len(got) == 40 and set(got) == want
