@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import gc
+import ctypes
+import functools
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -45,17 +46,42 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 
 
 def discard(*frames: DataFrame) -> None:
-    """Delete materialized tables that nothing reads any more, and let Spark drop the shuffle files of done steps.
+    """Delete materialized tables that nothing reads any more.
 
     Only for frames whose every reader has itself been materialized; a lost executor then recomputes nothing here.
     """
     spark = frames[0].sparkSession
-    jvm = spark.sparkContext._jvm
     for frame in frames:
-        path = jvm.org.apache.hadoop.fs.Path(frame._scratch)
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(frame._scratch)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-    gc.collect()
-    jvm.System.gc()
+
+
+def fresh(docs: DataFrame, name: str) -> str:
+    """A column name that docs does not have, in any casing."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def _trim() -> None:
+    """Give the memory that a task has freed back to the system: workers are kept for later tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # no such call in this C library
+        pass
+
+
+def trimmed(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """work, for mapInArrow and applyInArrow, that frees its worker's memory when it has ended."""
+
+    @functools.wraps(work)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from work(batches)
+        _trim()
+
+    return run
 
 
 def small(df: DataFrame, rows: int, limit: int) -> DataFrame:

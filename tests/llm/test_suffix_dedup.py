@@ -54,26 +54,54 @@ def test_against_brute_force(spark, seed):
     assert run(spark, rows) == brute(rows)
 
 
-def test_shuffled_paths_give_the_same(spark, monkeypatch):
-    monkeypatch.setattr(sd, "BROADCAST_HASHES", -1)
-    monkeypatch.setattr(sd, "BROADCAST_COPIES", -1)
+@pytest.mark.parametrize("hot", [1, 3])
+def test_many_blocks_buckets_and_hot_triggers(spark, monkeypatch, hot):
+    small = sd.packed
+    monkeypatch.setattr(sd, "packed", lambda docs: small(docs, 700))
+    monkeypatch.setattr(sd, "BUCKET_BYTES", 900)
+    monkeypatch.setattr(sd, "HOT", hot)
+    monkeypatch.setattr(sd, "ROWS", 40)
     rows = corpus(3) + ODD
     assert run(spark, rows) == brute(rows)
+
+
+def test_empty_table(spark):
     assert run(spark, []) == []
 
 
+def test_texts_of_megabytes(spark):
+    rng = random.Random(5)
+    line = "the same line stands in all of these texts, many times over\n"
+    long = "".join(line if rng.random() < 0.3 else f"{rng.randrange(10**9)} once\n" for _ in range(40_000))
+    rows = [(2, long), (1, line), (3, long[:400_000] + "end"), (4, "short")]
+    out = {r[0]: r[1:3] for r in run(spark, rows)}
+    assert out[1] == (60, 0) and out[4] == (5, 0)
+    assert out[3] == (400_003, 400_000)
+    assert out[2][1] >= long.count(line) * 59  # all copies of the line, and what joins a line to its neighbour
+
+
 def test_phrases_cover_every_string_once(monkeypatch):
     rng = np.random.default_rng(0)
-    for n, letters in ((50, 5), (400, 2), (3000, 60)):
-        text = rng.integers(97, 97 + letters, n).astype(np.uint8).tobytes()
-        whole = sd.phrases(text)
-        starts = [p for s, e in zip(whole[0], whole[1], strict=True) for p in range(s, e + 1)]
-        assert starts == list(range(n - sd.LENGTH + 1))
-        monkeypatch.setattr(sd, "_POSITIONS", np.uint64(9))  # several pieces
-        h = sd.rolling(np.frombuffer(text, np.uint8), sd.TRIGGER)
-        for s, e, t in zip(*sd.phrases(text), strict=True):
-            assert all(t in h[p : p + sd.LENGTH - sd.TRIGGER + 1] for p in range(s, e + 1))
-        monkeypatch.setattr(sd, "_POSITIONS", np.uint64(20))
+    for sizes, letters in (((50,), 5), ((0, 400, 30, 49, 50, 51, 0), 2), ((3000, 10, 700), 60)):
+        text = rng.integers(97, 97 + letters, sum(sizes)).astype(np.uint8)
+        offsets = np.cumsum((0, *sizes))
+        usable = np.ones(len(sizes), bool)
+        whole = sd.parse(text, offsets, usable)
+        starts = [p for s, e in zip(whole.first, whole.last, strict=True) for p in range(s, e + 1)]
+        assert starts == [p for at, n in zip(offsets, sizes) for p in range(at, at + n - sd.LENGTH + 1)]
+        h = sd.rolling(text, sd.TRIGGER)
+        assert all(h[o] == t and e - sd.SPAN < o - sd.SPAN + 1 <= s <= e <= o for s, e, o, t in zip(whole.first, whole.last, whole.owner, whole.hashes, strict=True))
+        monkeypatch.setattr(sd, "PIECE", 37)
+        for a, b in zip(vars(whole).values(), vars(sd.parse(text, offsets, usable)).values(), strict=True):
+            assert a.tolist() == b.tolist()
+        monkeypatch.undo()
+
+
+def test_clashing_names_and_other_types(spark):
+    text = "a passage of more than fifty bytes that two documents have in common"
+    df = spark.createDataFrame([("7", text, 1, [2]), ("3", text, 4, [5]), ("x", text, 6, None)], "doc_id string, text string, id int, block array<int>")
+    out = sorted(map(tuple, sd.deduplicated(df).collect()))
+    assert out == [("3", text, 4, [5]), ("7", "", 1, [2]), ("x", text, 6, None)]
 
 
 def test_deduplicated_texts(spark):
