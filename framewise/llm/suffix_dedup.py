@@ -127,6 +127,7 @@ def parse(text: np.ndarray, offsets: np.ndarray, usable: np.ndarray) -> Phrases:
     new = np.concatenate(([True], (first[1:] != last[:-1] + 1) | (owner[1:] != owner[:-1])))  # a piece's end cuts no phrase
     end = np.concatenate((new[1:], [True]))
     first, last, owner, h = first[new], last[end], owner[new], h[new]
+    h = _mixed(h * np.uint64(0x9E3779B97F4A7C15))  # triggers are least hashes; mixed again they are spread evenly
     return Phrases(first, last, owner, h, np.searchsorted(offsets, first, "right") - 1)
 
 
@@ -267,7 +268,8 @@ def shared_triggers(blocks: DataFrame, at: int, buckets: int) -> DataFrame:
 
 
 class Dictionary:
-    """The distinct phrases of a block that are to be sent, in the order of their buckets, and where each occurs."""
+    """The distinct phrases of a block and where each occurs; its entries, in the order of their buckets, which are
+    phrases or, for hot triggers, strings; and the phrases that each entry is (in)."""
 
     def __init__(self, block: Block, answers: list[dict]):
         found = Triggers(block)
@@ -275,31 +277,58 @@ class Dictionary:
         states = np.concatenate([np.zeros(0, np.uint8), *(_loose(a["states"], np.uint8) for a in answers)])
         least = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(a["least"], np.int64) for a in answers)])
         self.copies = np.zeros(len(block.ids), bool)
-        self.copies[found.rows] = least[found.text_of] < block.ids[found.rows] if len(found.rows) else False
+        if len(found.rows):
+            self.copies[found.rows] = least[found.text_of] < block.ids[found.rows]
         own = states[found.of] if len(found.of) else states
         chosen = np.flatnonzero((own > 0) & ~self.copies[found.phrases.row])
         phrases, hot = found.phrases.at(chosen), own[chosen] > 1
-        # a hot trigger's phrases are cut into their strings
-        which, start = _expanded(phrases.first, np.where(hot, phrases.last - phrases.first + 1, 1))
-        last = np.where(hot[which], start, phrases.last[which])
-        phrases, hot = phrases.at(which), hot[which]
-        phrases.first, phrases.last = start, last
+        del found, own
         records = _records(block.text, phrases)
         words = _words(records)
-        self.keys = phrases.hashes.copy()
-        if hot.any():
-            content = np.zeros(int(hot.sum()), np.uint64)
-            for w in words:
-                content = _mixed(content * np.uint64(0x9E3779B97F4A7C15) + w[hot])
-            self.keys[hot] = content
-        order = _sorted_by(words, self.keys)
-        starts = _starts(self.keys[order], *(w[order] for w in words))
-        self.keys, self.records = self.keys[order][starts], records[order[starts]]
-        ids = block.ids[phrases.row[order]]
-        self.least = np.minimum.reduceat(ids, starts) if len(starts) else ids
-        self.most = np.maximum.reduceat(ids, starts) if len(starts) else ids
-        self.begin, self.row = phrases.owner[order] - SPAN + 1, phrases.row[order]  # of each occurrence, by entry
+        order = _sorted_by(words, phrases.hashes)
+        starts = _starts(phrases.hashes[order], *(w[order] for w in words))
+        self.begin, self.row = phrases.owner[order] - SPAN + 1, phrases.row[order]  # of the occurrences, by phrase
         self.places = np.append(starts, len(order))
+        ids = block.ids[self.row]
+        least = np.minimum.reduceat(ids, starts) if len(starts) else ids
+        most = np.maximum.reduceat(ids, starts) if len(starts) else ids
+        keys, hot, records = phrases.hashes[order][starts], hot[order][starts], records[order[starts]]
+        plain, cut = np.flatnonzero(~hot), np.flatnonzero(hot)
+        strings, within = _strings(records[cut])
+        words = _words(strings)
+        content = np.zeros(len(strings), np.uint64)
+        for w in words:
+            content = _mixed(content * np.uint64(0x9E3779B97F4A7C15) + w)
+        order = _sorted_by(words, content)
+        starts = _starts(content[order], *(w[order] for w in words))
+        within = cut[within[order]]
+        merged = np.argsort(np.concatenate((keys[plain], content[order[starts]])), kind="stable")
+        joined = lambda of_phrases, of_strings: np.concatenate((of_phrases, of_strings))[merged]
+        self.keys, self.records = joined(keys[plain], content[order[starts]]), joined(records[plain], strings[order[starts]])
+        self.least = joined(least[plain], np.minimum.reduceat(least[within], starts) if len(starts) else least[:0])
+        self.most = joined(most[plain], np.maximum.reduceat(most[within], starts) if len(starts) else most[:0])
+        self.phrases = np.concatenate((plain, within))
+        self.phrase_at = joined(np.arange(len(plain)), len(plain) + starts)
+        self.n_phrases = joined(np.ones(len(plain), np.int64), np.diff(np.append(starts, len(within))))
+
+    def occurrences(self, entry: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The places of entries' phrases: which entry, where its record begins in the text, and the text's row."""
+        which, at = _expanded(self.phrase_at[entry], self.n_phrases[entry])
+        phrase = self.phrases[at]
+        of, place = _expanded(self.places[phrase], self.places[phrase + 1] - self.places[phrase])
+        return which[of], self.begin[place], self.row[place]
+
+
+def _strings(records: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A record for each single string of the phrases, and the phrase it is of."""
+    first, last = records[:, REACH].astype(np.int64), records[:, REACH + 1].astype(np.int64)
+    within, start = _expanded(first, last - first + 1)
+    out, column = records[within], np.arange(REACH)
+    for x in range(0, len(out), ROWS):
+        own = slice(x, x + ROWS)
+        out[own, :REACH] *= (column >= start[own, None]) & (column < start[own, None] + LENGTH)
+    out[:, REACH] = out[:, REACH + 1] = start
+    return out, within
 
 
 def _records(text: np.ndarray, phrases: Phrases) -> np.ndarray:
@@ -415,11 +444,11 @@ def removed(block: Block, states: list[dict], found: list[dict], buckets: int) -
     base = {b: x for b, x, _ in _cuts(own.keys, buckets)}
     for a in found:
         entry, span, origin = _loose(a["entry"], np.int32) + base[a["bucket"]], _loose(a["range"], np.uint8).reshape(-1, 2).astype(np.int64), _loose(a["origin"], np.int64)
-        which, place = _expanded(own.places[entry], own.places[entry + 1] - own.places[entry])
-        later = origin[which] < block.ids[own.row[place]]
-        which, place = which[later], place[later]
-        np.add.at(steps, own.begin[place] + span[which, 0], 1)
-        np.add.at(steps, own.begin[place] + span[which, 1] + LENGTH, -1)
+        which, begin, row = own.occurrences(entry)
+        later = origin[which] < block.ids[row]
+        which, begin = which[later], begin[later]
+        np.add.at(steps, begin + span[which, 0], 1)
+        np.add.at(steps, begin + span[which, 1] + LENGTH, -1)
     return np.cumsum(steps[:-1]) > 0
 
 
