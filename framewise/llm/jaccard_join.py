@@ -4,7 +4,8 @@
 2. Classes are partitioned into groups of similar ones. A class that links to the least class that shares its
    min-hashes is in that one's component, and a component is a pure group: no link within it is looked for.
    Other classes are grouped by the min-hashes alone. Large groups are dealt into blocks of bounded size.
-3. The matrix holds, for each block, the union of its members' prefix tokens. In a fixed order of tokens (rare
+3. The matrix holds, for each block, the union of its members' prefix tokens, the part of the group's token union that
+   can decide. In a fixed order of tokens (rare
    before frequent, then by hash) the prefix of a set is so long that two sets that link share at least
    SHARED of their prefix tokens.
 4. The matrix bounds what the members of two blocks can share; only pairs of blocks that reach SHARED are opened,
@@ -27,10 +28,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import binary_column, materialize, slices, small, table
+from .common import binary_column, discard, fresh, materialize, slices, table, trimmed
 from .components import components
 
 #: Words in a shingle; two sets link when 100 * intersection >= PERCENT * union.
@@ -41,10 +42,8 @@ SHARED = 3
 KEYS, AGREE = 6, 2
 #: Cells of the count sketch (a byte each is broadcast), its chunks, and the least excess of a frequent token.
 CELL_BITS, CHUNKS, FREQUENT = 23, 64, 3
-#: Sets and tokens of a block at most; a set with more tokens is a block of its own.
-BLOCK_SETS, BLOCK_TOKENS = 256, 100_000
-#: Rows of ids or tokens (16 bytes) that are broadcast; beyond, the join is a shuffle.
-BROADCAST_ROWS = 1_000_000
+#: Sets, tokens and bytes of text of a block, on average; a larger set is a block of its own.
+BLOCK_SETS, BLOCK_TOKENS, BLOCK_BYTES = 256, 100_000, 4 << 20
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _SALTS = [np.uint64(int.from_bytes(xxhash.xxh3_128_digest(bytes([k]))[:8], "little") | 1) for k in range(KEYS)]
 
@@ -82,17 +81,23 @@ def frequency_levels(docs: DataFrame, bits: int = CELL_BITS, least: int = FREQUE
     cells, per = 1 << bits, (1 << bits) // CHUNKS
     shift = np.uint64(64 - bits)
 
+    @trimmed
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, pending, n = np.zeros(cells, np.uint32), [], 0
-        for batch in batches:
+
+        def add_pending() -> None:
+            found, times = np.unique(np.concatenate(pending), return_counts=True)
+            counts[found] += times.astype(np.uint32)
+
+        for batch in slices(batches, 1_000):
             for text in binary_column(batch, "text"):
-                pending.append(shingles(text) >> shift)
+                pending.append((shingles(text) >> shift).astype(np.uint32))
                 n += len(pending[-1])
                 if n > 1 << 20:
-                    counts += np.bincount(np.concatenate(pending).view(np.int64), minlength=cells).astype(np.uint32)
+                    add_pending()
                     pending, n = [], 0
-        if pending:
-            counts += np.bincount(np.concatenate(pending).view(np.int64), minlength=cells).astype(np.uint32)
+        if n:
+            add_pending()
         if counts.any():
             packed = [zlib.compress(counts[k * per : (k + 1) * per].tobytes(), 1) for k in range(CHUNKS)]
             yield pa.RecordBatch.from_pydict({"chunk": pa.array(range(CHUNKS), pa.int32()), "part": pa.array([0] * CHUNKS, pa.int32()), "counts": pa.array(packed, pa.binary())})
@@ -115,16 +120,18 @@ def frequency_levels(docs: DataFrame, bits: int = CELL_BITS, least: int = FREQUE
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, n, sig (a digest of the set), keys (min-hashes) and prefix (tokens) of every document."""
+    """doc_id, n, n_bytes, sig (a digest of the set), keys (min-hashes) and prefix (tokens) of every document."""
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(frequency_levels(docs))
     shift = np.uint64(64 - CELL_BITS)
 
+    @trimmed
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels = np.frombuffer(zlib.decompress(sent.value), np.uint8)
         for batch in slices(batches, 1_000):
-            sizes, sigs, keys, prefixes = [], [], [], []
+            sizes, lengths, sigs, keys, prefixes = [], [], [], [], []
             for text in binary_column(batch, "text"):
+                lengths.append(len(text or b""))
                 s = shingles(text)
                 n = len(s)
                 level = levels[s >> shift]
@@ -136,33 +143,39 @@ def signatures(docs: DataFrame) -> DataFrame:
             offsets = np.concatenate(([0], np.cumsum([len(p) for p in prefixes]))).astype(np.int32)
             flat = pa.array(np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.ListArray.from_arrays(pa.array(offsets), flat)],
-                names=["doc_id", "n", "sig", "keys", "prefix"],
+                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(lengths, pa.int64()), pa.array(sigs, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.ListArray.from_arrays(pa.array(offsets), flat)],
+                names=["doc_id", "n", "n_bytes", "sig", "keys", "prefix"],
             )
 
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sign, "doc_id long, n long, sig binary, keys array<long>, prefix array<long>")
+    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sign, "doc_id long, n long, n_bytes long, sig binary, keys array<long>, prefix array<long>")
     return materialize(out, "signatures")
 
 
 def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Those pairs (a, b) of doc_ids whose texts' sets link."""
+    """Those pairs (a, b) of doc_ids whose texts' sets link; the texts of b are dealt in lots, each with a's text once."""
     pairs = materialize(pairs.select("a", "b").distinct(), "pairs")
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(small(ids, 2 * pairs.count(), BROADCAST_ROWS), "doc_id", "left_semi")
-    side = lambda c: texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"text_{c}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b")
-
+    texts = docs.select(F.col("doc_id").cast("long").alias("b"), F.col("text").cast("binary").alias("text"))
+    with_b = materialize(pairs.join(texts, "b").withColumn("n_bytes", F.length("text")), "pair-texts")
+    lots = with_b.groupBy("a").agg(_shares("n_bytes", "n_bytes").alias("lots"))
+    dealt = with_b.join(lots, "a").withColumn("lot", F.pmod(F.xxhash64("b"), "lots"))
+    held = dealt.groupBy("a", "lot").agg(F.collect_list(F.struct("b", "text")).alias("members"))
+    met = held.join(texts.select(F.col("b").alias("a"), F.col("text").alias("head")), "a").select("a", "head", "members")
+
+    @trimmed
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, kept = None, None
-        for batch in slices(batches, 500):
-            ok = []
-            for a, b in zip(binary_column(batch, "text_a"), binary_column(batch, "text_b"), strict=True):
-                if b != last:
-                    last, kept = b, shingles(b)
-                ok.append(links(shingles(a), kept))
-            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+        for batch in slices(batches, 1):
+            a, head = batch.column(0)[0].as_py(), shingles(batch.column(1)[0].as_py())
+            ok = [m["b"] for m in batch.column(2)[0].as_py() if links(head, shingles(m["text"]))]
+            yield pa.RecordBatch.from_arrays([pa.array([a] * len(ok), pa.int64()), pa.array(ok, pa.int64())], names=["a", "b"])
+
+    out = materialize(met.mapInArrow(compare, "a long, b long").distinct(), "verified")
+    discard(pairs, with_b)
+    return out
+
 
-    return materialize(both.mapInArrow(compare, "a long, b long").distinct(), "verified")
+def _shares(n: str, n_bytes: str) -> Column:
+    """Into how many parts a group is dealt, by its rows, tokens (or bytes, for n) and bytes."""
+    return F.ceil(F.greatest(F.count("*") / BLOCK_SETS, F.sum(n) / (BLOCK_TOKENS if n != n_bytes else BLOCK_BYTES), F.sum(n_bytes) / BLOCK_BYTES))
 
 
 def similar(sets: DataFrame) -> DataFrame:
@@ -174,40 +187,39 @@ def similar(sets: DataFrame) -> DataFrame:
     return materialize(agreed.groupBy("doc_id").agg(F.max(F.struct("agree", (-F.col("head")).alias("h"))).alias("x")).select("doc_id", (-F.col("x.h")).alias("head")), "similar")
 
 
-_BLOCK = ("pure", "g", "salt")
-
-
 def blocks(sets: DataFrame, pure: DataFrame, heads: DataFrame) -> DataFrame:
-    """The sets with their block: whether its group is a component, the group, and a share of it."""
+    """The sets with their block (its least doc_id) and the block's kin: its component's id if it is pure, else its own.
+
+    A group of sets is a component (pure) or shares a head; large ones are dealt out. Blocks of one kin need no
+    comparison. Each doc_id is in one block, so ids of blocks and of components never meet by chance.
+    """
     named = sets.join(pure.withColumnRenamed("id", "doc_id"), "doc_id", "left").join(heads, "doc_id", "left")
-    grouped = named.select("doc_id", "n", "prefix", F.col("component").isNotNull().alias("pure"), F.coalesce("component", "head", "doc_id").alias("g"))
+    grouped = named.select("doc_id", "n", "n_bytes", "prefix", F.col("component").isNotNull().alias("pure"), F.coalesce("component", "head", "doc_id").alias("g"))
     grouped = materialize(grouped, "grouped")
-    shares = F.ceil(F.greatest(F.count("*") / BLOCK_SETS, F.sum("n") / BLOCK_TOKENS))
-    large = materialize(grouped.groupBy("pure", "g").agg(shares.alias("shares")).filter("shares > 1"), "large-groups")
-    dealt = grouped.join(small(large, large.count(), BROADCAST_ROWS), ["pure", "g"], "left")
-    return dealt.select("doc_id", "n", "prefix", "pure", "g", F.pmod(F.xxhash64("doc_id"), F.coalesce("shares", F.lit(1))).alias("salt"))
+    large = grouped.groupBy("pure", "g").agg(_shares("n", "n_bytes").alias("shares")).filter("shares > 1")
+    dealt = grouped.join(large, ["pure", "g"], "left").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.coalesce("shares", F.lit(1))))
+    dealt = materialize(dealt.select("doc_id", "n", "prefix", "pure", "g", "salt"), "salted")
+    ids = dealt.groupBy("pure", "g", "salt").agg(F.min("doc_id").alias("block"))
+    out = dealt.join(ids, ["pure", "g", "salt"])
+    out = materialize(out.select("doc_id", "n", "prefix", "block", F.when(F.col("pure"), F.col("g")).otherwise(F.col("block")).alias("kin"), "pure"), "dealt")
+    discard(grouped, dealt)
+    return out
 
 
 def block_pairs(dealt: DataFrame) -> DataFrame:
-    """The pairs of blocks (structs a and b) whose unions share enough; a block with itself unless it is pure."""
-    block = F.struct(*_BLOCK)
-    tokens = dealt.select("n", *_BLOCK, F.explode("prefix").alias("token"))
-    # a token of one block alone, or of one component, tells nothing; a minimum and a maximum need no list of blocks
-    ends = tokens.groupBy("token").agg(F.min(block).alias("lo"), F.max(block).alias("hi"))
-    bridging = materialize(ends.filter("lo <> hi AND NOT (lo.pure AND hi.pure AND lo.g = hi.g)").select("token"), "bridging")
-    rows = tokens.join(small(bridging, bridging.count(), BROADCAST_ROWS), "token")
-    matrix = materialize(rows.groupBy("token", *_BLOCK).agg(F.min("n").alias("lo"), F.max("n").alias("hi")), "matrix")
-    side = lambda c: matrix.select("token", F.struct(*_BLOCK).alias(c), F.col("lo").alias(f"lo_{c}"), F.col("hi").alias(f"hi_{c}"))
-    meet = side("a").join(side("b"), "token").filter(
-        (F.col("a") < F.col("b"))
-        & ~(F.col("a.pure") & F.col("b.pure") & (F.col("a.g") == F.col("b.g")))
-        & (100 * F.col("hi_a") >= PERCENT * F.col("lo_b"))
-        & (100 * F.col("hi_b") >= PERCENT * F.col("lo_a"))
-    )
+    """The pairs of blocks (a and b) whose unions share enough; a block with itself unless it is pure."""
+    tokens = dealt.select("n", "block", "kin", F.explode("prefix").alias("token"))
+    # a token of one block alone, or of one component, tells nothing
+    bridging = materialize(tokens.groupBy("token").agg(F.min("kin").alias("lo"), F.max("kin").alias("hi")).filter("lo < hi").select("token"), "bridging")
+    matrix = materialize(tokens.join(bridging, "token").groupBy("token", "block", "kin").agg(F.min("n").alias("lo"), F.max("n").alias("hi")), "matrix")
+    side = lambda c: matrix.select("token", F.col("block").alias(c), F.col("kin").alias(f"kin_{c}"), F.col("lo").alias(f"lo_{c}"), F.col("hi").alias(f"hi_{c}"))
+    meet = side("a").join(side("b"), "token").filter((F.col("a") < F.col("b")) & (F.col("kin_a") != F.col("kin_b")) & (100 * F.col("hi_a") >= PERCENT * F.col("lo_b")) & (100 * F.col("hi_b") >= PERCENT * F.col("lo_a")))
     bound = meet.groupBy("a", "b").agg(F.count("*").alias("shared"), F.min(F.least("lo_a", "lo_b")).alias("least"))
     across = bound.filter(F.col("shared") >= F.least(F.lit(SHARED), F.ceil(F.col("least") * PERCENT / 100))).select("a", "b")
-    within = dealt.filter("NOT pure").groupBy(*_BLOCK).count().filter("count > 1").select(block.alias("a"), block.alias("b"))
-    return materialize(across.unionByName(within), "block-pairs")
+    within = dealt.filter("NOT pure").groupBy("block").count().filter("count > 1").select(F.col("block").alias("a"), F.col("block").alias("b"))
+    out = materialize(across.unionByName(within), "block-pairs")
+    discard(bridging, matrix)
+    return out
 
 
 def compare_blocks(a: list[np.ndarray], b: list[np.ndarray], same: bool) -> list[tuple[int, int]]:
@@ -247,34 +259,31 @@ def compare_blocks(a: list[np.ndarray], b: list[np.ndarray], same: bool) -> list
 
 def open_blocks(pairs: DataFrame, dealt: DataFrame, docs: DataFrame) -> DataFrame:
     """Verified links between the members of the blocks of each pair."""
-    block = F.struct(*_BLOCK)
     wanted = pairs.select(F.col("a").alias("block")).union(pairs.select("b")).distinct()
-    places = materialize(dealt.select("doc_id", block.alias("block")).join(wanted, "block").distinct(), "places")
+    places = dealt.select("doc_id", "block").join(wanted, "block").distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    held = texts.join(small(places, places.count(), BROADCAST_ROWS // 4), "doc_id").groupBy("block").agg(F.collect_list(F.struct("doc_id", "text")).alias("members"))
-    held = materialize(held, "blocks")
+    held = materialize(texts.join(places, "doc_id").groupBy("block").agg(F.collect_list(F.struct("doc_id", "text")).alias("members")), "blocks")
     side = lambda c: held.select(F.col("block").alias(c), F.col("members").alias(f"members_{c}"))
-    met = pairs.join(side("a"), "a").join(side("b"), "b").select((F.col("a") == F.col("b")).alias("same"), "members_a", "members_b")
+    met = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "members_a", "members_b")
+
+    def loaded(members: pa.Scalar) -> tuple[list[int], list[np.ndarray]]:
+        found = members.as_py()
+        return [m["doc_id"] for m in found], [shingles(m["text"]) for m in found]
 
+    @trimmed
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, kept = None, None
-        for batch in slices(batches, 16):
-            out: list[tuple[int, int]] = []
-            for row in batch.to_pylist():
-                loaded = []
-                for members in (row["members_b"], row["members_a"]):
-                    mark = [m["doc_id"] for m in members]
-                    if mark != last or members is row["members_a"]:
-                        loaded.append((mark, [shingles(m["text"]) for m in members]))
-                        if members is row["members_b"]:
-                            last, kept = mark, loaded[-1]
-                    else:
-                        loaded.append(kept)
-                (ib, b), (ia, a) = loaded
-                out += [(ia[i], ib[j]) for i, j in compare_blocks(a, b, row["same"])]
+        last, kept = None, ([], [])
+        for batch in slices(batches, 1):
+            (a, b), (first, second) = (batch.column(i)[0].as_py() for i in (0, 1)), (batch.column(i)[0] for i in (2, 3))
+            if b != last:  # rows come sorted by b
+                last, kept = b, loaded(second)
+            ids, sets = kept if a == b else loaded(first)
+            out = [(ids[i], kept[0][j]) for i, j in compare_blocks(sets, kept[1], a == b)]
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
 
-    return materialize(met.mapInArrow(compare, "a long, b long").filter("a <> b").distinct(), "opened")
+    out = materialize(met.mapInArrow(compare, "a long, b long").filter("a <> b").distinct(), "opened")
+    discard(held)
+    return out
 
 
 def join(docs: DataFrame) -> DataFrame:
@@ -284,11 +293,14 @@ def join(docs: DataFrame) -> DataFrame:
     classes = named.groupBy("sig").agg(F.min("doc_id").alias("head"))
     members = materialize(named.select("doc_id", "sig").distinct().join(classes, "sig"), "classes")
     copies = members.filter("doc_id <> head").select("doc_id", "sig")
-    sets = named.join(small(copies, copies.count(), BROADCAST_ROWS), ["doc_id", "sig"], "left_anti").select("doc_id", "n", "keys", "prefix")
+    sets = materialize(named.join(copies, ["doc_id", "sig"], "left_anti").select("doc_id", "n", "n_bytes", "keys", "prefix"), "sets")
     heads = similar(sets)
     first = verify(heads.select(F.col("head").alias("a"), F.col("doc_id").alias("b")), docs)
-    dealt = materialize(blocks(sets, components(first), heads), "dealt")
-    second = open_blocks(block_pairs(dealt), dealt, docs)
+    dealt = blocks(sets, components(first), heads)
+    discard(sets, heads)
+    pairs = block_pairs(dealt)
+    second = open_blocks(pairs, dealt, docs)
+    discard(dealt, pairs)
     # a doc_id with several texts ties their classes together
     repeated = members.groupBy("doc_id").agg(F.count("*").alias("texts")).filter("texts > 1").select("doc_id")
     ties = members.join(repeated, "doc_id").select(F.col("doc_id").alias("a"), F.col("head").alias("b"))
@@ -300,11 +312,23 @@ def join(docs: DataFrame) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """The documents' own columns: of each component the row with the least doc_id, in full."""
-    found = join(docs.select("doc_id", "text")).filter("doc_id <> component_id").select("doc_id").distinct()
-    gone = materialize(found, "near-copies")
-    kept = docs.join(small(gone, gone.count(), BROADCAST_ROWS), docs["doc_id"].cast("long") == gone["doc_id"], "left_anti")
-    return kept.select(*[docs[c] for c in docs.columns])
+    """The documents' own columns: one row of each component, in full.
+
+    It is the row with the least doc_id; of several rows with that id, the one whose columns' hash is least. Rows
+    without a doc_id stay, as does each text without words.
+    """
+    found = join(docs.select("doc_id", "text")).filter("n_shingles > 0 AND doc_id IS NOT NULL")
+    found = found.groupBy("doc_id").agg((F.min("component_id") < F.col("doc_id")).alias("copy"), F.count("*").alias("rows"))
+    found = materialize(found.filter("copy OR rows > 1"), "near-copies")
+    key, names = fresh(docs, "key"), docs.columns
+    gone, several = (found.filter(x).select(F.col("doc_id").alias(key)) for x in ("copy", "NOT copy"))
+    keyed = docs.withColumn(key, F.col("doc_id").cast("long")).join(gone, key, "left_anti")
+    lone = keyed.join(several, key, "left_anti").select(names)
+    repeats = keyed.join(several, key, "left_semi")
+    worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    row, mark = fresh(docs, "row"), fresh(docs, "mark")
+    one = repeats.filter(worded).select(key, F.struct(*names).alias(row), F.xxhash64(*names).alias(mark)).groupBy(key).agg(F.min_by(row, mark).alias(row))
+    return lone.unionByName(repeats.filter(~worded).select(names)).unionByName(one.select(f"{row}.*"))
 
 
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
