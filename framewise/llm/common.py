@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import functools
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -11,6 +13,9 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..session import ship
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -84,6 +89,24 @@ def trimmed(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
     return run
 
 
+def mapped(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
+    """df.mapInArrow(work, schema) on workers that have this package's source and give back what memory they used."""
+    ship(df.sparkSession)
+    return df.mapInArrow(trimmed(work), schema)
+
+
+@contextlib.contextmanager
+def no_gc() -> Iterator[None]:
+    """No search for cycles meanwhile: where none are made, scanning a large cache for them takes long."""
+    enabled = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if enabled:
+            gc.enable()
+
+
 def small(df: DataFrame, rows: int, limit: int) -> DataFrame:
     """df with a broadcast hint if its counted rows are within limit; else unhinted, for a shuffled join."""
     return F.broadcast(df) if rows <= limit else df

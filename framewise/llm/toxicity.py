@@ -1,21 +1,23 @@
-"""Toxicity by compression distance: one zstandard dictionary of toxic text, one of ordinary text.
+"""Toxicity by compression distance: one zstandard dictionary trained on toxic text, one on ordinary text.
 
-A window is compressed with either dictionary. Its margin is the bytes that the toxic dictionary saves over
-the ordinary one; a margin at or over a calibrated threshold makes it a toxic window. The score is the
-calibrated share of toxic documents among training documents with a like rate of toxic windows.
+A window of a text is compressed with the ordinary dictionary, and with both together. Its margin is what the toxic
+dictionary saves, in bytes or in hundredths of the window's length; a margin at or over a calibrated threshold makes it
+a toxic window. The score is the calibrated share of toxic documents among training documents with a like rate of toxic
+windows.
 
-The toxic dictionary is trained on the words that toxic documents hold several times as often as ordinary
-ones, the ordinary dictionary on ordinary words. A window is one chunk between white space: in windows of many
-words the chance matches of ordinary words outweigh what a toxic word saves (README has figures).
+Both dictionaries are trained by zstandard on the whole texts of one half of the labelled sample. Toxic documents are
+mostly ordinary text, so the toxic dictionary holds ordinary strings too: in some rounds, the windows of ordinary texts
+that it would take for toxic are added to what the ordinary dictionary holds. Several sizes of the toxic dictionary and
+of the windows, and all thresholds, are tried on the other half; the ones that tell its documents apart best are kept.
 
-Defined results: a null or empty text has no windows and gets the score of a zero rate; with no label of one
-class every score is the training share of label 1 (0 without labels); a null doc_id is not held out; rows
-that share a doc_id are scored each on its own; other columns are ignored.
+Defined results: a null or empty text has no windows and gets the score of a zero rate; with no label of one class, or
+too little text to train on, every score is the training share of label 1 (0 without labels); a null doc_id is not held
+out; rows that share a doc_id are scored each on its own; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import gc
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,35 +26,38 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import binary_column, slices, table
+from .common import binary_column, discard, mapped, materialize, no_gc, slices, table
 from .labelled import ROWS_PER_CLASS, held_out, training_sample
 
 MODULUS, REMAINDER = 3, 1
 #: A document is predicted toxic from this score on.
 THRESHOLD = 0.7
-#: Words of each class that the dictionaries are trained on, and their bytes.
-WORDS, TOXIC_BYTES, ORDINARY_BYTES = 1_000, 2_048, 8_192
-#: How many times as frequent in toxic documents a word of the toxic sample is, and in how many of them at least;
-#: the shares of toxic documents that are tried as a further bound.
-RATIO, LEAST, SHARES = 6.0, 3, (0.0, 0.01, 0.03, 0.1)
-#: Margins that are tried as the threshold, and the bins of toxic windows per 1,000.
-MARGINS = tuple(range(1, 13))
-RATES = (0.0, 1.0, 2.5, 5.0, 10.0, 20.0)
-#: Shortest match of the compressors; a chunk that shares no such string with the toxic dictionary has no margin.
+#: Bytes of the dictionaries (toxic: those tried), and of the training samples that texts are dealt into.
+TOXIC_BYTES, ORDINARY_BYTES, SAMPLE_BYTES = (512, 1_024, 2_048), 8_192, 200
+#: Length of zstandard's training segments, and of the strings whose frequency it counts.
+SEGMENT, STRING = 32, 6
+#: Rounds in which ordinary windows with a margin go to the ordinary dictionary, bytes of them a round, least margin.
+ROUNDS, ROUND_BYTES, FALSE_MARGIN = 3, 8_192, 3
+#: Words of a window that are tried.
+WINDOW_WORDS = (1, 2, 4)
+#: Thresholds that are tried: bytes saved, or bytes saved in 100 of the window; and the bins of toxic windows per 1,000.
+BYTES, SHARES = tuple(range(2, 10)), tuple(range(10, 101, 10))
+RATES = (0.0, 1.0, 2.5, 5.0, 10.0, 20.0, 40.0, 80.0)
+#: Shortest match of the compressors; a window that shares no such string with the toxic dictionary has no margin.
 MATCH = 4
-CACHE_ENTRIES, CHUNK_BYTES = 500_000, 256
-#: Bytes before and after each window, and at the end of both dictionaries: a block that saves too little would be
+CACHE_ENTRIES, CHUNK_BYTES = 300_000, 256
+#: Bytes before and after each window, and at the end of all dictionaries: a block that saves too little would be
 #: stored plain, and its last bytes are never matched, so the margin shows only between these.
 HEAD, TAIL = bytes(range(1, 32)), bytes(range(128, 144))
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
-def windows(text: bytes | None) -> list[bytes]:
-    """The chunks of a text, lower-cased in ASCII; a longer one is cut into several windows."""
+def windows(text: bytes | None, words: int = 1) -> list[bytes]:
+    """The text, lower-cased in ASCII, in windows of so many words; a word of over CHUNK_BYTES is cut into several."""
     chunks = text.translate(_LOWER).split() if text else []
     if any(len(c) > CHUNK_BYTES for c in chunks):
-        return [c[i : i + CHUNK_BYTES] for c in chunks for i in range(0, len(c), CHUNK_BYTES)]
-    return chunks
+        chunks = [c[i : i + CHUNK_BYTES] for c in chunks for i in range(0, len(c), CHUNK_BYTES)]
+    return chunks if words == 1 else [b" ".join(chunks[i : i + words]) for i in range(0, len(chunks), words)]
 
 
 class Margins:
@@ -62,22 +67,25 @@ class Margins:
         def compressor(content: bytes) -> zstandard.ZstdCompressor:
             content += HEAD + TAIL
             trained = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            options = zstandard.ZstdCompressionParameters.from_level(3, dict_size=len(content), source_size=64, min_match=MATCH, write_content_size=0, write_checksum=0, write_dict_id=0)
+            options = zstandard.ZstdCompressionParameters.from_level(3, dict_size=len(content), source_size=128, min_match=MATCH, write_content_size=0, write_checksum=0, write_dict_id=0)
             trained.precompute_compress(compression_params=options)
             return zstandard.ZstdCompressor(dict_data=trained, compression_params=options)
 
-        self.toxic, self.ordinary = compressor(toxic), compressor(ordinary)
+        self.both, self.ordinary = compressor(ordinary + toxic), compressor(ordinary)
         self.strings = {toxic[i : i + MATCH] for i in range(len(toxic) - MATCH + 1)}
-        self.kept: dict[bytes, int] = {}
+        self.kept: dict[bytes, tuple[int, int]] = {}
 
-    def margin(self, window: bytes) -> int:
+    def margin(self, window: bytes) -> tuple[int, int]:
+        """Bytes saved, and bytes saved in 100 of the window."""
         padded = b" " + window + b" "
-        if not any(padded[i : i + MATCH] in self.strings for i in range(len(padded) - MATCH + 1)):
-            return 0
-        padded = HEAD + padded + TAIL
-        return max(0, len(self.ordinary.compress(padded)) - len(self.toxic.compress(padded)))
-
-    def of(self, found: list[list[bytes]]) -> Iterator[list[int]]:
+        strings = self.strings
+        if not any(padded[i : i + MATCH] in strings for i in range(len(padded) - MATCH + 1)):
+            return 0, 0
+        framed = HEAD + padded + TAIL
+        saved = max(0, len(self.ordinary.compress(framed)) - len(self.both.compress(framed)))
+        return saved, 100 * saved // len(padded)
+
+    def of(self, found: list[list[bytes]]) -> Iterator[list[tuple[int, int]]]:
         """The margins of the windows of each text of a batch."""
         used = {w for ws in found for w in ws}
         missing = used - self.kept.keys()
@@ -89,20 +97,41 @@ class Margins:
             yield list(map(get, ws))
 
 
-def train(samples: list[bytes], size: int) -> bytes:
-    """A zstandard dictionary of the samples; where they are too few to train on, of their plain content."""
+def train(texts: list[bytes], size: int) -> bytes:
+    """A zstandard dictionary of the texts; b"" where they are too few to train on."""
+    samples = [t[i : i + SAMPLE_BYTES] for t in texts for i in range(0, len(t), SAMPLE_BYTES)]
     total = sum(map(len, samples))
     try:
-        return zstandard.train_dictionary(max(256, min(size, total // 2)), samples).as_bytes()
+        return zstandard.train_dictionary(max(256, min(size, total // 2)), samples, k=SEGMENT, d=STRING).as_bytes()
     except (zstandard.ZstdError, ValueError):
-        return b"".join(samples)[-size:]
+        return b""
+
+
+def learn(toxic_texts: list[bytes], ordinary_texts: list[bytes], size: int, words: int) -> tuple[bytes, bytes]:
+    """The dictionaries for one size and one length of windows; the toxic one is empty where too few texts are given."""
+    toxic, ordinary = (train([t.translate(_LOWER) for t in ts], n) for ts, n in ((toxic_texts, size), (ordinary_texts, ORDINARY_BYTES)))
+    counts = Counter(w for t in ordinary_texts for w in windows(t, words))
+    for _ in range(ROUNDS if toxic else 0):
+        margins = Margins(toxic, ordinary)
+        false = sorted(((-n * saved, w) for w, n in counts.items() if (saved := margins.margin(w)[0]) >= FALSE_MARGIN))
+        added, held = [], 0
+        for _, w in false:
+            if held >= ROUND_BYTES:
+                break
+            added.append(b" " + w + b" ")
+            held += len(added[-1])
+        ordinary = b"".join(added) + ordinary
+    return toxic, ordinary
 
 
 class Model:
-    """Two dictionaries, the margin threshold, and the calibrated score of each bin of rates."""
+    """Two dictionaries, the words of a window, the threshold (unit 0: bytes, 1: hundredths), and each bin's score."""
+
+    def __init__(self, toxic: bytes, ordinary: bytes, words: int, unit: int, threshold: int, scores: list[float]):
+        self.toxic, self.ordinary, self.words, self.unit, self.threshold, self.scores = toxic, ordinary, words, unit, threshold, scores
+
 
-    def __init__(self, toxic: bytes, ordinary: bytes, margin: int, scores: list[float]):
-        self.toxic, self.ordinary, self.margin, self.scores = toxic, ordinary, margin, scores
+_TRIED = tuple((0, x) for x in BYTES) + tuple((1, x) for x in SHARES)
 
 
 def rate_bin(hits: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -115,56 +144,53 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = ROWS_PER_CLASS) -> Model
     chosen, sizes = training_sample(docs, labels, "toxic", MODULUS, REMAINDER, rows)
     total = sum(sizes.values())
     prior = sizes.get(1, 0) / total if total else 0.0
-    flat = Model(b"", b"", 1, [prior] * (len(RATES) + 1))
+    flat = Model(b"", b"", 1, 0, 1, [prior] * (len(RATES) + 1))
     if not sizes.get(0) or not sizes.get(1):
         return flat
-    # words are chosen in one half of the sample, thresholds and scores in the other
-    half = F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2))
-    learn, judge = chosen.filter(half == 0), chosen.filter(half == 1)
-    word = F.explode(F.array_distinct(F.split(F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), r"[\x20\x09-\x0D]+")))
-    n_t, n_o = learn.agg(F.count_if(F.col("label") == 1), F.count_if(F.col("label") == 0)).first()
-    counts = learn.select("label", word.alias("w")).filter(F.length("w").between(2, 64)).groupBy("w").agg(F.count_if(F.col("label") == 1).alias("t"), F.count_if(F.col("label") == 0).alias("o"))
-    counts = counts.filter((F.col("t") >= LEAST) | (F.col("o") >= 1))
-    t_rate, o_rate = (F.col("t") + 0.5) / (n_t + 1), (F.col("o") + 0.5) / (n_o + 1)
-    marked = counts.filter((F.col("t") >= LEAST) & (t_rate >= RATIO * o_rate)).orderBy(F.desc("t"), "w").limit(WORDS).collect()
-    plain = counts.filter(F.col("o") >= 1).orderBy(F.desc("o"), "w").limit(WORDS).collect()
-    ordinary = train(_samples(plain, "o"), ORDINARY_BYTES)
-    tried = {}
-    for share in SHARES:
-        if kept := [r for r in marked if r.t >= share * n_t]:
-            tried.setdefault(train(_samples(kept, "t") * 4, TOXIC_BYTES), share)
-    if not tried or not ordinary:
+    chosen = materialize(chosen, "labelled")
+    # at most 2 * rows texts; the dictionaries learn from one half, thresholds and scores from the other
+    sample = sorted({(r.doc_id, r.label, r.text or "") for r in chosen.select("doc_id", "label", "text", F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2)).alias("half")).filter("half = 0").drop("half").collect()})
+    texts = {y: [t.encode() for _, label, t in sample if label == y] for y in (0, 1)}
+    given = spark.sparkContext.broadcast(texts)
+
+    def learn_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for size, words in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                toxic, ordinary = learn(given.value[1], given.value[0], size, words)
+                yield pa.RecordBatch.from_pydict({"size": pa.array([size], pa.int32()), "words": pa.array([words], pa.int32()), "toxic": pa.array([toxic], pa.binary()), "ordinary": pa.array([ordinary], pa.binary())})
+
+    plans = [(size, words) for words in WINDOW_WORDS for size in TOXIC_BYTES]
+    dealt = spark.createDataFrame(plans, "size int, words int").repartition(len(plans))
+    learned = mapped(dealt, learn_all, "size int, words int, toxic binary, ordinary binary").collect()
+    pairs = sorted((r.words, r.size, bytes(r.toxic), bytes(r.ordinary)) for r in learned if r.toxic)
+    if not pairs:
         return flat
-    sent = spark.sparkContext.broadcast((list(tried), ordinary))
+    sent = spark.sparkContext.broadcast(pairs)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        toxics, plain_ = sent.value
-        pairs = [Margins(t, plain_) for t in toxics]
+        tried = [(words, Margins(toxic, ordinary)) for words, _, toxic, ordinary in sent.value]
         for batch in slices(batches, 500):
-            found = [windows(t) for t in binary_column(batch, "text")]
-            hits: list[list[int]] = [[] for _ in found]
-            for margins in pairs:
-                for own, ms in zip(hits, margins.of(found), strict=True):
-                    own += np.bincount(np.minimum(np.array(ms, np.int64), MARGINS[-1]), minlength=MARGINS[-1] + 1)[::-1].cumsum()[::-1][1:].tolist()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(map(len, found)), pa.int64()), pa.array(hits, pa.list_(pa.int64()))], names=["label", "n", "hits"])
-
-    measured = judge.select("label", "text").mapInArrow(measure, "label int, n long, hits array<long>").collect()
+            texts = binary_column(batch, "text")
+            counts: list[list[int]] = [[] for _ in texts]
+            for words, margins in tried:
+                found = [windows(t, words) for t in texts]
+                for own, ws, ms in zip(counts, found, margins.of(found), strict=True):
+                    saved = np.array(ms, np.int64).reshape(-1, 2)
+                    own += [len(ws), *(int((saved[:, unit] >= x).sum()) for unit, x in _TRIED)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.list_(pa.int64()))], names=["label", "counts"])
+
+    judged = chosen.filter(F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2)) == 1).select("label", "text")
+    measured = mapped(judged, measure, "label int, counts array<long>").collect()
+    discard(chosen)
     y = np.array([r.label == 1 for r in measured], bool)
     if y.all() or not y.any():
         return flat
-    hits, length = np.array([r.hits for r in measured], np.int64), np.array([r.n for r in measured], np.int64)
+    counts = np.array([r.counts for r in measured], np.int64).reshape(len(y), len(pairs), 1 + len(_TRIED))
     weight = np.where(y, sizes[1] / y.sum(), sizes[0] / (~y).sum())  # the sample's classes count as in the labels
-    found = [calibrate(rate_bin(hits[:, k], length), y, weight, prior) for k in range(hits.shape[1])]
-    best = max(range(len(found)), key=lambda k: found[k][0])
-    scores = found[best][1]
-    return Model(list(tried)[best // len(MARGINS)], ordinary, MARGINS[best % len(MARGINS)], scores)
-
-
-def _samples(rows: list, count: str) -> list[bytes]:
-    """Training samples of some eight words each, in which a word occurs as often as in `count`, 50 times at most."""
-    words = [b" " + r.w.encode() + b" " for r in rows for _ in range(min(50, r[count]))]
-    n = len(words) // 8 + 1
-    return [b"".join(words[i::n]) for i in range(n)]
+    found = {(p, x): calibrate(rate_bin(counts[:, p, 1 + x], counts[:, p, 0]), y, weight, prior) for p in range(len(pairs)) for x in range(len(_TRIED))}
+    p, x = max(found, key=lambda k: found[k][0])
+    words, _, toxic, ordinary = pairs[p]
+    return Model(toxic, ordinary, words, *_TRIED[x], found[p, x][1])
 
 
 def calibrate(bins: np.ndarray, y: np.ndarray, weight: np.ndarray, prior: float) -> tuple[tuple[float, float], list[float]]:
@@ -188,19 +214,19 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
         margins = Margins(m.toxic, m.ordinary) if m.toxic else None
-        gc.disable()
-        for batch in slices(batches, 1_000):
-            found = [windows(t) for t in binary_column(batch, "text")]
-            n = np.array([len(ws) for ws in found], np.int64)
-            if margins:
-                hits = np.array([sum(x >= m.margin for x in ms) for ms in margins.of(found)], np.int64)
-            else:
-                hits = np.zeros(len(found), np.int64)
-            scores = np.array(m.scores)[rate_bin(hits, n)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores), pa.array(n), pa.array(hits)], names=["doc_id", "score", "n_windows", "n_toxic_windows"])
+        with no_gc():
+            for batch in slices(batches, 1_000):
+                found = [windows(t, m.words) for t in binary_column(batch, "text")]
+                n = np.array([len(ws) for ws in found], np.int64)
+                if margins:
+                    hits = np.array([sum(x[m.unit] >= m.threshold for x in ms) for ms in margins.of(found)], np.int64)
+                else:
+                    hits = np.zeros(len(found), np.int64)
+                scores = np.array(m.scores)[rate_bin(hits, n)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores), pa.array(n), pa.array(hits)], names=["doc_id", "score", "n_windows", "n_toxic_windows"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    scored = docs.select("doc_id", "text").mapInArrow(scan, f"doc_id {kind}, score double, n_windows long, n_toxic_windows long")
+    scored = mapped(docs.select("doc_id", "text"), scan, f"doc_id {kind}, score double, n_windows long, n_toxic_windows long")
     return scored.select(
         "doc_id",
         held_out(F.col("doc_id"), MODULUS, REMAINDER).alias("held_out"),

@@ -95,4 +95,52 @@ def test_accepted_keeps_columns(frames):
 def test_margins_need_a_shared_string():
     margins = toxicity.Margins(b" blockhead  nitwit ", b" ordinary  words ")
     found = list(margins.of([[b"blockhead", b"zzz"], [], [b"nitwit", b"ordinary"]]))
-    assert found[0][0] >= 3 and found[0][1] == 0 and found[1] == [] and found[2][0] >= 3 and found[2][1] == 0
+    assert found[0][0][0] >= 3 and found[0][1] == (0, 0) and found[1] == [] and found[2][0][0] >= 3 and found[2][1][0] == 0
+    assert found[2][0][1] == 100 * found[2][0][0] // len(b" nitwit ")
+
+
+def test_scores_equal_brute_force(frames):
+    """Every window's margin computed anew, by plain calls of the compressors."""
+    docs, labels = frames
+    model = toxicity.fit(docs, labels)
+    assert model.toxic and model.words in toxicity.WINDOW_WORDS
+    fresh = toxicity.Margins(model.toxic, model.ordinary)
+    size = lambda c, w: len(c.compress(toxicity.HEAD + b" " + w + b" " + toxicity.TAIL))
+
+    def brute(text):
+        words = (text or "").encode().lower().split()
+        own = [b" ".join(words[i : i + model.words]) for i in range(0, len(words), model.words)]
+        hits = 0
+        for w in own:
+            saved = max(0, size(fresh.ordinary, w) - size(fresh.both, w))
+            shares = any(s in fresh.strings for s in (((b" " + w + b" ")[i : i + 4]) for i in range(len(w) - 1)))
+            hits += shares and (saved, 100 * saved // (len(w) + 2))[model.unit] >= model.threshold
+        return len(own), hits, model.scores[sum(1000 * hits / max(len(own), 1) > r for r in toxicity.RATES)]
+
+    texts = {}
+    for r in docs.collect():
+        texts.setdefault(r.doc_id, []).append(brute(r.text))
+    for r in toxicity.score(docs, model).collect():
+        assert any((r.n_windows, r.n_toxic_windows) == t[:2] and abs(r.score - t[2]) < 1e-12 for t in texts[r.doc_id])
+
+
+def test_ties_go_to_the_first_and_blocks_change_nothing():
+    rng = np.random.default_rng(3)
+    texts = [bytes(rng.integers(97, 100, 60).astype(np.uint8)) for _ in range(20)]
+    counts = np.stack([quality_classifier.histogram(t) for t in texts])
+    idf = np.ones(quality_classifier.FEATURES, np.float32)
+    x = quality_classifier.weigh(counts, idf)
+    axes = quality_classifier.latent_axes(x, 6)
+    vector = quality_classifier.unit(x @ axes)[:1]
+    y = (np.arange(300) < quality_classifier.NEIGHBOURS).astype(np.int8)  # the first of 300 equal neighbours are of class 1
+    model = quality_classifier.Model(idf, axes, np.repeat(vector, 300, axis=0), y, np.ones(300, np.float32), 0.5)
+    got = quality_classifier.vote(model, texts)
+    assert (got == 1.0).all()
+    assert all(quality_classifier.vote(model, [t])[0] == g for t, g in zip(texts, got, strict=True))
+
+
+def test_accepted_with_clashing_names(frames):
+    docs, labels = frames
+    named = docs.withColumn("quality_score", F.lit(2)).withColumn("_quality_score", F.lit("x"))
+    assert quality_classifier.accepted(named, labels).columns == named.columns
+    assert quality_classifier.accepted(named, labels).count() == quality_classifier.accepted(docs, labels).count()
