@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import binary_column, slices, table
+from .common import binary_column, fresh, mapped, slices, table
 from .labelled import ROWS_PER_CLASS, held_out, training_sample
 
 MODULUS, REMAINDER = 4, 2
@@ -77,17 +77,17 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = ROWS_PER_CLASS) -> Model
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 500):
             found = [histogram(t) for t in binary_column(batch, "text")]
-            packed = [None if h is None else np.minimum(h, 65_535).astype(np.uint16).tobytes() for h in found]
+            packed = [None if h is None else h.astype(np.uint32).tobytes() for h in found]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary())], names=["doc_id", "label", "counts"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    counted = chosen.select("doc_id", "label", "text").mapInArrow(count, f"doc_id {kind}, label int, counts binary").filter("counts is not null").collect()
+    counted = mapped(chosen.select("doc_id", "label", "text"), count, f"doc_id {kind}, label int, counts binary").filter("counts is not null").collect()
     counted.sort(key=lambda r: (r.doc_id, r.label, bytes(r.counts)))
     y = np.array([r.label for r in counted], np.int8)
     empty = Model(np.zeros(0), np.zeros(0), np.zeros((0, 0)), y[:0], np.zeros(0), prior)
     if not (y == 0).any() or not (y == 1).any():
         return empty
-    counts = np.stack([np.frombuffer(r.counts, np.uint16) for r in counted])
+    counts = np.stack([np.frombuffer(r.counts, np.uint32) for r in counted])
     del counted
     idf = np.log((1 + len(y)) / (1 + (counts > 0).sum(0))).astype(np.float32)
     x = weigh(counts, idf)
@@ -105,12 +105,17 @@ def vote(model: Model, texts: list[bytes | None]) -> np.ndarray:
     if not found:
         return out
     index = np.array([i for i, _ in found])
-    latent = unit(weigh(np.stack([h for _, h in found]), model.idf) @ model.axes)
-    cosines = latent @ model.vectors.T
+    # a block has BLOCK rows always, so that a document's products do not hang on those that share its block
+    counts = np.zeros((max(BLOCK, len(found)), FEATURES), np.int64)
+    counts[: len(found)] = [h for _, h in found]
+    latent = unit(weigh(counts, model.idf) @ model.axes)
+    cosines = (latent @ model.vectors.T)[: len(found)]
     k = min(NEIGHBOURS, len(model.labels))
-    near = np.argpartition(-cosines, k - 1, axis=1)[:, :k]
-    weight = np.maximum(np.take_along_axis(cosines, near, 1), 1e-6) ** POWER * model.weights[near]
-    out[index] = (weight * model.labels[near]).sum(1) / weight.sum(1)
+    least = np.partition(cosines, cosines.shape[1] - k, axis=1)[:, -k, None]
+    above, tied = cosines > least, cosines == least
+    near = above | (tied & (np.cumsum(tied, axis=1) <= k - above.sum(1, keepdims=True)))  # of equal ones the first
+    weight = np.where(near, np.maximum(cosines, 1e-6) ** POWER * model.weights, 0.0).astype(np.float64)
+    out[index] = weight @ model.labels / weight.sum(1)
     return np.clip(out, 0.0, 1.0)
 
 
@@ -123,7 +128,7 @@ def with_scores(docs: DataFrame, model: Model, column: str = "score") -> DataFra
             scores = pa.array(vote(sent.value, binary_column(batch, "text")), pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns, scores], names=[*batch.schema.names, column])
 
-    return docs.mapInArrow(scan, T.StructType([*docs.schema.fields, T.StructField(column, T.DoubleType())]))
+    return mapped(docs, scan, T.StructType([*docs.schema.fields, T.StructField(column, T.DoubleType())]))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -134,7 +139,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that are predicted good, with their own columns."""
-    name = "_quality_score"
+    name = fresh(docs, "quality_score")
     return with_scores(docs, fit(docs, labels), name).filter(F.col(name) >= THRESHOLD).drop(name)
 
 
