@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, materialize, trimmed
+from .common import fresh, mapped, materialize
 
 #: Bytes of text in a block, as soon as which it is closed.
 BLOCK_BYTES = 8 << 20
@@ -43,7 +43,6 @@ def packed(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
         name = int.from_bytes(os.urandom(8), "little") >> 1
         return pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), pa.array([n], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "n_bytes", "data"])
 
-    @trimmed
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         n = 0
@@ -62,7 +61,7 @@ def packed(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
             yield row(held, n)
 
     rows = docs.select(*[docs[c] for c in docs.columns], docs["doc_id"].try_cast("long").alias(fresh(docs, "id")))
-    return materialize(rows.mapInArrow(pack, "block long, n_bytes long, data binary"), "blocks")
+    return materialize(mapped(rows, pack, "block long, n_bytes long, data binary"), "blocks")
 
 
 class Block:

@@ -13,7 +13,6 @@ its own; other columns are ignored.
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import heapq
 import json
@@ -27,7 +26,7 @@ import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import slices, table
+from .common import mapped, no_gc, slices, table
 
 #: Bytes up to which the rank array is scanned; beyond, a heap gives the same order in n log n.
 SCAN_LIMIT = 128
@@ -283,18 +282,19 @@ def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = load(path)
-        gc.disable()  # nothing here makes cycles, and scanning a large cache for them takes long
-        for batch in slices(batches, 1_000):
-            counts, ids_sha, decoded_sha = [], [], []
-            for found in tokenizer.entries(batch.column(1).to_pylist()):
-                ids, decoded, n = zip(*found, strict=True) if found else ((), (), ())
-                counts.append(sum(n))
-                ids_sha.append(hashlib.sha256(" ".join(ids).encode()).hexdigest())
-                decoded_sha.append(hashlib.sha256(" ".join(decoded).encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(ids_sha), pa.array(decoded_sha)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        with no_gc():
+            for batch in slices(batches, 1_000):
+                counts, ids_sha, decoded_sha = [], [], []
+                for found in tokenizer.entries(batch.column(1).to_pylist()):
+                    ids, decoded, n = zip(*found, strict=True) if found else ((), (), ())
+                    counts.append(sum(n))
+                    ids_sha.append(hashlib.sha256(" ".join(ids).encode()).hexdigest())
+                    decoded_sha.append(hashlib.sha256(" ".join(decoded).encode()).hexdigest())
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(decoded_sha, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        tokenizer.cache.clear()  # workers are kept for other work
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(encode, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return mapped(docs.select("doc_id", "text"), encode, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import binary_column, table
+from .common import binary_column, mapped, table
 
 #: Words in a window of the benchmark.
 WINDOW = 10
@@ -199,7 +199,7 @@ def find_hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, keep: tup
             columns += [pa.array(counts, pa.int64()), pa.array(runs, pa.list_(pa.int64())), pa.array(lists, pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays(columns, names=[*keep, "n_words", "hit_runs", "items"])
 
-    return base.mapInArrow(scan, T.StructType([*fields, *_FOUND]))
+    return mapped(base, scan, T.StructType([*fields, *_FOUND]))
 
 
 def report(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -264,7 +264,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_c
             columns = [pa.array(texts, pa.large_binary()).cast(pa.large_string()).cast(kind) if i == at else batch.column(i) for i in range(batch.num_columns)]
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema).filter(pa.array(stay, pa.bool_()))
 
-    return docs.mapInArrow(clean, schema)
+    return mapped(docs, clean, schema)
 
 
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import binary_column, discard, fresh, materialize, slices, table, trimmed
+from .common import binary_column, discard, fresh, mapped, materialize, slices, table
 from .components import components
 
 #: Words in a shingle; two sets link when 100 * intersection >= PERCENT * union.
@@ -81,7 +81,6 @@ def frequency_levels(docs: DataFrame, bits: int = CELL_BITS, least: int = FREQUE
     cells, per = 1 << bits, (1 << bits) // CHUNKS
     shift = np.uint64(64 - bits)
 
-    @trimmed
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, pending, n = np.zeros(cells, np.uint32), [], 0
 
@@ -110,7 +109,7 @@ def frequency_levels(docs: DataFrame, bits: int = CELL_BITS, least: int = FREQUE
         yield pa.RecordBatch.from_pydict({"chunk": pa.array([key[0].as_py()], pa.int32()), "total": pa.array([int(total.sum())], pa.int64()), "counts": pa.array([zlib.compress(np.minimum(total, 0xFFFFFFFF).astype(np.uint32).tobytes(), 1)], pa.binary())})
 
     schema = "chunk int, part int, counts binary"
-    summed = docs.select("text").mapInArrow(count, schema).groupBy("chunk").applyInArrow(add, "chunk int, total long, counts binary").collect()
+    summed = mapped(docs.select("text"), count, schema).groupBy("chunk").applyInArrow(add, "chunk int, total long, counts binary").collect()
     usual = sum(r.total for r in summed) / cells
     out = np.zeros(cells, np.uint8)
     for r in summed:
@@ -125,7 +124,6 @@ def signatures(docs: DataFrame) -> DataFrame:
     sent = spark.sparkContext.broadcast(frequency_levels(docs))
     shift = np.uint64(64 - CELL_BITS)
 
-    @trimmed
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels = np.frombuffer(zlib.decompress(sent.value), np.uint8)
         for batch in slices(batches, 1_000):
@@ -147,7 +145,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                 names=["doc_id", "n", "n_bytes", "sig", "keys", "prefix"],
             )
 
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sign, "doc_id long, n long, n_bytes long, sig binary, keys array<long>, prefix array<long>")
+    out = mapped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), sign, "doc_id long, n long, n_bytes long, sig binary, keys array<long>, prefix array<long>")
     return materialize(out, "signatures")
 
 
@@ -161,14 +159,13 @@ def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     held = dealt.groupBy("a", "lot").agg(F.collect_list(F.struct("b", "text")).alias("members"))
     met = held.join(texts.select(F.col("b").alias("a"), F.col("text").alias("head")), "a").select("a", "head", "members")
 
-    @trimmed
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1):
             a, head = batch.column(0)[0].as_py(), shingles(batch.column(1)[0].as_py())
             ok = [m["b"] for m in batch.column(2)[0].as_py() if links(head, shingles(m["text"]))]
             yield pa.RecordBatch.from_arrays([pa.array([a] * len(ok), pa.int64()), pa.array(ok, pa.int64())], names=["a", "b"])
 
-    out = materialize(met.mapInArrow(compare, "a long, b long").distinct(), "verified")
+    out = materialize(mapped(met, compare, "a long, b long").distinct(), "verified")
     discard(pairs, with_b)
     return out
 
@@ -270,7 +267,6 @@ def open_blocks(pairs: DataFrame, dealt: DataFrame, docs: DataFrame) -> DataFram
         found = members.as_py()
         return [m["doc_id"] for m in found], [shingles(m["text"]) for m in found]
 
-    @trimmed
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, kept = None, ([], [])
         for batch in slices(batches, 1):
@@ -281,7 +277,7 @@ def open_blocks(pairs: DataFrame, dealt: DataFrame, docs: DataFrame) -> DataFram
             out = [(ids[i], kept[0][j]) for i, j in compare_blocks(sets, kept[1], a == b)]
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
 
-    out = materialize(met.mapInArrow(compare, "a long, b long").filter("a <> b").distinct(), "opened")
+    out = materialize(mapped(met, compare, "a long, b long").filter("a <> b").distinct(), "opened")
     discard(held)
     return out
 

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import binary_column, materialize, slices, table
+from .common import binary_column, mapped, materialize, slices, table
 
 #: Base rules: fewest words, and the percentage of words in repeated windows of WINDOW words.
 MIN_BASE_WORDS, MAX_REPEAT_PERCENT, WINDOW = 10, 20, 5
@@ -170,7 +170,7 @@ def reference_blocks(docs: DataFrame) -> Iterator[tuple[int, int, References]]:
                     sums[lang] += np.concatenate(histograms(text))
         yield rows()
 
-    parts = docs.filter("lang IS NOT NULL").select("lang", "text").mapInArrow(count, "lang string, bins array<long>, counts array<long>")
+    parts = mapped(docs.filter("lang IS NOT NULL").select("lang", "text"), count, "lang string, bins array<long>, counts array<long>")
     summed = parts.select("lang", F.explode(F.arrays_zip("bins", "counts")).alias("x")).groupBy("lang", F.col("x.bins").alias("bin")).agg(F.sum("x.counts").alias("n"))
     summed = summed.persist()
     is_class = F.col("bin") < CLASSES
@@ -224,7 +224,7 @@ def judge(docs: DataFrame, known: References) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     kinds = [kind, *["long"] * 5, *["boolean"] * 2, *["double"] * 2]
-    return docs.select("doc_id", "lang", "text").mapInArrow(scan, ", ".join(f"{n} {k}" for n, k in zip(_NAMES, kinds, strict=True)))
+    return mapped(docs.select("doc_id", "lang", "text"), scan, ", ".join(f"{n} {k}" for n, k in zip(_NAMES, kinds, strict=True)))
 
 
 _NAMES = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "class_distance", "word_distance"]

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import Block, answered, packed
-from .common import discard, materialize, table, trimmed
+from .common import mapped, materialize, table, trimmed
 
 #: Bytes of a string that is removed where it repeats, and of the rolling hash's window.
 LENGTH, TRIGGER = 50, 24
@@ -227,7 +227,6 @@ def shared_triggers(blocks: DataFrame, at: int, buckets: int) -> DataFrame:
     """For each block and bucket: the state of each trigger (0: of one document, 1: shared, 2: hot), and the least
     doc_id of each whole text."""
 
-    @trimmed
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, data in zip(_column(batch, "block"), batch.column(batch.schema.get_field_index("data")), strict=True):
@@ -263,7 +262,7 @@ def shared_triggers(blocks: DataFrame, at: int, buckets: int) -> DataFrame:
         for i, name in enumerate(names):
             yield _batch([(name, bucket, _squeeze(states[k[i] : k[i + 1]]), first[t[i] : t[i + 1]].tobytes())], _STATES)
 
-    sent = blocks.select("block", "data").mapInArrow(send, _SENT)
+    sent = mapped(blocks.select("block", "data"), send, _SENT)
     return materialize(sent.groupBy("bucket").applyInArrow(meet, _STATES), "trigger-states")
 
 
@@ -401,7 +400,6 @@ def origins(records: np.ndarray, keys: np.ndarray, least: np.ndarray, most: np.n
 def repeats(blocks: DataFrame, states: DataFrame, at: int, buckets: int) -> DataFrame:
     """For each block and bucket: entries of the block's dictionary, ranges of their strings, and where those start."""
 
-    @trimmed
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, data, answers in zip(_column(batch, "block"), batch.column(1), batch.column(2), strict=True):
@@ -431,7 +429,7 @@ def repeats(blocks: DataFrame, states: DataFrame, at: int, buckets: int) -> Data
             if len(own):
                 yield _batch([(name, bucket, _squeeze((entry[own] - offsets[i]).astype(np.int32)), _squeeze(span[own]), _squeeze(origin[own]))], _REPEATS)
 
-    sent = answered(blocks.select("block", "data"), states).mapInArrow(send, _ENTRIES)
+    sent = mapped(answered(blocks.select("block", "data"), states), send, _ENTRIES)
     return materialize(sent.groupBy("bucket").applyInArrow(meet, _REPEATS), "repeats")
 
 
@@ -495,14 +493,13 @@ def report(docs: DataFrame) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     blocks, at, buckets = cut_blocks(docs.select("doc_id", "text"))
 
-    @trimmed
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, cut in _opened(batches, at, buckets):
             digests = [hashlib.sha256(cut.bytes_of(r)).hexdigest() for r in range(len(block.ids))]
             ids = block.rows.column(0).combine_chunks()
             yield pa.RecordBatch.from_arrays([ids, pa.array(np.diff(block.offsets)), pa.array(cut.removed), pa.array(cut.spans), pa.array(digests, pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return blocks.mapInArrow(judge, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return mapped(blocks, judge, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
@@ -510,7 +507,6 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     schema = docs.schema
     blocks, at, buckets = cut_blocks(docs)
 
-    @trimmed
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, cut in _opened(batches, at, buckets):
             held = block.rows.column(at).combine_chunks()
@@ -518,7 +514,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
             columns = [pa.array(texts, held.type) if i == at else block.rows.column(i).combine_chunks() for i in range(block.rows.num_columns)]
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return blocks.mapInArrow(keep, schema)
+    return mapped(blocks, keep, schema)
 
 
 def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

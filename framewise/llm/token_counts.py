@@ -12,7 +12,6 @@ its own; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -20,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import load, tokenizer_path
-from .common import slices, table
+from .common import mapped, no_gc, slices, table
 
 TOKENIZER_FILE = "byte_bpe_50k.json"
 #: Pre-tokens in a leaf; characters that a pre-token's end can depend on beyond itself; pre-tokens kept counted.
@@ -155,22 +154,22 @@ def count_documents(docs: DataFrame, edits: Callable[[str], list[Edit]] = mask_e
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter(path, pattern)
-        gc.disable()
-        for batch in slices(batches, 500):
-            rows = []
-            found = [counter.split(t) if t else [] for t in batch.column(1).to_pylist()]
-            counter.learn({p for pieces in found for p in pieces})
-            for k, text in enumerate(batch.column(1).to_pylist()):
-                tree = TokenTree(found[k], counter)
-                before, todo = tree.total, edits(text) if text else []
-                for edit in reversed(todo):  # from the end, so that positions stay those of the original
-                    tree.edit(*edit)
-                rows.append((before, len(todo), tree.total, tree.reencoded))
-            columns = list(zip(*rows, strict=True)) if rows else [()] * 4
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in columns)], names=names)
+        with no_gc():
+            for batch in slices(batches, 500):
+                rows = []
+                found = [counter.split(t) if t else [] for t in batch.column(1).to_pylist()]
+                counter.learn({p for pieces in found for p in pieces})
+                for k, text in enumerate(batch.column(1).to_pylist()):
+                    tree = TokenTree(found[k], counter)
+                    before, todo = tree.total, edits(text) if text else []
+                    for edit in reversed(todo):  # from the end, so that positions stay those of the original
+                        tree.edit(*edit)
+                    rows.append((before, len(todo), tree.total, tree.reencoded))
+                columns = list(zip(*rows, strict=True)) if rows else [()] * 4
+                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in columns)], names=names)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(count, f"doc_id {kind}, " + ", ".join(f"{n} long" for n in names[1:]))
+    return mapped(docs.select("doc_id", "text"), count, f"doc_id {kind}, " + ", ".join(f"{n} long" for n in names[1:]))
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
