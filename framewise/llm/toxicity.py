@@ -33,11 +33,11 @@ MODULUS, REMAINDER = 3, 1
 #: A document is predicted toxic from this score on.
 THRESHOLD = 0.7
 #: Bytes of the dictionaries (toxic: those tried), and of the training samples that texts are dealt into.
-TOXIC_BYTES, ORDINARY_BYTES, SAMPLE_BYTES = (512, 1_024, 2_048), 8_192, 200
+TOXIC_BYTES, ORDINARY_BYTES, SAMPLE_BYTES = (1_024, 2_048, 3_072, 4_096), 8_192, 200
 #: Length of zstandard's training segments, and of the strings whose frequency it counts.
-SEGMENT, STRING = 32, 6
+SEGMENT, STRING = 16, 6
 #: Rounds in which ordinary windows with a margin go to the ordinary dictionary, bytes of them a round, least margin.
-ROUNDS, ROUND_BYTES, FALSE_MARGIN = 3, 8_192, 3
+ROUNDS, ROUND_BYTES, FALSE_MARGIN = 3, 16_384, 3
 #: Words of a window that are tried.
 WINDOW_WORDS = (1, 2, 4)
 #: Thresholds that are tried: bytes saved, or bytes saved in 100 of the window; and the bins of toxic windows per 1,000.
