@@ -1,17 +1,22 @@
 """Zstandard web archives (.warc.zst): one frame per record, the dictionary in a leading skippable frame.
 
-Writing deals the pages over archives in the shared folder; the manifest, itself a committed table, names the
-archives of the tasks that succeeded, so that a repeated task leaves no second copy of its records. Reading
-streams frame by frame: an archive is never held whole, only one record is.
-
-Defined results: a null payload is empty; payloads under MIN_REVISIT bytes are always responses; of equal
-larger payloads the smallest page_id is the response, and rows that repeat that very page_id are responses
-too; a null page_id revisits a numbered one, and among only null ids all are responses; a null url gives the
-record's own urn as target; an empty table gives an empty result. Other columns are ignored.
+Writing deals the pages over archives in the shared folder; the manifest, itself a committed table, names the archives
+of the tasks that succeeded, so that a repeated task leaves no second copy of its records. Reading streams frame by
+frame: an archive is never held whole, only one record is, and none over a given size.
+
+`parse` validates any WARC/1.0 or 1.1 record: version, header lines, the mandatory headers, the length, block and payload
+digests (sha1, sha256 or md5, in hex or base32) where they are given, and what a revisit must name. Records of all
+types pass; further skippable frames are left out. `read_archives` reads the archives of `write_archives`.
+
+Defined results: a null payload is empty; payloads under MIN_REVISIT bytes are always responses; of equal larger
+payloads the smallest page_id is the response, and rows that repeat that very page_id are responses too; a null page_id
+revisits a numbered one, and among only null ids all are responses; a null url gives the record's own urn as target; an
+empty table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import struct
 import uuid
@@ -23,19 +28,22 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import binary_column, materialize, scratch_path, table
+from .common import mapped, materialize, scratch_path, slices, table
 
 #: Payloads shorter than this are stored again rather than revisited.
 MIN_REVISIT = 100
 #: Pages whose records train the dictionary, bytes taken of each at most, and bytes of the dictionary.
 SAMPLE_PAGES, SAMPLE_BYTES, DICTIONARY_BYTES = 500, 16_384, 65_536
-#: An archive is closed once it has so many bytes.
-ARCHIVE_BYTES = 64 << 20
+#: An archive is closed once it has so many bytes; a record or dictionary that unpacks to more than so many is refused.
+ARCHIVE_BYTES, RECORD_BYTES = 64 << 20, 1 << 30
+#: Compressed bytes that are unpacked at once.
+BITE = 1 << 12
 
 #: Fixed values of the zstd and WARC formats.
-SKIPPABLE_DICTIONARY_MAGIC = 0x184D2A5D
+SKIPPABLE_MAGIC, SKIPPABLE_DICTIONARY_MAGIC = 0x184D2A50, 0x184D2A5D
 ZSTD_MAGIC = b"\x28\xb5\x2f\xfd"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+DIGESTS = ("sha1", "sha256", "md5")
 REQUIRED = ("WARC-Record-ID", "WARC-Type", "WARC-Date", "Content-Length")
 
 
@@ -63,45 +71,83 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
+def _headers(lines: list[str]) -> dict[str, str]:
+    """Header lines by lower-case name; a line that starts with a blank continues the one before."""
+    out: dict[str, str] = {}
+    last = ""
+    for line in lines:
+        if line[:1] in (" ", "\t") and last:
+            out[last] += " " + line.strip()
+            continue
+        key, colon, value = line.partition(":")
+        if not colon or not key.strip() or key != key.strip():
+            raise WarcError(f"bad header line: {line[:80]!r}")
+        last = key.lower()
+        out[last] = value.strip()
+    return out
+
+
+def _matches(labelled: str, data: bytes) -> bool:
+    """Whether a digest such as sha1:BASE32 or sha256:hex is that of the data; one of an unknown kind is not judged."""
+    algorithm, _, value = labelled.partition(":")
+    if algorithm.lower() not in DIGESTS:
+        return True
+    raw = hashlib.new(algorithm.lower(), data).digest()
+    return value.lower() == raw.hex() or value.upper().rstrip("=") == base64.b32encode(raw).decode().rstrip("=")
+
+
 def parse(data: bytes) -> dict:
-    """The record's facts, after validation of its version, headers, lengths and payload digest."""
+    """The record's facts, after validation: record_id, record_type, date, target, refers_to, n_block, headers, and of
+    HTTP responses and revisits payload_bytes (null where a revisit does not tell it) and payload_digest."""
     head, sep, rest = data.partition(b"\r\n\r\n")
-    lines = head.decode("utf-8").split("\r\n")
+    try:
+        lines = head.decode("utf-8").split("\r\n")
+    except UnicodeDecodeError as e:
+        raise WarcError("the headers are no UTF-8") from e
     if not sep or lines[0] not in ("WARC/1.0", "WARC/1.1"):
         raise WarcError(f"no WARC version: {lines[0][:40]!r}")
-    headers: dict[str, str] = {}
-    for line in lines[1:]:
-        key, colon, value = line.partition(":")
-        if not colon or not key.strip():
-            raise WarcError(f"bad header line: {line[:80]!r}")
-        headers[key.strip().lower()] = value.strip()
+    headers = _headers(lines[1:])
     if missing := [h for h in REQUIRED if h.lower() not in headers]:
         raise WarcError(f"missing headers: {', '.join(missing)}")
-    if not headers["content-length"].isdigit():
+    if not (headers["content-length"].isascii() and headers["content-length"].isdigit()):
         raise WarcError("Content-Length is no number")
     n = int(headers["content-length"])
     if len(rest) != n + 4 or rest[n:] != b"\r\n\r\n":
         raise WarcError(f"Content-Length is {n}; the frame holds {len(rest) - 4} bytes and its end")
-    http, sep, payload = rest[:n].partition(b"\r\n\r\n")
-    fields = dict(x.lower().split(b": ", 1) for x in http.split(b"\r\n")[1:])
-    if not sep or not fields.get(b"content-length", b"").isdigit():
-        raise WarcError("the block is no HTTP message with a length")
-    full, kind = int(fields[b"content-length"]), headers["warc-type"]
-    algorithm, _, digest = headers.get("warc-payload-digest", "").partition(":")
-    if algorithm != "sha256":
-        raise WarcError("no sha256 payload digest")
-    if kind == "response" and (len(payload) != full or hashlib.sha256(payload).hexdigest() != digest):
-        raise WarcError("the payload differs from its length or digest")
-    if kind == "revisit" and (payload or "warc-refers-to" not in headers):
-        raise WarcError("a revisit with a payload, or without the record it refers to")
-    number = lambda urn: None if urn in (None, "<urn:page:none>") else int(urn.removeprefix("<urn:page:").removesuffix(">"))
-    return {
-        "page_id": number(headers["warc-record-id"]),
-        "payload_bytes": full,
-        "payload_digest": digest,
-        "record_type": kind,
-        "refers_to": number(headers.get("warc-refers-to")),
-    }
+    block, kind = rest[:n], headers["warc-type"]
+    if "warc-block-digest" in headers and not _matches(headers["warc-block-digest"], block):
+        raise WarcError("the block differs from its digest")
+    unwrapped = lambda name: headers[name].removeprefix("<").removesuffix(">") if name in headers else None
+    facts = {"record_id": unwrapped("warc-record-id"), "record_type": kind, "date": headers["warc-date"], "target": unwrapped("warc-target-uri"), "refers_to": unwrapped("warc-refers-to"), "n_block": n, "headers": headers, "payload_bytes": None, "payload_digest": headers.get("warc-payload-digest")}
+    if kind == "revisit" and not {"warc-refers-to", "warc-refers-to-target-uri", "warc-payload-digest"} & set(headers):
+        raise WarcError("a revisit that names neither a record, a target nor a digest")
+    if kind not in ("response", "revisit") or not headers.get("content-type", "").lower().startswith("application/http"):
+        return facts
+    http, sep, payload = block.partition(b"\r\n\r\n")
+    if not http.startswith(b"HTTP/") or not sep:
+        raise WarcError("the block is no HTTP message")
+    fields = _headers(http.decode("latin-1").split("\r\n")[1:])
+    length = fields.get("content-length", "")
+    full = int(length) if length.isascii() and length.isdigit() else None
+    if kind == "revisit":
+        if payload:
+            raise WarcError("a revisit with a payload")
+        return facts | {"payload_bytes": full}
+    if "transfer-encoding" not in fields and full not in (None, len(payload)) and headers.get("warc-truncated") is None:
+        raise WarcError(f"the payload has {len(payload)} bytes; its length is {full}")
+    if "warc-payload-digest" in headers and "transfer-encoding" not in fields and not _matches(headers["warc-payload-digest"], payload):
+        raise WarcError("the payload differs from its digest")
+    return facts | {"payload_bytes": len(payload)}
+
+
+def page_facts(data: bytes) -> dict:
+    """The columns of a record that `record` made."""
+    facts = parse(data)
+    number = lambda urn: None if urn in (None, "urn:page:none") else int(urn.removeprefix("urn:page:"))
+    algorithm, _, digest = (facts["payload_digest"] or "").partition(":")
+    if algorithm != "sha256" or facts["payload_bytes"] is None:
+        raise WarcError("no sha256 payload digest, or no length of the payload")
+    return {"page_id": number(facts["record_id"]), "payload_bytes": facts["payload_bytes"], "payload_digest": digest, "record_type": facts["record_type"], "refers_to": number(facts["refers_to"])}
 
 
 def train(samples: list[bytes], size: int = DICTIONARY_BYTES) -> bytes:
@@ -121,53 +167,90 @@ def frame_of(dictionary: bytes) -> bytes:
     return struct.pack("<II", SKIPPABLE_DICTIONARY_MAGIC, len(packed)) + packed
 
 
-def read_records(stream, chunk: int = 1 << 20) -> Iterator[bytes]:
-    """The records of an open archive, each from a frame of its own."""
-    buffer = stream.read(8)
-    dictionary = None
-    if len(buffer) == 8 and struct.unpack("<I", buffer[:4])[0] == SKIPPABLE_DICTIONARY_MAGIC:
-        length = struct.unpack("<I", buffer[4:])[0]
-        raw = stream.read(length)
-        if len(raw) != length:
-            raise WarcError("the dictionary frame is cut short")
-        if raw[:4] == ZSTD_MAGIC:
-            raw = zstandard.ZstdDecompressor().decompress(raw)
-        dictionary = zstandard.ZstdCompressionDict(raw)
-        buffer = b""
-    decompressor = zstandard.ZstdDecompressor(dict_data=dictionary) if dictionary else zstandard.ZstdDecompressor()
+def _exactly(stream, n: int, what: str) -> bytes:
+    parts, held = [], 0
+    while held < n:
+        part = stream.read(n - held)
+        if not part:
+            raise WarcError(f"{what} is cut short")
+        parts.append(part)
+        held += len(part)
+    return b"".join(parts)
+
+
+def read_records(stream, chunk: int = 1 << 16, most: int = RECORD_BYTES) -> Iterator[bytes]:
+    """The records of an open archive, each from a frame of its own and of at most so many bytes."""
+    dictionary, buffer, first = None, b"", True
+    decompressor = zstandard.ZstdDecompressor()
     while True:
-        buffer = buffer or stream.read(chunk)
+        while len(buffer) < 8:
+            part = stream.read(chunk)
+            if not part:
+                break
+            buffer += part
         if not buffer:
             return
-        frame, parts = decompressor.decompressobj(), []
+        magic = struct.unpack("<I", buffer[:4])[0] if len(buffer) >= 4 else 0
+        if SKIPPABLE_MAGIC <= magic < SKIPPABLE_MAGIC + 16:
+            if len(buffer) < 8:
+                raise WarcError("a skippable frame is cut short")
+            length = struct.unpack("<I", buffer[4:8])[0]
+            raw, buffer = buffer[8 : 8 + length], buffer[8 + length :]
+            if len(raw) < length:
+                if magic == SKIPPABLE_DICTIONARY_MAGIC and length > most:
+                    raise WarcError(f"the dictionary frame has over {most} bytes")
+                raw += _exactly(stream, length - len(raw), "a skippable frame")
+            if first and magic == SKIPPABLE_DICTIONARY_MAGIC:
+                if raw[:4] == ZSTD_MAGIC:
+                    raw = _unpacked(zstandard.ZstdDecompressor(), raw, most)
+                dictionary = zstandard.ZstdCompressionDict(raw)
+                decompressor = zstandard.ZstdDecompressor(dict_data=dictionary)
+            first = False
+            continue
+        first = False
+        frame, parts, size = decompressor.decompressobj(), [], 0
         while not frame.eof:
             try:
-                parts.append(frame.decompress(buffer))
+                # small bites, so that a frame that swells is noticed before much of it is held
+                parts.append(frame.decompress(buffer[:BITE]))
             except zstandard.ZstdError as e:
                 raise WarcError(f"bad frame: {e}") from e
-            buffer = frame.unused_data if frame.eof else stream.read(chunk)
+            size += len(parts[-1])
+            if size > most:
+                raise WarcError(f"a record has over {most} bytes")
+            buffer = (frame.unused_data if frame.eof else b"") + buffer[BITE:]
             if not frame.eof and not buffer:
-                raise WarcError("the last frame is cut short")
+                buffer = stream.read(chunk)
+                if not buffer:
+                    raise WarcError("the last frame is cut short")
         yield b"".join(parts)
 
 
+def _unpacked(decompressor: zstandard.ZstdDecompressor, data: bytes, most: int) -> bytes:
+    try:
+        return decompressor.decompress(data, max_output_size=most)
+    except zstandard.ZstdError as e:
+        raise WarcError(f"bad dictionary frame: {e}") from e
+
+
 def _open(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
     return pyarrow.fs.FileSystem.from_uri(uri) if "://" in uri else (pyarrow.fs.LocalFileSystem(), uri.removeprefix("file:"))
 
 
 def classify(pages: DataFrame) -> DataFrame:
-    """page_id, url, html, digest and refers_to of each page; only digests are shuffled unless copies abound."""
+    """page_id, url, html, digest and refers_to of each page.
+
+    Copies are found from ids and digests alone. The pages themselves are shuffled once, by id and digest, to meet what
+    they refer to: a payload that many pages share is dealt like any other.
+    """
     html = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     base = pages.select("page_id", "url", html.alias("html"), F.sha2(html, 256).alias("digest"))
-    first = (
-        base.filter(F.length("html") >= MIN_REVISIT)
-        .groupBy("digest")
-        .agg(F.min("page_id").alias("first_id"), F.count("*").alias("n"))
-        .filter("n > 1")
-        .select("digest", "first_id")
-    )
-    refers = F.when((F.length("html") >= MIN_REVISIT) & ~F.col("page_id").eqNullSafe(F.col("first_id")), F.col("first_id"))
-    return base.join(first, "digest", "left").select("page_id", "url", "html", "digest", refers.cast("long").alias("refers_to"))
+    known = materialize(base.filter(F.length("html") >= MIN_REVISIT).select("page_id", "digest"), "digests")
+    first = known.groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).filter("n > 1 AND first_id IS NOT NULL")
+    copies = known.join(first.select("digest", F.col("first_id").cast("long").alias("refers_to")), "digest").filter("NOT page_id <=> refers_to")
+    copies = copies.select(F.col("page_id").alias("id"), F.col("digest").alias("of"), "refers_to").distinct()
+    met = base.join(copies, base["page_id"].eqNullSafe(copies["id"]) & (base["digest"] == copies["of"]), "left")
+    return met.select("page_id", "url", "html", "digest", "refers_to")
 
 
 def sample(pages: DataFrame, rows: int = SAMPLE_PAGES, most: int = SAMPLE_BYTES) -> list[bytes]:
@@ -193,7 +276,7 @@ def write_archives(classified: DataFrame, dictionary: bytes, folder: str, date:
             trained.precompute_compress(level=3)
         compressor = zstandard.ZstdCompressor(dict_data=trained, **options) if trained else zstandard.ZstdCompressor(**options)
         out, path, records, size, done = None, "", 0, 0, []
-        for batch in batches:
+        for batch in slices(batches, 100):
             columns = [batch.column(i).to_pylist() for i in range(batch.num_columns)]
             for page_id, url, html, digest, refers_to in zip(*columns, strict=True):
                 if out is None:
@@ -214,7 +297,7 @@ def write_archives(classified: DataFrame, dictionary: bytes, folder: str, date:
         prefix = folder[: len(folder) - len(base)] if folder.endswith(base) else ""
         yield pa.RecordBatch.from_pydict({"path": [prefix + p for p, _, _ in done], "n_records": pa.array([n for _, n, _ in done], pa.int64()), "n_bytes": pa.array([n for _, _, n in done], pa.int64())}, schema=pa.schema([("path", pa.string()), ("n_records", pa.int64()), ("n_bytes", pa.int64())]))
 
-    return materialize(classified.mapInArrow(write, "path string, n_records long, n_bytes long"), "warc-manifest")
+    return materialize(mapped(classified, write, "path string, n_records long, n_bytes long"), "warc-manifest")
 
 
 def read_archives(manifest: DataFrame, tasks: int | None = None) -> DataFrame:
@@ -228,7 +311,7 @@ def read_archives(manifest: DataFrame, tasks: int | None = None) -> DataFrame:
                 rows, n = [], 0
                 with fs.open_input_stream(at) as stream:
                     for data in read_records(stream):
-                        rows.append(parse(data))
+                        rows.append(page_facts(data))
                         n += 1
                         if len(rows) == 4096:
                             yield pa.RecordBatch.from_pylist(rows, schema=schema)
@@ -239,7 +322,7 @@ def read_archives(manifest: DataFrame, tasks: int | None = None) -> DataFrame:
 
     spark = manifest.sparkSession
     dealt = manifest.select("path", "n_records").repartition(tasks or int(spark.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("path"))
-    return dealt.mapInArrow(read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    return mapped(dealt, read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
