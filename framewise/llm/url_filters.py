@@ -68,39 +68,39 @@ def prepared(rules: DataFrame) -> DataFrame:
 
 
 def judge(pages: DataFrame, rules: DataFrame, default: str = DEFAULT_VERDICT) -> DataFrame:
-    """page_id, host, path, rule and verdict of every page."""
+    """page_id, host, path, rule and verdict of every page.
+
+    Each page takes its own expressions to the rules and back, under page_id, host and path: a host that many pages
+    share is no key. The expressions of a page stay in one task until the best rule is found, so that little is sent.
+    """
     host, path = parse_url(F.col("url"))
     urls = pages.select("page_id", host.alias("host"), path.alias("path"))
+    # rules that have one expression are one rule; the shapes are few: host labels times lengths of paths
+    single = rules.groupBy("rule_digest").agg(F.max(F.struct("host_chars", (F.col("verdict") == "block").alias("blocks"), "rule", "verdict", "prefix")).alias("r"))
+    single = single.select("rule_digest", "r.*")
     shapes = [tuple(r) for r in rules.select("labels", "chars").distinct().collect()]
     n_rules = rules.count()
-    if not shapes:
-        return urls.select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
-    labels = F.col("_labels")
+    labels = F.col("labels")
     candidates = [
         F.when(
-            (F.size(labels) >= k) & (F.length("path") >= n),
+            (F.size(labels) >= k) & (F.length("path") >= n) & (F.col("host") != ""),
             F.concat(F.array_join(F.slice(labels, -k, k), "."), F.substring("path", 1, n)),
         )
         for k, n in sorted(shapes)
     ]
-    # a verdict hangs on host and path alone, so each pair is expanded once, however many pages share it
-    distinct = urls.filter("host <> ''").select("host", "path").distinct()
+    # the first expression, always null, stands for the page itself
     expanded = (
-        distinct.withColumn("_labels", F.split("host", r"\."))
-        .select("host", "path", F.explode(F.array_compact(F.array(*candidates))).alias("_expression"))
-        .select("host", "path", F.sha2("_expression", 256).alias("_digest"))
-        .withColumn("prefix", F.substring("_digest", 1, PREFIX_DIGITS))
-    )
-    best = F.max(F.struct(F.length("rule"), "host_chars", (F.col("verdict") == "block").alias("blocks"), "rule", "verdict"))
-    matched = (
-        expanded.join(small(rules, n_rules, BROADCAST_RULES), "prefix")
-        .filter(F.col("_digest") == F.col("rule_digest"))
-        .groupBy("host", "path")
-        .agg(best.alias("best"))
-        .select("host", "path", F.col("best.rule").alias("rule"), F.col("best.verdict").alias("verdict"))
+        urls.withColumn("labels", F.split("host", r"\."))
+        .select("page_id", "host", "path", F.posexplode(F.array(F.lit(None).cast("string"), *candidates)).alias("place", "expression"))
+        .filter("place = 0 OR expression IS NOT NULL")
+        .withColumn("digest", F.sha2("expression", 256))
+        .withColumn("prefix", F.substring("digest", 1, PREFIX_DIGITS))
     )
-    out = urls.join(matched, ["host", "path"], "left")
-    return out.select("page_id", "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))
+    met = expanded.alias("e").join(small(single, n_rules, BROADCAST_RULES).alias("r"), (F.col("e.prefix") == F.col("r.prefix")) & (F.col("e.digest") == F.col("r.rule_digest")), "left")
+    best = F.max(F.when(F.col("rule").isNotNull(), F.struct(F.length("rule"), "host_chars", "blocks", "rule", "verdict")))
+    judged = met.groupBy("page_id", "host", "path").agg(best.alias("best"), F.count_if(F.col("place") == 0).alias("rows"))
+    each = judged.select("page_id", "host", "path", "best", F.explode(F.array_repeat(F.lit(0), F.col("rows").cast("int"))))
+    return each.select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
 
 
 def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
