@@ -149,14 +149,13 @@ def signatures(docs: DataFrame) -> DataFrame:
     return materialize(out, "signatures")
 
 
-def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+def verify(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
     """Those pairs (a, b) of doc_ids whose texts' sets link; the texts of b are dealt in lots, each with a's text once."""
-    pairs = materialize(pairs.select("a", "b").distinct(), "pairs")
+    sized = pairs.join(sets.groupBy(F.col("doc_id").alias("b")).agg(F.max("n_bytes").alias("n_bytes")), "b")
+    lots = sized.groupBy("a").agg(_shares("n_bytes", BLOCK_BYTES).alias("lots"))
+    dealt = materialize(sized.join(lots, "a").select("a", "b", F.pmod(F.xxhash64("b"), "lots").alias("lot")), "pairs")
     texts = docs.select(F.col("doc_id").cast("long").alias("b"), F.col("text").cast("binary").alias("text"))
-    with_b = materialize(pairs.join(texts, "b").withColumn("n_bytes", F.length("text")), "pair-texts")
-    lots = with_b.groupBy("a").agg(_shares("n_bytes", "n_bytes").alias("lots"))
-    dealt = with_b.join(lots, "a").withColumn("lot", F.pmod(F.xxhash64("b"), "lots"))
-    held = dealt.groupBy("a", "lot").agg(F.collect_list(F.struct("b", "text")).alias("members"))
+    held = texts.join(dealt, "b").groupBy("a", "lot").agg(F.collect_list(F.struct("b", "text")).alias("members"))
     met = held.join(texts.select(F.col("b").alias("a"), F.col("text").alias("head")), "a").select("a", "head", "members")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,13 +165,13 @@ def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([a] * len(ok), pa.int64()), pa.array(ok, pa.int64())], names=["a", "b"])
 
     out = materialize(mapped(met, compare, "a long, b long").distinct(), "verified")
-    discard(pairs, with_b)
+    discard(dealt)
     return out
 
 
-def _shares(n: str, n_bytes: str) -> Column:
-    """Into how many parts a group is dealt, by its rows, tokens (or bytes, for n) and bytes."""
-    return F.ceil(F.greatest(F.count("*") / BLOCK_SETS, F.sum(n) / (BLOCK_TOKENS if n != n_bytes else BLOCK_BYTES), F.sum(n_bytes) / BLOCK_BYTES))
+def _shares(of: str, most: int) -> Column:
+    """Into how many parts a group is dealt, by its rows and the sum of a column."""
+    return F.ceil(F.greatest(F.count("*") / BLOCK_SETS, F.sum(of) / most))
 
 
 def similar(sets: DataFrame) -> DataFrame:
@@ -185,37 +184,42 @@ def similar(sets: DataFrame) -> DataFrame:
 
 
 def blocks(sets: DataFrame, pure: DataFrame, heads: DataFrame) -> DataFrame:
-    """The sets with their block (its least doc_id) and the block's kin: its component's id if it is pure, else its own.
+    """doc_id, its block (named by its least doc_id), whether that is pure, and the block's kin: of a pure one its
+    component's id, else its own. Blocks of one kin need no comparison.
 
-    A group of sets is a component (pure) or shares a head; large ones are dealt out. Blocks of one kin need no
-    comparison. Each doc_id is in one block, so ids of blocks and of components never meet by chance.
+    A group of sets is a component (pure) or shares a head; large ones are dealt out. Each doc_id is in one block, so
+    names of blocks and of components never meet by chance.
     """
-    named = sets.join(pure.withColumnRenamed("id", "doc_id"), "doc_id", "left").join(heads, "doc_id", "left")
-    grouped = named.select("doc_id", "n", "n_bytes", "prefix", F.col("component").isNotNull().alias("pure"), F.coalesce("component", "head", "doc_id").alias("g"))
-    grouped = materialize(grouped, "grouped")
-    large = grouped.groupBy("pure", "g").agg(_shares("n", "n_bytes").alias("shares")).filter("shares > 1")
-    dealt = grouped.join(large, ["pure", "g"], "left").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.coalesce("shares", F.lit(1))))
-    dealt = materialize(dealt.select("doc_id", "n", "prefix", "pure", "g", "salt"), "salted")
+    sizes = sets.groupBy("doc_id").agg(F.sum("n").alias("n"), F.sum("n_bytes").alias("n_bytes"))
+    named = sizes.join(pure.withColumnRenamed("id", "doc_id"), "doc_id", "left").join(heads, "doc_id", "left")
+    grouped = materialize(named.select("doc_id", "n", "n_bytes", F.col("component").isNotNull().alias("pure"), F.coalesce("component", "head", "doc_id").alias("g")), "grouped")
+    shares = F.greatest(_shares("n", BLOCK_TOKENS), _shares("n_bytes", BLOCK_BYTES))
+    large = grouped.groupBy("pure", "g").agg(shares.alias("shares")).filter("shares > 1")
+    dealt = grouped.join(large, ["pure", "g"], "left").select("doc_id", "pure", "g", F.pmod(F.xxhash64("doc_id"), F.coalesce("shares", F.lit(1))).alias("salt"))
+    dealt = materialize(dealt, "salted")
     ids = dealt.groupBy("pure", "g", "salt").agg(F.min("doc_id").alias("block"))
-    out = dealt.join(ids, ["pure", "g", "salt"])
-    out = materialize(out.select("doc_id", "n", "prefix", "block", F.when(F.col("pure"), F.col("g")).otherwise(F.col("block")).alias("kin"), "pure"), "dealt")
+    out = dealt.join(ids, ["pure", "g", "salt"]).select("doc_id", "block", F.when(F.col("pure"), F.col("g")).otherwise(F.col("block")).alias("kin"), "pure")
+    out = materialize(out, "dealt")
     discard(grouped, dealt)
     return out
 
 
-def block_pairs(dealt: DataFrame) -> DataFrame:
+def block_pairs(dealt: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs of blocks (a and b) whose unions share enough; a block with itself unless it is pure."""
-    tokens = dealt.select("n", "block", "kin", F.explode("prefix").alias("token"))
+    # sets come together by block, so that a block's union is taken before its tokens are sent
+    held = sets.select("doc_id", "n", "prefix").join(dealt.select("doc_id", "block", "kin"), "doc_id").repartition("block")
+    unions = held.select("n", "block", "kin", F.explode("prefix").alias("token")).groupBy("block", "kin", "token").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    met = unions.repartition("token")
     # a token of one block alone, or of one component, tells nothing
-    bridging = materialize(tokens.groupBy("token").agg(F.min("kin").alias("lo"), F.max("kin").alias("hi")).filter("lo < hi").select("token"), "bridging")
-    matrix = materialize(tokens.join(bridging, "token").groupBy("token", "block", "kin").agg(F.min("n").alias("lo"), F.max("n").alias("hi")), "matrix")
+    bridging = met.groupBy("token").agg(F.min("kin").alias("first"), F.max("kin").alias("last")).filter("first < last").select("token")
+    matrix = materialize(met.join(bridging, "token", "left_semi"), "matrix")
     side = lambda c: matrix.select("token", F.col("block").alias(c), F.col("kin").alias(f"kin_{c}"), F.col("lo").alias(f"lo_{c}"), F.col("hi").alias(f"hi_{c}"))
     meet = side("a").join(side("b"), "token").filter((F.col("a") < F.col("b")) & (F.col("kin_a") != F.col("kin_b")) & (100 * F.col("hi_a") >= PERCENT * F.col("lo_b")) & (100 * F.col("hi_b") >= PERCENT * F.col("lo_a")))
     bound = meet.groupBy("a", "b").agg(F.count("*").alias("shared"), F.min(F.least("lo_a", "lo_b")).alias("least"))
     across = bound.filter(F.col("shared") >= F.least(F.lit(SHARED), F.ceil(F.col("least") * PERCENT / 100))).select("a", "b")
     within = dealt.filter("NOT pure").groupBy("block").count().filter("count > 1").select(F.col("block").alias("a"), F.col("block").alias("b"))
     out = materialize(across.unionByName(within), "block-pairs")
-    discard(bridging, matrix)
+    discard(matrix)
     return out
 
 
@@ -257,7 +261,7 @@ def compare_blocks(a: list[np.ndarray], b: list[np.ndarray], same: bool) -> list
 def open_blocks(pairs: DataFrame, dealt: DataFrame, docs: DataFrame) -> DataFrame:
     """Verified links between the members of the blocks of each pair."""
     wanted = pairs.select(F.col("a").alias("block")).union(pairs.select("b")).distinct()
-    places = dealt.select("doc_id", "block").join(wanted, "block").distinct()
+    places = dealt.select("doc_id", "block").join(wanted, "block")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     held = materialize(texts.join(places, "doc_id").groupBy("block").agg(F.collect_list(F.struct("doc_id", "text")).alias("members")), "blocks")
     side = lambda c: held.select(F.col("block").alias(c), F.col("members").alias(f"members_{c}"))
@@ -291,10 +295,10 @@ def join(docs: DataFrame) -> DataFrame:
     copies = members.filter("doc_id <> head").select("doc_id", "sig")
     sets = materialize(named.join(copies, ["doc_id", "sig"], "left_anti").select("doc_id", "n", "n_bytes", "keys", "prefix"), "sets")
     heads = similar(sets)
-    first = verify(heads.select(F.col("head").alias("a"), F.col("doc_id").alias("b")), docs)
+    first = verify(heads.select(F.col("head").alias("a"), F.col("doc_id").alias("b")).distinct(), sets, docs)
     dealt = blocks(sets, components(first), heads)
+    pairs = block_pairs(dealt, sets)
     discard(sets, heads)
-    pairs = block_pairs(dealt)
     second = open_blocks(pairs, dealt, docs)
     discard(dealt, pairs)
     # a doc_id with several texts ties their classes together
