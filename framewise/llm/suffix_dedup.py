@@ -43,7 +43,7 @@ from .common import mapped, materialize, table, trimmed
 #: Bytes of a string that is removed where it repeats, and of the rolling hash's window.
 LENGTH, TRIGGER = 50, 24
 #: Bytes of text whose triggers and phrases make a bucket, on average.
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 8 << 20
 #: Documents that may hold a trigger before its phrases are cut into single strings.
 HOT = 256
 #: Places where the strings of one trigger can start, and the bytes from the first one's start to the last one's end.
