@@ -19,20 +19,31 @@ _FORMS = "regexp_extract_all(text, '[A-Z][a-z]{5,}')"
 _QV = "(SELECT embedding FROM embeddings WHERE vec_id = 7)"
 _QT = "(SELECT embedding FROM embeddings WHERE vec_id = 11)"
 
-_PLAIN = f"""
-n AS (SELECT count(*) AS n FROM embeddings),
-p AS (
+# the distinct names of a text, in order of their first places
+_NAMES = f"(SELECT list(x ORDER BY i) FROM (SELECT x, min(i) AS i FROM (SELECT unnest(f) AS x, generate_subscripts(f, 1) AS i FROM (SELECT {_FORMS} AS f)) GROUP BY x))"
+
+_TEXTS = f"""
+ts AS MATERIALIZED (
   SELECT doc_id AS row, 'c' || lpad(CAST(doc_id // 100 AS VARCHAR), 15, '0') AS content_id, CAST(doc_id % 100 AS INTEGER) AS shot_id, CAST(doc_id % 100 // 5 AS INTEGER) AS scene_id,
-    text, text AS dialogue_en, source AS ocr_text, {_DISTINCT.format(_FORMS)}[1:5] AS entities, e.embedding AS v, f.embedding AS d, doc_id IN (SELECT doc_id FROM labels) AS d_mask
-  FROM documents JOIN embeddings e ON doc_id = e.vec_id, n JOIN embeddings f ON f.vec_id = (doc_id + 1) % n.n
-),
+    text, text AS dialogue_en, source AS ocr_text, coalesce({_NAMES}, CAST([] AS VARCHAR[])) AS entities, doc_id IN (SELECT doc_id FROM labels) AS d_mask
+  FROM documents
+)"""
+
+_ENTITY = """
 term AS (SELECT lower(entities[1]) AS e FROM p WHERE len(entities) > 0 ORDER BY row LIMIT 1),
 ent AS (
   SELECT row, CAST(list_contains(list_transform(entities, lambda x: lower(x)), e)
-      OR regexp_matches(lower(dialogue_en || ' ' || ocr_text), '(^|[^\\p{{L}}\\p{{N}}_])' || e || '($|[^\\p{{L}}\\p{{N}}_])') AS DOUBLE) AS entity
+      OR regexp_matches(lower(dialogue_en || ' ' || ocr_text), '(^|[^\\p{L}\\p{N}_])' || e || '($|[^\\p{L}\\p{N}_])') AS DOUBLE) AS entity
   FROM p, term
 )"""
 
+#: The texts as shots, then those of them that have vectors; p is what the terms are looked up in.
+_TEXT_P = f"{_TEXTS}, p AS (SELECT * FROM ts), {_ENTITY}"
+_PLAIN = f"""{_TEXTS},
+n AS (SELECT count(*) AS n FROM embeddings),
+p AS MATERIALIZED (SELECT ts.*, e.embedding AS v, f.embedding AS d FROM ts JOIN embeddings e ON row = e.vec_id, n JOIN embeddings f ON f.vec_id = (row + 1) % n.n),
+{_ENTITY}"""
+
 _CENTER = f"""
 cm AS (SELECT i, avg(CAST(v[i] AS DOUBLE)) AS m FROM p JOIN ent USING (row), range(1, 65) r(i) WHERE entity > 0 GROUP BY i),
 center AS (SELECT list(m / greatest(s, 1e-8) ORDER BY i) AS c FROM cm, (SELECT sqrt(sum(m * m)) AS s FROM cm) WHERE (SELECT count(*) FROM ent WHERE entity > 0) BETWEEN 1 AND (SELECT count(*) - 1 FROM ent))"""
@@ -41,32 +52,38 @@ _SHOTS = f"""{_PLAIN},
 sim AS (SELECT row, vec_id AS rep, {_DOT.format("v", "embedding")} AS sim FROM p, embeddings WHERE vec_id % 25 = 0),
 near AS (SELECT row, rep, least(greatest(sim, 0), 1) AS conf FROM sim QUALIFY row_number() OVER (PARTITION BY row ORDER BY sim DESC, rep) = 1),
 s AS (
-  SELECT p.*, conf, d2.text[1:60] AS caption, e2.embedding AS c,
-    {_tokens("p.dialogue_en || ' ' || d2.text[1:60] || ' ' || p.ocr_text || ' ' || array_to_string(p.entities, ' ')")} AS tokens
+  SELECT p.*, conf, d2.text AS caption, e2.embedding AS c,
+    {_tokens("p.dialogue_en || ' ' || d2.text || ' ' || p.ocr_text || ' ' || array_to_string(p.entities, ' ')")} AS tokens
   FROM p JOIN near USING (row) JOIN documents d2 ON d2.doc_id = rep JOIN embeddings e2 ON e2.vec_id = rep
 )"""
 
 
-def _bm25(docs: str, queries: str) -> str:
-    """CTEs for scores bm(query_id, row, bm25) of queries(query_id, term) over docs(row, tokens)."""
+def _bm25(docs: str) -> str:
+    """CTEs for the collection docs(row, tokens): its postings and inverse frequencies."""
+    return f"""
+dl AS MATERIALIZED (SELECT row, len(tokens) AS dl, tokens FROM {docs}),
+st AS MATERIALIZED (SELECT count(*) AS n_docs, avg(dl) AS avgdl FROM dl),
+tf AS MATERIALIZED (SELECT row, dl, term, count(*) AS tf FROM (SELECT row, dl, unnest(tokens) AS term FROM dl) GROUP BY ALL),
+raw AS MATERIALIZED (SELECT term, count(*) AS df, ln(any_value(n_docs) - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM tf, st GROUP BY term),
+idf AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM raw) ELSE raw END AS idf FROM raw)"""
+
+
+def _asked(queries: str) -> str:
+    """CTEs for the scores, plain and over the query's greatest, of queries(query_id, term)."""
     return f"""
-dl AS (SELECT row, len(tokens) AS dl, tokens FROM {docs}),
-st AS (SELECT count(*) AS n_docs, avg(dl) AS avgdl FROM dl),
-tf AS (SELECT row, dl, term, count(*) AS tf FROM (SELECT row, dl, unnest(tokens) AS term FROM dl) GROUP BY ALL),
-raw AS (SELECT term, count(*) AS df, ln(any_value(n_docs) - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM tf, st GROUP BY term),
-idf AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM raw) ELSE raw END AS idf FROM raw),
-bm AS (
+bm AS MATERIALIZED (
   SELECT query_id, row, sum(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS bm25
   FROM {queries} JOIN idf USING (term) JOIN tf USING (term), st GROUP BY query_id, row
 ),
 bn AS (SELECT query_id, row, CASE WHEN max(bm25) OVER (PARTITION BY query_id) > 0 THEN bm25 / max(bm25) OVER (PARTITION BY query_id) ELSE 0 END AS bm25 FROM bm)"""
 
 
-_DOCS_BM = f"""docs AS (SELECT doc_id AS row, {_tokens("text")} AS tokens FROM documents),
-q AS (SELECT item_id AS query_id, unnest({_tokens("text || ' ' || text[1:20]")}) AS term FROM benchmark WHERE item_id < 8), {_bm25("docs", "q")}"""
+_DOCS = f"""docs AS (SELECT doc_id AS row, {_tokens("text")} AS tokens FROM documents), {_bm25("docs")}"""
+_DOCS_BM = f"""{_DOCS},
+q AS (SELECT item_id AS query_id, unnest({_tokens("text || ' ' || text[1:20]")}) AS term FROM benchmark), {_asked("q")}"""
 
 _SCORED = f"""{_SHOTS}, {_CENTER},
-q AS (SELECT 0 AS query_id, unnest({_tokens("text")}) AS term FROM benchmark WHERE item_id = 0), {_bm25("s", "q")},
+q AS (SELECT 0 AS query_id, unnest({_tokens("text")}) AS term FROM benchmark WHERE item_id = 0), {_bm25("s")}, {_asked("q")},
 x AS (
   SELECT s.row, content_id, shot_id, scene_id, conf, entity, coalesce(bn.bm25, 0) AS bm25, {_DOT.format("v", _QV)} AS vis, CASE WHEN d_mask THEN {_DOT.format("d", _QT)} END AS dia,
     {_DOT.format("c", _QT)} AS cap, {_DOT.format("v", "(SELECT c FROM center)")} AS anc
@@ -166,12 +183,18 @@ def _z(masked: bool) -> str:
     return f"WITH {_PLAIN}, x AS (SELECT row, {x} AS x FROM p) SELECT row, round(CASE WHEN x IS NULL THEN 0 ELSE least(greatest((x - avg(x) OVER ()) / stddev_pop(x) OVER (), 0), 3) / 3 END, 6) AS z FROM x"
 
 
-_VOCAB = f"""WITH {_PLAIN},
-f AS (SELECT content_id, row * 10 + i - 1 AS pos, CASE WHEN row % 3 = 0 THEN upper(entities[i]) ELSE entities[i] END AS form FROM p, range(1, 6) t(i) WHERE i <= len(entities)),
+def _nearest(ctes: str, rows: str) -> str:
+    """The ten rows(row, v) nearest to each embedding whose id is divisible by 50."""
+    return f"""WITH {ctes}x AS (SELECT q.vec_id AS query_id, row, {_DOT.format("v", "q.embedding")} AS cosine FROM ({rows}), embeddings q WHERE q.vec_id % 50 = 0)
+SELECT query_id, row, round(cosine, 6) AS cosine FROM x QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, row) <= 10"""
+
+
+_VOCAB = f"""WITH {_TEXTS},
+f AS (SELECT content_id, row * 2147483648 + i - 1 AS pos, CASE WHEN row % 3 = 0 THEN upper(e) ELSE e END AS form FROM (SELECT content_id, row, unnest(entities) AS e, generate_subscripts(entities, 1) AS i FROM ts)),
 c AS (SELECT content_id, form, lower(form) AS key, count(*) AS n, min(pos) AS first FROM f GROUP BY ALL),
 v AS (SELECT *, row_number() OVER (PARTITION BY content_id ORDER BY n DESC, first) - 1 AS pos FROM (FROM c QUALIFY row_number() OVER (PARTITION BY content_id, key ORDER BY n DESC, first) = 1))"""
 
-_cap, _sent = _caption("'<s>' || text[1:300] || ' </s>'", 3)
+_cap, _sent = _caption("'<s>' || text || ' </s>'", 3)
 _cap2, _sent2 = _caption("text || ' ' || upper(text)", 2)
 
 ORACLE_SQL = {
@@ -182,12 +205,12 @@ ORACLE_SQL = {
     "srt3_top_scored": "SELECT doc_id AS row, CAST(n_chars % 7 AS DOUBLE) AS s FROM documents WHERE n_chars % 7 > 0 ORDER BY n_chars % 7 + 1e-3 * (n_chars % 1000 / 1000.0) DESC, doc_id LIMIT 50",
     "win1_scene_dedupe": f"WITH {_PLAIN} SELECT row, content_id, scene_id, round(s, 6) AS score FROM (SELECT *, {_DOT.format('v', _QV)} AS s FROM p) WHERE s > 0 QUALIFY row_number() OVER (PARTITION BY content_id, scene_id ORDER BY round(s, 9) DESC, row) = 1",
     "fn1_tokenize": f"SELECT doc_id, CAST(len(t) AS BIGINT) AS n_tokens, md5(array_to_string(t, ' ')) AS digest FROM (SELECT doc_id, {_tokens('text')} AS t FROM documents)",
-    "fn2_bm25_doc": f"""SELECT doc_id, array_to_string({_tokens("text[1:80] || ' ' || lang || ' ' || source || ' ' || lang || ' ' || source || CASE WHEN doc_id % 2 = 1 THEN ' other source' ELSE '' END")}, ' ') AS tokens FROM documents""",
+    "fn2_bm25_doc": f"""SELECT doc_id, array_to_string({_tokens("text || ' ' || lang || ' ' || source || ' ' || lang || ' ' || source || CASE WHEN doc_id % 2 = 1 THEN ' other source' ELSE '' END")}, ' ') AS tokens FROM documents""",
     "fn5_clean_caption": f"SELECT doc_id, {_cap} AS caption FROM (SELECT doc_id, {_sent} AS ss FROM documents)",
     "fn6_l2norm": "SELECT vec_id AS row, 1.0::DOUBLE AS norm, round(CAST(embedding[1] AS DOUBLE) / sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))), 6) AS first FROM embeddings",
     "fn8_zscore": _z(False),
     "fn8_zscore_masked": _z(True),
-    "fn11_content_id": "SELECT doc_id, substr(sha1(encode(CAST(octet_length(b) AS VARCHAR)) || b[1:1000] || CASE WHEN octet_length(b) > 1000 THEN b[octet_length(b) - 999:] ELSE ''::BLOB END), 1, 16) AS content_id FROM (SELECT doc_id, encode(text) AS b FROM documents)",
+    "fn11_content_id": "SELECT doc_id, substr(sha1(encode(CAST(octet_length(b) AS VARCHAR)) || b[1:4194304] || CASE WHEN octet_length(b) > 4194304 THEN b[octet_length(b) - 4194303:] ELSE ''::BLOB END), 1, 16) AS content_id FROM (SELECT doc_id, encode(text) AS b FROM documents)",
     "fn12_footage_key": f"WITH {_REGISTRY} SELECT footage_key, path FROM r",
     "fn14_safe_extension": r"SELECT p_partkey, CASE WHEN p_partkey % 3 = 1 THEN '.mp4' ELSE '.bin' END AS ext FROM part",
     "fn16_timecode": """SELECT l_orderkey, l_linenumber, lpad(CAST(total // f // 3600 AS VARCHAR), 2, '0') || ':' || lpad(CAST(total // f // 60 % 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(total // f % 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(total % f AS VARCHAR), 2, '0') AS tc,
@@ -197,12 +220,12 @@ FROM (SELECT *, CAST(floor(s * f + 1e-6) AS BIGINT) AS total, CAST(floor(s + 0.5
   WHEN o_orderkey % 3 = 1 THEN CAST(d AS VARCHAR) || '.0/1000.0 MB' ELSE CAST(CAST(floor(d / 1000 * 100 + 0.5) AS BIGINT) AS VARCHAR) || '%' END AS step FROM (SELECT o_orderkey, CAST(o_orderkey % 900 AS BIGINT) AS d FROM orders)""",
     "fn19_names": """SELECT p_partkey, p_name AS base, CASE WHEN length(p_name) > 20 THEN p_name[1:19] || '…' ELSE p_name END AS short, '&lt;&#39;' || p_name || '&amp;&quot;&gt;' AS html FROM part""",
     "win6_ngrams": rf"""SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY n DESC, i) - 1 AS BIGINT) AS pos, gram FROM (
-  SELECT item_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS gram FROM (SELECT item_id, regexp_extract_all(lower(text[1:60]), '[\p{{L}}\p{{N}}_]+') AS w FROM benchmark), range(1, 4) a(n), range(1, 61) b(i) WHERE i + n - 1 <= len(w)
+  SELECT item_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS gram FROM (SELECT item_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+') AS w FROM benchmark), range(1, 4) a(n), (SELECT unnest(range(1, 1 + (SELECT max(length(text)) FROM benchmark))) AS i) b WHERE i + n - 1 <= len(w)
 ) WHERE n > 1 OR (length(gram) >= 3 AND gram NOT IN ({_STOP}))""",
     "win7_bigrams": "SELECT p_partkey, array_to_string(list_transform(range(1, greatest(1, length(w) - 1) + 1), lambda i: substr(w, i, 2)), '|') AS pairs FROM (SELECT p_partkey, string_split(p_name, ' ')[1] AS w FROM part)",
     "win8_sentences": f"SELECT item_id, {_cap2} AS kept FROM (SELECT item_id, {_sent2} AS ss FROM benchmark)",
     "agg2_moments": f"SELECT count(x) AS n, round(avg(x), 6) AS mean, round(stddev_pop(x), 6) AS sd FROM (SELECT {_DOT.format('embedding', _QV)} AS x FROM embeddings)",
-    "agg4_bm25_stats": f"WITH {_DOCS_BM} SELECT term, df, round(idf, 6) AS idf FROM idf",
+    "agg4_bm25_stats": f"WITH {_DOCS} SELECT term, df, round(idf, 6) AS idf FROM idf",
     "j6_bm25": f"WITH {_DOCS_BM} SELECT query_id, row, round(bm25, 6) AS bm25 FROM bm",
     "agg7_bm25_norm": f"WITH {_DOCS_BM} SELECT query_id, row, round(bm25, 6) AS bm25 FROM bn",
     "agg5_vector_sum": """WITH s AS (SELECT vec_id // 3 AS shot, i, sum(CAST(embedding[i] AS DOUBLE)) AS x FROM embeddings, range(1, 65) r(i) GROUP BY ALL), u AS (SELECT shot, i, x / greatest(sqrt(sum(x * x) OVER (PARTITION BY shot)), 1e-8) AS u FROM s)
@@ -216,12 +239,12 @@ SELECT label, vec_id AS row FROM embeddings JOIN u USING (label) QUALIFY row_num
 f AS (SELECT tenant, count(DISTINCT footage_key) FILTER (WHERE bucket IN ('added', 'changed', 'unchanged')) AS n_active, coalesce(sum(duration_s) FILTER (WHERE bucket IN ('added', 'changed', 'unchanged') AND state = 'ready'), 0) / 60.0 AS minutes, bool_or(bucket IN ('added', 'changed')) AS fresh FROM w GROUP BY tenant),
 g AS (SELECT f.*, CASE c_mktsegment WHEN 'BUILDING' THEN 50 WHEN 'FURNITURE' THEN 500 ELSE 3 END AS lf, CASE c_mktsegment WHEN 'BUILDING' THEN 600 WHEN 'FURNITURE' THEN 6000 ELSE 120 END AS lm FROM f LEFT JOIN (SELECT * FROM customer WHERE c_custkey < 97) ON c_custkey = tenant)
 SELECT tenant, n_active, round(minutes, 6) AS minutes, NOT fresh OR (n_active <= lf AND minutes <= lm) AS allowed FROM g""",
-    "agg16_summaries": f"WITH {_PLAIN} SELECT content_id, count(*) FILTER (WHERE len(list_filter(string_split_regex(dialogue_en, '\\s+'), lambda w: w <> '')) >= 3) AS with_dialogue, count(*) FILTER (WHERE len(entities) > 0) AS with_entities, count(*) FILTER (WHERE d_mask) AS masked FROM p GROUP BY content_id",
+    "agg16_summaries": f"WITH {_TEXTS} SELECT content_id, count(*) FILTER (WHERE len(list_filter(string_split_regex(dialogue_en, '\\s+'), lambda w: w <> '')) >= 3) AS with_dialogue, count(*) FILTER (WHERE len(entities) > 0) AS with_entities, count(*) FILTER (WHERE d_mask) AS masked FROM ts GROUP BY content_id",
     "j1_transcript_window": _said(0.0),
     "j1_dialogue_window": _said(3.0),
     "j2_entity_window": f"WITH {_SEGMENTS.replace('{pad}', '3.0')} SELECT win.conv_id, shot_id, count(*) AS n, min(seg_id) AS first, max(seg_id) AS last FROM win JOIN g ON g.conv_id = win.conv_id AND e >= t0 AND s <= t1 GROUP BY ALL",
     "j4_propagate": f"SELECT a.vec_id AS row, b.vec_id AS rep, round(least(greatest({_DOT.format('a.embedding', 'b.embedding')}, 0), 1), 6) AS confidence FROM embeddings a, embeddings b WHERE b.vec_id % 25 = 0 QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY {_DOT.format('a.embedding', 'b.embedding')} DESC, b.vec_id) = 1",
-    "j7_entity_score": f"WITH {_PLAIN} SELECT row, round(entity / 2, 6) AS entity FROM ent",
+    "j7_entity_score": f"WITH {_TEXT_P} SELECT row, round(entity / 2, 6) AS entity FROM ent",
     # terms of at most six letters, so one edit: there the two distances agree
     "j8_fuzzy": """WITH k AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS key FROM part), t(term) AS (VALUES ('anvli'), ('widgte'), ('glzmo'), ('boltt'), ('plaet'), ('smalll'), ('xxxxxx'), ('ring'), ('hott'), ('gera'))
 SELECT term, key, CAST(damerau_levenshtein(term, key) AS BIGINT) AS d FROM t, k WHERE damerau_levenshtein(term, key) <= 1 QUALIFY row_number() OVER (PARTITION BY term ORDER BY d, key) = 1""",
@@ -235,8 +258,8 @@ SELECT k AS footage_key, CASE WHEN fresh THEN sp ELSE path END AS path, CASE WHE
   CASE WHEN bucket = 'pending' THEN sm WHEN bucket IS NULL THEN pending_mtime_ns END AS pending_mtime_ns,
   CASE WHEN bucket = 'pending' THEN CASE WHEN pending_size = ss AND pending_mtime_ns = sm THEN pending_hits + 1 ELSE 1 END WHEN bucket IS NULL THEN pending_hits END AS pending_hits
 FROM m WHERE known OR fresh""",
-    "j12_knn": f"SELECT vec_id AS row, round({_DOT.format('embedding', _QV)}, 6) AS cosine FROM embeddings ORDER BY {_DOT.format('embedding', _QV)} DESC, vec_id LIMIT 10",
-    "j12_knn_masked": f"WITH {_PLAIN} SELECT row, round({_DOT.format('d', _QT)}, 6) AS cosine FROM p WHERE d_mask ORDER BY {_DOT.format('d', _QT)} DESC, row LIMIT 10",
+    "j12_knn": _nearest("", "SELECT vec_id AS row, embedding AS v FROM embeddings"),
+    "j12_knn_masked": _nearest(f"{_PLAIN}, ", "SELECT row, d AS v FROM p WHERE d_mask"),
     "j16_stranded": f"WITH {_REGISTRY}, {_JOBS} SELECT footage_key, state FROM r WHERE state IN ('error', 'indexing', 'uploading') AND footage_key NOT IN (SELECT substr(sha1('/footage/Customer#' || lpad(CAST(content_id AS VARCHAR), 9, '0')), 1, 10) FROM j WHERE state = 'running')",
     "j17_ocr_codes": "SELECT doc_id, CASE WHEN lang IN ('fr', 'es') THEN lang || '+en' WHEN lang = 'zh' THEN 'ch_sim+en' ELSE 'en' END AS ocr FROM documents",
     "prj3_owned_results": f"WITH {_REGISTRY}, {_PLAIN}, o AS (SELECT content_id, min(footage_key) AS footage_key, arg_min(path, footage_key) AS source_path FROM r WHERE state = 'ready' GROUP BY content_id), h AS (SELECT row, 'c' || lpad(CAST(row % 60 AS VARCHAR), 15, '0') AS content_id FROM p) SELECT * FROM h JOIN o USING (content_id)",
