@@ -1,19 +1,22 @@
 """Quality rules by distribution divergence, beside a few plain counts.
 
-A document's histograms of character classes and of common words are compared with those of its language,
-summed over all documents of that language, by the Jensen-Shannon distance. A language's common words are its
-WORD_BINS largest bins of hashed words; the rest is one more bin. A document whose language is missing is compared
-with the nearest of all. Beyond BLOCK languages, documents are judged against one block of languages after another. Texts under MIN_WORDS words are too short
-to be judged; the limit of a longer one falls with its length towards a constant. References hold what the corpus
-holds: they presume that odd documents are a small part of a language.
-
-Defined results: a null, empty or blank text has no words and fails the base rules; n_dup_lines counts lines
-that hold a word; rows that share a doc_id are judged each on its own; an empty table gives no rows; other
-columns are ignored or carried along.
+A document's histograms of character classes and of common words are compared with those of its language, summed over
+all documents of that language, by the Jensen-Shannon distance. A language's common words are its COMMON most frequent
+folded words, ties by their bytes; all other words are one more bin. They are counted in two passes: the first sums up
+bins of hashed words, the second counts the words of the largest bins alone. No word of another bin can be as frequent
+as the last one kept, or else more bins are counted. A document whose language is missing is compared with the nearest
+of all. Beyond BLOCK languages, documents are judged against one block of languages after another. Texts under MIN_WORDS
+words are too short to be judged; the limit of a longer one falls with its length towards a constant. References hold
+what the corpus holds: they presume that odd documents are a small part of a language.
+
+Defined results: a null, empty or blank text has no words and fails the base rules; n_dup_lines counts lines that hold a
+word; rows that share a doc_id are judged each on its own; an empty table gives no rows; other columns are ignored or
+carried along.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,13 +25,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import binary_column, mapped, materialize, slices, table
+from .common import binary_column, discard, mapped, materialize, slices, table
 
 #: Base rules: fewest words, and the percentage of words in repeated windows of WINDOW words.
 MIN_BASE_WORDS, MAX_REPEAT_PERCENT, WINDOW = 10, 20, 5
-#: Shortest text whose distributions are judged, bins of hashed words, common ones among them, languages
-#: that a task sums up before it hands them on (four times as many), and languages that are sent at once.
-MIN_WORDS, HASH_BITS, WORD_BINS, LANGUAGES, BLOCK = 40, 12, 48, 64, 4096
+#: Shortest text whose distributions are judged, common words of a language, and languages that are sent at once.
+MIN_WORDS, COMMON, BLOCK = 40, 48, 4096
+#: Bins of hashed words, and those whose words are counted at first.
+HASH_BITS, COUNTED_BINS = 12, 256
+#: Languages, and words, that a task sums up before it hands them on.
+HELD_LANGUAGES, HELD_WORDS = 256, 100_000
 #: Limits of the two distances: a constant, and what is added over the root of the number of words.
 CLASS_LIMIT, CLASS_SLACK, WORD_LIMIT, WORD_SLACK = 0.16, 0.9, 0.05, 4.0
 
@@ -65,12 +71,13 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 _BINS = 1 << HASH_BITS
 
 
-def histograms(text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of character classes, and of the bins of folded words."""
-    classes = np.bincount(_CLASS[np.frombuffer(text, np.uint8)], minlength=CLASSES + 1)[:CLASSES]
-    words = text.translate(_FOLD).split()
-    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
-    return classes, np.bincount((h >> np.uint64(64 - HASH_BITS)).view(np.int64), minlength=_BINS)
+def class_counts(text: bytes) -> np.ndarray:
+    return np.bincount(_CLASS[np.frombuffer(text, np.uint8)], minlength=CLASSES + 1)[:CLASSES]
+
+
+def words_of(text: bytes) -> list[bytes]:
+    """Folded words: A-Z in lower case, parted by all of ASCII but letters and digits."""
+    return text.translate(_FOLD).split()
 
 
 def base_counts(text: bytes | None) -> tuple[int, int, int, int, int]:
@@ -101,43 +108,36 @@ def base_counts(text: bytes | None) -> tuple[int, int, int, int, int]:
 class References:
     """Class and common-word distributions of each language."""
 
-    def __init__(self, counts: dict[str, np.ndarray]):
-        self.names = sorted(counts)
-        self.at = {name: i for i, name in enumerate(self.names)}
-        self.common, self.classes, self.words = [], [], []
-        for name in self.names:
-            classes, bins = counts[name][:CLASSES], counts[name][CLASSES:]
-            common = np.argsort(-bins, kind="stable")[:WORD_BINS]
-            self.common.append(common)
-            self.classes.append(classes / max(classes.sum(), 1))
-            self.words.append(_with_rest(bins, common))
-
-    def extend(self, name: str, classes: list, top: list, total: int) -> None:
-        """Adds a language, in order of names, by its (class, count) and its largest (-count, bin), with the sum of all bins."""
-        counts, bins = np.zeros(CLASSES, np.int64), np.zeros(_BINS, np.int64)
-        for i, n in classes:
-            counts[i] = n
-        for n, i in top:
-            bins[i - CLASSES] = -n
-        common = np.argsort(-bins, kind="stable")[:WORD_BINS]
-        shares = bins[common] / max(total, 1)
+    def __init__(self) -> None:
+        self.names: list[str] = []
+        self.at: dict[str, int] = {}
+        self.common: list[dict[bytes, int]] = []
+        self.classes: list[np.ndarray] = []
+        self.words: list[np.ndarray] = []
+
+    def add(self, name: str, classes: np.ndarray, words: list[tuple[bytes, int]], total: int) -> None:
+        """A language by the counts of its classes, of its common words in order, and of all its words."""
         self.at[name] = len(self.names)
         self.names.append(name)
-        self.common.append(common)
-        self.classes.append(counts / max(counts.sum(), 1))
-        self.words.append(np.append(shares, max(0.0, 1.0 - shares.sum())))
+        self.common.append({w: i for i, (w, _) in enumerate(words)})
+        self.classes.append(classes / max(classes.sum(), 1))
+        self.words.append(_with_rest(np.array([n for _, n in words], np.int64), total))
 
-    def distances(self, lang: str | None, classes: np.ndarray, bins: np.ndarray) -> tuple[float, float]:
+    def distances(self, lang: str | None, text: bytes) -> tuple[float, float]:
         """Class and word distance to the language's own reference, or to the nearest one."""
         own = [self.at[lang]] if lang in self.at else range(len(self.names))
+        classes, words = class_counts(text), words_of(text)
         p = classes / max(classes.sum(), 1)
-        found = [(distance(p, self.classes[i]), distance(_with_rest(bins, self.common[i]), self.words[i])) for i in own]
+        found = []
+        for i in own:
+            common = self.common[i]
+            counts = np.bincount(np.fromiter((common.get(w, len(common)) for w in words), np.int64, len(words)), minlength=len(common) + 1)[: len(common)]
+            found.append((distance(p, self.classes[i]), distance(_with_rest(counts, len(words)), self.words[i])))
         return min(found, key=sum, default=(0.0, 0.0))
 
 
-def _with_rest(bins: np.ndarray, common: np.ndarray) -> np.ndarray:
-    total = max(int(bins.sum()), 1)
-    shares = bins[common] / total
+def _with_rest(counts: np.ndarray, total: int) -> np.ndarray:
+    shares = counts / max(total, 1)
     return np.append(shares, max(0.0, 1.0 - shares.sum()))
 
 
@@ -149,8 +149,8 @@ def distance(p: np.ndarray, q: np.ndarray) -> float:
     return float(np.sqrt(max(0.0, (left + right) / 2)))
 
 
-def reference_blocks(docs: DataFrame) -> Iterator[tuple[int, int, References]]:
-    """Number of blocks, block, and its references, from all documents that name a language; block _block(lang) holds lang."""
+def _bin_counts(docs: DataFrame) -> DataFrame:
+    """lang, bin and n: the sum of each class (bins below CLASSES) and of each bin of words, of all documents."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -159,30 +159,92 @@ def reference_blocks(docs: DataFrame) -> Iterator[tuple[int, int, References]]:
             at = [np.flatnonzero(v) for v in sums.values()]
             return pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array(at, pa.list_(pa.int64())), pa.array([v[i] for v, i in zip(sums.values(), at, strict=True)], pa.list_(pa.int64()))], names=["lang", "bins", "counts"])
 
-        for batch in batches:
+        for batch in slices(batches, 1_000):
             for lang, text in zip(batch.column(0).to_pylist(), binary_column(batch, "text"), strict=True):
                 if text:
                     if lang not in sums:
-                        if len(sums) >= 4 * LANGUAGES:  # what a task holds stays bounded
+                        if len(sums) >= HELD_LANGUAGES:  # what a task holds stays bounded
                             yield rows()
                             sums.clear()
                         sums[lang] = np.zeros(CLASSES + _BINS, np.int64)
-                    sums[lang] += np.concatenate(histograms(text))
+                    words = words_of(text)
+                    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+                    sums[lang][:CLASSES] += class_counts(text)
+                    sums[lang][CLASSES:] += np.bincount((h >> np.uint64(64 - HASH_BITS)).view(np.int64), minlength=_BINS)
+        yield rows()
+
+    parts = mapped(docs, count, "lang string, bins array<long>, counts array<long>")
+    return parts.select("lang", F.explode(F.arrays_zip("bins", "counts")).alias("x")).groupBy("lang", F.col("x.bins").alias("bin")).agg(F.sum("x.counts").alias("n"))
+
+
+def _common_words(docs: DataFrame, wanted: dict[str, set[int]]) -> dict[str, list[tuple[bytes, int]]]:
+    """Of each language its COMMON most frequent words (and counts) of the wanted bins, counted in all documents."""
+    sent, shift = docs.sparkSession.sparkContext.broadcast(wanted), 64 - HASH_BITS
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: Counter[tuple[str, bytes]] = Counter()
+        known: dict[bytes, int] = {}
+
+        def rows() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([k[0] for k in held], pa.string()), pa.array([k[1] for k in held], pa.binary()), pa.array(list(held.values()), pa.int64())], names=["lang", "word", "n"])
+
+        for batch in slices(batches, 1_000):
+            for lang, text in zip(batch.column(0).to_pylist(), binary_column(batch, "text"), strict=True):
+                bins = sent.value.get(lang)
+                if not text or not bins:
+                    continue
+                for word, n in Counter(words_of(text)).items():
+                    b = known.get(word)
+                    if b is None:
+                        if len(known) >= HELD_WORDS:
+                            known.clear()
+                        b = known[word] = xxhash.xxh3_64_intdigest(word) >> shift
+                    if b in bins:
+                        held[lang, word] += n
+                if len(held) >= HELD_WORDS:
+                    yield rows()
+                    held.clear()
         yield rows()
 
-    parts = mapped(docs.filter("lang IS NOT NULL").select("lang", "text"), count, "lang string, bins array<long>, counts array<long>")
-    summed = parts.select("lang", F.explode(F.arrays_zip("bins", "counts")).alias("x")).groupBy("lang", F.col("x.bins").alias("bin")).agg(F.sum("x.counts").alias("n"))
-    summed = summed.persist()
-    is_class = F.col("bin") < CLASSES
-    top = F.slice(F.sort_array(F.collect_list(F.when(~is_class, F.struct((-F.col("n")).alias("n"), "bin")))), 1, WORD_BINS)
-    tables = summed.groupBy("lang").agg(F.collect_list(F.when(is_class, F.struct("bin", "n"))).alias("classes"), top.alias("top"), F.sum(F.when(~is_class, F.col("n"))).alias("total"))
+    counted = mapped(docs, count, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    order = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
+    best = counted.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= COMMON).collect()  # COMMON words a language
+    out: dict[str, list[tuple[bytes, int]]] = {name: [] for name in wanted}
+    for r in sorted(best, key=lambda r: r.place):
+        out[r.lang].append((bytes(r.word), r.n))
+    return out
+
+
+def reference_blocks(docs: DataFrame) -> Iterator[tuple[int, int, References]]:
+    """Number of blocks, block, and its references, from all documents that name a language; block _block(lang) holds lang."""
+    named = docs.filter("lang IS NOT NULL").select("lang", "text")
+    summed = materialize(_bin_counts(named), "word-bins")
     blocks = max(1, -(-summed.select("lang").distinct().count() // BLOCK))
     for k in range(blocks):
-        out = References({})
-        for r in sorted((tables if blocks == 1 else tables.filter(_block(blocks) == k)).collect(), key=lambda r: r.lang):  # about BLOCK rows
-            out.extend(r.lang, r.classes, r.top, r.total or 0)
+        mine = summed if blocks == 1 else summed.filter(_block(blocks) == k)
+        is_word = F.col("bin") >= CLASSES
+        bins = F.sort_array(F.collect_list(F.when(is_word, F.struct((-F.col("n")).alias("n"), (F.col("bin") - CLASSES).alias("bin")))))
+        tables = mine.groupBy("lang").agg(F.collect_list(F.when(~is_word, F.struct("bin", "n"))).alias("classes"), bins.alias("bins"), F.sum(F.when(is_word, F.col("n"))).alias("total"))
+        most, common, size = {}, {}, COUNTED_BINS
+        todo = {r.lang: r for r in tables.withColumn("bins", F.slice("bins", 1, size + 1)).collect()}  # about BLOCK rows
+        rows = dict(todo)
+        while todo:
+            found = _common_words(named if blocks == 1 else named.filter(_block(blocks) == k), {n: {b for _, b in r.bins[:size]} for n, r in todo.items()})
+            for name, words in found.items():
+                common[name] = words
+                most[name] = -todo[name].bins[size].n if len(todo[name].bins) > size else 0
+            # a word of a bin that was not counted could be as frequent as the last one: count more bins
+            short = [n for n in todo if most[n] and (len(common[n]) < COMMON or most[n] >= common[n][-1][1])]
+            size *= 4
+            todo = {r.lang: r for r in tables.filter(F.col("lang").isin(short)).withColumn("bins", F.slice("bins", 1, size + 1)).collect()} if short else {}
+        out = References()
+        for name in sorted(rows):
+            classes = np.zeros(CLASSES, np.int64)
+            for b, n in rows[name].classes:
+                classes[b] = n
+            out.add(name, classes, common[name], rows[name].total or 0)
         yield blocks, k, out
-    summed.unpersist()
+    discard(summed)
 
 
 def _block(blocks: int) -> Column:
@@ -191,7 +253,7 @@ def _block(blocks: int) -> Column:
 
 def references(docs: DataFrame) -> References:
     """The references of all languages at once."""
-    out = References({})
+    out = References()
     parts = [p for *_, p in reference_blocks(docs)]
     for name, part in sorted(((n, p) for p in parts for n in p.names), key=lambda x: x[0]):
         i = part.at[name]
@@ -215,7 +277,7 @@ def judge(docs: DataFrame, known: References) -> DataFrame:
                 classes = words = None
                 good = not failed
                 if n >= MIN_WORDS:
-                    classes, words = sent.value.distances(lang, *histograms(text))
+                    classes, words = sent.value.distances(lang, text)
                     good = good and classes <= CLASS_LIMIT + CLASS_SLACK / n**0.5 and words <= WORD_LIMIT + WORD_SLACK / n**0.5
                 rows.append((n, *rest, repeat, failed, good, classes, words))
             columns = list(zip(*rows, strict=True)) if rows else [()] * 9

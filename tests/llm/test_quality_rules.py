@@ -1,7 +1,9 @@
 import random
 import re
+from collections import Counter
 
 import numpy as np
+import pytest
 from framewise.llm import quality_rules as qr
 
 
@@ -47,18 +49,58 @@ def test_counts_against_brute_force(spark):
             assert r.kept == (r.doc_id % 30 != 0), (r, "symbols after each word are far from both languages")
 
 
-def test_references_equal_a_plain_sum(spark):
-    rows = corpus()
-    known = qr.references(spark.createDataFrame(rows, "doc_id long, lang string, text string").repartition(5))
-    sums = {}
+def plain_references(rows):
+    """Plain sums over all texts, with the words counted one by one."""
+    classes, words = {}, {}
     for _, lang, text in rows:
         if lang and text:
-            sums[lang] = sums.get(lang, 0) + np.concatenate(qr.histograms(text.encode()))
-    plain = qr.References(sums)
-    assert known.names == plain.names
+            classes[lang] = classes.get(lang, 0) + qr.class_counts(text.encode())
+            low = "".join(c.lower() if c.isascii() else c for c in text)
+            words.setdefault(lang, Counter()).update(w.encode() for w in re.findall(r"[a-z0-9\u0080-\U0010ffff]+", low))
+    out = qr.References()
+    for lang in sorted(classes):
+        best = sorted(words[lang].items(), key=lambda x: (-x[1], x[0]))[: qr.COMMON]
+        out.add(lang, classes[lang], best, sum(words[lang].values()))
+    return out
+
+
+@pytest.mark.parametrize("bits,counted", [(12, 256), (3, 1), (6, 4)])
+def test_references_equal_a_plain_sum(spark, monkeypatch, bits, counted):
+    monkeypatch.setattr(qr, "HASH_BITS", bits)
+    monkeypatch.setattr(qr, "_BINS", 1 << bits)
+    monkeypatch.setattr(qr, "COUNTED_BINS", counted)
+    rows = corpus()
+    known = qr.references(spark.createDataFrame(rows, "doc_id long, lang string, text string").repartition(5))
+    plain = plain_references(rows)
+    assert known.names == plain.names and known.common == plain.common
     assert all(np.array_equal(a, b) for a, b in zip(known.classes + known.words, plain.classes + plain.words, strict=True))
 
 
+def test_verdicts_against_brute_force(spark):
+    """Both distances and limits worked out anew from the plain references."""
+    rows = corpus()
+    plain = plain_references(rows)
+    out = {}
+    for r in qr.judge_all(spark.createDataFrame(rows, "doc_id long, lang string, text string")).collect():
+        out.setdefault(r.doc_id, []).append(r)
+    js = lambda p, q: sum(sum(u * np.log2(2 * u / (u + v)) for u, v in zip(x, y, strict=True) if u) for x, y in ((p, q), (q, p))) / 2
+    for d, lang, text in rows:
+        n, *_, failed = brute(text)
+        near = []
+        for name in [lang] if lang in plain.names else plain.names:
+            i = plain.at[name]
+            words = qr.words_of((text or "").encode())
+            shares = [words.count(w) / max(len(words), 1) for w in plain.common[i]]
+            classes = qr.class_counts((text or "").encode())
+            near.append((js(classes / max(classes.sum(), 1), plain.classes[i]) ** 0.5, max(0, js([*shares, max(0.0, 1 - sum(shares))], plain.words[i])) ** 0.5))
+        c, w = min(near, key=sum)
+        fine = n < qr.MIN_WORDS or (c <= qr.CLASS_LIMIT + qr.CLASS_SLACK / n**0.5 and w <= qr.WORD_LIMIT + qr.WORD_SLACK / n**0.5)
+        if d != 5:
+            (r,) = out[d]
+            assert r.kept == (fine and not failed), (d, c, w, r)
+            assert r.class_distance is None if n < qr.MIN_WORDS else abs(r.class_distance - c) < 1e-6 and abs(r.word_distance - w) < 1e-6
+
+
 def test_distance():
     p, q = np.array([1.0, 0, 0]), np.array([0, 0.5, 0.5])
     assert qr.distance(p, p) == 0 and abs(qr.distance(p, q) - 1) < 1e-12
