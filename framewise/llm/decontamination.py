@@ -20,13 +20,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import binary_column, mapped, table
+from .common import binary_column, discard, fresh, mapped, materialize, slices, table
 
 #: Words in a window of the benchmark.
 WINDOW = 10
 #: A document that loses more than this share of its words goes as a whole.
 MAX_COVERAGE = 0.5
-#: Bytes of item text in one automaton (some 200 bytes of memory each byte); more items are dealt over several.
+#: Bytes of item text in one automaton (some 200 bytes of memory each byte); more items are looked for in several scans.
 MAX_AUTOMATON_BYTES = 1 << 20
 
 #: Lower-cases A-Z and blanks what is in no word: all of ASCII but digits and letters. UTF-8 bytes over 0x7F stay.
@@ -156,18 +156,18 @@ class ItemAutomaton:
                             found |= ids
 
 
-def automata(items: DataFrame, window: int = WINDOW, limit: int = MAX_AUTOMATON_BYTES) -> list:
-    """Broadcast automata over the items, each of at most about `limit` bytes of text; usually one."""
-    spark = items.sparkSession
+def automata(items: DataFrame, window: int = WINDOW, limit: int = MAX_AUTOMATON_BYTES) -> Iterator[tuple[int, int, ItemAutomaton]]:
+    """The number of automata over the items, and one after another: each of at most about `limit` bytes of text."""
     items = items.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("binary").alias("text"))
     total = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     parts = max(1, -(-total // limit))
-    out = []
     for k in range(parts):
         rows = items.filter(F.pmod(F.xxhash64("text"), F.lit(parts)) == k).collect()
-        built = ItemAutomaton([(r.item_id, words_of(bytes(r.text) if r.text is not None else None)) for r in rows], window)
-        out.append(spark.sparkContext.broadcast(built))
-    return out
+        yield parts, k, ItemAutomaton([(r.item_id, words_of(bytes(r.text) if r.text is not None else None)) for r in rows], window)
+
+
+def _runs(mask: np.ndarray) -> list[int]:
+    return np.flatnonzero(np.diff(np.concatenate(([False], mask, [False])))).tolist() if mask.any() else []
 
 
 _FOUND = [
@@ -177,29 +177,39 @@ _FOUND = [
 ]
 
 
-def find_hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """For every document: the kept columns, n_words, hit_runs (begin, end, begin, end ... in words), items."""
-    parts = automata(items, window)
-    base = docs.select(*keep, F.col("text").alias("_text"))
-    fields = [base.schema[c] for c in keep]
+def find_hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, keep: tuple[str, ...] = ("doc_id",), limit: int = MAX_AUTOMATON_BYTES) -> DataFrame:
+    """For every document: the kept columns, n_words, hit_runs (begin, end, begin, end ... in words), items.
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        built = [b.value for b in parts]
-        for batch in batches:
-            counts, runs, lists = [], [], []
-            for text in binary_column(batch, "_text"):
-                words = words_of(text)
-                mask, found = np.zeros(len(words), bool), set()
-                for automaton in built:
-                    automaton.hits(words, mask, found)
-                counts.append(len(words))
-                runs.append(np.flatnonzero(np.diff(np.concatenate(([False], mask, [False])))).tolist() if mask.any() else [])
-                lists.append(sorted(x for x in found if x is not None))
-            columns = [batch.column(i) for i in range(len(keep))]
-            columns += [pa.array(counts, pa.int64()), pa.array(runs, pa.list_(pa.int64())), pa.array(lists, pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays(columns, names=[*keep, "n_words", "hit_runs", "items"])
-
-    return mapped(base, scan, T.StructType([*fields, *_FOUND]))
+    Items that need several automata are looked for in as many scans, so that a worker holds one at a time.
+    """
+    text = F.col("text").alias("_text")
+    rows = docs.select(*keep, *(F.lit(None).cast(f.dataType).alias(f.name) for f in _FOUND), text)
+    schema = T.StructType([*(docs.schema[c] for c in keep), *_FOUND, T.StructField("_text", rows.schema["_text"].dataType)])
+    at = len(keep)
+    for parts, k, automaton in automata(items, window, limit):
+        sent = docs.sparkSession.sparkContext.broadcast(automaton)
+
+        def scan(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            for batch in slices(batches, 500):
+                counts, runs, lists = [], [], []
+                for own, known, before in zip(binary_column(batch, "_text"), batch.column(at + 1).to_pylist(), batch.column(at + 2).to_pylist(), strict=True):
+                    words = words_of(own)
+                    mask, found = np.zeros(len(words), bool), set(before or ())
+                    for begin, end in zip((known or [])[::2], (known or [])[1::2], strict=True):
+                        mask[begin:end] = True
+                    sent.value.hits(words, mask, found)
+                    counts.append(len(words))
+                    runs.append(_runs(mask))
+                    lists.append(sorted(x for x in found if x is not None))
+                columns = [batch.column(i) for i in range(at)]
+                columns += [pa.array(counts, pa.int64()), pa.array(runs, pa.list_(pa.int64())), pa.array(lists, pa.list_(pa.string())), batch.column(at + 3)]
+                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+        rows = mapped(rows, scan, schema)
+        if k < parts - 1:
+            rows = materialize(rows, "hits")
+            sent.unpersist()
+    return rows.drop("_text")
 
 
 def report(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -231,40 +241,54 @@ def _cut(text: bytes, mask: np.ndarray) -> bytes:
     return b"".join(out)
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_coverage: float = MAX_COVERAGE) -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_coverage: float = MAX_COVERAGE, limit: int = MAX_AUTOMATON_BYTES) -> DataFrame:
     """The documents' own columns, texts without the spans that benchmark windows cover.
 
     A document of which more than max_coverage is covered goes as a whole; documents without a hit stay as
-    they are, to the byte. After a cut the rest is scanned again, until no window is left.
+    they are, to the byte. After a cut the rest is scanned again, until no window is left. Items that need several
+    automata are cut in as many scans, again and again until none of them finds a window.
     """
-    parts = automata(items, window)
-    schema, at = docs.schema, docs.columns.index("text")
-
-    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        built = [b.value for b in parts]
-        for batch in batches:
-            texts, stay = [], []
-            for text in binary_column(batch, "text"):
-                n = lost = 0
-                while text:
-                    words = words_of(text)
-                    n = n or len(words)
-                    mask, found = np.zeros(len(words), bool), set()
-                    for automaton in built:
-                        automaton.hits(words, mask, found)
-                    if not mask.any():
-                        break
-                    lost += int(mask.sum())
-                    if lost > max_coverage * n:
-                        break
-                    text = _cut(text, mask)
-                texts.append(text)
-                stay.append(lost <= max_coverage * n)
-            kind = batch.schema.field(at).type
-            columns = [pa.array(texts, pa.large_binary()).cast(pa.large_string()).cast(kind) if i == at else batch.column(i) for i in range(batch.num_columns)]
-            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema).filter(pa.array(stay, pa.bool_()))
-
-    return mapped(docs, clean, schema)
+    at, names = docs.columns.index("text"), [fresh(docs, n) for n in ("n", "lost", "cuts")]
+    rows = docs.withColumns({n: F.lit(0).cast("long") for n in names})
+    schema = T.StructType([*docs.schema.fields, *(T.StructField(n, T.LongType()) for n in names)])
+    again, before = True, None
+    while again:
+        for parts, k, automaton in automata(items, window, limit):
+            sent = docs.sparkSession.sparkContext.broadcast(automaton)
+
+            def clean(batches: Iterator[pa.RecordBatch], sent=sent, first=k == 0) -> Iterator[pa.RecordBatch]:
+                for batch in slices(batches, 500):
+                    texts, state = [], []
+                    for text, n, lost, cuts in zip(binary_column(batch, "text"), *(c.to_pylist() for c in batch.columns[-3:]), strict=True):
+                        cuts = 0 if first else cuts
+                        while text:
+                            words = words_of(text)
+                            n = n or len(words)
+                            mask = np.zeros(len(words), bool)
+                            sent.value.hits(words, mask, set())
+                            if not mask.any():
+                                break
+                            lost, cuts = lost + int(mask.sum()), cuts + 1
+                            if lost > max_coverage * n:
+                                break
+                            text = _cut(text, mask)
+                        texts.append(text)
+                        state.append((n, lost, cuts))
+                    kind = batch.schema.field(at).type
+                    columns = [pa.array(texts, pa.large_binary()).cast(pa.large_string()).cast(kind) if i == at else c for i, c in enumerate(batch.columns[:-3])]
+                    columns += [pa.array(c, pa.int64()) for c in (zip(*state, strict=True) if state else ((), (), ()))]
+                    stay = pa.array([lost <= max_coverage * n for n, lost, _ in state], pa.bool_())
+                    yield pa.RecordBatch.from_arrays(columns, names=schema.names).filter(stay)
+
+            rows = mapped(rows, clean, schema)
+            if parts > 1:
+                rows = materialize(rows, "cleaned")
+                sent.unpersist()
+                if before is not None:
+                    discard(before)
+                before = rows
+        again = parts > 1 and bool(rows.agg(F.max(names[2])).first()[0])
+    return rows.select(*docs.columns)
 
 
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

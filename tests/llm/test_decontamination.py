@@ -53,18 +53,37 @@ def test_long_windows_only(spark):
 
 
 def test_empty_tables_and_several_automata(spark):
-    docs = [(1, "one two three four five six seven eight nine ten eleven"), (2, None)]
+    docs = [(1, "one two three four five six seven eight nine ten eleven"), (2, None), (1, "one two")]
     assert run(spark, [], [(1, "a b")]) == []
     assert run(spark, docs, []) == brute(docs, [])
-    items = [(i, f"k{i} " + docs[0][1]) for i in range(6)]
-    d = spark.createDataFrame(docs, "doc_id long, text string")
-    parts = dec.automata(spark.createDataFrame(items, "item_id long, text string"), limit=100)
-    assert len(parts) > 1
-    seen = set()
-    for p in parts:
-        p.value.hits(dec.words_of(docs[0][1].encode()), dec.np.zeros(11, bool), seen)
-    assert seen == {str(i) for i in range(6)}
-    assert d.count() == 2
+    items = [(i, f"k{i} " + docs[0][1]) for i in range(6)] + [(7, "two"), (8, docs[0][1][4:])]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert len(list(dec.automata(b, limit=100))) > 2
+    whole, parted = (sorted(map(tuple, dec.find_hits(d, b, limit=n).collect()), key=repr) for n in (1 << 20, 100))
+    assert whole == parted and any(r[3] for r in whole)
+
+
+def test_several_automata_clean_the_same(spark):
+    rng = random.Random(8)
+    vocab = [f"w{i}" for i in range(40)]
+    text = lambda n: " ".join(rng.choice(vocab) for _ in range(n))
+    items = [(i, text(rng.randint(10, 16))) for i in range(8)]
+    # a cut of one item brings together what another one finds
+    docs = [(i, f"{text(30)} {items[i % 8][1][:20]} {items[(i + 3) % 8][1]} {items[i % 8][1][21:]} {text(30)}") for i in range(30)] + [(40, items[0][1]), (41, None), (42, "")]
+    d, b = spark.createDataFrame([(*r, 1, 2) for r in docs], "doc_id long, text string, n int, cuts int"), spark.createDataFrame(items, "item_id long, text string")
+    out = {r.doc_id: r for r in dec.decontaminate(d, b, limit=120).collect()}
+    grams = {tuple(words(t)[i : i + 10]) for _, t in items for i in range(len(words(t)) - 9)}
+    assert 40 not in out and out[41].text is None and out[42].text == "" and out[0].n == 1
+    for r in out.values():
+        w = words(r.text)
+        assert not any(tuple(w[i : i + 10]) in grams for i in range(len(w)))
+    assert set(out) == {r.doc_id for r in dec.decontaminate(d, b).collect()}
+
+
+def test_a_text_of_megabytes(spark):
+    item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda"
+    docs = [(1, "word " * 300_000 + item + " word" * 300_000), (2, "x")]
+    assert [(r[0], r[1], r[2]) for r in run(spark, docs, [(1, item)])] == [(1, 600_011, 11), (2, 1, 0)]
 
 
 def test_cut_leaves_clean_text_alone(spark):
