@@ -1,10 +1,11 @@
+import hashlib
 import random
 
 import corpus_pipeline
 import pytest
 from framewise.llm import bpe, quality_classifier
 
-from .test_decontamination import words
+from .test_decontamination import WORD, words
 from .test_jaccard_join import brute as components
 from .test_suffix_dedup import sd
 
@@ -28,6 +29,29 @@ def _brute_repeats(rows):
     return out
 
 
+def _brute_clean(text, grams, size=10, most=0.5):
+    """The text without windows, cut again until none is left; False if too much of it goes."""
+    total, lost = len(words(text)), 0
+    while text:
+        found = list(WORD.finditer(text.translate({c: c + 32 for c in range(65, 91)})))
+        own = [m.group() for m in found]
+        hit = sorted({j for i in range(len(own)) if tuple(own[i : i + size]) in grams for j in range(i, i + size)})
+        if not hit:
+            break
+        lost += len(hit)
+        if lost > most * total:
+            return False
+        runs = [[hit[0], hit[0]]]
+        for j in hit[1:]:
+            if j == runs[-1][1] + 1:
+                runs[-1][1] = j
+            else:
+                runs.append([j, j])
+        for first, last in reversed(runs):
+            text = text[: found[first].start()] + text[found[last].end() :]
+    return text
+
+
 def test_run_against_brute_force(spark, tmp_path):
     rng = random.Random(9)
     vocab = [rng.choice("bdfgklm") + rng.choice("aeiou") + rng.choice("nrst") + str(i) for i in range(300)]
@@ -58,17 +82,35 @@ def test_run_against_brute_force(spark, tmp_path):
     kept = _brute_repeats([r for r in kept if head[r[0]] == r[0]])
     grams = {tuple(words(item)[i : i + 10]) for i in range(5)}
     assert any(tuple(words(t)[i : i + 10]) in grams for _, t in kept for i in range(len(words(t))))
+    kept = [(d, c) for d, c in ((d, _brute_clean(t, grams)) for d, t in kept) if c is not False]
     out = {r.doc_id: r for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     library = tokenizers.Tokenizer.from_file(bpe.tokenizer_path())
     assert set(out) == {d for d, _ in kept}
     for d, t in kept:
-        w = words(t)
-        if not any(tuple(w[i : i + 10]) in grams for i in range(len(w))):
-            assert out[d].n_tokens == len(library.encode(t or "", add_special_tokens=False).ids)
-        else:
-            assert out[d].n_tokens < len(library.encode(t, add_special_tokens=False).ids) - 10
+        ids = library.encode(t or "", add_special_tokens=False).ids
+        assert out[d].n_tokens == len(ids)
+        assert out[d].ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
     before = docs
     for _, stage in corpus_pipeline.STAGES[:-1]:
         before = stage(spark, before, str(tmp_path))
         assert before.columns == docs.columns
     assert not any(tuple(words(r.text)[i : i + 10]) in grams for r in before.collect() for i in range(len(words(r.text))))
+
+
+def test_empty_tables_repeated_ids_and_clashing_names(spark, tmp_path):
+    clash = ["id", "key", "row", "mark", "gone", "block", "data", "answers", "n", "lost", "cuts", "quality_score", "component_id", "n_bytes"]
+    fields = ", ".join(f"{c} string" for c in clash)
+    text = " ".join(f"word{i}" for i in range(40))
+    rows = [(d, t, *(["v"] * len(clash))) for d, t in ((1, text), (1, text), (2, text + " tail"), (None, text), (3, None), (3, ""), (4, "other " * 400))]
+    for folder, held in (("full", rows), ("empty", [])):
+        path = f"{tmp_path}/{folder}"
+        spark.createDataFrame(held, f"doc_id long, text string, {fields}").write.parquet(f"{path}/documents.parquet")
+        spark.createDataFrame([(1, 1, 0), (2, 1, 0)] if held else [], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+        spark.createDataFrame([], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+        docs = spark.read.parquet(f"{path}/documents.parquet")
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            docs = stage(spark, docs, path)
+            assert docs.columns == ["doc_id", "text", *clash]
+        assert all(r[c] == "v" for r in docs.collect() for c in clash)
+        out = corpus_pipeline.run(spark, path).collect()
+        assert sorted(str(r.doc_id) for r in out) == (["1", "3", "3", "4", "None"] if held else [])
