@@ -11,37 +11,31 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from framewise.llm import bpe, decontamination, jaccard_join, quality_classifier, suffix_dedup
-from framewise.llm.common import materialize, table
-from framewise.session import ship
+from framewise.llm.common import discard, materialize, table
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the nearest-neighbour vote accepts."""
-    ship(spark)
     return quality_classifier.accepted(docs, table(spark, sf_dir, "labels"))
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near copies, the document with the least doc_id."""
-    ship(spark)
     return jaccard_join.deduplicated(docs)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without byte strings that an earlier document holds."""
-    ship(spark)
     return suffix_dedup.deduplicated(docs)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without benchmark windows; documents that are mostly benchmark go."""
-    ship(spark)
     return decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of what is left."""
-    ship(spark)
     return bpe.encode_documents(docs)
 
 
@@ -59,9 +53,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each one's result written and read again."""
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = materialize(docs, f"stage-{k}")
+            if before is not None:
+                discard(before)
+            before = docs
     return docs
