@@ -40,11 +40,19 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+#: Spark's setting that removes the shuffle files of a query as soon as it has ended.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Cut the lineage: write df as Parquet in the shared folder and read it again."""
+    """Cut the lineage: write df as Parquet in the shared folder and read it again. The write's shuffle files go at once."""
     spark = df.sparkSession
-    path = scratch_path(spark, label)
-    df.write.parquet(path)
+    path, before = scratch_path(spark, label), spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before) if before is not None else spark.conf.unset(_CLEANUP)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path
     return out
