@@ -206,13 +206,12 @@ def blocks(sets: DataFrame, pure: DataFrame, heads: DataFrame) -> DataFrame:
 
 def block_pairs(dealt: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs of blocks (a and b) whose unions share enough; a block with itself unless it is pure."""
-    # sets come together by block, so that a block's union is taken before its tokens are sent
-    held = sets.select("doc_id", "n", "prefix").join(dealt.select("doc_id", "block", "kin"), "doc_id").repartition("block")
-    unions = held.select("n", "block", "kin", F.explode("prefix").alias("token")).groupBy("block", "kin", "token").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    met = unions.repartition("token")
-    # a token of one block alone, or of one component, tells nothing
-    bridging = met.groupBy("token").agg(F.min("kin").alias("first"), F.max("kin").alias("last")).filter("first < last").select("token")
-    matrix = materialize(met.join(bridging, "token", "left_semi"), "matrix")
+    held = materialize(sets.select("doc_id", "n", "prefix").join(dealt.select("doc_id", "block", "kin"), "doc_id").select("n", "block", "kin", "prefix"), "placed-sets")
+    tokens = held.select("n", "block", "kin", F.explode("prefix").alias("token"))
+    # a token of one block alone, or of one component, tells nothing; two ends of its kins show it, with no list of blocks
+    bridging = materialize(tokens.groupBy("token").agg(F.min("kin").alias("first"), F.max("kin").alias("last")).filter("first < last").select("token"), "bridging")
+    matrix = materialize(tokens.join(bridging, "token", "left_semi").groupBy("token", "block", "kin").agg(F.min("n").alias("lo"), F.max("n").alias("hi")), "matrix")
+    discard(held, bridging)
     side = lambda c: matrix.select("token", F.col("block").alias(c), F.col("kin").alias(f"kin_{c}"), F.col("lo").alias(f"lo_{c}"), F.col("hi").alias(f"hi_{c}"))
     meet = side("a").join(side("b"), "token").filter((F.col("a") < F.col("b")) & (F.col("kin_a") != F.col("kin_b")) & (100 * F.col("hi_a") >= PERCENT * F.col("lo_b")) & (100 * F.col("hi_b") >= PERCENT * F.col("lo_a")))
     bound = meet.groupBy("a", "b").agg(F.count("*").alias("shared"), F.min(F.least("lo_a", "lo_b")).alias("least"))
