@@ -107,6 +107,27 @@ def ngrams(tokens: Column, most: int = NGRAM_MAX) -> Column:
     return F.concat(*parts)
 
 
+def entity_form(text: Column, start: Column, end: Column) -> Column:
+    """The name that the characters from start up to end spell: blanks collapsed, no marks around it; null if none is left."""
+    raw = strip(F.regexp_replace(F.substring(text, start + 1, end - start), r"(?U)\s+", " "))
+    name = F.regexp_replace(raw, r"(?U)^[\W_]+|[\W_]+$", "")
+    return F.when((F.length(name) >= 2) & name.rlike(r"\p{L}"), name)
+
+
+def unless_empty(text: Column) -> Column:
+    return F.when(text != "", text)
+
+
+def number(value: Column) -> Column:
+    """A number, 0 where there is none."""
+    return F.coalesce(value.cast("double"), F.lit(0.0))
+
+
+def utc_stamp(moment: Column) -> Column:
+    """A UTC timestamp as text, to the second."""
+    return F.date_format(moment, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
 def ner_input(text: Column) -> Column:
     """The part of a text that a recogniser sees; null where there is nothing to see."""
     clipped = F.substring(F.coalesce(text, F.lit("")), 1, NER_MAX_CHARS)

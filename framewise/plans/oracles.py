@@ -156,11 +156,22 @@ j AS (
 ),
 lj AS (SELECT * FROM j QUALIFY row_number() OVER (PARTITION BY content_id ORDER BY created_at DESC, job_id DESC) = 1),
 vj AS (SELECT * FROM j WHERE state IN ('running', 'queued') QUALIFY row_number() OVER (PARTITION BY content_id ORDER BY created_at DESC, job_id DESC) = 1),
-ch AS (SELECT l_orderkey AS content_id, l_linenumber AS ln, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS length FROM lineitem GROUP BY ALL),
-up AS (
-  SELECT content_id, CAST(coalesce(sum(length) FILTER (WHERE ln < cut), 0) AS BIGINT) AS received, CAST(sum(length) AS BIGINT) AS size
-  FROM (SELECT *, CASE WHEN content_id % 3 = 0 AND bool_or(ln = 3) OVER (PARTITION BY content_id) THEN 3 ELSE 1000 END AS cut FROM ch) GROUP BY content_id
-)"""
+ln AS (SELECT l_orderkey AS content_id, l_linenumber AS ln, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS length FROM lineitem GROUP BY ALL),
+ch AS (
+  SELECT content_id, unnest(CASE WHEN content_id % 7 = 2 AND ln = 3 THEN [16, 35] WHEN content_id % 5 = 1 AND ln = 1 THEN [10, 15] ELSE [10 * ln] END) AS seq, length,
+    CAST(coalesce(sum(length) OVER (PARTITION BY content_id ORDER BY ln ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + CASE WHEN content_id % 3 = 0 AND ln = 3 THEN 1 ELSE 0 END AS BIGINT) AS off,
+    CAST(sum(length) OVER (PARTITION BY content_id) + CASE WHEN content_id % 11 = 3 AND ln = 2 THEN 1 ELSE 0 END AS BIGINT) AS size
+  FROM ln
+),
+ck AS (SELECT *, row_number() OVER (PARTITION BY content_id ORDER BY seq) AS k FROM ch),
+fold(content_id, k, received, size) AS (
+  SELECT DISTINCT content_id, CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT) FROM ln
+  UNION ALL
+  SELECT f.content_id, c.k, CASE WHEN fits THEN f.received + c.length ELSE f.received END, CASE WHEN fits THEN c.size ELSE f.size END
+  FROM (SELECT f.content_id, f.k, f.received, f.size, c.length, c.size AS declared, c.off = f.received AND (f.received = 0 OR c.size = f.size) AND c.off + c.length <= c.size AND (f.size = 0 OR f.received < f.size) AS fits
+    FROM fold f JOIN ck c ON c.content_id = f.content_id AND c.k = f.k + 1) f JOIN ck c ON c.content_id = f.content_id AND c.k = f.k + 1
+),
+up AS (SELECT content_id, received, size FROM fold QUALIFY row_number() OVER (PARTITION BY content_id ORDER BY k DESC) = 1)"""
 
 _SEGMENTS = """
 g AS (
@@ -178,6 +189,28 @@ m AS (SELECT win.conv_id, shot_id, string_agg({part}, '' ORDER BY seg_id) AS sai
 SELECT conv_id, shot_id, coalesce(trim(regexp_replace(said, '\\s+', ' ', 'g')), '') AS said FROM win LEFT JOIN m USING (conv_id, shot_id)"""
 
 
+def _shot_rows(columns: str) -> str:
+    """Shot rows of conversations: both tracks, the exact window and one three seconds wider, entities in order."""
+    inside = "list_filter(ws, lambda w, i: s + 5.0 * i / len(ws) > t0 AND s + 5.0 * (i - 1) / len(ws) < t1)"
+    part = f"CASE WHEN seg_id % 2 = 1 OR len(ws) = 0 THEN ' ' || text WHEN NOT contains(text, ' ') THEN array_to_string({inside}, '') ELSE ' ' || array_to_string({inside}, ' ') END"
+    tidy = lambda x: f"coalesce(trim(regexp_replace({x}, '\\s+', ' ', 'g')), '')"
+    return f"""WITH {_SEGMENTS.replace("{pad}", "3.0")},
+ex AS (SELECT conv_id, shot_id, 8.0 * shot_id AS x0, 8.0 * shot_id + 8.0 AS x1, t0, t1 FROM win),
+a AS (SELECT ex.conv_id, shot_id, string_agg(' src ' || text, '' ORDER BY seg_id) AS said FROM ex JOIN g ON g.conv_id = ex.conv_id AND e > x0 AND s < x1 GROUP BY ALL),
+b AS (SELECT ex.conv_id, shot_id, string_agg({part}, '' ORDER BY seg_id) AS en, string_agg(' src ' || text, '' ORDER BY seg_id) AS src FROM ex JOIN g ON g.conv_id = ex.conv_id AND e > t0 AND s < t1 GROUP BY ALL),
+n AS (SELECT conv_id, seg_id, i, CASE WHEN seg_id % 3 = 0 THEN upper(x) ELSE x END AS form FROM (SELECT conv_id, seg_id, unnest(f) AS x, generate_subscripts(f, 1) AS i FROM (SELECT conv_id, seg_id, regexp_extract_all(text, '[A-Z][a-z]{{3,}}') AS f FROM g))),
+o AS (SELECT conv_id, shot_id, CASE WHEN shot_id % 4 = 0 THEN 'Paris' ELSE 'PARIS' END AS form FROM win WHERE shot_id % 2 = 0),
+al AS (SELECT conv_id, 0 AS t, seg_id AS y, i, form FROM n UNION ALL SELECT conv_id, 1, shot_id, 0, form FROM o),
+vo AS (SELECT conv_id, form FROM (SELECT conv_id, form, count(*) AS c, min((t, y, i)) AS f FROM al GROUP BY conv_id, form) QUALIFY row_number() OVER (PARTITION BY conv_id, lower(form) ORDER BY c DESC, f) = 1),
+en AS (SELECT ex.conv_id, shot_id, 0 AS t, n.seg_id AS y, i, form FROM ex JOIN g ON g.conv_id = ex.conv_id AND e >= t0 AND s <= t1 JOIN n ON n.conv_id = g.conv_id AND n.seg_id = g.seg_id UNION ALL SELECT conv_id, shot_id, 1, 0, 0, form FROM o),
+ec AS (SELECT en.conv_id, shot_id, vo.form AS form, min((t, y, i)) AS f FROM en JOIN vo ON vo.conv_id = en.conv_id AND lower(vo.form) = lower(en.form) GROUP BY ALL),
+es AS (SELECT conv_id, shot_id, string_agg(form, ',' ORDER BY f) AS es FROM ec GROUP BY ALL),
+rw AS (SELECT ex.conv_id AS content_id, ex.shot_id, {tidy("a.said")} AS transcript, {tidy("b.en")} AS dialogue_en, CASE WHEN ex.conv_id % 2 = 0 THEN {tidy("b.en")} ELSE {tidy("b.src")} END AS dialogue_src,
+  len(list_filter(string_split({tidy("b.en")}, ' '), lambda w: w <> '')) >= 3 AS has_dialogue, coalesce(es, '') AS entities
+  FROM ex LEFT JOIN a USING (conv_id, shot_id) LEFT JOIN b USING (conv_id, shot_id) LEFT JOIN es USING (conv_id, shot_id))
+SELECT {columns} FROM rw"""
+
+
 def _z(masked: bool) -> str:
     x = f"CASE WHEN d_mask THEN {_DOT.format('v', _QV)} END" if masked else _DOT.format("v", _QV)
     return f"WITH {_PLAIN}, x AS (SELECT row, {x} AS x FROM p) SELECT row, round(CASE WHEN x IS NULL THEN 0 ELSE least(greatest((x - avg(x) OVER ()) / stddev_pop(x) OVER (), 0), 3) / 3 END, 6) AS z FROM x"
@@ -224,6 +257,7 @@ FROM (SELECT *, CAST(floor(s * f + 1e-6) AS BIGINT) AS total, CAST(floor(s + 0.5
 ) WHERE n > 1 OR (length(gram) >= 3 AND gram NOT IN ({_STOP}))""",
     "win7_bigrams": "SELECT p_partkey, array_to_string(list_transform(range(1, greatest(1, length(w) - 1) + 1), lambda i: substr(w, i, 2)), '|') AS pairs FROM (SELECT p_partkey, string_split(p_name, ' ')[1] AS w FROM part)",
     "win8_sentences": f"SELECT item_id, {_cap2} AS kept FROM (SELECT item_id, {_sent2} AS ss FROM benchmark)",
+    "agg1_key_stats": f"""WITH {_PLAIN} SELECT CAST(i - 1 AS INTEGER) AS i, CAST(j - 1 AS INTEGER) AS j, count(*) AS n, round(avg(CAST(v[i] AS DOUBLE)), 6) AS mean, round(avg(CAST(v[i] AS DOUBLE) * CAST(v[j] AS DOUBLE)), 6) AS gram FROM p, range(1, 9) a(i), range(1, 9) b(j) GROUP BY i, j""",
     "agg2_moments": f"SELECT count(x) AS n, round(avg(x), 6) AS mean, round(stddev_pop(x), 6) AS sd FROM (SELECT {_DOT.format('embedding', _QV)} AS x FROM embeddings)",
     "agg4_bm25_stats": f"WITH {_DOCS} SELECT term, df, round(idf, 6) AS idf FROM idf",
     "j6_bm25": f"WITH {_DOCS_BM} SELECT query_id, row, round(bm25, 6) AS bm25 FROM bm",
@@ -245,9 +279,18 @@ SELECT tenant, n_active, round(minutes, 6) AS minutes, NOT fresh OR (n_active <=
     "j2_entity_window": f"WITH {_SEGMENTS.replace('{pad}', '3.0')} SELECT win.conv_id, shot_id, count(*) AS n, min(seg_id) AS first, max(seg_id) AS last FROM win JOIN g ON g.conv_id = win.conv_id AND e >= t0 AND s <= t1 GROUP BY ALL",
     "j4_propagate": f"SELECT a.vec_id AS row, b.vec_id AS rep, round(least(greatest({_DOT.format('a.embedding', 'b.embedding')}, 0), 1), 6) AS confidence FROM embeddings a, embeddings b WHERE b.vec_id % 25 = 0 QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY {_DOT.format('a.embedding', 'b.embedding')} DESC, b.vec_id) = 1",
     "j7_entity_score": f"WITH {_TEXT_P} SELECT row, round(entity / 2, 6) AS entity FROM ent",
-    # terms of at most six letters, so one edit: there the two distances agree
-    "j8_fuzzy": """WITH k AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS key FROM part), t(term) AS (VALUES ('anvli'), ('widgte'), ('glzmo'), ('boltt'), ('plaet'), ('smalll'), ('xxxxxx'), ('ring'), ('hott'), ('gera'))
-SELECT term, key, CAST(damerau_levenshtein(term, key) AS BIGINT) AS d FROM t, k WHERE damerau_levenshtein(term, key) <= 1 QUALIFY row_number() OVER (PARTITION BY term ORDER BY d, key) = 1""",
+    # all terms at issue are ones where swaps of neighbours and edits do not overlap, so the two distances agree
+    "j8_fuzzy": """WITH k AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS key FROM part),
+t(term) AS (VALUES ('anvli'), ('widgte'), ('glzmo'), ('boltt'), ('plaet'), ('smalll'), ('zz'), ('xxxxxx'), ('ring'), ('hott'), ('gera'), ('widdgett'), ('gizzmoo'), ('annvill'), ('pllatee'), ('wigdtee'), ('wxdgexy'))
+SELECT term, key, CAST(damerau_levenshtein(term, key) AS BIGINT) AS d FROM t, k WHERE length(term) >= 4 AND damerau_levenshtein(term, key) <= CASE WHEN length(term) <= 6 THEN 1 ELSE 2 END
+QUALIFY row_number() OVER (PARTITION BY term ORDER BY d, key) = 1""",
+    # names as typed (gizmo), then runs of three words, two and one that are a key or near one
+    "fn4_query_entities": f"""WITH k AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS key FROM part), w AS (SELECT ['show', 'the', 'widgte', 'anvli', 'and', 'gizmo'] AS w),
+g AS (SELECT 3 - n AS a, i, array_to_string(w[i:i + n - 1], ' ') AS term FROM w, range(1, 4) x(n), range(1, 7) y(i) WHERE i + n - 1 <= 6),
+m AS (SELECT a, i, key FROM g, k WHERE (a < 2 OR (length(term) >= 3 AND term NOT IN ({_STOP}))) AND (term = key OR (length(term) >= 4 AND NOT EXISTS (SELECT 1 FROM k k2 WHERE k2.key = term) AND damerau_levenshtein(term, key) <= CASE WHEN length(term) <= 6 THEN 1 ELSE 2 END))
+  QUALIFY row_number() OVER (PARTITION BY a, i ORDER BY damerau_levenshtein(term, key), key) = 1),
+o AS (SELECT key, min(place) AS place FROM (SELECT key, (a + 1) * 100 + i AS place FROM m UNION ALL SELECT 'gizmo', 0) GROUP BY key)
+SELECT CAST(row_number() OVER (ORDER BY place) - 1 AS INTEGER) AS pos, key AS entity FROM o""",
     "j9_owner": f"WITH {_REGISTRY} SELECT content_id, min(footage_key) AS footage_key, arg_min(path, footage_key) AS source_path FROM r WHERE state = 'ready' GROUP BY content_id",
     "j10_sync_diff": f"WITH {_REGISTRY} SELECT footage_key, bucket FROM b",
     "j11_apply_sync": f"""WITH {_REGISTRY}, m AS (SELECT coalesce(r.footage_key, b.footage_key) AS k, r.* EXCLUDE (footage_key), bucket, sn.path AS sp, sn.size AS ss, sn.mtime_ns AS sm, sn.item_id AS si, sn.frame_rate AS sf, r.path IS NOT NULL AS known, coalesce(bucket IN ('added', 'changed'), false) AS fresh
@@ -260,13 +303,13 @@ SELECT k AS footage_key, CASE WHEN fresh THEN sp ELSE path END AS path, CASE WHE
 FROM m WHERE known OR fresh""",
     "j12_knn": _nearest("", "SELECT vec_id AS row, embedding AS v FROM embeddings"),
     "j12_knn_masked": _nearest(f"{_PLAIN}, ", "SELECT row, d AS v FROM p WHERE d_mask"),
-    "j16_stranded": f"WITH {_REGISTRY}, {_JOBS} SELECT footage_key, state FROM r WHERE state IN ('error', 'indexing', 'uploading') AND footage_key NOT IN (SELECT substr(sha1('/footage/Customer#' || lpad(CAST(content_id AS VARCHAR), 9, '0')), 1, 10) FROM j WHERE state = 'running')",
-    "j17_ocr_codes": "SELECT doc_id, CASE WHEN lang IN ('fr', 'es') THEN lang || '+en' WHEN lang = 'zh' THEN 'ch_sim+en' ELSE 'en' END AS ocr FROM documents",
-    "prj3_owned_results": f"WITH {_REGISTRY}, {_PLAIN}, o AS (SELECT content_id, min(footage_key) AS footage_key, arg_min(path, footage_key) AS source_path FROM r WHERE state = 'ready' GROUP BY content_id), h AS (SELECT row, 'c' || lpad(CAST(row % 60 AS VARCHAR), 15, '0') AS content_id FROM p) SELECT * FROM h JOIN o USING (content_id)",
+    "j16_stranded": f"WITH RECURSIVE {_REGISTRY}, {_JOBS} SELECT footage_key, state FROM r WHERE state IN ('error', 'indexing', 'uploading') AND footage_key NOT IN (SELECT substr(sha1('/footage/Customer#' || lpad(CAST(content_id AS VARCHAR), 9, '0')), 1, 10) FROM j WHERE state = 'running')",
+    "j17_ocr_codes": "SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'ch_sim+en' WHEN lang IN ('fr', 'es', 'de', 'it') THEN lang || '+en' ELSE 'en' END AS ocr FROM documents",
+    "prj3_owned_results": f"WITH {_REGISTRY}, {_TEXTS}, o AS (SELECT content_id, min(footage_key) AS footage_key, arg_min(path, footage_key) AS source_path FROM r WHERE state = 'ready' GROUP BY content_id), h AS (SELECT row, 'c' || lpad(CAST(row % 60 AS VARCHAR), 15, '0') AS content_id FROM ts) SELECT * FROM h JOIN o USING (content_id)",
     "set3_removed": f"WITH {_REGISTRY} SELECT footage_key FROM b WHERE bucket = 'removed'",
-    "flt2_valid_ids": f"WITH {_PLAIN} SELECT row FROM p WHERE row % 3 = 0",
+    "flt2_valid_ids": f"WITH {_TEXTS} SELECT row FROM ts WHERE row % 3 = 0",
     "flt4_hallucination": "SELECT l_orderkey, l_linenumber FROM lineitem WHERE NOT (CAST(l_discount AS DOUBLE) * 10 > 0.6 AND -CAST(l_tax AS DOUBLE) * 20 < -1.0) AND l_linenumber <> 2",
-    "flt7_emotions": """SELECT o_orderkey, coalesce(string_agg(label, ',' ORDER BY score DESC, label DESC) FILTER (WHERE score > 0.3), '') AS emotions FROM (
+    "flt7_emotions": """SELECT o_orderkey, coalesce(string_agg(label, ',' ORDER BY score DESC, label DESC) FILTER (WHERE score > 0.3 AND o_orderkey % 9 <> 4), '') AS emotions FROM (
   SELECT o_orderkey, label, o_orderkey * m % 100 / 100.0 AS score FROM orders, (VALUES (7, 'joy'), (13, 'fear'), (29, 'anger'), (31, 'surprise')) t(m, label) QUALIFY row_number() OVER (PARTITION BY o_orderkey ORDER BY score DESC, label DESC) <= 3
 ) GROUP BY o_orderkey""",
     "flt12_ner_input": "SELECT doc_id, CAST(CASE WHEN trim(text) <> '' THEN length(text[1:1000]) END AS BIGINT) AS n FROM documents",
@@ -274,22 +317,61 @@ FROM m WHERE known OR fresh""",
     "win2_span_merge": """WITH s AS (SELECT l_orderkey AS k, l_linenumber * 10.0::DOUBLE AS b, l_linenumber * 10.0::DOUBLE + CAST(l_quantity AS DOUBLE) / 3.0 AS e, CAST(l_discount AS DOUBLE) AS score FROM lineitem),
 i AS (SELECT *, sum(CASE WHEN b <= m THEN 0 ELSE 1 END) OVER (PARTITION BY k ORDER BY b, e ROWS UNBOUNDED PRECEDING) AS island FROM (SELECT *, max(e) OVER (PARTITION BY k ORDER BY b, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM s))
 SELECT k, round(min(b), 6) AS start, round(max(e), 6) AS "end", round(max(score), 6) AS score FROM i GROUP BY k, island""",
-    "win3_latest_job": f"WITH {_JOBS} SELECT * FROM lj",
-    "win3_live_job": f"WITH {_JOBS} SELECT * FROM vj",
+    "win3_latest_job": f"WITH RECURSIVE {_JOBS} SELECT * FROM lj",
+    "win3_live_job": f"WITH RECURSIVE {_JOBS} SELECT * FROM vj",
     "win4_first_owner": f"WITH {_REGISTRY} SELECT content_id, min(footage_key) AS footage_key FROM r WHERE state = 'ready' GROUP BY content_id",
     "win5_debounce": "SELECT event_id, user_id AS footage, size, coalesce(lag(size) OVER (PARTITION BY user_id ORDER BY ts, event_id) = size, false) AS confirmed FROM (SELECT *, CAST(floor(value / 25) AS BIGINT) AS size FROM events)",
-    "win9_ordinal": f"WITH {_PLAIN} SELECT row, content_id, shot_id, CAST(row_number() OVER (ORDER BY content_id, shot_id) - 1 AS BIGINT) AS ordinal FROM p",
+    "win9_ordinal": f"WITH {_TEXTS} SELECT row, content_id, shot_id, CAST(row_number() OVER (ORDER BY content_id, shot_id) - 1 AS BIGINT) AS ordinal FROM ts",
     "win10_split_spans": """WITH o AS (SELECT o_orderkey, 2.0::DOUBLE AS s, 2.0 + CAST(o_totalprice AS DOUBLE) / 5000.0 AS e FROM orders), n AS (SELECT *, greatest(1, CAST(ceil((e - s) / 8.0 - 1e-6) AS INTEGER)) AS k FROM o), u AS (SELECT *, unnest(range(0, k)) AS part FROM n)
 SELECT o_orderkey, CAST(part AS INTEGER) AS part, round(s + part * ((e - s) / k), 8) AS t0, round(s + (part + 1) * ((e - s) / k), 8) AS t1 FROM u""",
-    "st4_upload": f"WITH {_JOBS} SELECT content_id, received, size, received = size AS complete FROM up",
-    "st9_recover": f"""WITH {_JOBS}, s AS (SELECT job_id, state, CAST(created_at AS BIGINT) AS c, state = 'running' AS run FROM j)
-SELECT job_id, CASE WHEN run THEN 'queued' ELSE state END AS state, array_to_string(list_transform(range(0, 3), lambda i: ['shots', 'visual', 'ocr'][i + 1] || ':' || CASE WHEN c % 4 > i THEN 'done:' || (c + i) WHEN c % 4 = i THEN CASE WHEN run THEN 'pending:0' ELSE 'running:' || (c + i) END ELSE 'pending:' || (c + i) END), ',') AS stages FROM s""",
-    "st10_library_state": f"""WITH {_JOBS} SELECT c.content_id, CASE WHEN vj.job_id IS NOT NULL AND c.content_id % 2 = 0 THEN 'indexing' WHEN c.content_id % 6 = 0 THEN 'ready' WHEN lj.state = 'error' THEN 'error' WHEN c.content_id % 6 = 1 THEN 'stale' WHEN received = size THEN 'uploaded' WHEN received > 0 THEN 'partial' ELSE 'missing' END AS library_state
+    "fn3_clean_entities": r"""WITH s AS (SELECT doc_id, text, i * 9 + doc_id % 4 AS b, i * 9 + doc_id % 4 + 6 + i % 3 * 2 AS e, (doc_id * 13 + i * 29) % 100 / 100.0 AS score FROM documents, range(0, 20) r(i)),
+i AS (SELECT *, sum(CASE WHEN b <= m THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY b ROWS UNBOUNDED PRECEDING) AS island FROM (SELECT *, max(e) OVER (PARTITION BY doc_id ORDER BY b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM s)),
+g AS (SELECT doc_id, any_value(text) AS text, min(b) AS b, max(e) AS e, max(score) AS score FROM i GROUP BY doc_id, island),
+n AS (SELECT doc_id, b, regexp_replace(regexp_replace(substr(text, b + 1, e - b), '\s+', ' ', 'g'), '^[^\p{L}\p{N}\p{M}]+|[^\p{L}\p{N}\p{M}]+$', '', 'g') AS entity FROM g WHERE score >= 0.6)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY b) - 1 AS INTEGER) AS pos, entity FROM n WHERE length(entity) >= 2 AND regexp_matches(entity, '\p{L}')""",
+    "fn20_prompt": "SELECT p_partkey, 'this is a photo of ' || lower(p_name) || '.' AS prompt FROM part",
+    "fn23_utc_stamp": "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS stamp, CASE WHEN event_id % 2 = 0 THEN coalesce(value, 0) ELSE 0 END AS value FROM events",
+    "flt5_ocr_text": f"""WITH t AS (SELECT doc_id, list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '') AS w FROM documents),
+k AS (SELECT doc_id, w, i FROM (SELECT doc_id, unnest(w) AS w, generate_subscripts(w, 1) - 1 AS i FROM t) WHERE (doc_id + i * 7) % 100 >= 40 AND length(w) >= 2 AND doc_id % 50 >= 20),
+o AS (SELECT doc_id, string_agg(w, ' ' ORDER BY i) AS t FROM (SELECT doc_id, w, min(i) AS i FROM k GROUP BY ALL) GROUP BY doc_id)
+SELECT doc_id, length(coalesce(t, '')) AS n, md5(coalesce(t, '')) AS digest FROM documents LEFT JOIN o USING (doc_id)""",
+    "agg14_keyframe": "SELECT DISTINCT l_orderkey AS content_id, l_linenumber % 2 AS shot_id, CAST(first_value(l_linenumber) OVER (PARTITION BY l_orderkey, l_linenumber % 2 ORDER BY l_quantity DESC, l_linenumber) AS BIGINT) AS frame FROM lineitem WHERE l_partkey % 9 <> 0",
+    "agg15_sharpness": """WITH p AS (SELECT o_orderkey, i, j, (o_orderkey * (4 * i + j + 1)) % 251 AS x FROM orders, range(0, 4) a(i), range(0, 4) b(j)),
+n AS (SELECT * FROM (VALUES (0, 1), (0, 1), (1, 0), (1, 2), (2, 1), (2, 3), (3, 2), (3, 2)) t(place, near)),
+v AS (SELECT o_orderkey, p.i, p.j, sum(q.x) AS s FROM p JOIN n ON place = p.i JOIN p q USING (o_orderkey) WHERE q.i = near AND q.j = p.j GROUP BY ALL),
+h AS (SELECT o_orderkey, p.i, p.j, sum(q.x) AS s FROM p JOIN n ON place = p.j JOIN p q USING (o_orderkey) WHERE q.j = near AND q.i = p.i GROUP BY ALL)
+SELECT o_orderkey, round(var_pop(v.s + h.s - 4 * x), 4) AS sharpness FROM p JOIN v USING (o_orderkey, i, j) JOIN h USING (o_orderkey, i, j) GROUP BY o_orderkey""",
+    "prj1_shot_rows": _shot_rows("content_id, shot_id, transcript, dialogue_en, dialogue_src, has_dialogue, entities"),
+    "j3_assembled": _shot_rows("content_id, shot_id, 8.0 * shot_id AS start_time, 8.0 * shot_id + 8.0 AS end_time, has_dialogue, CAST(1 - shot_id % 2 AS BIGINT) AS n_ocr"),
+    "prj4_footage": f"""WITH {_REGISTRY} SELECT footage_key, CASE WHEN item_id % 4 <> 0 THEN path ELSE '' END AS path, CASE WHEN item_id % 5 <> 0 THEN content_id ELSE '' END AS content_id, CASE WHEN item_id % 6 <> 0 THEN shot_count ELSE 0 END AS shot_count,
+  0.0::DOUBLE AS duration_s, CAST(NULL AS VARCHAR) AS indexed_at, CASE WHEN item_id % 8 <> 0 THEN state ELSE 'indexing' END AS state, false AS reused FROM r""",
+    "prj6_status": f"WITH RECURSIVE {_JOBS} SELECT job_id, 'k' || content_id AS footage_key, state, content_id % 2 = 0 AS reused, state AS upload, CAST(CASE WHEN state = 'error' THEN 500 END AS INTEGER) AS n_error FROM j",
+    "prj8_canonical": "SELECT p_partkey, array_to_string(list_transform(string_split(p_name, ' '), lambda w: CASE w WHEN 'anvil' THEN 'Anvil' WHEN 'gizmo' THEN 'GIZMO' ELSE w END), ' ') AS shown FROM part",
+    "prj9_cards": "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 1 THEN 'a caption' WHEN o_orderkey % 2 = 0 THEN 'said' ELSE '' END AS card, format('{:.1f}', CAST(greatest(0, o_custkey % 9 - 2) AS DOUBLE)) AS seconds FROM orders",
+    "src6_corpus_order": f"""WITH {_TEXTS}, w(place, content_id) AS (VALUES (0, 'c000000000000003'), (1, 'c000000000000001'), (2, 'c000000000000000'), (3, 'c000000000000003'))
+SELECT content_id, shot_id, CAST(row_number() OVER (ORDER BY place, shot_id) - 1 AS BIGINT) AS ordinal FROM w JOIN ts USING (content_id)""",
+    "st2_lifecycle": """WITH o AS (SELECT o_orderkey AS job_id, o_orderkey % 6 AS k, o_orderkey % 7 AS m, o_custkey % 100 AS d FROM orders)
+SELECT job_id, CASE WHEN k = 0 AND m = 0 THEN 'cancelled' WHEN k = 0 OR (k = 3 AND m = 2) THEN 'queued' WHEN k = 4 THEN 'error' WHEN k = 5 THEN 'done' ELSE 'running' END AS state,
+  CAST(CASE WHEN k = 0 AND m = 0 THEN length('cancelled by user') WHEN k = 4 THEN 500 END AS INTEGER) AS n_error,
+  'shots:' || CASE WHEN k < 2 THEN 'pending:0:0' WHEN k = 2 THEN 'running:' || d || ':100' ELSE 'done:100:100' END
+  || ',visual:' || CASE WHEN k < 3 THEN 'pending:0:0' WHEN k = 3 THEN CASE WHEN m = 2 THEN 'pending' ELSE 'running' END || ':1:3' WHEN k = 4 THEN 'error:1:3' ELSE 'done:1:3' END
+  || ',ocr:' || CASE WHEN k = 5 THEN 'done' ELSE 'pending' END || ':0:0' AS stages FROM o""",
+    "st3_cancel": f"WITH RECURSIVE {_JOBS} SELECT job_id, CASE WHEN created_at % 10 = 0 THEN 'missing' WHEN state IN ('done', 'error') THEN 'terminal' WHEN state = 'queued' THEN 'cancelled' ELSE 'running' END AS outcome FROM j",
+    "st5_handoff": """SELECT o_orderkey, CASE WHEN k = 0 THEN 'reuse' WHEN k = 1 AND o_orderkey % 2 = 0 THEN 'attach' WHEN o_orderkey % 3 = 0 THEN 'upload' ELSE 'index' END AS action, CAST(CASE WHEN k = 2 AND o_orderkey % 3 = 0 THEN o_custkey ELSE 0 END AS BIGINT) AS "offset"
+FROM (SELECT *, o_orderkey % 5 AS k FROM orders)""",
+    "st6_calls": """WITH c AS (SELECT l_orderkey, l_partkey % 7 AS c, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS i FROM lineitem),
+m AS (SELECT *, count(*) FILTER (WHERE c NOT IN (0, 3, 6)) OVER (PARTITION BY l_orderkey ORDER BY i) AS misses FROM c),
+f AS (SELECT l_orderkey, min(i) FILTER (WHERE c = 6) AS answer, min(i) FILTER (WHERE misses >= 3) AS failed FROM m GROUP BY l_orderkey)
+SELECT l_orderkey, CASE WHEN answer IS NOT NULL AND (failed IS NULL OR answer < failed) THEN 'answered' WHEN failed IS NOT NULL THEN 'failed' ELSE 'waiting' END AS outcome FROM f""",
+    "st4_upload": f"WITH RECURSIVE {_JOBS} SELECT content_id, received, size, size > 0 AND received = size AS complete FROM up",
+    "st9_recover": f"""WITH RECURSIVE {_JOBS}, s AS (SELECT job_id, state, CAST(created_at AS BIGINT) AS c, state IN ('running', 'queued') AS run FROM j)
+SELECT job_id, CASE WHEN run THEN 'queued' ELSE state END AS state, array_to_string(list_transform(range(0, 3), lambda i: ['shots', 'visual', 'ocr'][i + 1] || ':' || CASE WHEN c % 4 > i THEN 'done:' || (c + i) WHEN c % 4 = i THEN CASE WHEN run THEN 'pending:' ELSE 'running:' END || (c + i) ELSE 'pending:' || (c + i) END), ',') AS stages FROM s""",
+    "st10_library_state": f"""WITH RECURSIVE {_JOBS} SELECT c.content_id, CASE WHEN vj.job_id IS NOT NULL AND c.content_id % 2 = 0 THEN 'indexing' WHEN c.content_id % 6 = 0 THEN 'ready' WHEN lj.state = 'error' THEN 'error' WHEN c.content_id % 6 = 1 THEN 'stale' WHEN size > 0 AND received = size THEN 'uploaded' WHEN received > 0 THEN 'partial' ELSE 'missing' END AS library_state
 FROM (SELECT c_custkey - 1 AS content_id FROM customer) c LEFT JOIN lj ON lj.content_id = c.content_id LEFT JOIN vj ON vj.content_id = c.content_id LEFT JOIN up ON up.content_id = c.content_id""",
     "st11_screen": "SELECT o_orderkey, CASE WHEN o_orderkey % 2 <> 0 AND o_orderkey % 3 = 0 THEN 'job' WHEN o_orderkey % 5 = 0 THEN 'searching' WHEN o_orderkey % 7 = 0 AND o_orderkey % 4 = 0 THEN 'error' WHEN o_orderkey % 2 <> 0 THEN 'empty' WHEN o_orderkey % 4 = 0 THEN 'nomatch' ELSE 'results' END AS screen FROM orders",
     "srt7_step_order": """WITH s AS (SELECT l_orderkey AS job_id, ['shots', 'visual', 'transcribe', 'ocr', 'captions', 'text', 'extra'][l_linenumber] AS name, ['pending', 'running', 'done', 'error'][min(l_partkey) % 4 + 1] AS state, l_linenumber AS pos FROM lineitem GROUP BY l_orderkey, l_linenumber),
 t AS (SELECT *, CASE WHEN pos < 7 AND state = 'running' THEN 0 WHEN pos < 7 AND state = 'done' THEN 1 ELSE 2 END AS kind FROM s WHERE state <> 'pending')
 SELECT job_id, name, state, row_number() OVER (PARTITION BY job_id ORDER BY kind, CASE WHEN kind = 0 THEN pos ELSE -pos END) AS place FROM t""",
     "snk9_layers": "SELECT o_orderkey, 60.0::DOUBLE - o_orderkey % 100 AS layer_start, 60.0::DOUBLE AS layer_in, 60.0::DOUBLE + o_custkey % 9 - 1 AS layer_out FROM orders WHERE o_custkey % 9 > 1",
-    "src7_ready_contents": f"WITH {_PLAIN} SELECT content_id, count(*) AS n_shots FROM p WHERE content_id[16:16] <> '1' GROUP BY content_id",
+    "src7_ready_contents": f"WITH {_TEXTS} SELECT content_id, count(*) AS n_shots FROM ts WHERE content_id[16:16] <> '1' GROUP BY content_id",
 }

@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 from framewise.config import Settings
 from framewise.functions import text as T
 from framewise.functions import vectors as V
-from framewise.operators import captions, entities, fusion, intervals, jobs, lexical, sync
+from framewise.operators import build, captions, entities, fusion, intervals, jobs, lexical, sync
+from framewise.operators.corpus import Corpus
 from framewise.sources import adapters as A
+from framewise.sources import files
 
 #: Rows whose vectors are the visual and the text query, the item whose text is asked, and the vectors' size.
 VISUAL_ROW, TEXT_ROW, ITEM, SIZE = 7, 11, 0, 64
-TYPOS = ("anvli", "widgte", "glzmo", "boltt", "plaet", "smalll", "zz", "xxxxxx", "ring", "hott", "gera")
+TYPOS = ("anvli", "widgte", "glzmo", "boltt", "plaet", "smalll", "zz", "xxxxxx", "ring", "hott", "gera", "widdgett", "gizzmoo", "annvill", "pllatee", "wigdtee", "wxdgexy")
 
 
 def _vector(spark: SparkSession, sf_dir: str, row: int):
@@ -203,9 +205,8 @@ def win6_ngrams(spark, d):
     return b.select("item_id", F.posexplode(T.ngrams(T.words(F.col("text")))).alias("pos", "gram")).withColumn("pos", F.col("pos").cast("long"))
 
 
-def _query(spark, d):
-    shots = A.shots(spark, d).persist()  # every signal reads it
-    return shots, _item_tokens(spark, d), _term(shots), _vector(spark, d, VISUAL_ROW), _vector(spark, d, TEXT_ROW)
+def _numbers(spark, d, row):
+    return A.vectors(spark, d).filter(F.col("row") == row).first().v
 
 
 def _flat(ranked):
@@ -213,20 +214,35 @@ def _flat(ranked):
     return ranked.select("row", "content_id", "shot_id", "scene_id", *parts, F.round("visual_raw", 6).alias("raw_visual"), F.round("dialogue_raw", 6).alias("raw_dialogue"), F.round("caption_raw", 6).alias("raw_caption"))
 
 
+def _asked(spark, d):
+    """The corpus of all shots, and the query: tokens, terms, visual and text vector."""
+    corpus = Corpus(A.shots(spark, d))
+    return corpus, (_item_tokens(spark, d), _term(corpus.shots), _numbers(spark, d, VISUAL_ROW), _numbers(spark, d, TEXT_ROW))
+
+
 def fused_search(spark, d):
     """The flagship: eight shots for one query, with contributions and raw cosines."""
-    shots, tokens, terms, qv, qt = _query(spark, d)
-    return _flat(fusion.rank(shots, tokens, terms, qv, qt, SIZE))
+    corpus, query = _asked(spark, d)
+    return _flat(corpus.rank(*query))
 
 
 def fused_search_candidates(spark, d):
-    shots, tokens, terms, qv, qt = _query(spark, d)
-    return _flat(fusion.rank(shots, tokens, terms, qv, qt, SIZE, Settings(candidates=60), exhaustive=False, top_k=5))
+    corpus, query = _asked(spark, d)
+    return _flat(corpus.rank(*query, Settings(candidates=60), exhaustive=False, top_k=5))
 
 
 def set1_candidates(spark, d):
-    shots, tokens, terms, qv, qt = _query(spark, d)
-    return fusion.candidates(fusion.scored_shots(shots, tokens, terms, qv, qt, SIZE), qv, qt, 20)
+    corpus, query = _asked(spark, d)
+    return corpus.candidates(*query, 20)
+
+
+def agg1_key_stats(spark, d):
+    """Count, mean and Gram matrix of the visual vectors: their first dimensions."""
+    corpus = Corpus(A.shots(spark, d))
+    corpus.packed()
+    s = corpus.stats["v"]
+    rows = [(i, j, int(s.count), round(float(s.mean[i]), 6), round(float(s.gram[i, j]), 6)) for i in range(8) for j in range(8)]
+    return spark.createDataFrame(rows, "i int, j int, n long, mean double, gram double")
 
 
 def srt3_top_scored(spark, d):
@@ -306,7 +322,7 @@ def j9_owner(spark, d):
 
 
 def prj3_owned_results(spark, d):
-    hits = A.plain_shots(spark, d).select("row", F.concat(F.lit("c"), F.lpad((F.col("row") % 60).cast("string"), 15, "0")).alias("content_id"))
+    hits = A.text_shots(spark, d).select("row", F.concat(F.lit("c"), F.lpad((F.col("row") % 60).cast("string"), 15, "0")).alias("content_id"))
     return sync.owned(hits, A.registry(spark, d))
 
 
@@ -374,35 +390,156 @@ def st11_screen(spark, d):
 
 
 def flt2_valid_ids(spark, d):
-    p = A.plain_shots(spark, d).select("row", F.when(F.col("row") % 3 == 0, F.col("content_id")).when(F.col("row") % 3 == 1, F.upper("content_id")).otherwise(F.concat("content_id", F.lit("\n"))).alias("cid"))
+    p = A.text_shots(spark, d).select("row", F.when(F.col("row") % 3 == 0, F.col("content_id")).when(F.col("row") % 3 == 1, F.upper("content_id")).otherwise(F.concat("content_id", F.lit("\n"))).alias("cid"))
     return p.filter(T.valid_content_id(F.col("cid"))).select("row")
 
 
 def flt4_hallucination(spark, d):
-    li = A.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_discount") * 10).cast("double").alias("no_speech"), (-F.col("l_tax") * 20).cast("double").alias("logprob"), F.when(F.col("l_linenumber") == 2, "  ").otherwise("said").alias("text"))
-    kept = ~((F.col("no_speech") > 0.6) & (F.col("logprob") < -1.0)) & (T.strip(F.col("text")) != "")
-    return li.filter(kept).select("l_orderkey", "l_linenumber")
+    li = A.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_discount") * 10).cast("double").alias("no_speech_prob"), (-F.col("l_tax") * 20).cast("double").alias("avg_logprob"), F.when(F.col("l_linenumber") == 2, "  ").otherwise("said").alias("text"))
+    return build.spoken(li).select("l_orderkey", "l_linenumber")
+
+
+def flt5_ocr_text(spark, d):
+    words = F.filter(F.split("text", r"\s+"), lambda w: w != "")
+    k = F.col("doc_id")
+    tokens = F.transform(words, lambda w, i: F.struct(w.alias("text"), (((k + i * 7) % 100) / 100.0).alias("conf")))
+    docs = A.table(spark, d, "documents").select("doc_id", build.ocr_text(tokens, (k % 50) / 1000.0).alias("t"))
+    return docs.select("doc_id", F.length("t").cast("long").alias("n"), F.md5(F.col("t").cast("binary")).alias("digest"))
 
 
 def flt7_emotions(spark, d):
     o = A.table(spark, d, "orders").select("o_orderkey", F.array(*(F.struct(((F.col("o_orderkey") * m) % 100 / 100.0).alias("score"), F.lit(n).alias("label")) for m, n in ((7, "joy"), (13, "fear"), (29, "anger"), (31, "surprise")))).alias("found"))
-    top = F.slice(F.sort_array("found", asc=False), 1, 3)
-    return o.select("o_orderkey", F.array_join(F.transform(F.filter(top, lambda x: x["score"] > Settings().emotion_min_score), lambda x: x["label"]), ",").alias("emotions"))
+    return o.select("o_orderkey", F.array_join(build.top_emotions(F.col("found"), F.col("o_orderkey") % 9 != 4, Settings().emotion_min_score), ",").alias("emotions"))
 
 
 def flt12_ner_input(spark, d):
     return A.table(spark, d, "documents").select("doc_id", F.length(T.ner_input(F.col("text"))).cast("long").alias("n"))
 
 
+def fn3_clean_entities(spark, d):
+    docs = A.table(spark, d, "documents").select("doc_id", "text")
+    k, i = F.col("doc_id"), F.col("i")
+    spans = docs.select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(19))).alias("i"))
+    spans = spans.select("doc_id", (i * 9 + k % 4).cast("int").alias("start"), (i * 9 + k % 4 + 6 + (i % 3) * 2).cast("int").alias("end"), ((k * 13 + i * 29) % 100 / 100.0).alias("score"))
+    return build.clean_entities(spans, docs, "doc_id")
+
+
+def fn20_prompt(spark, d):
+    return A.table(spark, d, "part").select("p_partkey", T.prompt(F.concat(F.lit(" "), F.upper("p_name"), F.lit("  "))).alias("prompt"))
+
+
+def fn23_utc_stamp(spark, d):
+    return A.table(spark, d, "events").select("event_id", T.utc_stamp(F.col("ts")).alias("stamp"), T.number(F.when(F.col("event_id") % 2 == 0, F.col("value"))).alias("value"))
+
+
 def j17_ocr_codes(spark, d):
-    codes = F.create_map(*(F.lit(x) for kv in (("fr", "fr"), ("es", "es"), ("zh", "ch_sim")) for x in kv))
-    lang = F.col("lang")
-    return A.table(spark, d, "documents").select("doc_id", F.concat_ws("+", F.element_at(codes, lang), F.lit("en")).alias("ocr"))
+    return A.table(spark, d, "documents").select("doc_id", F.array_join(F.array_distinct(build.ocr_codes(F.when(F.col("doc_id") % 5 == 0, "zh").otherwise(F.col("lang")))), "+").alias("ocr"))
+
+
+def agg14_keyframe(spark, d):
+    li = A.table(spark, d, "lineitem")
+    frames = li.select(F.col("l_orderkey").alias("content_id"), (F.col("l_linenumber") % 2).alias("shot_id"), F.col("l_linenumber").alias("frame"), F.when(F.col("l_partkey") % 9 != 0, F.col("l_quantity").cast("double")).alias("sharpness"))
+    return build.keyframes(frames).select("content_id", "shot_id", F.col("frame").cast("long").alias("frame"))
+
+
+def agg15_sharpness(spark, d):
+    pixels = F.array(*(F.array(*(((F.col("o_orderkey") * (4 * i + j + 1)) % 251).cast("int") for j in range(4))) for i in range(4)))
+    return A.table(spark, d, "orders").select("o_orderkey", F.round(build.sharpness(pixels), 4).alias("sharpness"))
+
+
+def _stage_tables(spark, d):
+    """Shots, contents, both tracks of segments, and entities, from the conversations."""
+    shots = A.grid(spark, d).select(F.col("conv_id").alias("content_id"), F.col("shot_id"), F.col("t0").alias("start_time"), F.col("t1").alias("end_time"))
+    contents = shots.select("content_id").distinct().withColumn("language", F.when(F.col("content_id") % 2 == 0, "en").otherwise("fr"))
+    english = A.segments(spark, d).withColumnRenamed("conv_id", "content_id").withColumn("track", F.lit("en"))
+    source = english.withColumns({"track": F.lit("src"), "text": F.concat(F.lit("src "), "text"), "words": F.lit(None).cast(english.schema["words"].dataType)})
+    names = english.select("content_id", "seg_id", F.posexplode(F.regexp_extract_all("text", F.lit("[A-Z][a-z]{3,}"), F.lit(0))).alias("pos", "entity"))
+    named = names.withColumn("entity", F.when(F.col("seg_id") % 3 == 0, F.upper("entity")).otherwise(F.col("entity")))
+    frames = shots.filter("shot_id % 2 = 0").select("content_id", "shot_id", F.lit(0).alias("pos"), F.when(F.col("shot_id") % 4 == 0, "Paris").otherwise("PARIS").alias("entity"))
+    return shots, contents, english.unionByName(source), named, frames
+
+
+def prj1_shot_rows(spark, d):
+    rows = build.shot_rows(*_stage_tables(spark, d))
+    return rows.select("content_id", "shot_id", "transcript", "dialogue_en", "dialogue_src", "has_dialogue", F.array_join("entities", ",").alias("entities"))
+
+
+def j3_assembled(spark, d):
+    shots, contents, segments, named, frames = _stage_tables(spark, d)
+    rows = build.shot_rows(shots, contents, segments, named, frames).select("content_id", "shot_id", "has_dialogue")
+    read = frames.groupBy("content_id", "shot_id").agg(F.count("*").alias("n"))
+    texts = shots.join(read, ["content_id", "shot_id"], "left").select("content_id", "shot_id", F.coalesce("n", F.lit(0)).alias("n_ocr"))
+    return build.assembled(shots, rows, texts).select("content_id", "shot_id", "start_time", "end_time", "has_dialogue", "n_ocr")
+
+
+def prj4_footage(spark, d):
+    entries = A.registry(spark, d).select("footage_key", F.when(F.col("item_id") % 4 != 0, F.col("path")).alias("path"), F.when(F.col("item_id") % 5 != 0, F.col("content_id")).alias("content_id"), F.when(F.col("item_id") % 6 != 0, F.col("shot_count")).alias("shot_count"), F.when(F.col("item_id") % 8 != 0, F.col("state")).alias("state"))
+    return build.footage_list(entries)
+
+
+def prj6_status(spark, d):
+    stages = F.array(F.struct(F.lit("upload").alias("name"), F.col("state").alias("state"), F.lit(1).cast("long").alias("done"), F.lit(2).cast("long").alias("total")))
+    j = A.jobs(spark, d).select("job_id", F.concat(F.lit("k"), "content_id").alias("footage_key"), "state", F.when(F.col("content_id") % 2 == 0, True).alias("reused"), stages.alias("stages"), F.when(F.col("state") == "error", jobs.clipped_error(F.repeat(F.lit("x"), 700))).alias("error"), F.lit(None).cast("string").alias("reason"))
+    out = jobs.statuses(j)
+    return out.select("job_id", "footage_key", "state", "reused", F.col("stages")[0]["state"].alias("upload"), F.length("error").alias("n_error"))
+
+
+def prj8_canonical(spark, d):
+    shown = F.create_map(F.lit("anvil"), F.lit("Anvil"), F.lit("gizmo"), F.lit("GIZMO"))
+    return A.table(spark, d, "part").select("p_partkey", F.array_join(build.canonical(F.split("p_name", " "), shown), " ").alias("shown"))
+
+
+def prj9_cards(spark, d):
+    o = A.table(spark, d, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 3 == 0, "").when(F.col("o_orderkey") % 3 == 1, "a caption").alias("caption"), F.when(F.col("o_orderkey") % 2 == 0, "said").alias("transcript"), F.lit(2.0).alias("start_s"), (F.col("o_custkey") % 9).cast("double").alias("end_s"))
+    return build.cards(o).select("o_orderkey", "card", "seconds")
+
+
+def src6_corpus_order(spark, d):
+    shots = A.text_shots(spark, d).select("content_id", "shot_id")
+    ready = shots.select("content_id").distinct()
+    wanted = ",".join([f"c{n:015d}" for n in (3, 1, 0, 3)] + ["", "nonsense", "d" + "0" * 15])
+    return build.ordinals(shots, build.wanted_contents(wanted, ready)).select("content_id", "shot_id", F.col("row").cast("long").alias("ordinal"))
+
+
+def st2_lifecycle(spark, d):
+    """Events of a job per order, as many as a remainder of its key says."""
+    k, done = F.col("o_orderkey") % 6, (F.col("o_custkey") % 100).cast("long")
+    none = F.lit(None)
+
+    def event(when, seq, kind, stage=none, n=none, total=none):
+        return F.when(when, F.struct(F.lit(seq).alias("seq"), F.lit(kind).alias("kind"), stage.cast("string").alias("stage"), n.cast("long").alias("done"), total.cast("long").alias("total"), F.when(F.lit(kind == "fail"), F.repeat(F.lit("e"), 600)).alias("error")))
+
+    shots, visual, m = F.lit("shots"), F.lit("visual"), F.col("o_orderkey") % 7
+    listed = F.array_compact(F.array(
+        event(F.lit(True), 1, "submit"), event(k >= 1, 2, "start"), event(k >= 2, 3, "progress", shots, done, F.lit(100)), event(k >= 3, 4, "stage_done", shots),
+        event(k >= 3, 5, "progress", visual, F.lit(1), F.lit(3)), event(k == 4, 6, "fail"), event(k == 5, 6, "finish"), event((m == 0) & (k <= 1), 7, "cancel"), event((m == 2) & (k == 3), 8, "restart"),
+    ))
+    events = A.table(spark, d, "orders").select(F.col("o_orderkey").alias("job_id"), F.explode(listed).alias("e")).select("job_id", "e.*")
+    out = jobs.lifecycle(events, ("shots", "visual", "ocr"))
+    shown = F.array_join(F.transform("stages", lambda s: F.concat_ws(":", s["name"], s["state"], s["done"].cast("string"), s["total"].cast("string"))), ",")
+    return out.select("job_id", "state", F.length("error").alias("n_error"), shown.alias("stages"))
+
+
+def st3_cancel(spark, d):
+    j = A.jobs(spark, d)
+    return j.select("job_id", jobs.cancelled(F.when(F.col("created_at") % 10 == 0, None).otherwise(F.col("state"))).alias("outcome"))
+
+
+def st5_handoff(spark, d):
+    k = F.col("o_orderkey")
+    state = F.element_at(F.array(*map(F.lit, ("ready", "indexing", "partial", "missing", "stale"))), (k % 5 + 1).cast("int"))
+    step = jobs.handed_off(state, F.when(k % 2 == 0, F.lit("j")), k % 3 == 0, F.col("o_custkey"))
+    return A.table(spark, d, "orders").select("o_orderkey", step.alias("s")).select("o_orderkey", "s.action", "s.offset")
+
+
+def st6_calls(spark, d):
+    code = F.element_at(F.array(*map(F.lit, ("ASLEEP", "TIMEOUT", "UNREACHABLE", "ASLEEP", "TIMEOUT", "TIMEOUT", "OK"))), (F.col("l_partkey") % 7 + 1).cast("int"))
+    replies = A.table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", code.alias("c")))), lambda x: x["c"]).alias("r"))
+    return replies.select("l_orderkey", jobs.called(F.col("r"), 3).alias("outcome"))
 
 
 def win4_first_owner(spark, d):
-    order = Window.partitionBy("content_id").orderBy("footage_key")
-    return A.registry(spark, d).filter("state = 'ready'").withColumn("n", F.row_number().over(order)).filter("n = 1").select("content_id", "footage_key")
+    return sync.owners(A.registry(spark, d)).select("content_id", "footage_key")
 
 
 def win8_sentences(spark, d):
@@ -411,26 +548,26 @@ def win8_sentences(spark, d):
 
 
 def win9_ordinal(spark, d):
-    order = Window.orderBy("content_id", "shot_id")
-    s = A.plain_shots(spark, d).select("row", "content_id", "shot_id")
-    return s.withColumn("ordinal", (F.row_number().over(order) - 1).cast("long"))
+    s = A.text_shots(spark, d).select("row", "content_id", "shot_id").withColumnRenamed("row", "doc")
+    contents = build.wanted_contents("", s.select("content_id").distinct())
+    return build.ordinals(s, contents).select(F.col("doc").alias("row"), "content_id", "shot_id", F.col("row").cast("long").alias("ordinal"))
 
 
 def snk9_layers(spark, d):
-    o = A.table(spark, d, "orders").select("o_orderkey", (F.col("o_orderkey") % 100).cast("double").alias("start_s"), ((F.col("o_orderkey") % 100) + (F.col("o_custkey") % 9) - 1).cast("double").alias("end_s"), F.lit(60.0).alias("t"))
-    return o.filter("end_s > start_s").select("o_orderkey", (F.col("t") - F.col("start_s")).alias("layer_start"), F.col("t").alias("layer_in"), (F.col("t") + F.col("end_s") - F.col("start_s")).alias("layer_out"))
+    o = A.table(spark, d, "orders").select("o_orderkey", (F.col("o_orderkey") % 100).cast("double").alias("start_s"), ((F.col("o_orderkey") % 100) + (F.col("o_custkey") % 9) - 1).cast("double").alias("end_s"))
+    return build.layers(o, F.lit(60.0)).select("o_orderkey", "layer_start", "layer_in", "layer_out")
 
 
 def src7_ready_contents(spark, d):
-    s = A.plain_shots(spark, d)
+    s = A.text_shots(spark, d)
     contents = s.groupBy("content_id").agg(F.count("*").alias("n_shots")).withColumn("signature", F.when(F.substring("content_id", 16, 1) == "1", "older").otherwise(Settings().signature()))
-    return contents.filter(F.col("signature") == Settings().signature()).orderBy("content_id").select("content_id", "n_shots")
+    return files.ready(contents, Settings().signature()).select("content_id", "n_shots")
 
 
 QUERIES = {
     f.__name__: f
     for f in (
-        fused_search, fused_search_candidates, batch_search, set1_candidates, srt3_top_scored, win1_scene_dedupe,
+        agg1_key_stats, fused_search, fused_search_candidates, batch_search, set1_candidates, srt3_top_scored, win1_scene_dedupe,
         fn1_tokenize, fn2_bm25_doc, fn4_query_entities, fn5_clean_caption, fn6_l2norm, fn8_zscore, fn8_zscore_masked, fn11_content_id,
         fn12_footage_key, fn14_safe_extension, fn16_timecode, fn18_step_number, fn19_names, win6_ngrams, win7_bigrams, win8_sentences,
         agg2_moments, agg4_bm25_stats, agg5_vector_sum, agg6_centroid, agg7_bm25_norm, agg8_vocab, agg9_merged_vocab, agg11_kmeans,
@@ -438,6 +575,7 @@ QUERIES = {
         j7_entity_score, j8_fuzzy, j9_owner, j10_sync_diff, j11_apply_sync, j12_knn, j12_knn_masked, j16_stranded, j17_ocr_codes,
         prj3_owned_results, set3_removed, flt2_valid_ids, flt4_hallucination, flt7_emotions, flt12_ner_input, flt13_prune,
         win2_span_merge, win3_latest_job, win3_live_job, win4_first_owner, win5_debounce, win9_ordinal, win10_split_spans,
-        st4_upload, st9_recover, st10_library_state, st11_screen, srt7_step_order, snk9_layers, src7_ready_contents,
+        fn3_clean_entities, fn20_prompt, fn23_utc_stamp, flt5_ocr_text, agg14_keyframe, agg15_sharpness, prj1_shot_rows, j3_assembled, prj4_footage,
+        prj6_status, prj8_canonical, prj9_cards, src6_corpus_order, st2_lifecycle, st3_cancel, st5_handoff, st6_calls, st4_upload, st9_recover, st10_library_state, st11_screen, srt7_step_order, snk9_layers, src7_ready_contents,
     )
 }

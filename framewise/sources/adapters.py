@@ -134,12 +134,15 @@ def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A chunk per order and line: each order is an upload whose chunks start where the running sum of quantities ends,
-    but for some that are shifted."""
+    """A chunk per order and line, in order of seq: each order is an upload whose chunks start where the running sum of
+    quantities ends, but some are shifted, sent twice, too early and again, or with another size."""
     li = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.sum(F.col("l_quantity").cast("long")).alias("length"))
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber")
     length = F.col("length")
     start = F.coalesce(F.sum(length).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     base = li.select(F.col("l_orderkey").alias("content_id"), "l_linenumber", length.alias("length"), start.alias("_start"), F.sum(length).over(Window.partitionBy("l_orderkey")).alias("size"))
-    shifted = (F.col("content_id") % 3 == 0) & (F.col("l_linenumber") == 3)
-    return base.select("content_id", F.when(shifted, F.col("_start") + 1).otherwise(F.col("_start")).alias("offset"), "length", "size")
+    of, line = F.col("content_id"), F.col("l_linenumber")
+    shifted = (of % 3 == 0) & (line == 3)
+    arrivals = F.when((of % 7 == 2) & (line == 3), F.array(F.lit(16), F.lit(35))).when((of % 5 == 1) & (line == 1), F.array(F.lit(10), F.lit(15))).otherwise(F.array((line * 10).cast("int")))
+    sent = base.withColumn("seq", F.explode(arrivals))
+    return sent.select("content_id", "seq", F.when(shifted, F.col("_start") + 1).otherwise(F.col("_start")).alias("offset"), "length", F.when((of % 11 == 3) & (line == 2), F.col("size") + 1).otherwise(F.col("size")).alias("size"))

@@ -12,6 +12,7 @@ from pyspark.sql.types import StructType
 from framewise import schemas
 from framewise.config import stage_key
 from framewise.functions import text as T
+from framewise.sources.store import written
 
 
 def contents_of(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
@@ -26,7 +27,7 @@ def thumbnails(names: DataFrame) -> DataFrame:
 
 
 def read_or_empty(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """A stored table, or an empty one where there is none."""
+    """A stored table, or an empty one where there is none that can be read."""
     try:
         return spark.read.schema(schema).parquet(path)
     except AnalysisException:
@@ -34,42 +35,57 @@ def read_or_empty(spark: SparkSession, path: str, schema: StructType) -> DataFra
 
 
 def read_registry(spark: SparkSession, path: str) -> DataFrame:
-    return read_or_empty(spark, path, schemas.REGISTRY)
+    """A stored registry; an empty one where it is missing, half written, or no registry."""
+    if written(spark, path):
+        try:
+            found = spark.read.parquet(path)
+            if {"footage_key", "path", "state"} <= set(found.columns):
+                return spark.read.schema(schemas.REGISTRY).parquet(path)
+        except AnalysisException:
+            pass
+    return spark.createDataFrame([], schemas.REGISTRY)
 
 
 def write_registry(registry: DataFrame, path: str) -> None:
-    """Write a whole registry, in key order. A new folder each time: a reader never sees half of it."""
-    registry.sortWithinPartitions("footage_key").write.mode("errorifexists").parquet(path)
+    """Write a whole registry, in key order, to a new folder; one that was left half written is replaced."""
+    registry.orderBy("footage_key").write.mode("errorifexists" if written(registry.sparkSession, path) else "overwrite").parquet(path)
 
 
-def read_jobs(spark: SparkSession, path: str) -> DataFrame:
-    """Jobs from JSON lines; lines that cannot be read, or without an id, are skipped."""
+def read_jobs(spark: SparkSession, folder: str) -> DataFrame:
+    """Jobs from one JSON file each, oldest first; files that cannot be read, or that are not named for their job, go."""
     schema = StructType.fromJson(schemas.JOBS.jsonValue()).add("_bad", "string")
-    rows = spark.read.schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(path)
-    return rows.filter("_bad IS NULL AND job_id IS NOT NULL").drop("_bad")
+    rows = spark.read.schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").option("multiLine", "true").option("pathGlobFilter", "*.json").json(folder)
+    named = F.col("_metadata.file_name") == F.concat("job_id", F.lit(".json"))
+    return rows.filter(F.col("_bad").isNull() & F.col("job_id").isNotNull() & named).drop("_bad").orderBy("created_at", "job_id")
+
+
+def ready(contents: DataFrame, signature: str) -> DataFrame:
+    """Contents of a signature, with a well-formed id, by id."""
+    return contents.filter((F.col("signature") == signature) & T.valid_content_id(F.col("content_id"))).orderBy("content_id")
 
 
 def save_index(shots: DataFrame, contents: DataFrame, root: str) -> None:
-    """Shots first, by content; the contents last: a content that is listed is complete."""
-    shots.write.mode("append").partitionBy("content_id").parquet(f"{root}/shots")
-    contents.write.mode("append").parquet(f"{root}/contents")
+    """Shots first, by content; the contents last: a content that is listed is complete. What was stored for these
+    contents before is replaced, and a repeated call changes nothing; other contents stay."""
+    write = lambda df, name: df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("content_id").parquet(f"{root}/{name}")
+    write(shots, "shots")
+    write(contents, "contents")
 
 
-def load_index(spark: SparkSession, root: str, signature: str, content_ids: list[str] | None = None) -> DataFrame:
-    """The shots of the ready contents of a signature, all or those named; the filters reach the scan."""
-    ready = read_or_empty(spark, f"{root}/contents", schemas.CONTENTS).filter(F.col("signature") == signature)
-    if content_ids:
-        ready = ready.filter(F.col("content_id").isin([c for c in content_ids if c]))
+def load_index(spark: SparkSession, root: str, contents: DataFrame) -> DataFrame:
+    """The stored shots of the contents (content_id); the filter reaches the scan's partitions."""
     shots = read_or_empty(spark, f"{root}/shots", schemas.SHOTS)
-    return shots.join(ready.select("content_id"), "content_id", "left_semi")
+    return shots.join(contents.select("content_id").distinct(), "content_id", "left_semi")
 
 
 def stage(spark: SparkSession, root: str, name: str, dependencies: dict, make: Callable[[], DataFrame]) -> DataFrame:
-    """A stage's stored result for these dependencies, made and stored where there is none."""
+    """A stage's stored result for these dependencies, made and stored where there is none, or only a torn one."""
     path = f"{root}/stages/{name}_{stage_key(dependencies)}"
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException:
-        made = make()
-        made.write.mode("overwrite").parquet(path)
-        return spark.read.schema(made.schema).parquet(path)
+    if written(spark, path):
+        try:
+            return spark.read.parquet(path)
+        except AnalysisException:
+            pass
+    made = make()
+    made.write.mode("overwrite").parquet(path)
+    return spark.read.schema(made.schema).parquet(path)

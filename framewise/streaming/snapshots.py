@@ -11,6 +11,7 @@ from framewise import schemas
 from framewise.functions import text as T
 from framewise.operators import sync
 from framewise.sources.files import read_registry, write_registry
+from framewise.sources.store import written
 
 
 def sync_once(spark: SparkSession, root: str, version: int, snapshot: DataFrame, confirmations: int = 2) -> int:
@@ -34,7 +35,7 @@ def sync_stream(snapshots: DataFrame, root: str, checkpoint: str, confirmations:
         batch = batch.persist()
         for row in batch.select("seq").distinct().orderBy("seq").collect():  # the few snapshots of one micro-batch
             version = int(row.seq)
-            if read_registry(spark, f"{root}/registry/v={version + 1}").limit(1).count():
+            if written(spark, f"{root}/registry/v={version + 1}"):
                 continue
             sync_once(spark, root, version, batch.filter(F.col("seq") == row.seq).drop("seq"), confirmations)
         batch.unpersist()

@@ -1,33 +1,132 @@
+import hashlib
 import json
 
 import pytest
-from framewise import schemas
+from framewise import config, schemas
 from framewise.encoders import DeterministicEncoder
-from framewise.engine import Engine
+from framewise.engine import Engine, Rejected
 from framewise.sources import files
 from framewise.streaming.snapshots import event_stream, sync_once, sync_stream
 
 
-def test_search_end_to_end(spark, tmp_path):
-    enc = DeterministicEncoder(16)
-    lines = ["we drive to akita now", "a quiet street at night", "the train leaves tokyo", "snow falls on the road"]
-    engine = Engine(spark, str(tmp_path), enc, size=16)
+IDS = ["0" * 15 + c for c in "abc"]
+
+
+def _shots(spark, enc, lines):
     rows = []
     for i, line in enumerate(lines):
         v = enc.visual([line])[0].tolist()
-        rows.append(("0" * 15 + "a", i, i, float(i), i + 1.0, line, line, line, True, ["Akita"] if "akita" in line else [], [], "", f"a {line.split()[1]} scene", 1.0, v, v, True, v))
-    shots = spark.createDataFrame(rows, schemas.SHOTS)
-    contents = spark.createDataFrame([("0" * 15 + "a", engine.info()["signature"], "{}", 25.0, 4.0, "en", 4, "2000-01-01T00:00:00Z"), ("0" * 15 + "b", "older", "{}", 25.0, 4.0, "en", 4, "")], schemas.CONTENTS)
-    files.save_index(shots, contents, str(tmp_path))
-    assert [r.content_id for r in engine.ready_contents().collect()] == ["0" * 15 + "a"]
-    found = engine.search("Akita snow", 3).collect()
+        rows.append(("", i, i, float(i), i + 1.0, line, line, line, True, ["Skagen"] if "skagen" in line else [], [], "", f"a {line.split()[1]} scene", 1.0, v, v, True, v))
+    return spark.createDataFrame(rows, schemas.SHOTS)
+
+
+def test_search_end_to_end(spark, tmp_path):
+    enc = DeterministicEncoder(16)
+    lines = ["the ferry to skagen leaves", "a quiet harbour at night", "gulls over the old mill", "rain falls on the pier"]
+    engine = Engine(spark, str(tmp_path), enc, size=16)
+    assert engine.search("skagen").collect() == [] and engine.footage().collect() == []
+    assert engine.save(IDS[0], _shots(spark, enc, lines))["shot_count"] == 4
+    Engine(spark, str(tmp_path), enc, config.Settings(max_shot_sec=5.0), size=16).save(IDS[1], _shots(spark, enc, lines))
+    assert [r.content_id for r in engine.ready_contents().collect()] == [IDS[0]]
+    assert [engine.index_state(c) for c in IDS] == ["ready", "stale", None]
+    found = engine.search("Skagen rain", 3).collect()
     assert found and abs(sum(found[0].contributions.asDict().values()) - found[0].score) < 1e-9
     assert found[0].contributions.entity in (0.0, 0.1) and any(r.contributions.entity > 0 for r in found)
-    assert engine.search("akita", 3, "f" * 16).collect() == []
+    answer = engine.answer("SKAGEN")
+    assert answer["entities"] == ["Skagen"] and len(answer["results"]) == len(engine.search("SKAGEN").collect()) and answer["took_ms"] >= 0
+    assert engine.search("skagen", 3, "f" * 16).collect() == [] == engine.search("skagen", 3, IDS[1]).collect()
+    assert engine.corpus(f"{IDS[0]},{IDS[0]}").shots.count() == 8
     with pytest.raises(ValueError):
         engine.search("x", 51)
 
 
+def test_indexing_anew_replaces_and_is_seen(spark, tmp_path):
+    enc, now = DeterministicEncoder(16), iter(range(100))
+    engine = Engine(spark, str(tmp_path), enc, size=16, clock=lambda: float(next(now)))
+    engine.save(IDS[0], _shots(spark, enc, ["the ferry leaves", "a quiet harbour"]))
+    engine.save(IDS[2], _shots(spark, enc, ["an old mill"]))
+    assert engine.corpus().shots.count() == 3
+    for _ in range(2):
+        engine.save(IDS[0], _shots(spark, enc, ["one new line"]))
+    assert sorted(r.dialogue_en for r in engine.corpus().shots.collect()) == ["an old mill", "one new line"]
+    assert engine.ready_contents().count() == 2
+
+
+def test_uploads(spark, tmp_path):
+    engine = Engine(spark, str(tmp_path), DeterministicEncoder(4))
+    data = bytes(i % 251 for i in range(9 << 20))
+    cid = hashlib.sha1(str(len(data)).encode() + data[: 4 << 20] + data[-(4 << 20) :]).hexdigest()[:16]
+    assert engine.library(cid)["state"] == "missing" and engine.library(cid)["needs_upload"]
+    with pytest.raises(Rejected, match="SOURCE_MISSING"):
+        engine.index(cid)
+    cuts, n = [0, 3 << 20, 5 << 20, 9 << 20], len(data)
+    engine.upload(cid, 0, n, "pier.MOV", data[: cuts[1]])
+    for offset, size, chunk, code in ((0, n, b"x", "OFFSET_MISMATCH"), (cuts[2], n, b"x", "OFFSET_MISMATCH"), (cuts[1], n + 1, b"x", "CONTENT_MISMATCH"), (cuts[1], n, data, "CONTENT_MISMATCH")):
+        with pytest.raises(Rejected) as refused:
+            engine.upload(cid, offset, size, "", chunk)
+        assert refused.value.code == code and (code != "OFFSET_MISMATCH" or refused.value.received == cuts[1])
+    assert engine.library(cid)["state"] == "partial"
+    for a, b in zip(cuts[1:], cuts[2:]):
+        state = engine.upload(cid, a, n, "", data[a:b])
+    assert state == {"content_id": cid, "received": n, "size": n, "complete": True} == engine.upload(cid, 0, n, "", b"again")
+    assert engine.library(cid)["state"] == "uploaded"
+    with pytest.raises(Rejected, match="CONTENT_MISMATCH"):
+        engine.upload("0" * 16, 0, 3, "", b"abc")
+    assert engine.upload_state("0" * 16)["received"] == 0
+    for bad in ("../x", "A" * 16, "0" * 15):
+        with pytest.raises(Rejected, match="BAD_CONTENT_ID"):
+            engine.upload_state(bad)
+    engine.purge(cid)
+    assert engine.library(cid)["state"] == "missing"
+
+
+def test_jobs(spark, tmp_path):
+    now = iter(range(100))
+    engine = Engine(spark, str(tmp_path), DeterministicEncoder(16), size=16, clock=lambda: float(next(now)))
+    engine._needs_source = lambda cid: False
+    first, second = engine.index(IDS[0]), engine.index(IDS[1])
+    assert first["state"] == "queued" and engine.index(IDS[0]) == first and engine.library(IDS[0])["state"] == "indexing"
+
+    def good(cid, report):
+        report.progress("shots", 3, 7)
+        assert engine.job(first["job_id"])["stages"][0] == {"name": "shots", "state": "running", "done": 3, "total": 7}
+        report.done("shots")
+        report.progress("unheard", 1, 1)
+        return engine.save(cid, _shots(spark, engine.encoder, ["one line"]), duration=9.0)
+
+    def bad(cid, report):
+        report.progress("visual", 1, 2)
+        raise RuntimeError("y" * 900)
+
+    done, failed = engine.run_next(good), engine.run_next(bad)
+    assert (done["state"], done["shot_count"], done["duration_s"], done["stages"][0]["done"]) == ("done", 1, 9.0, 7) and {s["state"] for s in done["stages"]} == {"done"}
+    assert failed["job_id"] == second["job_id"] and failed["state"] == "error" and len(failed["error"]) == 500 and failed["stages"][1]["state"] == "error"
+    assert engine.run_next(good) is None
+    assert engine.index(IDS[0]) == {"job_id": None, "state": "done"} and [engine.library(c)["state"] for c in IDS[:2]] == ["ready", "error"]
+    third = engine.index(IDS[1])
+    stored = engine.job(third["job_id"])
+    stored["state"], stored["stages"][2]["state"], stored["stages"][2]["done"] = "running", "running", 5
+    engine._save(stored)
+    engine.store.write("jobs/torn.json", b"{")
+    engine.store.write_json("jobs/other.json", {"job_id": "not this"})
+    assert engine.recover() == 1 and engine.job(third["job_id"])["stages"][2] == {"name": "transcribe", "state": "pending", "done": 5, "total": 0}
+    assert [r.job_id for r in files.read_jobs(spark, f"{tmp_path}/jobs").collect()] == [first["job_id"], second["job_id"], third["job_id"]]
+
+
+def test_sync_and_quota(spark, tmp_path):
+    engine = Engine(spark, str(tmp_path), DeterministicEncoder(4))
+    snap = lambda n, size=10: spark.createDataFrame([(f"/takes/{i}", size, 5, i, None) for i in range(n)], schemas.SNAPSHOT)
+    assert len(engine.sync(snap(3))["added"]) == 3 and engine.footage().count() == 3
+    assert {r.state for r in engine.footage().collect()} == {"indexing"} and engine.registry().first().frame_rate == 25.0
+    with pytest.raises(Rejected, match="QUOTA_EXCEEDED"):
+        engine.sync(snap(4))
+    assert engine.footage().count() == 3 and len(engine.sync(snap(4), "pro")["added"]) == 1
+    assert len(engine.sync(snap(4))["unchanged"]) == 4  # nothing new, so over the plan it passes
+    (tmp_path / "registry" / "v=9").mkdir()
+    (tmp_path / "registry" / "v=9" / "part-0.parquet").write_bytes(b"torn")
+    assert engine.footage().count() == 4 and len(engine.sync(snap(2), "pro")["removed"]) == 2
+
+
 def test_stage_is_made_once(spark, tmp_path):
     calls = []
 
@@ -38,6 +137,9 @@ def test_stage_is_made_once(spark, tmp_path):
     for deps in ({"a": 1}, {"a": 1}, {"a": 2}):
         assert files.stage(spark, str(tmp_path), "shots", deps, make).count() == 3
     assert len(calls) == 2
+    for folder in (tmp_path / "stages").iterdir():
+        (folder / "_SUCCESS").unlink()  # as a writer leaves it that was stopped
+    assert files.stage(spark, str(tmp_path), "shots", {"a": 1}, make).count() == 3 and len(calls) == 3
 
 
 def test_stream_equals_batch(spark, tmp_path):
@@ -53,6 +155,12 @@ def test_stream_equals_batch(spark, tmp_path):
     assert a == b and len(a) == 2
 
 
-def test_job_lines(spark, tmp_path):
-    (tmp_path / "jobs.json").write_text('{"job_id": "j1", "state": "done", "created_at": 1.5}\n{broken\n{"state": "done"}\n')
-    assert [r.job_id for r in files.read_jobs(spark, str(tmp_path / "jobs.json")).collect()] == ["j1"]
+def test_stream_goes_on_after_a_torn_version(spark, tmp_path):
+    folder, root = tmp_path / "in", tmp_path / "s"
+    folder.mkdir()
+    line = lambda seq, path: json.dumps({"path": path, "size": 5, "mtime_ns": 5, "item_id": 1, "frame_rate": 25.0, "seq": seq}) + "\n"
+    (folder / "0.json").write_text(line(0, "a"))
+    (root / "registry" / "v=1").mkdir(parents=True)
+    (root / "registry" / "v=1" / "part-0.parquet").write_bytes(b"torn")
+    sync_stream(event_stream(spark, str(folder)), str(root), str(tmp_path / "cp")).awaitTermination(120)
+    assert files.read_registry(spark, f"{root}/registry/v=1").count() == 1

@@ -3,7 +3,8 @@ import pytest
 from framewise import config
 from framewise.functions import text as T
 from framewise.functions import vectors as V
-from framewise.operators import captions, entities, fusion, intervals, jobs, sync
+from framewise.operators import build, captions, entities, fusion, intervals, jobs, sync
+from framewise.operators.corpus import Corpus
 from pyspark.sql import functions as F
 
 
@@ -13,15 +14,15 @@ def test_fusion_against_numpy(spark):
     unit = lambda m: (m / np.linalg.norm(m, axis=-1, keepdims=True)).astype(np.float32)
     v, dd, c = (unit(rng.standard_normal((n, size))) for _ in range(3))
     mask, conf = rng.random(n) > 0.3, rng.uniform(0.5, 1.0, n)
-    vocab = ["road", "trip", "tokyo", "akita", "snow", "train"]
+    vocab = ["harbour", "boat", "odense", "skagen", "gull", "tide"]
     toks = [[vocab[k] for k in rng.integers(0, 6, 4)] for _ in range(n)]
-    ents = [[w.title() for w in t if w in ("tokyo", "akita")] for t in toks]
+    ents = [[w.title() for w in t if w in ("odense", "skagen")] for t in toks]
     rows = [(i, f"c{i // 20}", i % 20 // 2, toks[i], " ".join(toks[i]), "", ents[i], v[i].tolist(), dd[i].tolist(), bool(mask[i]), c[i].tolist(), float(conf[i])) for i in range(n)]
     shots = spark.createDataFrame(rows, "row long, content_id string, scene_id int, tokens array<string>, dialogue_en string, ocr_text string, entities array<string>, v array<float>, d array<float>, d_mask boolean, c array<float>, caption_conf double")
     qv, qt = unit(rng.standard_normal(size)), unit(rng.standard_normal(size))
-    query = ["road", "trip", "akita", "akita"]
+    query = ["harbour", "boat", "skagen", "skagen"]
     z = lambda x, base=None: np.clip((x - (base if base is not None else x).mean()) / (base if base is not None else x).std(), 0, 3) / 3
-    hit = np.array(["Akita" in e for e in ents])
+    hit = np.array(["Skagen" in e for e in ents])
     center = unit(v[hit].mean(0, dtype=np.float64))
     df = {w: sum(w in t for t in toks) for w in vocab}
     raw = {w: np.log(n - k + 0.5) - np.log(k + 0.5) for w, k in df.items()}
@@ -35,44 +36,57 @@ def test_fusion_against_numpy(spark):
         if score[i] > 0 and (i // 20, i % 20 // 2) not in seen:
             seen.add((i // 20, i % 20 // 2))
             best.append((int(i), score[i]))
-    ask = lambda **k: fusion.rank(shots, query, ["akita"], V.literal(qv), V.literal(qt), size, top_k=6, **k).collect()
+    ask = lambda **k: fusion.rank(shots, query, ["skagen"], V.literal(qv), V.literal(qt), size, top_k=6, **k).collect()
     got = ask()
     assert [r.row for r in got] == [i for i, _ in best[:6]]
     assert [r.score for r in got] == pytest.approx([s for _, s in best[:6]], abs=1e-5)
     assert all(abs(sum(r[f"w_{k}"] for k in fusion.COMPONENTS) - r.score) < 1e-9 and (r.dialogue_raw is None) == (not mask[r.row]) for r in got)
     assert [(r.row, r.score) for r in ask(exhaustive=False)] == [(r.row, r.score) for r in got]  # the candidates hold all rows
+    corpus = Corpus(shots)
+    for keys, terms in ((["skagen"], query), ([], query), (["skagen", "nowhere"], ["unheard"]), ([], [])):
+        for more in ({}, {"exhaustive": False, "settings": config.Settings(candidates=3)}, {"settings": config.Settings(dedupe_scenes=False, zscore_cap=1.0)}):
+            plain = fusion.rank(shots, terms, keys, V.literal(qv), V.literal(qt), size, top_k=9, **more).collect()
+            packed = corpus.hits(terms, keys, qv, qt, top_k=9, **more).collect()
+            assert [r.row for r in packed] == [r.row for r in plain]
+            for a, b in zip(packed, plain, strict=True):
+                assert a.asDict() == pytest.approx({k: b[k] for k in a.asDict()}, abs=1e-5)
+    scored = fusion.scored_shots(shots, query, ["skagen"], V.literal(qv), V.literal(qt), size)
+    assert {r.row for r in corpus.candidates(query, ["skagen"], qv, qt, 4).collect()} == {r.row for r in fusion.candidates(scored, V.literal(qv), V.literal(qt), 4).collect()}
+    assert [r.score for r in corpus.rank(query, ["skagen"], qv, qt, top_k=3).collect()] == pytest.approx([r.score for r in got[:3]], abs=1e-5)
+    corpus.close()
+    assert Corpus(shots.limit(0)).hits(query, ["skagen"], qv, qt).collect() == []
 
 
 def test_fuzzy_and_query_entities(spark):
-    keys = spark.createDataFrame([("john", 0), ("akita", 1), ("shibuya crossing", 2), ("tokyo tower", 3)], "key string, pos int")
-    terms = spark.createDataFrame([(t,) for t in ("jhon", "akitaa", "shibuya crosing", "joe", "berlin")], "term string")
-    assert {r.term: r.key for r in entities.corrected(terms, keys).collect()} == {"jhon": "john", "akitaa": "akita", "shibuya crosing": "shibuya crossing"}
+    keys = spark.createDataFrame([("odense", 0), ("lighthouse", 1), ("river mouth", 2), ("mill", 3)], "key string, pos int")
+    terms = spark.createDataFrame([(t,) for t in ("odnese", "lihgthosue", "river muth", "mil", "mlil", "viborg")], "term string")
+    assert {r.term: r.key for r in entities.corrected(terms, keys).collect()} == {"odnese": "odense", "lihgthosue": "lighthouse", "river muth": "river mouth", "mlil": "mill"}
     none = lambda texts: [[] for _ in texts]
-    assert entities.query_entities("road trip to akita", keys, none) == ["akita"]
-    assert set(entities.query_entities("Jhon at tokyo tower", keys, none)) == {"john", "tokyo tower"}
-    assert entities.query_entities("Berlin", keys.limit(0), lambda ts: [["Berlin"], []]) == ["berlin"]
+    assert entities.query_entities("the ferry from odense", keys, none) == ["odense"]
+    assert entities.query_entities("Lighthose by the river mouth", keys, none) == ["river mouth", "lighthouse"]
+    assert entities.query_entities("Viborg", keys.limit(0), lambda ts: [["Viborg"], []]) == ["viborg"]
 
 
 def test_split_merge_and_windows(spark):
-    scenes = spark.createDataFrame([(0, 0.0, 20.0), (1, 20.0, 23.0), (2, 0.0, 8.0)], "s int, start double, end double")
+    scenes = spark.createDataFrame([(0, 3.0, 28.0), (1, 28.0, 28.5), (2, 0.0, 16.0)], "s int, start double, end double")
     got = [(r.s, round(r.t0, 3), round(r.t1, 3)) for r in intervals.split_spans(scenes).orderBy("s", "part").collect()]
-    assert got == [(0, 0, 6.667), (0, 6.667, 13.333), (0, 13.333, 20), (1, 20, 23), (2, 0, 8)]
-    spans = spark.createDataFrame([("a", 13, 14, 0.9), ("a", 14, 18, 0.8), ("a", 24, 28, 0.95)], "k string, start int, end int, score double")
-    assert sorted(map(tuple, intervals.merge_spans(spans, "k").collect())) == [("a", 13, 18, 0.9), ("a", 24, 28, 0.95)]
+    assert got == [(0, 3, 9.25), (0, 9.25, 15.5), (0, 15.5, 21.75), (0, 21.75, 28), (1, 28, 28.5), (2, 0, 8), (2, 8, 16)]
+    spans = spark.createDataFrame([("p", 4, 9, 0.2), ("p", 2, 3, 0.7), ("p", 3, 4, 0.6), ("p", 11, 12, 0.1), ("q", 3, 4, 0.5)], "k string, start int, end int, score double")
+    assert sorted(map(tuple, intervals.merge_spans(spans, "k").collect())) == [("p", 2, 9, 0.7), ("p", 11, 12, 0.1), ("q", 3, 4, 0.5)]
     w = lambda *xs: [dict(word=x, start=s, end=e) for x, s, e in xs]
-    segs = [("c", 0, 0.0, 2.0, " hello there", w((" hello", 0.0, 0.8), (" there", 0.8, 2.0))), ("c", 1, 2.0, 4.0, " old friend", w((" old", 2.0, 3.0), (" friend", 3.0, 4.0))), ("c", 2, 10.0, 12.0, "later", [])]
+    segs = [("c", 0, 5.0, 7.0, "cast off now", w(("cast", 5.0, 5.5), ("off", 5.5, 6.0), ("now", 6.0, 7.0))), ("c", 1, 7.0, 9.0, " hard to port", w((" hard", 7.0, 7.6), (" to", 7.6, 8.0), (" port", 8.0, 9.0))), ("c", 2, 20.0, 21.0, "steady", None)]
     segments = spark.createDataFrame(segs, "content_id string, seg_id int, start double, end double, text string, words array<struct<word: string, start: double, end: double>>")
-    wins = spark.createDataFrame([("c", 0, 0.8, 2.5), ("c", 1, 9.0, 11.0), ("c", 2, 5.0, 9.0)], "content_id string, shot_id int, t0 double, t1 double")
-    assert {r.shot_id: r.said for r in intervals.text_in_window(wins, segments, "content_id", ("shot_id",), 3.0).collect()} == {0: "there old", 1: "later", 2: ""}
+    wins = spark.createDataFrame([("c", 0, 5.7, 7.8), ("c", 1, 20.5, 30.0), ("c", 2, 9.0, 20.0)], "content_id string, shot_id int, t0 double, t1 double")
+    assert {r.shot_id: r.said for r in intervals.text_in_window(wins, segments, "content_id", ("shot_id",), 3.0).collect()} == {0: "off now hard to", 1: "steady", 2: ""}
 
 
 def test_propagate(spark):
-    rows = [(0, [1.0, 0.0, 0.0]), (1, [0.8, 0.6, 0.0]), (2, [0.0, 1.0, 0.0]), (3, [0.0, 0.0, 1.0])]
+    rows = [(0, [0.0, 1.0]), (1, [0.6, 0.8]), (2, [1.0, 0.0]), (3, [-1.0, 0.0]), (4, [0.8, -0.6])]
     shots = spark.createDataFrame(rows, "row long, v array<float>")
     reps = shots.filter("row in (0, 2)").selectExpr("row as rep", "v as rv")
     got = {r.row: (r.rep, round(r.confidence, 6)) for r in captions.propagate(shots, reps).collect()}
-    assert got == {0: (0, 1.0), 1: (0, 0.8), 2: (2, 1.0), 3: (0, 0.0)}
-    assert captions.pick_representatives(shots, 10, 3).count() == 4
+    assert got == {0: (0, 1.0), 1: (0, 0.8), 2: (2, 1.0), 3: (0, 0.0), 4: (2, 0.8)}
+    assert captions.pick_representatives(shots, 5, 2).count() == 5
 
 
 def _snapshot(spark, items):
@@ -91,25 +105,99 @@ def _step(spark, registry, items, version=2):
 def test_sync_sequences(spark):
     from framewise.schemas import REGISTRY
 
+    of = lambda path: reg.filter(F.col("path") == path).first()
     reg = spark.createDataFrame([], REGISTRY)
-    b, reg = _step(spark, reg, [("a", 100, 5), ("b", 100, 5)])
-    assert b == {"a": "added", "b": "added"}
-    b, reg = _step(spark, reg, [("a", 100, 5), ("b", 999, 5), ("c", 7, 7)])
-    assert b == {"a": "unchanged", "b": "pending", "c": "added"}
-    assert reg.filter("path = 'b'").first().size == 100 and reg.filter("path = 'b'").first().pending_hits == 1
-    b, reg = _step(spark, reg, [("a", 100, 5), ("b", 999, 5)])
-    assert b == {"a": "unchanged", "b": "changed", "c": "removed"}
-    assert reg.filter("path = 'c'").first().state == "stale"
-    b, reg = _step(spark, reg, [("a", -1, 0), ("b", 999, 5), ("c", 7, 7), ("d", -1, 0)])
-    assert b == {"a": "unchanged", "b": "unchanged", "c": "added", "d": "pending"} and reg.filter("path = 'd'").count() == 0
-    b, reg = _step(spark, reg, [("a", 100, 5), ("b", 999, 5), ("c", 7, 7)], version=3)
+    b, reg = _step(spark, reg, [("pier.mov", 40, 3), ("mill.mov", 41, 3), ("late.mov", 0, 3)])
+    assert b == {"pier.mov": "added", "mill.mov": "added", "late.mov": "pending"} and of("late.mov") is None
+    b, reg = _step(spark, reg, [("pier.mov", 50, 3), ("late.mov", 42, 3)])
+    assert b == {"pier.mov": "pending", "mill.mov": "removed", "late.mov": "added"}
+    assert (of("pier.mov").size, of("pier.mov").pending_hits, of("mill.mov").state) == (40, 1, "stale")
+    b, reg = _step(spark, reg, [("pier.mov", 60, 3), ("late.mov", -1, 0)])  # another size: the count begins anew
+    assert b == {"pier.mov": "pending", "late.mov": "unchanged"} and of("pier.mov").pending_hits == 1
+    b, reg = _step(spark, reg, [("pier.mov", 60, 3), ("mill.mov", 41, 3), ("late.mov", 42, 3)])
+    assert b == {"pier.mov": "changed", "mill.mov": "added", "late.mov": "unchanged"} and of("pier.mov").size == 60
+    b, reg = _step(spark, reg, [("pier.mov", 60, 3), ("mill.mov", 41, 3), ("late.mov", 42, 3)], version=7)
     assert set(b.values()) == {"changed"}
 
 
 def test_upload_states(spark):
-    rows = [("x", 0, 5, 12), ("x", 5, 5, 12), ("x", 10, 2, 12), ("y", 0, 5, 20), ("y", 6, 5, 20), ("z", 1, 5, 9), ("o", 0, 5, 8), ("o", 5, 5, 8)]
-    df = spark.createDataFrame(rows, "content_id string, offset long, length long, size long")
-    assert {r.content_id: (r.received, r.complete) for r in jobs.received(df).collect()} == {"x": (12, True), "y": (5, False), "z": (0, False), "o": (5, False)}
+    rows = [
+        ("whole", 1, 0, 4, 9), ("whole", 2, 4, 4, 9), ("whole", 3, 8, 1, 9), ("again", 1, 0, 5, 10), ("again", 2, 0, 5, 10), ("again", 3, 5, 5, 10), ("again", 4, 5, 5, 10),
+        ("early", 1, 0, 3, 9), ("early", 2, 6, 3, 9), ("early", 3, 3, 3, 9), ("early", 4, 6, 3, 9), ("gap", 1, 0, 5, 20), ("gap", 2, 6, 5, 20), ("late", 1, 2, 5, 9),
+        ("over", 1, 0, 6, 8), ("over", 2, 6, 3, 8), ("over", 3, 6, 2, 8), ("other", 1, 0, 4, 8), ("other", 2, 4, 4, 9), ("anew", 1, 0, 9, 8), ("anew", 2, 0, 3, 3),
+    ]
+    df = spark.createDataFrame(rows, "content_id string, seq int, offset long, length long, size long")
+    want = {"whole": (9, 9, True), "again": (10, 10, True), "early": (9, 9, True), "gap": (5, 20, False), "late": (0, 0, False), "over": (8, 8, True), "other": (4, 8, False), "anew": (3, 3, True)}
+    assert {r.content_id: (r.received, r.size, r.complete) for r in jobs.received(df).collect()} == want
+
+
+def test_lifecycle(spark):
+    e = lambda job, seq, kind, stage=None, done=None, total=None, error=None: (job, seq, kind, stage, done, total, error)
+    events = [
+        e("a", 1, "submit"), e("a", 2, "start"), e("a", 3, "progress", "cut", 2, 5), e("a", 4, "cancel"), e("a", 5, "stage_done", "cut"), e("a", 6, "progress", "read", 1, 0), e("a", 7, "finish"),
+        e("b", 1, "submit"), e("b", 2, "cancel"), e("b", 3, "start"), e("c", 2, "start"), e("c", 1, "submit"), e("c", 3, "progress", "cut", 4, 9), e("c", 4, "fail", error="x" * 900),
+        e("d", 1, "submit"), e("d", 2, "start"), e("d", 3, "progress", "read", 4, 9), e("d", 4, "restart"), e("d", 5, "finish"), e("d", 6, "progress", "unheard", 1, 1),
+    ]
+    df = spark.createDataFrame(events, "job_id string, seq int, kind string, stage string, done long, total long, error string")
+    out = {r.job_id: (r.state, [tuple(s)[1:] for s in r.stages], r.error) for r in jobs.lifecycle(df, ("cut", "read")).collect()}
+    assert out["a"] == ("done", [("done", 5, 5), ("done", 1, 0)], None)
+    assert out["b"] == ("cancelled", [("pending", 0, 0)] * 2, "cancelled by user")
+    assert out["c"] == ("error", [("error", 4, 9), ("pending", 0, 0)], "x" * 500)
+    assert out["d"] == ("queued", [("pending", 0, 0), ("pending", 4, 9)], None)
+
+
+def test_calls_and_handoff(spark):
+    calls = [(1, ["TIMEOUT", "OK"]), (2, ["ASLEEP"] * 50), (3, ["TIMEOUT", "ASLEEP", "UNREACHABLE", "ASLEEP", "TIMEOUT", "OK"]), (4, []), (5, ["REFUSED", "TIMEOUT"])]
+    df = spark.createDataFrame(calls, "k int, r array<string>").select("k", jobs.called(F.col("r"), 3).alias("o"))
+    assert {r.k: r.o for r in df.collect()} == {1: "answered", 2: "waiting", 3: "failed", 4: "waiting", 5: "answered"}
+    rows = [("ready", "j", True, 4), ("indexing", "j", True, 4), ("indexing", None, True, 4), ("partial", None, True, 4), ("missing", None, True, 0), ("uploaded", None, False, 9)]
+    df = spark.createDataFrame(rows, "s string, j string, u boolean, r long").select(jobs.handed_off(F.col("s"), F.col("j"), F.col("u"), F.col("r")).alias("x"))
+    assert [tuple(r.x) for r in df.collect()] == [("reuse", 0), ("attach", 0), ("upload", 0), ("upload", 4), ("upload", 0), ("index", 0)]
+
+
+def test_entities_frames_and_cards(spark):
+    texts = spark.createDataFrame([("t", "From Odense to  Skagen-Nord, by boat 9"), ("u", None)], "k string, text string")
+    spans = spark.createDataFrame([("t", 5, 8, 0.9), ("t", 8, 11, 0.4), ("t", 16, 27, 0.61), ("t", 32, 36, 0.59), ("t", 37, 38, 0.99), ("t", None, 3, 0.9), ("u", 0, 4, 0.9)], "k string, start int, end int, score double")
+    assert sorted(map(tuple, build.clean_entities(spans, texts, "k").collect())) == [("t", 0, "Odense"), ("t", 1, "Skagen-Nord")]
+    tokens = F.array(*(F.struct(F.lit(t).alias("text"), F.lit(c).alias("conf")) for t, c in (("EXIT", 0.9), (" 4 ", 0.9), ("EXIT", 0.5), ("blur", 0.39), ("mole", 0.4))))
+    row = spark.range(1).select(build.ocr_text(tokens, F.lit(0.02)).alias("a"), build.ocr_text(tokens, F.lit(0.019)).alias("b"), build.ocr_text(tokens, F.lit(None).cast("double")).alias("c")).first()
+    assert tuple(row) == ("EXIT mole", "", "")
+    rng = np.random.default_rng(4)
+    images = [rng.integers(0, 256, shape).tolist() for shape in ((5, 7), (1, 4), (3, 1), (1, 1))]
+    got = [r.s for r in spark.createDataFrame([(i, x) for i, x in enumerate([*images, [], None])], "i int, p array<array<int>>").select("i", build.sharpness(F.col("p")).alias("s")).orderBy("i").collect()]
+
+    def laplacian(image):
+        h, w = len(image), len(image[0])
+        at = lambda y, x: image[0 if h == 1 else abs(y) if y < h else 2 * h - 2 - y][0 if w == 1 else abs(x) if x < w else 2 * w - 2 - x]
+        return np.var([at(y - 1, x) + at(y + 1, x) + at(y, x - 1) + at(y, x + 1) - 4 * image[y][x] for y in range(h) for x in range(w)])
+
+    assert got[:4] == pytest.approx([laplacian(i) for i in images]) and got[4:] == [None, None]
+    frames = spark.createDataFrame([("c", 0, 0, 2.0), ("c", 0, 1, 5.0), ("c", 0, 2, 5.0), ("c", 1, 0, None)], "content_id string, shot_id int, frame int, sharpness double")
+    assert [tuple(r) for r in build.keyframes(frames).collect()] == [("c", 0, 1)]
+    cards = spark.createDataFrame([("a", "b", 1.0, 3.26), ("", "b", 5.0, 3.0), (None, None, 0.0, 0.0)], "caption string, transcript string, start_s double, end_s double")
+    assert [(r.card, r.seconds) for r in build.cards(cards).collect()] == [("a", "2.3"), ("b", "0.0"), ("", "0.0")]
+
+
+def test_shot_rows(spark):
+    shots = spark.createDataFrame([("c", 0, 0.0, 4.0), ("c", 1, 30.0, 34.0)], "content_id string, shot_id int, start_time double, end_time double")
+    contents = spark.createDataFrame([("c", "da")], "content_id string, language string")
+    segs = [("c", t, i, s, e, x, None) for t, i, s, e, x in (("en", 0, 1.0, 3.0, "the ferry leaves Skagen"), ("en", 1, 7.0, 9.0, "at noon"), ("src", 0, 1.0, 3.0, "faergen sejler"), ("src", 1, 7.0, 9.0, "klokken tolv"))]
+    segments = spark.createDataFrame(segs, "content_id string, track string, seg_id int, start double, end double, text string, words array<struct<word: string, start: double, end: double>>")
+    said = spark.createDataFrame([("c", 0, 0, "Skagen"), ("c", 1, 0, "noon Bell")], "content_id string, seg_id int, pos int, entity string")
+    read = spark.createDataFrame([("c", 0, 0, "SKAGEN"), ("c", 0, 1, "Skagen"), ("c", 1, 0, "PIER")], "content_id string, shot_id int, pos int, entity string")
+    out = {r.shot_id: tuple(r)[2:] for r in build.shot_rows(shots, contents, segments, said, read).collect()}
+    # the second segment only touches the wider window: its entity counts, its words do not
+    assert out[0] == ("faergen sejler", "the ferry leaves Skagen", "faergen sejler", True, ["Skagen", "noon Bell"])
+    assert out[1] == ("", "", "", False, ["PIER"])
+
+
+def test_order_of_contents(spark):
+    ids = [f"{n:016x}" for n in (7, 3, 5)]
+    shots = spark.createDataFrame([(c, i) for c in ids for i in (1, 0)], "content_id string, shot_id int")
+    ready = shots.select("content_id").distinct()
+    ask = lambda wanted: [(r.content_id, r.shot_id) for r in build.ordinals(shots, build.wanted_contents(wanted, ready)).orderBy("row").collect()]
+    assert ask(None) == ask("") == [(f"{n:016x}", i) for n in (3, 5, 7) for i in (0, 1)]
+    assert ask(f"{ids[2]},,{'a' * 16},{ids[0]},{ids[2]}") == [(c, i) for c in (ids[2], ids[0], ids[2]) for i in (0, 1)]
 
 
 def test_signature_ignores_ranking():
