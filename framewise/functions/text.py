@@ -27,10 +27,14 @@ def bigrams(token: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(token) - 1)), lambda i: F.substring(token, i, F.lit(2)))
 
 
+def is_term(word: Column) -> Column:
+    """Whether a word is a search term: no stop word nor a lone letter."""
+    return ~word.isin(*STOPWORDS) & ((F.length(word) > 1) | word.rlike(r"^\p{Nd}$"))
+
+
 def tokenize(text: Column) -> Column:
-    """Search terms: words that are no stop word nor a lone letter, and character pairs of CJK runs."""
-    keep = lambda t: ~t.isin(*STOPWORDS) & ((F.length(t) > 1) | t.rlike(r"^\p{Nd}$"))
-    term = lambda t: F.when(t.rlike(CJK), bigrams(t)).when(keep(t), F.array(t)).otherwise(F.array().cast("array<string>"))
+    """Search terms: words that are terms, and character pairs of CJK runs."""
+    term = lambda t: F.when(t.rlike(CJK), bigrams(t)).when(is_term(t), F.array(t)).otherwise(F.array().cast("array<string>"))
     return F.flatten(F.transform(words(text), term))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from framewise.config import Settings
 from framewise.functions import text as T
 from framewise.functions import vectors as V
-from framewise.operators import build, captions, entities, fusion, intervals, jobs, lexical, sync
+from framewise.operators import build, captions, entities, fusion, intervals, jobs, lexical, nearest, sync
 from framewise.operators.corpus import Corpus
 from framewise.sources import adapters as A
 from framewise.sources import files
@@ -114,18 +114,19 @@ def agg2_moments(spark, d):
 
 
 def agg4_bm25_stats(spark, d):
-    docs = _bm25_docs(spark, d)
-    post, stats = lexical.postings(docs), lexical.statistics(docs)
-    return lexical.inverse_frequencies(post, stats).select("term", "df", _r("idf"))
+    docs = _texts(spark, d)
+    post = lexical.postings_of_text(docs)
+    return lexical.inverse_frequencies(post, lexical.statistics_of_postings(docs, post)).select("term", "df", _r("idf"))
 
 
-def _bm25_docs(spark, d):
-    return A.table(spark, d, "documents").select(F.col("doc_id").alias("row"), T.tokenize(F.col("text")).alias("tokens"))
+def _texts(spark, d):
+    return A.table(spark, d, "documents").select(F.col("doc_id").alias("row"), "text")
 
 
 def _bm25(spark, d):
-    docs = _bm25_docs(spark, d)
-    post, stats = lexical.postings(docs), lexical.statistics(docs)
+    docs = _texts(spark, d)
+    post = lexical.postings_of_text(docs).persist()  # an index: read for the frequencies of all terms, then for those asked
+    stats = lexical.statistics_of_postings(docs, post)
     items = A.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(T.tokenize(F.concat_ws(" ", "text", F.substring("text", 1, 20)))).alias("term"))
     return lexical.scores(post, stats, lexical.inverse_frequencies(post, stats), items)
 
@@ -160,12 +161,12 @@ def _asked_vectors(spark, d):
 
 
 def j12_knn(spark, d):
-    return fusion.nearest_of_each(A.vectors(spark, d), _asked_vectors(spark, d), 10).select("query_id", "row", _r("cosine"))
+    return nearest.of_each(A.vectors(spark, d), _asked_vectors(spark, d), 10).select("query_id", "row", _r("cosine"))
 
 
 def j12_knn_masked(spark, d):
     shots = A.plain_shots(spark, d).filter("d_mask").select("row", F.col("d").alias("v"))
-    return fusion.nearest_of_each(shots, _asked_vectors(spark, d), 10).select("query_id", "row", _r("cosine"))
+    return nearest.of_each(shots, _asked_vectors(spark, d), 10).select("query_id", "row", _r("cosine"))
 
 
 def j7_entity_score(spark, d):

@@ -60,24 +60,40 @@ def test_all_names_and_documents_without_a_vector(spark, tmp_path):
 
 
 def test_propagate_in_blocks(spark, monkeypatch):
-    from framewise.operators import captions
+    from framewise.operators import captions, nearest
 
     shots = spark.createDataFrame([(i, [float(i % 7), float(i % 5), 1.0]) for i in range(60)], "row long, v array<float>")
     reps = shots.filter("row % 3 = 0").selectExpr("row as rep", "v as rv")
     ask = lambda: sorted(map(tuple, captions.propagate(shots, reps).collect()))
     whole = ask()
-    monkeypatch.setattr(captions, "BROADCAST_REPS", 6)
+    monkeypatch.setattr(nearest, "TARGETS", 6)
     assert len(whole) == 60 and ask() == whole
 
 
 def test_neighbours_of_every_fiftieth_row(spark, tmp_path, monkeypatch):
     import numpy as np
-    from framewise.operators import fusion
+    from framewise.operators import nearest
 
     v = np.random.default_rng(3).standard_normal((160, 8)).astype(np.float32)
     spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
     want = {(q, int(r)) for q in (0, 50, 100, 150) for r in np.argsort(-(v.astype(float) @ v[q].astype(float)))[:10]}
     for block in (1000, 2):
-        monkeypatch.setattr(fusion, "BROADCAST_QUERIES", block)
+        monkeypatch.setattr(nearest, "QUERIES", block)
         got = [(r.query_id, r.row) for r in Q.j12_knn(spark, str(tmp_path)).collect()]
         assert len(got) == 40 and set(got) == want
+
+
+def test_equal_neighbours_go_by_row(spark, monkeypatch):
+    import numpy as np
+    from framewise.operators import nearest
+
+    monkeypatch.setattr(nearest, "ROWS", 16)
+    rng = np.random.default_rng(8)
+    v = rng.integers(-1, 2, (200, 3)).astype(float)
+    rows = spark.createDataFrame([(int(i), v[i].tolist()) for i in rng.permutation(200)] + [(999, None)], "row long, v array<float>").repartition(3)
+    queries = rows.filter("row % 20 = 0").selectExpr("row AS query_id", "v AS q")
+    got = sorted((r.query_id, -round(r.cosine), r.row) for r in nearest.of_each(rows, queries, 7).collect())
+    want = [(q, -c, r) for q in range(0, 200, 20) for c, r in sorted(((float(v[r] @ v[q]), r) for r in range(200)), key=lambda x: (-x[0], x[1]))[:7]]
+    assert got == sorted((q, round(c), r) for q, c, r in want)
+    assert nearest.of_each(rows, queries.limit(0), 3).collect() == []
+    assert nearest.nearest_one(rows, queries.limit(0).selectExpr("query_id AS target", "q AS v")).collect() == []
