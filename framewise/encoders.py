@@ -43,6 +43,25 @@ class DeterministicEncoder:
         return [[w.strip(".,;:!?") for w in t.split() if w[:1].isupper()] for t in texts]
 
 
+def captioned(column: Column, load: Callable[[], Callable[[object], str]]) -> Column:
+    """Captions of a column by a model that load() makes once in each worker task; "" where it fails for a row."""
+
+    @F.pandas_udf("string")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        caption = load()
+
+        def safe(value: object) -> str:
+            try:
+                return caption(value) or ""
+            except Exception:  # noqa: BLE001 - one frame that a model cannot read must not end the stage
+                return ""
+
+        for values in batches:
+            yield pd.Series([safe(v) for v in values], dtype=object)
+
+    return run(column)
+
+
 def embed(column: Column, load: Callable[[], Encoder], kind: str = "text") -> Column:
     """Vectors of a text column by an iterator of Arrow batches; load() runs once in each worker task."""
 

@@ -83,6 +83,41 @@ def sharpness(pixels: Column) -> Column:
     return run(pixels)
 
 
+def edge_fraction(pixels: Column, low: float = 100.0, high: float = 200.0) -> Column:
+    """The share of a grey frame's pixels that are edges: ridges of the gradient (3 x 3 Sobel, |x| + |y|) above `low` that are
+    joined, over all eight neighbours, to one above `high`; 0 for an empty frame, null for none."""
+
+    @F.pandas_udf("double")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for frames in batches:
+            out = [None if f is None else 0.0 if len(f) == 0 or len(f[0]) == 0 else float(edges(np.array([np.asarray(r, np.float64) for r in f]), low, high).mean()) for f in frames]
+            yield pd.Series(out, dtype="float64")
+
+    return run(pixels)
+
+
+def edges(grey: np.ndarray, low: float, high: float) -> np.ndarray:
+    """Which pixels are edges."""
+    p = np.pad(grey, 1, mode="edge")
+    smooth = lambda a, b, c: a + 2 * b + c
+    dx = smooth(p[:-2, 2:], p[1:-1, 2:], p[2:, 2:]) - smooth(p[:-2, :-2], p[1:-1, :-2], p[2:, :-2])
+    dy = smooth(p[2:, :-2], p[2:, 1:-1], p[2:, 2:]) - smooth(p[:-2, :-2], p[:-2, 1:-1], p[:-2, 2:])
+    steep = np.pad(np.abs(dx) + np.abs(dy), 1)
+    at = lambda y, x: steep[1 + y : steep.shape[0] - 1 + y, 1 + x : steep.shape[1] - 1 + x]
+    here, ratio = at(0, 0), np.tan(np.pi / 8)
+    flat, upright = np.abs(dy) < ratio * np.abs(dx), np.abs(dy) * ratio > np.abs(dx)
+    same = dx * dy >= 0  # the gradient runs along this diagonal, or the other
+    across = np.where(same, (here > at(-1, -1)) & (here > at(1, 1)), (here > at(-1, 1)) & (here > at(1, -1)))
+    ridge = (here > low) & np.where(flat, (here > at(0, -1)) & (here >= at(0, 1)), np.where(upright, (here > at(-1, 0)) & (here >= at(1, 0)), across))
+    found = ridge & (here > high)
+    while True:  # grow along ridges
+        q = np.pad(found, 1)
+        grown = ridge & np.any([q[1 + y : q.shape[0] - 1 + y, 1 + x : q.shape[1] - 1 + x] for y in (-1, 0, 1) for x in (-1, 0, 1)], axis=0)
+        if (grown == found).all():
+            return found
+        found = grown
+
+
 def shot_rows(shots: DataFrame, contents: DataFrame, segments: DataFrame, segment_entities: DataFrame, ocr_entities: DataFrame, pad: float = 3.0, least_words: int = 3) -> DataFrame:
     """content_id, shot_id, transcript, dialogue_en, dialogue_src, has_dialogue and entities of each shot.
 

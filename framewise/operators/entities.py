@@ -47,12 +47,14 @@ def merged(vocabularies: DataFrame, contents: DataFrame) -> DataFrame:
 def corrected(terms: DataFrame, keys: DataFrame) -> DataFrame:
     """term and key: the nearest key within the term's limit of edits, the first key winning ties.
 
-    Lengths within the limit are a condition of the equi-join, on the keys' lengths, so the distance is worked
-    out for keys of like length alone. terms: term; keys: key and pos.
+    Lengths within the limit are a condition of the equi-join, on the keys' lengths. Of the pairs, those that plain
+    edits alone would take more than twice the limit for are dropped by a built-in function (a swap is two edits), so the
+    distance is worked out for near ones only. terms: term; keys: key and pos.
     """
     limited = terms.select("term").distinct().withColumn("limit", T.fuzzy_limit(F.col("term"))).filter("limit IS NOT NULL")
     spread = limited.select("term", "limit", F.explode(F.sequence(F.length("term") - F.col("limit"), F.length("term") + F.col("limit"))).alias("len"))
-    near = spread.join(keys.withColumn("len", F.length("key")), "len").withColumn("d", T.osa_distance(F.col("term"), F.col("key"))).filter(F.col("d") <= F.col("limit"))
+    like = spread.join(keys.withColumn("len", F.length("key")), "len").filter(F.levenshtein("term", "key") <= 2 * F.col("limit"))
+    near = like.withColumn("d", T.osa_distance(F.col("term"), F.col("key"))).filter(F.col("d") <= F.col("limit"))
     return near.groupBy("term").agg(F.min(F.struct("d", "pos", "key")).alias("b")).select("term", F.col("b.key").alias("key"), F.col("b.d").alias("d"))
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 
@@ -32,7 +34,9 @@ def ship(spark: SparkSession) -> None:
     if getattr(context, "_framewise_shipped", False):
         return
     here = os.path.dirname(os.path.abspath(__file__))
-    archive = os.path.join(tempfile.mkdtemp(prefix="framewise-src-"), "framewise_src.zip")
+    folder = tempfile.mkdtemp(prefix="framewise-src-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    archive = os.path.join(folder, "framewise_src.zip")
     with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
         for folder, _, names in os.walk(here):
             for name in names:

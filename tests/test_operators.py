@@ -178,6 +178,24 @@ def test_entities_frames_and_cards(spark):
     assert [(r.card, r.seconds) for r in build.cards(cards).collect()] == [("a", "2.3"), ("b", "0.0"), ("", "0.0")]
 
 
+def test_edges_and_captions(spark):
+    from framewise.encoders import captioned
+
+    step = np.zeros((6, 8))
+    step[:, 4:] = 90
+    assert build.edges(step, 100, 200).sum(1).tolist() == [1] * 6  # one column, where the step is
+    assert not build.edges(step / 4, 100, 200).any() and not build.edges(np.full((5, 5), 9.0), 100, 200).any()
+    assert build.edges(step.T, 100, 200).sum(0).tolist() == [1] * 6
+    fading = np.zeros((12, 8))
+    fading[:, 4:] = np.linspace(20, 90, 12)[:, None]  # the weak part of an edge counts where it is joined to a strong one
+    whole, strong = build.edges(fading, 100, 200).sum(), build.edges(fading, 200, 200).sum()
+    assert 0 < strong < whole
+    frames = spark.createDataFrame([(0, step.astype(int).tolist()), (1, []), (2, None)], "i int, p array<array<int>>")
+    assert [r.e for r in frames.select("i", build.edge_fraction(F.col("p")).alias("e")).orderBy("i").collect()] == [6 / 48, 0.0, None]
+    names = spark.createDataFrame([("pier",), (None,), ("",)], "n string").select(captioned(F.col("n"), lambda: lambda x: x.upper()).alias("c"))
+    assert [r.c for r in names.collect()] == ["PIER", "", ""]
+
+
 def test_shot_rows(spark):
     shots = spark.createDataFrame([("c", 0, 0.0, 4.0), ("c", 1, 30.0, 34.0)], "content_id string, shot_id int, start_time double, end_time double")
     contents = spark.createDataFrame([("c", "da")], "content_id string, language string")
