@@ -20,7 +20,7 @@ import base64
 import hashlib
 import struct
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.fs
@@ -281,7 +281,7 @@ def write_archives(classified: DataFrame, dictionary: bytes, folder: str, date:
             for page_id, url, html, digest, refers_to in zip(*columns, strict=True):
                 if out is None:
                     path = f"{base}/{uuid.uuid4().hex}.warc.zst"
-                    out, records, size = fs.open_output_stream(path), 0, 0
+                    out, records, size = fs.open_output_stream(path, compression=None), 0, 0
                     if dictionary:
                         out.write(frame_of(dictionary))
                 frame = compressor.compress(record(page_id, url, html, digest, refers_to, date))
@@ -300,29 +300,44 @@ def write_archives(classified: DataFrame, dictionary: bytes, folder: str, date:
     return materialize(mapped(classified, write, "path string, n_records long, n_bytes long"), "warc-manifest")
 
 
-def read_archives(manifest: DataFrame, tasks: int | None = None) -> DataFrame:
-    """The validated records of the archives named in the manifest."""
-    schema = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())])
+_PAGES = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
+_RECORDS = "path string, record_id string, record_type string, date string, target string, refers_to string, n_block long, payload_bytes long, payload_digest string"
+
+
+def _read(archives: DataFrame, facts: Callable[[bytes], dict], schema: str, tasks: int | None) -> DataFrame:
+    """A row per record of the archives: path and n_records, which is checked unless it is null."""
+    kinds = {"long": pa.int64(), "string": pa.string()}
+    arrow = pa.schema([(n, kinds[k]) for n, k in (f.split() for f in schema.split(", "))])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, expected in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 fs, at = _open(path)
                 rows, n = [], 0
-                with fs.open_input_stream(at) as stream:
+                with fs.open_input_stream(at, compression=None) as stream:
                     for data in read_records(stream):
-                        rows.append(page_facts(data))
+                        rows.append({"path": path, **facts(data)})
                         n += 1
                         if len(rows) == 4096:
-                            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                            yield pa.RecordBatch.from_pylist(rows, schema=arrow)
                             rows = []
-                if n != expected:
+                if expected is not None and n != expected:
                     raise WarcError(f"{path}: {n} records; the manifest has {expected}")
-                yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                yield pa.RecordBatch.from_pylist(rows, schema=arrow)
+
+    spark = archives.sparkSession
+    dealt = archives.select("path", "n_records").repartition(tasks or int(spark.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("path"))
+    return mapped(dealt, read, schema)
+
+
+def read_archives(manifest: DataFrame, tasks: int | None = None) -> DataFrame:
+    """The validated page records of the archives named in the manifest of write_archives."""
+    return _read(manifest, page_facts, _PAGES, tasks)
+
 
-    spark = manifest.sparkSession
-    dealt = manifest.select("path", "n_records").repartition(tasks or int(spark.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("path"))
-    return mapped(dealt, read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+def read_any(paths: DataFrame, tasks: int | None = None) -> DataFrame:
+    """The validated records, of every type, of archives by any writer. paths: path."""
+    return _read(paths.select("path", F.lit(None).cast("long").alias("n_records")), parse, _RECORDS, tasks)
 
 
 def round_trip(pages: DataFrame) -> DataFrame:

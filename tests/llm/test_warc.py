@@ -118,3 +118,29 @@ def test_long_pages_and_a_payload_that_most_share(spark):
     out = {r.page_id: r for r in warc.round_trip(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)).collect()}
     assert out[0].record_type == "response" and all(out[i].refers_to == 0 for i in range(1, 300))
     assert out[1000].payload_bytes == 4_000_000
+
+
+def test_archives_of_other_writers(spark, tmp_path):
+    page = b"<html>hello</html>"
+    http = b"HTTP/1.1 200 OK\r\nContent-Length: 18\r\n\r\n" + page
+    records = [_record("warcinfo", b"software: x\r\n", content="application/warc-fields"), _record("response", http, f"WARC-Payload-Digest: {_sha1(page)}", "WARC-Target-URI: http://x/"), _record("metadata", b"")]
+    (tmp_path / "a.warc.zst").write_bytes(struct.pack("<II", warc.SKIPPABLE_MAGIC, 3) + b"any" + b"".join(zstandard.ZstdCompressor().compress(r) for r in records))
+    (tmp_path / "b.warc.zst").write_bytes(b"")
+    paths = spark.createDataFrame([(f"file://{tmp_path}/{n}.warc.zst", 1) for n in "ab"], "path string, n_records int")
+    out = {r.record_type: r for r in warc.read_any(paths).collect()}
+    assert set(out) == {"warcinfo", "response", "metadata"} and out["response"].payload_bytes == 18 and out["response"].target == "http://x/"
+
+
+def test_written_files_are_plain_archives(spark, tmp_path):
+    rows = [(i, f"http://h/{i}", f"<html>{i}" + "common body text " * 40) for i in range(40)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    samples = warc.sample(df)
+    manifest = warc.write_archives(warc.classify(df), warc.train(samples), f"file://{tmp_path}/w").collect()
+    found = []
+    for r in manifest:
+        with open(r.path.removeprefix("file://"), "rb") as f:  # as any other reader would
+            assert f.read(4) == struct.pack("<I", warc.SKIPPABLE_DICTIONARY_MAGIC)
+            f.seek(0)
+            found += [warc.page_facts(x)["page_id"] for x in warc.read_records(f)]
+        assert r.n_bytes + len(warc.frame_of(warc.train(samples))) == (tmp_path / "w" / r.path.rsplit("/", 1)[-1]).stat().st_size
+    assert sorted(found) == list(range(40))
