@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import io
+import re
+import tarfile
+from collections.abc import Callable, Iterable, Iterator
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -15,15 +18,33 @@ from framewise.functions import text as T
 from framewise.sources.store import written
 
 
+#: Names of thumbnails: up to seven digits, in no folder.
+THUMBNAIL = re.compile(r"[0-9]{1,7}\.jpg")
+
+
 def contents_of(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     """path, size and content_id of each file of a folder."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
     return files.select("path", F.col("length").alias("size"), T.content_id(F.col("content")).alias("content_id"))
 
 
-def thumbnails(names: DataFrame) -> DataFrame:
-    """Names (column name) that may be taken out of an archive: up to seven digits and .jpg, in no folder."""
-    return names.filter(F.col("name").rlike(r"\A\d{1,7}\.jpg\z"))
+def packed(named: Iterable[tuple[str, bytes]]) -> bytes:
+    """An uncompressed tar of files."""
+    out = io.BytesIO()
+    with tarfile.open(fileobj=out, mode="w") as tar:
+        for name, data in named:
+            info = tarfile.TarInfo(name)
+            info.size = len(data)
+            tar.addfile(info, io.BytesIO(data))
+    return out.getvalue()
+
+
+def unpacked(archive: bytes) -> Iterator[tuple[str, bytes]]:
+    """The thumbnails in a tar; whatever else it holds, or holds in folders, is left there."""
+    with tarfile.open(fileobj=io.BytesIO(archive)) as tar:
+        for member in tar:
+            if member.isfile() and THUMBNAIL.fullmatch(member.name):
+                yield member.name, tar.extractfile(member).read()
 
 
 def read_or_empty(spark: SparkSession, path: str, schema: StructType) -> DataFrame:

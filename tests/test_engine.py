@@ -113,6 +113,25 @@ def test_jobs(spark, tmp_path):
     assert [r.job_id for r in files.read_jobs(spark, f"{tmp_path}/jobs").collect()] == [first["job_id"], second["job_id"], third["job_id"]]
 
 
+def test_thumbnails_and_files(spark, tmp_path):
+    now = iter(range(100))
+    engine = Engine(spark, str(tmp_path / "e"), DeterministicEncoder(16), size=16, clock=lambda: float(next(now)))
+    engine.save(IDS[0], _shots(spark, engine.encoder, ["one line"]))
+    for n in (10, 2):
+        engine.save_thumbnail(IDS[0], n, b"jpg%d" % n)
+    assert list(files.unpacked(engine.thumbnails(IDS[0]))) == [("10.jpg", b"jpg10"), ("2.jpg", b"jpg2")]
+    engine.save_thumbnail(IDS[0], 3, b"late")
+    assert len(list(files.unpacked(engine.thumbnails(IDS[0])))) == 2  # the index has not changed
+    engine.save(IDS[0], _shots(spark, engine.encoder, ["one line"]))
+    assert len(list(files.unpacked(engine.thumbnails(IDS[0])))) == 3
+    sly = files.packed([("../1.jpg", b"x"), ("a/1.jpg", b"x"), ("1.png", b"x"), ("12345678.jpg", b"x"), ("7.jpg", b"ok")])
+    assert list(files.unpacked(sly)) == [("7.jpg", b"ok")]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "pier.mov").write_bytes(b"frames")
+    found = files.contents_of(spark, str(tmp_path / "in")).first()
+    assert (found["size"], found.content_id) == (6, hashlib.sha1(b"6frames").hexdigest()[:16])
+
+
 def test_sync_and_quota(spark, tmp_path):
     engine = Engine(spark, str(tmp_path), DeterministicEncoder(4))
     snap = lambda n, size=10: spark.createDataFrame([(f"/takes/{i}", size, 5, i, None) for i in range(n)], schemas.SNAPSHOT)
