@@ -136,7 +136,7 @@ def j6_bm25(spark, d):
 
 
 def agg7_bm25_norm(spark, d):
-    return lexical.normalised(_bm25(spark, d)).select("query_id", "row", _r("bm25"))
+    return lexical.normalised(_bm25(spark, d).persist()).select("query_id", "row", _r("bm25"))
 
 
 def agg5_vector_sum(spark, d):
@@ -259,7 +259,7 @@ def win1_scene_dedupe(spark, d):
 
 def batch_search(spark, d):
     """The lexical signal of many queries at once: the best three rows of each."""
-    scored = lexical.normalised(_bm25(spark, d))
+    scored = lexical.normalised(_bm25(spark, d).persist())  # read for each query's greatest, then for its rows
     order = Window.partitionBy("query_id").orderBy(F.desc(F.round("bm25", 9)), "row")
     return scored.withColumn("place", F.row_number().over(order)).filter("place <= 3").select("query_id", "place", "row", _r("bm25"))
 

@@ -57,6 +57,22 @@ def test_fusion_against_numpy(spark):
     assert Corpus(shots.limit(0)).hits(query, ["skagen"], qv, qt).collect() == []
 
 
+def test_postings_of_texts_and_of_tokens(spark):
+    from framewise.operators import lexical
+
+    texts = ["Gulls over the harbour, gulls!", "", None, "大阪城 harbour 7", "the of and", "mill " * 30, "Harbour mill"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "row long, text string")
+    tokens = docs.withColumn("tokens", T.tokenize(F.col("text")))
+    plain, direct = lexical.postings(tokens), lexical.postings_of_text(docs)
+    key = lambda rows: sorted((r.row, r.term, r.tf, r.dl) for r in rows)
+    assert key(plain.collect()) == key(direct.join(lexical.lengths(direct), "row").collect())
+    stats = lexical.statistics(tokens)
+    assert tuple(stats.first()) == pytest.approx(tuple(lexical.statistics_of_postings(docs, direct).first()))
+    query = spark.createDataFrame([(1, "harbour"), (1, "mill"), (1, "mill"), (2, "unheard"), (3, "大阪")], "query_id int, term string")
+    found = [{(r.query_id, r.row): r.bm25 for r in lexical.scores(p, stats, lexical.inverse_frequencies(p, stats), query).collect()} for p in (plain, direct)]
+    assert found[0] == pytest.approx(found[1]) and set(found[0]) == {(1, 0), (1, 3), (1, 5), (1, 6), (3, 3)}
+
+
 def test_fuzzy_and_query_entities(spark):
     keys = spark.createDataFrame([("odense", 0), ("lighthouse", 1), ("river mouth", 2), ("mill", 3)], "key string, pos int")
     terms = spark.createDataFrame([(t,) for t in ("odnese", "lihgthosue", "river muth", "mil", "mlil", "viborg")], "term string")
