@@ -14,6 +14,7 @@ STOPWORDS = (
 ).split()
 CJK = "[぀-ヿ㐀-䶿一-鿿가-힯]"
 NER_MAX_CHARS, FUZZY_MIN_LEN, FUZZY_SHORT_LEN, NGRAM_MAX, UNIGRAM_MIN_LEN, MAX_SENTENCES = 1000, 4, 6, 3, 3, 3
+SEARCH_PROMPT = "Represent this sentence for searching relevant passages: "
 WORD = r"[\p{L}\p{N}_]+"
 
 
@@ -118,6 +119,11 @@ def entity_form(text: Column, start: Column, end: Column) -> Column:
     return F.when((F.length(name) >= 2) & name.rlike(r"\p{L}"), name)
 
 
+def search_prompt(query: Column) -> Column:
+    """A query as the text encoder is asked; passages go in as they are."""
+    return F.concat(F.lit(SEARCH_PROMPT), query)
+
+
 def unless_empty(text: Column) -> Column:
     return F.when(text != "", text)
 

@@ -196,6 +196,20 @@ def cards(results: DataFrame) -> DataFrame:
     return results.withColumns({"card": F.coalesce(T.unless_empty(F.col("caption")), T.unless_empty(F.col("transcript")), F.lit("")), "seconds": F.format_string("%.1f", F.greatest(F.lit(0.0), F.col("end_s") - F.col("start_s")))})
 
 
+def summaries(shots: DataFrame, least_words: int = 3) -> DataFrame:
+    """content_id and how many of its shots have dialogue, entities, dialogue vectors, and text read off their frames."""
+    return shots.groupBy("content_id").agg(
+        F.count_if(T.word_count(F.col("dialogue_en")) >= least_words).alias("with_dialogue"), F.count_if(F.size("entities") > 0).alias("with_entities"),
+        F.count_if("d_mask").alias("masked"), F.count_if(F.coalesce(T.unless_empty(T.strip(F.col("ocr_text"))).isNotNull(), F.lit(False))).alias("with_ocr"),
+    )
+
+
+def also_failed(registry: DataFrame) -> DataFrame:
+    """footage_key and others: of each failed footage, how many others failed too."""
+    failed = registry.filter("state = 'error'").select("footage_key")
+    return failed.join(F.broadcast(failed.agg((F.count("*") - 1).alias("others"))), how="cross")  # one row
+
+
 def footage_list(registry: DataFrame) -> DataFrame:
     """What a client sees of the registry, with defaults for what an entry lacks."""
     value = lambda c, default: (F.coalesce(F.col(c), F.lit(default)) if c in registry.columns else F.lit(default)).alias(c)

@@ -273,7 +273,9 @@ SELECT label, vec_id AS row FROM embeddings JOIN u USING (label) QUALIFY row_num
 f AS (SELECT tenant, count(DISTINCT footage_key) FILTER (WHERE bucket IN ('added', 'changed', 'unchanged')) AS n_active, coalesce(sum(duration_s) FILTER (WHERE bucket IN ('added', 'changed', 'unchanged') AND state = 'ready'), 0) / 60.0 AS minutes, bool_or(bucket IN ('added', 'changed')) AS fresh FROM w GROUP BY tenant),
 g AS (SELECT f.*, CASE c_mktsegment WHEN 'BUILDING' THEN 50 WHEN 'FURNITURE' THEN 500 ELSE 3 END AS lf, CASE c_mktsegment WHEN 'BUILDING' THEN 600 WHEN 'FURNITURE' THEN 6000 ELSE 120 END AS lm FROM f LEFT JOIN (SELECT * FROM customer WHERE c_custkey < 97) ON c_custkey = tenant)
 SELECT tenant, n_active, round(minutes, 6) AS minutes, NOT fresh OR (n_active <= lf AND minutes <= lm) AS allowed FROM g""",
-    "agg16_summaries": f"WITH {_TEXTS} SELECT content_id, count(*) FILTER (WHERE len(list_filter(string_split_regex(dialogue_en, '\\s+'), lambda w: w <> '')) >= 3) AS with_dialogue, count(*) FILTER (WHERE len(entities) > 0) AS with_entities, count(*) FILTER (WHERE d_mask) AS masked FROM ts GROUP BY content_id",
+    "agg16_summaries": f"WITH {_TEXTS} SELECT content_id, count(*) FILTER (WHERE len(list_filter(string_split_regex(dialogue_en, '\\s+'), lambda w: w <> '')) >= 3) AS with_dialogue, count(*) FILTER (WHERE len(entities) > 0) AS with_entities, count(*) FILTER (WHERE d_mask) AS masked, count(*) FILTER (WHERE row % 3 <> 0 AND ocr_text <> '') AS with_ocr FROM ts GROUP BY content_id",
+    "agg16_also_failed": f"WITH {_REGISTRY} SELECT footage_key, (SELECT count(*) - 1 FROM r WHERE state = 'error') AS others FROM r WHERE state = 'error'",
+    "flt11_wanted_owners": f"WITH {_REGISTRY}, k AS (SELECT footage_key FROM r WHERE item_id % 2 = 0 ORDER BY footage_key LIMIT 500) SELECT content_id, min(footage_key) AS footage_key FROM r JOIN k USING (footage_key) WHERE state = 'ready' GROUP BY content_id",
     "j1_transcript_window": _said(0.0),
     "j1_dialogue_window": _said(3.0),
     "j2_entity_window": f"WITH {_SEGMENTS.replace('{pad}', '3.0')} SELECT win.conv_id, shot_id, count(*) AS n, min(seg_id) AS first, max(seg_id) AS last FROM win JOIN g ON g.conv_id = win.conv_id AND e >= t0 AND s <= t1 GROUP BY ALL",
@@ -329,7 +331,7 @@ i AS (SELECT *, sum(CASE WHEN b <= m THEN 0 ELSE 1 END) OVER (PARTITION BY doc_i
 g AS (SELECT doc_id, any_value(text) AS text, min(b) AS b, max(e) AS e, max(score) AS score FROM i GROUP BY doc_id, island),
 n AS (SELECT doc_id, b, regexp_replace(regexp_replace(substr(text, b + 1, e - b), '\s+', ' ', 'g'), '^[^\p{L}\p{N}\p{M}]+|[^\p{L}\p{N}\p{M}]+$', '', 'g') AS entity FROM g WHERE score >= 0.6)
 SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY b) - 1 AS INTEGER) AS pos, entity FROM n WHERE length(entity) >= 2 AND regexp_matches(entity, '\p{L}')""",
-    "fn20_prompt": "SELECT p_partkey, 'this is a photo of ' || lower(p_name) || '.' AS prompt FROM part",
+    "fn20_prompt": "SELECT p_partkey, 'this is a photo of ' || lower(p_name) || '.' AS prompt, 'Represent this sentence for searching relevant passages: ' || p_name AS asked FROM part",
     "fn23_utc_stamp": "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS stamp, CASE WHEN event_id % 2 = 0 THEN coalesce(value, 0) ELSE 0 END AS value FROM events",
     "flt5_ocr_text": f"""WITH t AS (SELECT doc_id, list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '') AS w FROM documents),
 k AS (SELECT doc_id, w, i FROM (SELECT doc_id, unnest(w) AS w, generate_subscripts(w, 1) - 1 AS i FROM t) WHERE (doc_id + i * 7) % 100 >= 40 AND length(w) >= 2 AND doc_id % 50 >= 20),

@@ -152,8 +152,11 @@ def agg6_centroid(spark, d):
 
 
 def agg16_summaries(spark, d):
-    s = A.text_shots(spark, d)
-    return s.groupBy("content_id").agg(F.count_if(T.word_count(F.col("dialogue_en")) >= 3).alias("with_dialogue"), F.count_if(F.size("entities") > 0).alias("with_entities"), F.count_if("d_mask").alias("masked"))
+    return build.summaries(A.text_shots(spark, d).withColumn("ocr_text", F.when(F.col("row") % 3 != 0, F.col("ocr_text")).otherwise(" ")))
+
+
+def agg16_also_failed(spark, d):
+    return build.also_failed(A.registry(spark, d))
 
 
 def _asked_vectors(spark, d):
@@ -310,6 +313,11 @@ def j11_apply_sync(spark, d):
     return sync.apply(snap, sync.diff(snap, reg), reg)
 
 
+def flt11_wanted_owners(spark, d):
+    keys = A.registry(spark, d).filter("item_id % 2 = 0").select("footage_key").orderBy("footage_key").limit(500)
+    return sync.owners(A.registry(spark, d), [r.footage_key for r in keys.collect()]).select("content_id", "footage_key")
+
+
 def flt13_prune(spark, d):
     return sync.pruned(A.registry(spark, d)).select("footage_key", "state")
 
@@ -426,7 +434,7 @@ def fn3_clean_entities(spark, d):
 
 
 def fn20_prompt(spark, d):
-    return A.table(spark, d, "part").select("p_partkey", T.prompt(F.concat(F.lit(" "), F.upper("p_name"), F.lit("  "))).alias("prompt"))
+    return A.table(spark, d, "part").select("p_partkey", T.prompt(F.concat(F.lit(" "), F.upper("p_name"), F.lit("  "))).alias("prompt"), T.search_prompt(F.col("p_name")).alias("asked"))
 
 
 def fn23_utc_stamp(spark, d):
@@ -568,7 +576,7 @@ def src7_ready_contents(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        agg1_key_stats, fused_search, fused_search_candidates, batch_search, set1_candidates, srt3_top_scored, win1_scene_dedupe,
+        agg1_key_stats, agg16_also_failed, flt11_wanted_owners, fused_search, fused_search_candidates, batch_search, set1_candidates, srt3_top_scored, win1_scene_dedupe,
         fn1_tokenize, fn2_bm25_doc, fn4_query_entities, fn5_clean_caption, fn6_l2norm, fn8_zscore, fn8_zscore_masked, fn11_content_id,
         fn12_footage_key, fn14_safe_extension, fn16_timecode, fn18_step_number, fn19_names, win6_ngrams, win7_bigrams, win8_sentences,
         agg2_moments, agg4_bm25_stats, agg5_vector_sum, agg6_centroid, agg7_bm25_norm, agg8_vocab, agg9_merged_vocab, agg11_kmeans,

@@ -55,7 +55,7 @@ def test_all_names_and_documents_without_a_vector(spark, tmp_path):
     assert set(vocab) == {n.lower() for n in names} and len(vocab) == 16
     assert {r.key for r in Q.agg9_merged_vocab(spark, d).collect()} == set(vocab)
     assert [r.entity for r in Q.j7_entity_score(spark, d).orderBy("row").collect()] == [0.5, 0.5, 0.0]
-    assert tuple(Q.agg16_summaries(spark, d).first())[1:] == (3, 2, 1)
+    assert tuple(Q.agg16_summaries(spark, d).first())[1:] == (3, 2, 1, 2)
     assert A.shots(spark, d).first().caption == " ".join(names)
 
 
