@@ -69,6 +69,18 @@ def discard(*frames: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def reading(df: DataFrame, *frames: DataFrame) -> DataFrame:
+    """df, with note of the materialized tables that it reads: who has written df may let go of them."""
+    df._held = frames
+    return df
+
+
+def release(df: DataFrame) -> None:
+    """Delete the tables that df reads; for a df whose rows have been written, and that nothing reads any more."""
+    if frames := getattr(df, "_held", ()):
+        discard(*frames)
+
+
 def fresh(docs: DataFrame, name: str) -> str:
     """A column name that docs does not have, in any casing."""
     taken = {c.lower() for c in docs.columns}

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize
+from .common import discard, materialize, reading
 
 
 def _canonical(edges: DataFrame) -> DataFrame:
@@ -43,4 +43,4 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
     else:
         raise RuntimeError(f"the components have not settled after {most} rounds")
     own = state.select(F.col("a").alias("id"), F.col("b").alias("component"))
-    return own.unionByName(state.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
+    return reading(own.unionByName(state.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()), state)

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import binary_column, discard, fresh, mapped, materialize, slices, table
+from .common import binary_column, discard, fresh, mapped, materialize, reading, release, slices, table
 from .components import components
 
 #: Words in a shingle; two sets link when 100 * intersection >= PERCENT * union.
@@ -295,7 +295,9 @@ def join(docs: DataFrame) -> DataFrame:
     sets = materialize(named.join(copies, ["doc_id", "sig"], "left_anti").select("doc_id", "n", "n_bytes", "keys", "prefix"), "sets")
     heads = similar(sets)
     first = verify(heads.select(F.col("head").alias("a"), F.col("doc_id").alias("b")).distinct(), sets, docs)
-    dealt = blocks(sets, components(first), heads)
+    pure = components(first)
+    dealt = blocks(sets, pure, heads)
+    release(pure)
     pairs = block_pairs(dealt, sets)
     discard(sets, heads)
     second = open_blocks(pairs, dealt, docs)
@@ -307,7 +309,8 @@ def join(docs: DataFrame) -> DataFrame:
     ends = members.select("doc_id", "sig", "head").join(whole.withColumnRenamed("id", "head"), "head", "left")
     named_out = ends.select("doc_id", "sig", F.coalesce("component", "head").alias("component_id"))
     out = signed.select("doc_id", F.col("n").alias("n_shingles"), "sig").join(named_out, ["doc_id", "sig"], "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    discard(first, second)
+    return reading(out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")), signed, members, *whole._held)
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
@@ -316,9 +319,10 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     It is the row with the least doc_id; of several rows with that id, the one whose columns' hash is least. Rows
     without a doc_id stay, as does each text without words.
     """
-    found = join(docs.select("doc_id", "text")).filter("n_shingles > 0 AND doc_id IS NOT NULL")
-    found = found.groupBy("doc_id").agg((F.min("component_id") < F.col("doc_id")).alias("copy"), F.count("*").alias("rows"))
+    joined = join(docs.select("doc_id", "text"))
+    found = joined.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("doc_id").agg((F.min("component_id") < F.col("doc_id")).alias("copy"), F.count("*").alias("rows"))
     found = materialize(found.filter("copy OR rows > 1"), "near-copies")
+    release(joined)
     key, names = fresh(docs, "key"), docs.columns
     gone, several = (found.filter(x).select(F.col("doc_id").alias(key)) for x in ("copy", "NOT copy"))
     keyed = docs.withColumn(key, F.col("doc_id").cast("long")).join(gone, key, "left_anti")
@@ -327,7 +331,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
     row, mark = fresh(docs, "row"), fresh(docs, "mark")
     one = repeats.filter(worded).select(key, F.struct(*names).alias(row), F.xxhash64(*names).alias(mark)).groupBy(key).agg(F.min_by(row, mark).alias(row))
-    return lone.unionByName(repeats.filter(~worded).select(names)).unionByName(one.select(f"{row}.*"))
+    return reading(lone.unionByName(repeats.filter(~worded).select(names)).unionByName(one.select(f"{row}.*")), found)
 
 
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

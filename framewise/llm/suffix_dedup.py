@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import Block, answered, packed
-from .common import mapped, materialize, table, trimmed
+from .common import mapped, materialize, reading, table, trimmed
 
 #: Bytes of a string that is removed where it repeats, and of the rolling hash's window.
 LENGTH, TRIGGER = 50, 24
@@ -478,7 +478,7 @@ def cut_blocks(docs: DataFrame) -> tuple[DataFrame, int, int]:
     found = repeats(blocks, states, at, buckets)
     columns = ("bucket", "states", "least", "entry", "range", "origin")
     answers = states.unionByName(found, allowMissingColumns=True).select("block", *columns)
-    return answered(blocks.select("block", "data"), answers), at, buckets
+    return reading(answered(blocks.select("block", "data"), answers), blocks, states, found), at, buckets
 
 
 def _opened(batches: Iterator[pa.RecordBatch], at: int, buckets: int) -> Iterator[tuple[Block, Cut]]:
@@ -499,7 +499,7 @@ def report(docs: DataFrame) -> DataFrame:
             ids = block.rows.column(0).combine_chunks()
             yield pa.RecordBatch.from_arrays([ids, pa.array(np.diff(block.offsets)), pa.array(cut.removed), pa.array(cut.spans), pa.array(digests, pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return mapped(blocks, judge, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return reading(mapped(blocks, judge, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string"), *blocks._held)
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
@@ -514,7 +514,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
             columns = [pa.array(texts, held.type) if i == at else block.rows.column(i).combine_chunks() for i in range(block.rows.num_columns)]
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return mapped(blocks, keep, schema)
+    return reading(mapped(blocks, keep, schema), *blocks._held)
 
 
 def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

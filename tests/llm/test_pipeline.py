@@ -114,3 +114,24 @@ def test_empty_tables_repeated_ids_and_clashing_names(spark, tmp_path):
         assert all(r[c] == "v" for r in docs.collect() for c in clash)
         out = corpus_pipeline.run(spark, path).collect()
         assert sorted(str(r.doc_id) for r in out) == (["1", "3", "3", "4", "None"] if held else [])
+
+
+def test_stages_leave_only_their_tables(spark, tmp_path):
+    """After a run of the middle stages the shared folder holds what the last result reads, and no more."""
+    import os
+
+    from framewise.llm import common
+
+    root = common.scratch_root(spark).removeprefix("file://")
+    before = set(os.listdir(root))
+    docs = spark.createDataFrame([(i, f"one two three four five six {i % 3} " * 9) for i in range(12)], "doc_id long, text string").repartition(2)
+    found = corpus_pipeline.one_of_each_group(spark, docs, "")
+    kept = common.materialize(found, "kept")
+    common.release(found)
+    assert {n.rsplit("-", 1)[0] for n in set(os.listdir(root)) - before} == {"kept"}
+    found = corpus_pipeline.without_repeats(spark, kept, "")
+    last = common.materialize(found, "last")
+    common.release(found)
+    common.discard(kept)
+    assert {n.rsplit("-", 1)[0] for n in set(os.listdir(root)) - before} == {"last"}
+    assert last.count() == 3
