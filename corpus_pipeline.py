@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from framewise.llm import bpe, decontamination, jaccard_join, quality_classifier, suffix_dedup
-from framewise.llm.common import discard, materialize, table
+from framewise.llm.common import discard, materialize, release, table
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,9 +55,11 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each one's result written and read again."""
     docs, before = table(spark, sf_dir, "documents"), None
     for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        found = stage(spark, docs, sf_dir)
+        docs = found
         if k < len(STAGES) - 1:
-            docs = materialize(docs, f"stage-{k}")
+            docs = materialize(found, f"stage-{k}")
+            release(found)
             if before is not None:
                 discard(before)
             before = docs
