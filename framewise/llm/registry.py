@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontamination, jaccard_join, quality_classifier, quality_rules, suffix_dedup, token_counts, toxicity, url_filters, warc
+from . import bpe, decontamination, jaccard_join, quality_classifier, quality_rules, sentencepiece_bpe, suffix_dedup, token_counts, toxicity, url_filters, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_quality_rules": quality_rules.op8_quality_rules,
     "op9_bpe": bpe.op9_bpe,
     "op10_quality_classifier": quality_classifier.op10_quality_classifier,
+    "op11_sentencepiece": sentencepiece_bpe.op11_sentencepiece,
 }
 
 ORACLE_SQL = {
