@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontamination, jaccard_join, quality_classifier, quality_rules, sentencepiece_bpe, suffix_dedup, token_counts, toxicity, url_filters, warc
+from . import bpe, decontamination, jaccard_join, merkle, quality_classifier, quality_rules, sentencepiece_bpe, suffix_dedup, token_counts, toxicity, url_filters, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_bpe": bpe.op9_bpe,
     "op10_quality_classifier": quality_classifier.op10_quality_classifier,
     "op11_sentencepiece": sentencepiece_bpe.op11_sentencepiece,
+    "op12_merkle": merkle.op12_merkle,
 }
 
 ORACLE_SQL = {
@@ -23,4 +24,5 @@ ORACLE_SQL = {
     "op3_ngram_jaccard_join": jaccard_join.SQL,
     "op5_warc": warc.SQL,
     "op6_url_filters": url_filters.SQL,
+    "op12_merkle": merkle.SQL,
 }
