@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontamination, jaccard_join, merkle, quality_classifier, quality_rules, sentencepiece_bpe, suffix_dedup, token_counts, toxicity, url_filters, warc
+from . import bpe, decontamination, jaccard_join, merkle, quality_classifier, quality_rules, sentencepiece_bpe, suffix_dedup, token_counts, toxicity, url_filters, warc, whitening
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_quality_classifier": quality_classifier.op10_quality_classifier,
     "op11_sentencepiece": sentencepiece_bpe.op11_sentencepiece,
     "op12_merkle": merkle.op12_merkle,
+    "op13_whitening": whitening.op13_whitening,
 }
 
 ORACLE_SQL = {
