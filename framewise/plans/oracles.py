@@ -286,6 +286,19 @@ SELECT tenant, n_active, round(minutes, 6) AS minutes, NOT fresh OR (n_active <=
 t(term) AS (VALUES ('anvli'), ('widgte'), ('glzmo'), ('boltt'), ('plaet'), ('smalll'), ('zz'), ('xxxxxx'), ('ring'), ('hott'), ('gera'), ('widdgett'), ('gizzmoo'), ('annvill'), ('pllatee'), ('wigdtee'), ('wxdgexy'))
 SELECT term, key, CAST(damerau_levenshtein(term, key) AS BIGINT) AS d FROM t, k WHERE length(term) >= 4 AND damerau_levenshtein(term, key) <= CASE WHEN length(term) <= 6 THEN 1 ELSE 2 END
 QUALIFY row_number() OVER (PARTITION BY term ORDER BY d, key) = 1""",
+    # swaps may overlap with no other edit: what lies between the common ends must not be two characters against the same two
+    # in turn with one between them (the built-in distance counts two there, the other one three); it also counts bytes, so
+    # letters beyond ASCII first become capitals, which lower-cased words do not have
+    "j8_fuzzy_words": r"""WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+')) AS w FROM benchmark), x AS (SELECT w, w[1] || w[3] || w[2] || w[4:] AS s FROM w WHERE length(w) >= 4),
+t AS (SELECT DISTINCT unnest(CASE WHEN length(w) >= 8 THEN [s, s[:5] || w[7:]] ELSE [s] END) AS term FROM x),
+k AS (SELECT DISTINCT unnest(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+')) AS key FROM documents),
+l AS (SELECT term, CASE WHEN length(term) <= 6 THEN 1 ELSE 2 END AS most, unnest(range(length(term) - most, length(term) + most + 1)) AS n FROM t WHERE length(term) >= 4),
+p AS (SELECT term, key, damerau_levenshtein(tt, kk) AS d, most FROM (SELECT *, translate(term, '{0}', '{1}') AS tt FROM l) JOIN (SELECT key, translate(key, '{0}', '{1}') AS kk FROM k) ON length(key) = n WHERE damerau_levenshtein(tt, kk) <= most),
+e AS (SELECT *, len(list_filter(range(1, least(length(term), length(key)) + 1), lambda i: term[:i] = key[:i])) AS a FROM p),
+f AS (SELECT *, len(list_filter(range(1, least(length(term), length(key)) - a + 1), lambda i: right(term, i) = right(key, i))) AS z FROM e),
+g AS (SELECT *, term[a + 1:length(term) - z] AS u, key[a + 1:length(key) - z] AS v FROM f)
+SELECT term, key, CAST(d AS BIGINT) AS d FROM g WHERE d < 2 OR NOT (length(u) + length(v) = 5 AND u[1] = v[-1] AND u[-1] = v[1])
+QUALIFY row_number() OVER (PARTITION BY term ORDER BY d, key) = 1""".replace("{0}", "àáâäçèéêëìíîïñòóôöùúûüß").replace("{1}", "ABCDEFGHIJKLMNOPQRSTUVW"),
     # names as typed (gizmo), then runs of three words, two and one that are a key or near one
     "fn4_query_entities": f"""WITH k AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS key FROM part), w AS (SELECT ['show', 'the', 'widgte', 'anvli', 'and', 'gizmo'] AS w),
 g AS (SELECT 3 - n AS a, i, array_to_string(w[i:i + n - 1], ' ') AS term FROM w, range(1, 4) x(n), range(1, 7) y(i) WHERE i + n - 1 <= 6),

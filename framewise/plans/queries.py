@@ -199,6 +199,20 @@ def j8_fuzzy(spark, d):
     return entities.corrected(terms, _part_keys(spark, d)).select("term", "key", F.col("d").cast("long").alias("d"))
 
 
+def _mistyped(spark, d):
+    """Words of the benchmark with two neighbours swapped, the longer ones with a later character missing too."""
+    words = A.table(spark, d, "benchmark").select(F.explode(T.words(F.col("text"))).alias("w")).filter(F.length("w") >= 4).distinct()
+    swapped = F.concat(F.substring("w", 1, 1), F.substring("w", 3, 1), F.substring("w", 2, 1), F.expr("substring(w, 4)"))
+    shorter = F.concat(F.substring(swapped, 1, 5), F.expr("substring(w, 7)"))
+    return words.select(F.explode(F.when(F.length("w") >= 8, F.array(swapped, shorter)).otherwise(F.array(swapped))).alias("term")).distinct()
+
+
+def j8_fuzzy_words(spark, d):
+    """Mistyped words looked up among all words of the documents; of equally near ones the first in order."""
+    keys = A.table(spark, d, "documents").select(F.explode(T.words(F.col("text"))).alias("key")).distinct().withColumn("pos", F.col("key"))
+    return entities.corrected(_mistyped(spark, d), keys).select("term", "key", F.col("d").cast("long").alias("d"))
+
+
 def fn4_query_entities(spark, d):
     found = entities.query_entities("Show the widgte anvli and Gizmo", _part_keys(spark, d), lambda ts: [["Gizmo"] if "Gizmo" in t else [] for t in ts])
     return spark.createDataFrame(list(enumerate(found)), "pos int, entity string")
@@ -581,7 +595,7 @@ QUERIES = {
         fn12_footage_key, fn14_safe_extension, fn16_timecode, fn18_step_number, fn19_names, win6_ngrams, win7_bigrams, win8_sentences,
         agg2_moments, agg4_bm25_stats, agg5_vector_sum, agg6_centroid, agg7_bm25_norm, agg8_vocab, agg9_merged_vocab, agg11_kmeans,
         agg12_medoid, agg13_quota, agg16_summaries, j1_transcript_window, j1_dialogue_window, j2_entity_window, j4_propagate, j6_bm25,
-        j7_entity_score, j8_fuzzy, j9_owner, j10_sync_diff, j11_apply_sync, j12_knn, j12_knn_masked, j16_stranded, j17_ocr_codes,
+        j7_entity_score, j8_fuzzy, j8_fuzzy_words, j9_owner, j10_sync_diff, j11_apply_sync, j12_knn, j12_knn_masked, j16_stranded, j17_ocr_codes,
         prj3_owned_results, set3_removed, flt2_valid_ids, flt4_hallucination, flt7_emotions, flt12_ner_input, flt13_prune,
         win2_span_merge, win3_latest_job, win3_live_job, win4_first_owner, win5_debounce, win9_ordinal, win10_split_spans,
         fn3_clean_entities, fn20_prompt, fn23_utc_stamp, flt5_ocr_text, agg14_keyframe, agg15_sharpness, prj1_shot_rows, j3_assembled, prj4_footage,
