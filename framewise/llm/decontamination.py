@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import binary_column, discard, fresh, mapped, materialize, slices, table
+from .common import binary_column, discard, fresh, mapped, materialize, reading, slices, table
 
 #: Words in a window of the benchmark.
 WINDOW = 10
@@ -156,11 +156,15 @@ class ItemAutomaton:
                             found |= ids
 
 
+def n_automata(items: DataFrame, limit: int = MAX_AUTOMATON_BYTES) -> int:
+    total = items.agg(F.coalesce(F.sum(F.length(F.col("text").cast("binary"))), F.lit(0))).first()[0]
+    return max(1, -(-total // limit))
+
+
 def automata(items: DataFrame, window: int = WINDOW, limit: int = MAX_AUTOMATON_BYTES) -> Iterator[tuple[int, int, ItemAutomaton]]:
     """The number of automata over the items, and one after another: each of at most about `limit` bytes of text."""
     items = items.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("binary").alias("text"))
-    total = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    parts = max(1, -(-total // limit))
+    parts = n_automata(items, limit)
     for k in range(parts):
         rows = items.filter(F.pmod(F.xxhash64("text"), F.lit(parts)) == k).collect()
         yield parts, k, ItemAutomaton([(r.item_id, words_of(bytes(r.text) if r.text is not None else None)) for r in rows], window)
@@ -177,39 +181,70 @@ _FOUND = [
 ]
 
 
-def find_hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, keep: tuple[str, ...] = ("doc_id",), limit: int = MAX_AUTOMATON_BYTES) -> DataFrame:
-    """For every document: the kept columns, n_words, hit_runs (begin, end, begin, end ... in words), items.
+def _spans(mask: np.ndarray, runs: list[int] | None) -> np.ndarray:
+    """mask, with the words of runs set too."""
+    for begin, end in zip((runs or [])[::2], (runs or [])[1::2], strict=True):
+        mask[begin:end] = True
+    return mask
 
-    Items that need several automata are looked for in as many scans, so that a worker holds one at a time.
-    """
-    text = F.col("text").alias("_text")
-    rows = docs.select(*keep, *(F.lit(None).cast(f.dataType).alias(f.name) for f in _FOUND), text)
-    schema = T.StructType([*(docs.schema[c] for c in keep), *_FOUND, T.StructField("_text", rows.schema["_text"].dataType)])
-    at = len(keep)
-    for parts, k, automaton in automata(items, window, limit):
-        sent = docs.sparkSession.sparkContext.broadcast(automaton)
-
-        def scan(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+
+def _look(rows: DataFrame, parts: Iterator[tuple[int, int, ItemAutomaton]], every: bool, keep: tuple[str, ...]) -> list[DataFrame]:
+    """For each automaton: the kept columns, n_words, hit_runs and items of the rows (kept columns and _text) that it finds
+    something in; with `every`, of all rows from the first one. Several are written: a worker then holds one automaton at a time."""
+    schema, at, out = T.StructType([*(rows.schema[c] for c in keep), *_FOUND]), len(keep), []
+    for n, k, automaton in parts:
+        sent = rows.sparkSession.sparkContext.broadcast(automaton)
+
+        def scan(batches: Iterator[pa.RecordBatch], sent=sent, whole=every and k == 0) -> Iterator[pa.RecordBatch]:
             for batch in slices(batches, 500):
                 counts, runs, lists = [], [], []
-                for own, known, before in zip(binary_column(batch, "_text"), batch.column(at + 1).to_pylist(), batch.column(at + 2).to_pylist(), strict=True):
-                    words = words_of(own)
-                    mask, found = np.zeros(len(words), bool), set(before or ())
-                    for begin, end in zip((known or [])[::2], (known or [])[1::2], strict=True):
-                        mask[begin:end] = True
+                for text in binary_column(batch, "_text"):
+                    words = words_of(text)
+                    mask, found = np.zeros(len(words), bool), set()
                     sent.value.hits(words, mask, found)
                     counts.append(len(words))
                     runs.append(_runs(mask))
                     lists.append(sorted(x for x in found if x is not None))
-                columns = [batch.column(i) for i in range(at)]
-                columns += [pa.array(counts, pa.int64()), pa.array(runs, pa.list_(pa.int64())), pa.array(lists, pa.list_(pa.string())), batch.column(at + 3)]
-                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+                columns = [*batch.columns[:at], pa.array(counts, pa.int64()), pa.array(runs, pa.list_(pa.int64())), pa.array(lists, pa.list_(pa.string()))]
+                found = pa.RecordBatch.from_arrays(columns, names=schema.names)
+                yield found if whole else found.filter(pa.array([bool(r) for r in runs], pa.bool_()))
 
-        rows = mapped(rows, scan, schema)
-        if k < parts - 1:
-            rows = materialize(rows, "hits")
+        hits = mapped(rows.select(*keep, "_text"), scan, schema)
+        if n > 1:
+            hits = materialize(hits, "hits")
             sent.unpersist()
-    return rows.drop("_text")
+        out.append(hits)
+    return out
+
+
+def _merged(hits: list[DataFrame]) -> DataFrame:
+    """_id, n_words, hit_runs and items over all automata; runs of one row may overlap."""
+    rows = hits[0]
+    for more in hits[1:]:
+        rows = rows.unionByName(more)
+    lists = lambda c: F.flatten(F.collect_list(c))  # noqa: E731  at most a row for each automaton
+    return rows.groupBy("_id").agg(F.max("n_words").alias("n_words"), lists("hit_runs").alias("hit_runs"), F.array_sort(F.array_distinct(lists("items"))).alias("items"))
+
+
+def find_hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, keep: tuple[str, ...] = ("doc_id",), limit: int = MAX_AUTOMATON_BYTES) -> DataFrame:
+    """For every document: the kept columns, n_words, hit_runs (begin, end, begin, end ... in words), items.
+
+    Items that need several automata are looked for in as many scans of texts that are written once, with an id; each scan
+    writes only what it finds.
+    """
+    if n_automata(items, limit) == 1:
+        return _look(docs.select(*keep, F.col("text").alias("_text")), automata(items, window, limit), True, keep)[0]
+    base = materialize(docs.select(*keep, F.col("text").alias("_text"), F.monotonically_increasing_id().alias("_id")), "texts")
+    hits = _look(base, automata(items, window, limit), True, ("_id",))
+    found = _merged(hits)
+
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            runs = [_runs(_spans(np.zeros(n, bool), r)) if r else [] for n, r in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            yield batch.set_column(2, "hit_runs", pa.array(runs, pa.list_(pa.int64())))
+
+    out = base.drop("_text").join(mapped(found, tidy, found.schema), "_id").select(*keep, "n_words", "hit_runs", "items")
+    return reading(out, base, *hits)
 
 
 def report(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -217,7 +252,7 @@ def report(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame
     found = find_hits(docs, items, window)
     # runs alternate begin and end, so the hit words are the sum with alternating signs
     n_hit = F.expr("aggregate(transform(hit_runs, (x, i) -> if(i % 2 = 1, x, -x)), 0L, (a, x) -> a + x)")
-    return found.select(
+    out = found.select(
         "doc_id",
         "n_words",
         n_hit.alias("n_hit"),
@@ -225,6 +260,7 @@ def report(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame
         F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"),
         (F.size("hit_runs") > 0).alias("contaminated"),
     )
+    return reading(out, *getattr(found, "_held", ()))
 
 
 def _cut(text: bytes, mask: np.ndarray) -> bytes:
@@ -245,50 +281,80 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_c
     """The documents' own columns, texts without the spans that benchmark windows cover.
 
     A document of which more than max_coverage is covered goes as a whole; documents without a hit stay as
-    they are, to the byte. After a cut the rest is scanned again, until no window is left. Items that need several
-    automata are cut in as many scans, again and again until none of them finds a window.
+    they are, to the byte. After a cut the rest is scanned again, until no window is left. All automata look at a text
+    before it is cut, so the result does not hang on how many there are.
     """
-    at, names = docs.columns.index("text"), [fresh(docs, n) for n in ("n", "lost", "cuts")]
-    rows = docs.withColumns({n: F.lit(0).cast("long") for n in names})
-    schema = T.StructType([*docs.schema.fields, *(T.StructField(n, T.LongType()) for n in names)])
-    again, before = True, None
-    while again:
-        for parts, k, automaton in automata(items, window, limit):
-            sent = docs.sparkSession.sparkContext.broadcast(automaton)
-
-            def clean(batches: Iterator[pa.RecordBatch], sent=sent, first=k == 0) -> Iterator[pa.RecordBatch]:
-                for batch in slices(batches, 500):
-                    texts, state = [], []
-                    for text, n, lost, cuts in zip(binary_column(batch, "text"), *(c.to_pylist() for c in batch.columns[-3:]), strict=True):
-                        cuts = 0 if first else cuts
-                        while text:
-                            words = words_of(text)
-                            n = n or len(words)
-                            mask = np.zeros(len(words), bool)
-                            sent.value.hits(words, mask, set())
-                            if not mask.any():
-                                break
-                            lost, cuts = lost + int(mask.sum()), cuts + 1
-                            if lost > max_coverage * n:
-                                break
-                            text = _cut(text, mask)
-                        texts.append(text)
-                        state.append((n, lost, cuts))
-                    kind = batch.schema.field(at).type
-                    columns = [pa.array(texts, pa.large_binary()).cast(pa.large_string()).cast(kind) if i == at else c for i, c in enumerate(batch.columns[:-3])]
-                    columns += [pa.array(c, pa.int64()) for c in (zip(*state, strict=True) if state else ((), (), ()))]
-                    stay = pa.array([lost <= max_coverage * n for n, lost, _ in state], pa.bool_())
-                    yield pa.RecordBatch.from_arrays(columns, names=schema.names).filter(stay)
-
-            rows = mapped(rows, clean, schema)
-            if parts > 1:
-                rows = materialize(rows, "cleaned")
-                sent.unpersist()
-                if before is not None:
-                    discard(before)
-                before = rows
-        again = parts > 1 and bool(rows.agg(F.max(names[2])).first()[0])
-    return rows.select(*docs.columns)
+    if n_automata(items, limit) > 1:
+        return _decontaminate_in_rounds(docs, items, window, max_coverage, limit)
+    at = docs.columns.index("text")
+    sent = docs.sparkSession.sparkContext.broadcast(next(automata(items, window, limit))[2])
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 500):
+            texts, stay = [], []
+            for text in binary_column(batch, "text"):
+                n = lost = 0
+                while text:
+                    words = words_of(text)
+                    n = n or len(words)
+                    mask = np.zeros(len(words), bool)
+                    sent.value.hits(words, mask, set())
+                    lost += int(mask.sum())
+                    if not mask.any() or lost > max_coverage * n:
+                        break
+                    text = _cut(text, mask)
+                texts.append(text)
+                stay.append(lost <= max_coverage * n)
+            yield _with_texts(batch, at, texts).filter(pa.array(stay, pa.bool_()))
+
+    return mapped(docs, clean, docs.schema)
+
+
+def _with_texts(batch: pa.RecordBatch, at: int, texts: list[bytes | None]) -> pa.RecordBatch:
+    field = batch.schema.field(at)
+    return batch.set_column(at, field, pa.array(texts, pa.large_binary()).cast(pa.large_string()).cast(field.type))
+
+
+def _decontaminate_in_rounds(docs: DataFrame, items: DataFrame, window: int, max_coverage: float, limit: int) -> DataFrame:
+    """decontaminate() for items that need several automata. Texts are written once, with an id; each round, every automaton
+    scans what the round before has cut (at first all), the runs found are put together, and only these texts are cut."""
+    name, round_, gone = (fresh(docs, n) for n in ("row_id", "round", "gone"))
+    base = materialize(docs.withColumn(name, F.monotonically_increasing_id()), "texts")
+    live = base.select(F.col(name).alias("_id"), F.col("text").alias("_text"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("lost"))
+    schema = T.StructType([*live.schema.fields, T.StructField("gone", T.BooleanType())])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 500):
+            texts, state = [], []
+            for text, n, lost, words, runs in zip(binary_column(batch, "_text"), *(batch.column(c).to_pylist() for c in ("n", "lost", "n_words", "hit_runs")), strict=True):
+                mask = _spans(np.zeros(words, bool), runs)
+                n, lost = n or words, lost + int(mask.sum())
+                state.append((n, lost, lost > max_coverage * n))
+                texts.append(text if state[-1][2] else _cut(text, mask))
+            n, lost, over = zip(*state, strict=True) if state else ((), (), ())
+            text = pa.array(texts, pa.large_binary()).cast(pa.large_string()).cast(batch.schema.field("_text").type)
+            yield pa.RecordBatch.from_arrays([batch.column("_id"), text, pa.array(n, pa.int64()), pa.array(lost, pa.int64()), pa.array(over, pa.bool_())], names=schema.names)
+
+    rounds: list[DataFrame] = []
+    while True:
+        hits = _look(live, automata(items, window, limit), False, ("_id",))
+        done = materialize(mapped(live.join(_merged(hits), "_id"), cut, schema), "cut")
+        discard(*hits)
+        if not done.head(1):
+            discard(done)
+            break
+        rounds.append(done)
+        live = done.filter("NOT gone").drop("gone")
+    if not rounds:
+        return reading(base.drop(name), base)
+    cuts = None
+    for k, done in enumerate(rounds):  # as many as a text takes until no window is left
+        own = done.select(F.col("_id").alias(name), F.lit(k).alias(round_), F.col("_text"), F.col("gone").alias(gone))
+        cuts = own if cuts is None else cuts.unionByName(own)
+    last = cuts.groupBy(name).agg(F.max_by(F.struct(F.col("_text").alias("t"), F.col(gone).alias("g")), round_).alias(round_))
+    out = base.join(last, name, "left").filter(F.col(round_).isNull() | ~F.col(f"{round_}.g"))
+    text = F.when(F.col(round_).isNotNull(), F.col(f"{round_}.t")).otherwise(F.col("text"))
+    return reading(out.withColumn("text", text).select(*docs.columns), base, *rounds)
 
 
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

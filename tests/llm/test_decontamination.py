@@ -77,7 +77,20 @@ def test_several_automata_clean_the_same(spark):
     for r in out.values():
         w = words(r.text)
         assert not any(tuple(w[i : i + 10]) in grams for i in range(len(w)))
-    assert set(out) == {r.doc_id for r in dec.decontaminate(d, b).collect()}
+    assert sorted(map(tuple, out.values())) == sorted(map(tuple, dec.decontaminate(d, b).collect()))
+
+
+def test_overlapping_items_clean_the_same(spark):
+    """Two items that share words: whatever the number of automata, all that either covers goes at once."""
+    w = [f"w{i}" for i in range(20)]
+    items = [(1, " ".join(w[:12])), (2, " ".join(w[8:]))]
+    docs = [(1, "a b c d e " * 10 + " ".join(w) + " f g"), (1, "a b c d e " * 10 + " ".join(w) + " f g"), (None, " ".join(w)), (2, "clean, as it is"), (3, None)]
+    d, b = spark.createDataFrame([(*r, 1, "x") for r in docs], "doc_id long, text string, round int, row_id string"), spark.createDataFrame(items, "item_id long, text string")
+    assert len(list(dec.automata(b, limit=40))) > 1
+    one, several = (sorted(map(tuple, dec.decontaminate(d, b, limit=n).collect()), key=repr) for n in (1 << 20, 40))
+    assert one == several and [r for r in one if r[0] == 1][0][1].split() == ("a b c d e " * 10 + "f g").split()
+    assert [r[0] for r in one].count(None) == 0 and len(one) == 4
+    assert dec.decontaminate(d.limit(0), b, limit=40).collect() == []
 
 
 def test_a_text_of_megabytes(spark):
