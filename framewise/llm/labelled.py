@@ -14,8 +14,8 @@ def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(modulus)) == remainder, F.lit(False))
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, remainder: int, rows: int = ROWS_PER_CLASS) -> tuple[DataFrame, dict[int, int]]:
-    """doc_id, text and label of up to `rows` documents of each class, fixed by a hash, and each class's size.
+def training_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, remainder: int, rows: int = ROWS_PER_CLASS, also: tuple[Column, ...] = ()) -> tuple[DataFrame, dict[int, int]]:
+    """doc_id, text, label, and `also`, of up to `rows` documents of each class, fixed by a hash, and each class's size.
 
     A document that is labelled twice has the greater label; labels that are null or not 0 or 1 are ignored.
     """
@@ -27,4 +27,4 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int
     for value in (0, 1):
         part = usable.filter(F.col("label") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
         chosen = part if chosen is None else chosen.union(part)
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), sizes  # at most 2 * rows ids
+    return docs.select("doc_id", "text", *also).join(F.broadcast(chosen), "doc_id"), sizes  # at most 2 * rows ids

@@ -1,23 +1,27 @@
-"""Toxicity by compression distance: one zstandard dictionary trained on toxic text, one on ordinary text.
+"""Toxicity by compression distance: zstandard dictionaries trained on toxic text against ones trained on ordinary text.
 
-A window of a text is compressed with the ordinary dictionary, and with both together. Its margin is what the toxic
-dictionary saves, in bytes or in hundredths of the window's length; a margin at or over a calibrated threshold makes it
-a toxic window. The score is the calibrated share of toxic documents among training documents with a like rate of toxic
-windows.
+A window of a text is compressed with the ordinary dictionary, and with the toxic one, which is the ordinary one and then
+what zstandard trained on toxic text. Its margin is how many bytes the latter saves. Windows with a margin at or over a
+calibrated threshold are toxic, and a text's rate of toxic windows is held against a calibrated limit. What counts as ordinary
+or toxic differs from language to language, so labelled texts are grouped by language for training: each language has toxic
+dictionaries, a threshold and a limit of its own. Scoring knows no languages: every text is held against all dictionaries, and
+the greatest rate over its limit decides. The score is the calibrated share of toxic documents among those with a like excess.
 
-Both dictionaries are trained by zstandard on the whole texts of one half of the labelled sample. Toxic documents are
-mostly ordinary text, so the toxic dictionary holds ordinary strings too: in some rounds, the windows of ordinary texts
-that it would take for toxic are added to what the ordinary dictionary holds. Several sizes of the toxic dictionary and
-of the windows, and all thresholds, are tried on the other half; the ones that tell its documents apart best are kept.
+Toxic documents are mostly ordinary text. So the toxic dictionaries are trained on those passages alone whose strings occur in
+significantly more toxic than ordinary documents (log-likelihood ratio). Dictionaries come from one half of the
+labelled sample. Several sizes, string lengths, significances, windows, thresholds and limits are tried on the other half; of each
+language the ones that catch most of its toxic documents are kept, a share of false alarms counting FALSE_COST times as much.
 
 Defined results: a null or empty text has no windows and gets the score of a zero rate; with no label of one class, or
 too little text to train on, every score is the training share of label 1 (0 without labels); a null doc_id is not held
-out; rows that share a doc_id are scored each on its own; other columns are ignored.
+out; rows that share a doc_id are scored each on its own; languages with few toxic training documents, or none named, are
+grouped together; documents without a column lang are one group; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+import math
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,20 +36,21 @@ from .labelled import ROWS_PER_CLASS, held_out, training_sample
 MODULUS, REMAINDER = 3, 1
 #: A document is predicted toxic from this score on.
 THRESHOLD = 0.7
-#: Bytes of the dictionaries (toxic: those tried), and of the training samples that texts are dealt into.
-TOXIC_BYTES, ORDINARY_BYTES, SAMPLE_BYTES = (1_024, 2_048, 3_072, 4_096), 8_192, 200
+#: Bytes of a language's dictionaries (ordinary: those tried), and of the samples that ordinary texts are dealt into.
+TOXIC_BYTES, ORDINARY_BYTES, SAMPLE_BYTES = 512, (8_192, 16_384), 200
 #: Length of zstandard's training segments, and of the strings whose frequency it counts.
 SEGMENT, STRING = 16, 6
-#: Rounds in which ordinary windows with a margin go to the ordinary dictionary, bytes of them a round, least margin.
-ROUNDS, ROUND_BYTES, FALSE_MARGIN = 3, 16_384, 3
-#: Words of a window that are tried.
-WINDOW_WORDS = (1, 2, 4)
-#: Thresholds that are tried: bytes saved, or bytes saved in 100 of the window; and the bins of toxic windows per 1,000.
-BYTES, SHARES = tuple(range(2, 10)), tuple(range(10, 101, 10))
-RATES = (0.0, 1.0, 2.5, 5.0, 10.0, 20.0, 40.0, 80.0)
-#: Shortest match of the compressors; a window that shares no such string with the toxic dictionary has no margin.
-MATCH = 4
-CACHE_ENTRIES, CHUNK_BYTES = 300_000, 256
+#: Lengths of the strings that are told apart by their documents, the least log-likelihood ratios, and fewest toxic documents.
+CONTRAST_STRINGS, SIGNIFICANCE, LEAST_DOCUMENTS = (6, 7), (15.0, 25.0), 3
+#: Toxic training documents from which on a language is a group of its own, and words of a window.
+LEAST_TOXIC, WINDOW_WORDS = 8, (1, 2)
+#: Thresholds (bytes saved) and limits (toxic windows in 1,000) that are tried; excesses (rate over limit) that bins begin after.
+BYTES, LIMITS, EXCESSES = tuple(range(2, 9)), (0.5, 3.0, 6.0, 12.0, 25.0, 50.0), (0.0, 0.25, 0.5, 1.0, 2.0, 4.0, 8.0)
+#: What a share of false alarms costs against a share of toxic documents caught: in the same language, and in all others.
+FALSE_COST, OTHER_COST = 8.0, 4.0
+#: Shortest match of the compressors; a window that shares no string of SHARED bytes with what toxic text added has no margin.
+MATCH, SHARED = 4, 5
+CACHE_ENTRIES, CHUNK_BYTES = 200_000, 256
 #: Bytes before and after each window, and at the end of all dictionaries: a block that saves too little would be
 #: stored plain, and its last bytes are never matched, so the margin shows only between these.
 HEAD, TAIL = bytes(range(1, 32)), bytes(range(128, 144))
@@ -61,7 +66,7 @@ def windows(text: bytes | None, words: int = 1) -> list[bytes]:
 
 
 class Margins:
-    """Margins of windows under two dictionaries; those of recent windows are kept."""
+    """Margins of windows under an ordinary dictionary and what toxic text adds to it; those of recent windows are kept."""
 
     def __init__(self, toxic: bytes, ordinary: bytes):
         def compressor(content: bytes) -> zstandard.ZstdCompressor:
@@ -71,21 +76,20 @@ class Margins:
             trained.precompute_compress(compression_params=options)
             return zstandard.ZstdCompressor(dict_data=trained, compression_params=options)
 
-        self.both, self.ordinary = compressor(ordinary + toxic), compressor(ordinary)
-        self.strings = {toxic[i : i + MATCH] for i in range(len(toxic) - MATCH + 1)}
-        self.kept: dict[bytes, tuple[int, int]] = {}
+        self.toxic, self.ordinary = compressor(ordinary + toxic), compressor(ordinary)
+        self.strings = {toxic[i : i + SHARED] for i in range(len(toxic) - SHARED + 1)}
+        self.kept: dict[bytes, int] = {}
 
-    def margin(self, window: bytes) -> tuple[int, int]:
-        """Bytes saved, and bytes saved in 100 of the window."""
+    def margin(self, window: bytes) -> int:
+        """Bytes saved."""
         padded = b" " + window + b" "
         strings = self.strings
-        if not any(padded[i : i + MATCH] in strings for i in range(len(padded) - MATCH + 1)):
-            return 0, 0
+        if not any(padded[i : i + SHARED] in strings for i in range(len(padded) - SHARED + 1)):
+            return 0
         framed = HEAD + padded + TAIL
-        saved = max(0, len(self.ordinary.compress(framed)) - len(self.both.compress(framed)))
-        return saved, 100 * saved // len(padded)
+        return max(0, len(self.ordinary.compress(framed)) - len(self.toxic.compress(framed)))
 
-    def of(self, found: list[list[bytes]]) -> Iterator[list[tuple[int, int]]]:
+    def of(self, found: list[list[bytes]]) -> Iterator[list[int]]:
         """The margins of the windows of each text of a batch."""
         used = {w for ws in found for w in ws}
         missing = used - self.kept.keys()
@@ -97,144 +101,192 @@ class Margins:
             yield list(map(get, ws))
 
 
-def train(texts: list[bytes], size: int) -> bytes:
-    """A zstandard dictionary of the texts; b"" where they are too few to train on."""
-    samples = [t[i : i + SAMPLE_BYTES] for t in texts for i in range(0, len(t), SAMPLE_BYTES)]
-    total = sum(map(len, samples))
+def train(samples: list[bytes], size: int) -> bytes:
+    """A zstandard dictionary of the samples; b"" where they are too few to train on."""
     try:
-        return zstandard.train_dictionary(max(256, min(size, total // 2)), samples, k=SEGMENT, d=STRING).as_bytes()
+        return zstandard.train_dictionary(max(256, min(size, sum(map(len, samples)) // 2)), samples, k=SEGMENT, d=STRING).as_bytes()
     except (zstandard.ZstdError, ValueError):
         return b""
 
 
-def learn(toxic_texts: list[bytes], ordinary_texts: list[bytes], size: int, words: int) -> tuple[bytes, bytes]:
-    """The dictionaries for one size and one length of windows; the toxic one is empty where too few texts are given."""
-    toxic, ordinary = (train([t.translate(_LOWER) for t in ts], n) for ts, n in ((toxic_texts, size), (ordinary_texts, ORDINARY_BYTES)))
-    counts = Counter(w for t in ordinary_texts for w in windows(t, words))
-    for _ in range(ROUNDS if toxic else 0):
-        margins = Margins(toxic, ordinary)
-        false = sorted(((-n * saved, w) for w, n in counts.items() if (saved := margins.margin(w)[0]) >= FALSE_MARGIN))
-        added, held = [], 0
-        for _, w in false:
-            if held >= ROUND_BYTES:
-                break
-            added.append(b" " + w + b" ")
-            held += len(added[-1])
-        ordinary = b"".join(added) + ordinary
-    return toxic, ordinary
+def likelihood_ratio(toxic: int, toxics: int, ordinary: int, ordinaries: int) -> float:
+    """How surely (G squared) a string's share of the toxic documents is above that of the ordinary ones; 0 where it is not."""
+    if toxic * ordinaries <= ordinary * toxics:
+        return 0.0
+    p = (toxic + ordinary) / (toxics + ordinaries)
 
+    def fit_(k: int, n: int) -> float:
+        return (k * math.log(k / (n * p)) if k else 0.0) + ((n - k) * math.log((n - k) / (n * (1 - p))) if n - k else 0.0)
 
-class Model:
-    """Two dictionaries, the words of a window, the threshold (unit 0: bytes, 1: hundredths), and each bin's score."""
+    return 2 * (fit_(toxic, toxics) + fit_(ordinary, ordinaries)) if ordinaries and p < 1 else float(toxic)
+
+
+def passages(toxic: list[bytes], ordinary: list[bytes], length: int, least: float) -> list[bytes]:
+    """The runs of toxic texts whose strings of `length` bytes are in significantly more toxic documents than ordinary ones."""
+    plain = lambda t: b" " + b" ".join(t.translate(_LOWER).split()) + b" "
+    held = lambda b: {b[i : i + length] for i in range(len(b) - length + 1)}
+    texts = [plain(t) for t in toxic]
+    in_toxic = Counter(s for t in texts for s in held(t))
+    frequent = {s for s, n in in_toxic.items() if n >= LEAST_DOCUMENTS}
+    in_ordinary = Counter(s for t in ordinary for s in held(plain(t)) & frequent)
+    telling = {s for s in frequent if likelihood_ratio(in_toxic[s], len(texts), in_ordinary[s], len(ordinary)) >= least}
+    out = []
+    for t in texts:
+        i, last = 0, len(t) - length
+        while i <= last:
+            if t[i : i + length] not in telling:
+                i += 1
+                continue
+            j = i
+            while j < last and t[j + 1 : j + 1 + length] in telling:
+                j += 1
+            out.append(t[i : j + length])
+            i = j + length
+    return out
+
+
+def learn_toxic(toxic: list[bytes], ordinary: list[bytes], length: int, least: float) -> bytes:
+    """What zstandard trains on the telling passages; the distinct passages themselves where they are too short to train on."""
+    found = passages(toxic, ordinary, length, least)
+    return train(found, TOXIC_BYTES) or b"".join(dict.fromkeys(found))[:TOXIC_BYTES]
+
+
+def learn_ordinary(texts: dict[str, list[bytes]], size: int) -> bytes:
+    """The dictionaries of each group's ordinary texts, one after another."""
+    lower = {g: [t.translate(_LOWER) for t in ts] for g, ts in texts.items()}
+    return b"".join(train([t[i : i + SAMPLE_BYTES] for t in lower[g] for i in range(0, len(t), SAMPLE_BYTES)], size) for g in sorted(lower))
 
-    def __init__(self, toxic: bytes, ordinary: bytes, words: int, unit: int, threshold: int, scores: list[float]):
-        self.toxic, self.ordinary, self.words, self.unit, self.threshold, self.scores = toxic, ordinary, words, unit, threshold, scores
 
+class Part:
+    """One group's toxic dictionary, the ordinary one it adds to, words of a window, threshold and limit."""
 
-_TRIED = tuple((0, x) for x in BYTES) + tuple((1, x) for x in SHARES)
+    def __init__(self, toxic: bytes, ordinary: bytes, words: int, threshold: int = 1, limit: float = 1.0):
+        self.toxic, self.ordinary, self.words, self.threshold, self.limit = toxic, ordinary, words, threshold, limit
 
 
-def rate_bin(hits: np.ndarray, n: np.ndarray) -> np.ndarray:
-    return np.searchsorted(RATES, 1000.0 * hits / np.maximum(n, 1), side="left")
+class Model:
+    """The groups' parts, and the score of each bin of excesses."""
+
+    def __init__(self, parts: list[Part], scores: list[float]):
+        self.parts, self.scores = parts, scores
+
+
+def excess_bin(excess: np.ndarray) -> np.ndarray:
+    return np.searchsorted(EXCESSES, excess, side="left")
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = ROWS_PER_CLASS) -> Model:
     """Learn from the rows that are not held out, at most `rows` of each class."""
     spark = docs.sparkSession
-    chosen, sizes = training_sample(docs, labels, "toxic", MODULUS, REMAINDER, rows)
+    lang = F.coalesce(F.col("lang").cast("string"), F.lit("")) if "lang" in docs.columns else F.lit("")
+    chosen, sizes = training_sample(docs, labels, "toxic", MODULUS, REMAINDER, rows, (lang.alias("_lang"),))
     total = sum(sizes.values())
     prior = sizes.get(1, 0) / total if total else 0.0
-    flat = Model(b"", b"", 1, 0, 1, [prior] * (len(RATES) + 1))
+    flat = Model([], [prior] * (len(EXCESSES) + 1))
     if not sizes.get(0) or not sizes.get(1):
         return flat
-    chosen = materialize(chosen, "labelled")
-    # at most 2 * rows texts; the dictionaries learn from one half, thresholds and scores from the other
-    sample = sorted({(r.doc_id, r.label, r.text or "") for r in chosen.select("doc_id", "label", "text", F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2)).alias("half")).filter("half = 0").drop("half").collect()})
-    texts = {y: [t.encode() for _, label, t in sample if label == y] for y in (0, 1)}
+    chosen = materialize(chosen.withColumn("half", F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2))), "labelled")
+    # at most 2 * rows texts; the dictionaries learn from one half, thresholds, limits and scores from the other
+    sample = sorted({(r.doc_id, r.label, r.text or "", r._lang) for r in chosen.filter("half = 0").collect()})
+    toxic_of = Counter(g for _, label, _, g in sample if label == 1)
+    groups = {g for g, n in toxic_of.items() if n >= LEAST_TOXIC}
+    texts: dict[int, dict[str, list[bytes]]] = {0: defaultdict(list), 1: defaultdict(list)}
+    for _, label, text, g in sample:
+        texts[label][f"={g}" if g in groups else ""].append(text.encode())
     given = spark.sparkContext.broadcast(texts)
 
     def learn_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        toxic, ordinary = given.value[1], given.value[0]
         for batch in batches:
-            for size, words in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                toxic, ordinary = learn(given.value[1], given.value[0], size, words)
-                yield pa.RecordBatch.from_pydict({"size": pa.array([size], pa.int32()), "words": pa.array([words], pa.int32()), "toxic": pa.array([toxic], pa.binary()), "ordinary": pa.array([ordinary], pa.binary())})
-
-    plans = [(size, words) for words in WINDOW_WORDS for size in TOXIC_BYTES]
-    dealt = spark.createDataFrame(plans, "size int, words int").repartition(len(plans))
-    learned = mapped(dealt, learn_all, "size int, words int, toxic binary, ordinary binary").collect()
-    pairs = sorted((r.words, r.size, bytes(r.toxic), bytes(r.ordinary)) for r in learned if r.toxic)
-    if not pairs:
+            for group, length, least in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                content = learn_ordinary(ordinary, length) if group is None else learn_toxic(toxic[group], ordinary.get(group, []), length, least)
+                yield pa.RecordBatch.from_pydict({"group": pa.array([group], pa.string()), "length": pa.array([length], pa.int32()), "least": pa.array([least], pa.float64()), "content": pa.array([content], pa.binary())})
+
+    plans = [(None, size, 0.0) for size in ORDINARY_BYTES] + [(g, n, x) for g in sorted(texts[1]) for n in CONTRAST_STRINGS for x in SIGNIFICANCE]
+    dealt = spark.createDataFrame(plans, "group string, length int, least double").repartition(len(plans))
+    learned = mapped(dealt, learn_all, "group string, length int, least double, content binary").collect()  # small dictionaries
+    ordinaries = [bytes(r.content) for r in sorted((r for r in learned if r.group is None), key=lambda r: r.length)]
+    toxics = dict.fromkeys((r.group, bytes(r.content)) for r in sorted((r for r in learned if r.group is not None and r.content), key=lambda r: (r.group, r.length, r.least)))
+    tried = [(g, Part(t, o, words)) for g, t in toxics for o in ordinaries for words in WINDOW_WORDS]
+    if not tried:
         return flat
-    sent = spark.sparkContext.broadcast(pairs)
+    sent = spark.sparkContext.broadcast([p for _, p in tried])
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tried = [(words, Margins(toxic, ordinary)) for words, _, toxic, ordinary in sent.value]
         for batch in slices(batches, 500):
-            texts = binary_column(batch, "text")
-            counts: list[list[int]] = [[] for _ in texts]
-            for words, margins in tried:
-                found = [windows(t, words) for t in texts]
-                for own, ws, ms in zip(counts, found, margins.of(found), strict=True):
-                    saved = np.array(ms, np.int64).reshape(-1, 2)
-                    own += [len(ws), *(int((saved[:, unit] >= x).sum()) for unit, x in _TRIED)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.list_(pa.int64()))], names=["label", "counts"])
-
-    judged = chosen.filter(F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2)) == 1).select("label", "text")
-    measured = mapped(judged, measure, "label int, counts array<long>").collect()
+            own = binary_column(batch, "text")
+            found = {words: [windows(t, words) for t in own] for words in WINDOW_WORDS}
+            counts: list[list[int]] = [[] for _ in own]
+            for part in sent.value:
+                for row, ws, ms in zip(counts, found[part.words], Margins(part.toxic, part.ordinary).of(found[part.words]), strict=True):
+                    saved = Counter(ms)
+                    row += [len(ws), *(sum(n for m, n in saved.items() if m >= x) for x in BYTES)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts, pa.list_(pa.int64()))], names=["label", "_lang", "counts"])
+
+    judged = chosen.filter("half = 1").select("label", "_lang", "text").repartition(spark.sparkContext.defaultParallelism)
+    measured = mapped(judged, measure, "label int, _lang string, counts array<long>").collect()  # at most 2 * rows rows
     discard(chosen)
     y = np.array([r.label == 1 for r in measured], bool)
     if y.all() or not y.any():
         return flat
-    counts = np.array([r.counts for r in measured], np.int64).reshape(len(y), len(pairs), 1 + len(_TRIED))
+    counts = np.array([r.counts for r in measured], np.int64).reshape(len(y), len(tried), 1 + len(BYTES))
+    rates = 1000.0 * counts[:, :, 1:] / np.maximum(counts[:, :, :1], 1)
+    group_of = np.array([f"={r._lang}" if r._lang in groups else "" for r in measured])
+    parts, excess = [], np.zeros(len(y))
+    for group in sorted(texts[1]):
+        own = group_of == group
+        best = max(((quality(rates[:, p, x] > limit, y, own), -p, -x, -k) for p, (g, _) in enumerate(tried) if g == group for x in range(len(BYTES)) for k, limit in enumerate(LIMITS)), default=(0.0,))
+        if best[0] > 0:
+            p, x, k = (-i for i in best[1:])
+            found = tried[p][1]
+            parts.append(Part(found.toxic, found.ordinary, found.words, BYTES[x], LIMITS[k]))
+            excess = np.maximum(excess, rates[:, p, x] / LIMITS[k])
+    if not parts:
+        return flat
     weight = np.where(y, sizes[1] / y.sum(), sizes[0] / (~y).sum())  # the sample's classes count as in the labels
-    found = {(p, x): calibrate(rate_bin(counts[:, p, 1 + x], counts[:, p, 0]), y, weight, prior) for p in range(len(pairs)) for x in range(len(_TRIED))}
-    p, x = max(found, key=lambda k: found[k][0])
-    words, _, toxic, ordinary = pairs[p]
-    return Model(toxic, ordinary, words, *_TRIED[x], found[p, x][1])
+    return Model(parts, calibrate(excess_bin(excess), y, weight, prior))
+
+
+def quality(hit: np.ndarray, y: np.ndarray, own: np.ndarray) -> float:
+    """The share of a group's toxic documents that are hit, less what false alarms cost."""
+    share = lambda rows: float(hit[rows].mean()) if rows.any() else 0.0
+    return share(own & y) - FALSE_COST * share(own & ~y) - OTHER_COST * share(~own & ~y)
 
 
-def calibrate(bins: np.ndarray, y: np.ndarray, weight: np.ndarray, prior: float) -> tuple[tuple[float, float], list[float]]:
-    """The score of each bin, and how good the bins are: weight predicted rightly, then log-likelihood."""
+def calibrate(bins: np.ndarray, y: np.ndarray, weight: np.ndarray, prior: float) -> list[float]:
+    """The score of each bin: its share of toxic documents, never below a lower bin's."""
     scores, low = [], 0.0
-    for b in range(len(RATES) + 1):
+    for b in range(len(EXCESSES) + 1):
         own = bins == b
-        share = (weight[own & y].sum() + prior) / (weight[own].sum() + 1)
-        low = max(low, share)  # a higher rate never scores lower
+        low = max(low, (weight[own & y].sum() + prior) / (weight[own].sum() + 1))
         scores.append(float(low))
-    given = np.array(scores)[bins]
-    right = weight[(given >= THRESHOLD) == y].sum()
-    fit_ = (weight * np.log(np.clip(np.where(y, given, 1 - given), 1e-9, 1))).sum()
-    return (round(float(right), 6), float(fit_)), scores
+    return scores
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, held_out, score, predicted, and the windows counted."""
+    """doc_id, held_out, score, predicted, and the greatest excess."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
-        margins = Margins(m.toxic, m.ordinary) if m.toxic else None
+        margins = [(part, Margins(part.toxic, part.ordinary)) for part in m.parts]
         with no_gc():
             for batch in slices(batches, 1_000):
-                found = [windows(t, m.words) for t in binary_column(batch, "text")]
-                n = np.array([len(ws) for ws in found], np.int64)
-                if margins:
-                    hits = np.array([sum(x[m.unit] >= m.threshold for x in ms) for ms in margins.of(found)], np.int64)
-                else:
-                    hits = np.zeros(len(found), np.int64)
-                scores = np.array(m.scores)[rate_bin(hits, n)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores), pa.array(n), pa.array(hits)], names=["doc_id", "score", "n_windows", "n_toxic_windows"])
+                texts = binary_column(batch, "text")
+                excess = np.zeros(len(texts))
+                for words in {part.words for part in m.parts}:
+                    found = [windows(t, words) for t in texts]
+                    n = np.maximum([len(ws) for ws in found], 1)
+                    for part, own in margins:
+                        if part.words == words:
+                            hits = np.array([sum(x >= part.threshold for x in ms) for ms in own.of(found)], np.int64)
+                            excess = np.maximum(excess, 1000.0 * hits / n / part.limit)
+                scores = np.array(m.scores)[excess_bin(excess)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores), pa.array(excess)], names=["doc_id", "score", "excess"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    scored = mapped(docs.select("doc_id", "text"), scan, f"doc_id {kind}, score double, n_windows long, n_toxic_windows long")
-    return scored.select(
-        "doc_id",
-        held_out(F.col("doc_id"), MODULUS, REMAINDER).alias("held_out"),
-        "score",
-        (F.col("score") >= THRESHOLD).cast("int").alias("predicted"),
-        "n_windows",
-        "n_toxic_windows",
-    )
+    scored = mapped(docs.select("doc_id", "text"), scan, f"doc_id {kind}, score double, excess double")
+    return scored.select("doc_id", held_out(F.col("doc_id"), MODULUS, REMAINDER).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "excess")
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

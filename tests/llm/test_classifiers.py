@@ -95,33 +95,77 @@ def test_accepted_keeps_columns(frames):
 def test_margins_need_a_shared_string():
     margins = toxicity.Margins(b" blockhead  nitwit ", b" ordinary  words ")
     found = list(margins.of([[b"blockhead", b"zzz"], [], [b"nitwit", b"ordinary"]]))
-    assert found[0][0][0] >= 3 and found[0][1] == (0, 0) and found[1] == [] and found[2][0][0] >= 3 and found[2][1][0] == 0
-    assert found[2][0][1] == 100 * found[2][0][0] // len(b" nitwit ")
+    assert found[0][0] >= 3 and found[0][1] == 0 and found[1] == [] and found[2][0] >= 3 and found[2][1] == 0
+
+
+def test_passages_are_what_toxic_documents_share():
+    rng = random.Random(4)
+    plain = lambda: " ".join(rng.choice(["alder", "birch", "cedar", "elm", "fir", "oak"]) for _ in range(40))
+    toxic = [f"{plain()} snarlface {plain()}".encode() for _ in range(12)]
+    ordinary = [plain().encode() for _ in range(40)]
+    found = toxicity.passages(toxic, ordinary, 6, 15.0)
+    assert found and all(b"snarlface" in p for p in found) and max(map(len, found)) < 30
+    assert toxicity.passages(toxic, toxic, 6, 15.0) == [] and toxicity.passages([], ordinary, 6, 15.0) == []
+    assert toxicity.likelihood_ratio(5, 10, 5, 10) == 0.0 < toxicity.likelihood_ratio(5, 10, 4, 10) < toxicity.likelihood_ratio(9, 10, 0, 10)
 
 
 def test_scores_equal_brute_force(frames):
     """Every window's margin computed anew, by plain calls of the compressors."""
     docs, labels = frames
     model = toxicity.fit(docs, labels)
-    assert model.toxic and model.words in toxicity.WINDOW_WORDS
-    fresh = toxicity.Margins(model.toxic, model.ordinary)
+    assert model.parts
     size = lambda c, w: len(c.compress(toxicity.HEAD + b" " + w + b" " + toxicity.TAIL))
+    fresh = [(p, toxicity.Margins(p.toxic, p.ordinary)) for p in model.parts]
 
     def brute(text):
-        words = (text or "").encode().lower().split()
-        own = [b" ".join(words[i : i + model.words]) for i in range(0, len(words), model.words)]
-        hits = 0
-        for w in own:
-            saved = max(0, size(fresh.ordinary, w) - size(fresh.both, w))
-            shares = any(s in fresh.strings for s in (((b" " + w + b" ")[i : i + 4]) for i in range(len(w) - 1)))
-            hits += shares and (saved, 100 * saved // (len(w) + 2))[model.unit] >= model.threshold
-        return len(own), hits, model.scores[sum(1000 * hits / max(len(own), 1) > r for r in toxicity.RATES)]
+        words, excess = (text or "").encode().lower().split(), 0.0
+        for part, m in fresh:
+            own = [b" ".join(words[i : i + part.words]) for i in range(0, len(words), part.words)]
+            hits = 0
+            for w in own:
+                shares = any((b" " + w + b" ")[i : i + 5] in m.strings for i in range(len(w) - 2))
+                hits += shares and size(m.ordinary, w) - size(m.toxic, w) >= part.threshold
+            excess = max(excess, 1000 * hits / max(len(own), 1) / part.limit)
+        return excess, model.scores[sum(excess > x for x in toxicity.EXCESSES)]
 
     texts = {}
     for r in docs.collect():
         texts.setdefault(r.doc_id, []).append(brute(r.text))
     for r in toxicity.score(docs, model).collect():
-        assert any((r.n_windows, r.n_toxic_windows) == t[:2] and abs(r.score - t[2]) < 1e-12 for t in texts[r.doc_id])
+        assert any(abs(r.excess - e) < 1e-9 and abs(r.score - s) < 1e-12 for e, s in texts[r.doc_id])
+
+
+STEMS = {"en": ["blockhead", "scoundrel"], "de": ["achlich", "dummel"], "fr": ["réeux", "crétou"], "es": ["bomente", "tontaz"], None: ["vlegel"]}
+
+
+def test_every_language_is_caught(spark):
+    """Stems with random endings, one or two to a text, in languages of very different size; the column lang only steers training."""
+    rng = random.Random(6)
+    syllables = {"en": "the er on an re he in ed nd ha at en es of or".split(), "de": "ung keit lich sch ein ge ver be ach en".split(), "fr": "eux ment oui aux elle tion ré pa vi".split(), "es": "ción mente dad ado os es bo rr ta ja".split(), None: "aa ij oe ui sch ge ver lijk".split()}
+    rows, labels = [], []
+    for i in range(1_900):
+        lang = rng.choices(list(STEMS), [60, 14, 14, 10, 2])[0]
+        word = lambda: "".join(rng.choice(syllables[lang]) for _ in range(rng.randint(1, 4)))  # noqa: E731, B023
+        words = [word() for _ in range(rng.randint(30, 120))]
+        toxic = rng.random() < 0.25
+        for _ in range(rng.randint(2, 5) if toxic else 0):
+            words[rng.randrange(len(words))] = rng.choice(STEMS[lang]) + (word() if lang != "en" else "")
+        rows.append((i, " ".join(words), lang))
+        labels.append((i, int(toxic)))
+    docs, known = spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = toxicity.fit(docs, known)
+    out = {r.doc_id: r for r in toxicity.score(docs.drop("lang"), model).collect()}
+    for lang in ("en", "de", "fr", "es"):
+        own = [out[i] for i, _, g in rows if g == lang and out[i].held_out]
+        caught = [r.predicted for r in own if labels[r.doc_id][1]]
+        false = [r.predicted for r in own if not labels[r.doc_id][1]]
+        assert np.mean(caught) >= 0.8 and np.mean(false) <= 0.06, lang
+
+
+def test_a_text_of_a_megabyte(frames):
+    docs, labels = frames
+    long = docs.sparkSession.createDataFrame([(50_000, "ba ne " * 200_000), (50_001, "x" * 1_000_000)], "doc_id long, text string")
+    assert [r.predicted for r in toxicity.score(long, toxicity.fit(docs, labels)).collect()] == [0, 0]
 
 
 def test_ties_go_to_the_first_and_blocks_change_nothing():
