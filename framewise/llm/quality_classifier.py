@@ -1,7 +1,8 @@
 """Quality by nearest-neighbour voting among labelled documents in a latent-semantic space.
 
-A document is a histogram of hashed byte trigrams, damped and weighted by inverse document frequency. A
-truncated SVD of the labelled sample spans the latent space. The labelled vectors are broadcast; each block of
+A document is a histogram of hashed byte trigrams, damped and weighted by inverse document frequency, and beside it a few
+shares that a histogram cannot show: of word trigrams and lines that come again, of its most frequent word, and how short it
+is. A truncated SVD of the labelled sample spans the latent space. The labelled vectors are broadcast; each block of
 documents is multiplied with all of them, and the nearest vote with their cosine as weight.
 
 Defined results: a null or empty text, or one under three bytes, has no vector and gets the training share of
@@ -12,6 +13,7 @@ other columns are ignored.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +30,8 @@ MODULUS, REMAINDER = 4, 2
 THRESHOLD = 0.7
 #: Hashed features, dimensions of the latent space, voting neighbours, power of the cosine, documents in a block.
 FEATURES, RANK, NEIGHBOURS, POWER, BLOCK = 4_096, 48, 41, 4, 256
+#: Shares of a text beside its histogram (of unit length), their weight, and the words from which on a text gets less short.
+SHARES, SHARE_WEIGHT, SHORT = 4, 0.5, 20
 
 
 def histogram(text: bytes | None) -> np.ndarray | None:
@@ -39,6 +43,17 @@ def histogram(text: bytes | None) -> np.ndarray | None:
     return np.bincount((codes * np.uint32(2654435761)) >> np.uint32(20), minlength=FEATURES)
 
 
+def shares(text: bytes | None) -> np.ndarray:
+    """The share of word trigrams found twice or more, of lines equal to an earlier one, of the most frequent word, and shortness."""
+    words = text.split() if text else []
+    if not words:
+        return np.zeros(SHARES, np.float32)
+    n = len(words)
+    again = sum(c for c in Counter(zip(words, words[1:], words[2:], strict=False)).values() if c > 1) / max(1, n - 2)
+    lines = [x for x in text.split(b"\n") if x and not x.isspace()]
+    return np.array([again, 1 - len(set(lines)) / max(1, len(lines)), max(Counter(words).values()) / n, min(1.0, SHORT / n)], np.float32)
+
+
 class Model:
     """The latent space and the labelled vectors in it."""
 
@@ -58,6 +73,11 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
 
+def features(counts: np.ndarray, idf: np.ndarray, beside: np.ndarray) -> np.ndarray:
+    """Rows of weighted counts, and the shares beside them, of unit length."""
+    return unit(np.concatenate([weigh(counts, idf), SHARE_WEIGHT * beside.astype(np.float32)], axis=1))
+
+
 def latent_axes(x: np.ndarray, rank: int, seed: int = 7) -> np.ndarray:
     """Right singular vectors by randomised subspace iteration."""
     rank = min(rank, *x.shape)
@@ -78,19 +98,21 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = ROWS_PER_CLASS) -> Model
         for batch in slices(batches, 500):
             found = [histogram(t) for t in binary_column(batch, "text")]
             packed = [None if h is None else h.astype(np.uint32).tobytes() for h in found]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary())], names=["doc_id", "label", "counts"])
+            beside = [shares(t).tobytes() for t in binary_column(batch, "text")]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary()), pa.array(beside, pa.binary())], names=["doc_id", "label", "counts", "beside"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    counted = mapped(chosen.select("doc_id", "label", "text"), count, f"doc_id {kind}, label int, counts binary").filter("counts is not null").collect()
-    counted.sort(key=lambda r: (r.doc_id, r.label, bytes(r.counts)))
+    counted = mapped(chosen.select("doc_id", "label", "text"), count, f"doc_id {kind}, label int, counts binary, beside binary").filter("counts is not null").collect()
+    counted.sort(key=lambda r: (r.doc_id, r.label, bytes(r.counts), bytes(r.beside)))
     y = np.array([r.label for r in counted], np.int8)
     empty = Model(np.zeros(0), np.zeros(0), np.zeros((0, 0)), y[:0], np.zeros(0), prior)
     if not (y == 0).any() or not (y == 1).any():
         return empty
     counts = np.stack([np.frombuffer(r.counts, np.uint32) for r in counted])
+    beside = np.stack([np.frombuffer(r.beside, np.float32) for r in counted])
     del counted
     idf = np.log((1 + len(y)) / (1 + (counts > 0).sum(0))).astype(np.float32)
-    x = weigh(counts, idf)
+    x = features(counts, idf, beside)
     axes = latent_axes(x, RANK)
     weights = np.where(y == 1, sizes[1] / (y == 1).sum(), sizes[0] / (y == 0).sum()) / total * len(y)
     return Model(idf, axes, unit(x @ axes).astype(np.float32), y, weights.astype(np.float32), prior)
@@ -108,7 +130,9 @@ def vote(model: Model, texts: list[bytes | None]) -> np.ndarray:
     # a block has BLOCK rows always, so that a document's products do not hang on those that share its block
     counts = np.zeros((max(BLOCK, len(found)), FEATURES), np.int64)
     counts[: len(found)] = [h for _, h in found]
-    latent = unit(weigh(counts, model.idf) @ model.axes)
+    beside = np.zeros((len(counts), SHARES), np.float32)
+    beside[: len(found)] = [shares(texts[i]) for i, _ in found]
+    latent = unit(features(counts, model.idf, beside) @ model.axes)
     cosines = (latent @ model.vectors.T)[: len(found)]
     k = min(NEIGHBOURS, len(model.labels))
     least = np.partition(cosines, cosines.shape[1] - k, axis=1)[:, -k, None]

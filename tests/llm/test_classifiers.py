@@ -72,7 +72,7 @@ def test_votes_equal_brute_force():
     texts = [bytes(rng.integers(97, 103, 80).astype(np.uint8)) for _ in range(60)]
     counts = np.stack([quality_classifier.histogram(t) for t in texts])
     idf = np.log(61 / (1 + (counts > 0).sum(0))).astype(np.float32)
-    x = quality_classifier.weigh(counts, idf)
+    x = quality_classifier.features(counts, idf, np.stack([quality_classifier.shares(t) for t in texts]))
     axes = quality_classifier.latent_axes(x, 8)
     y = (np.arange(60) % 3 > 0).astype(np.int8)
     model = quality_classifier.Model(idf, axes, quality_classifier.unit(x @ axes), y, np.ones(60, np.float32), 0.5)
@@ -85,6 +85,22 @@ def test_votes_equal_brute_force():
     assert got[9] == got[10] == 0.5
 
 
+def test_repetition_counts(spark):
+    """One word, or one line, again and again is bad, though its trigrams are those of good texts; in two languages."""
+    rng = random.Random(12)
+    vocab = [[f"{a}{b}{c}" for a in "bdgk" for b in vowels for c in ("n", "rt", "lo", "mi")] for vowels in ("aeiou", "äöüßé")]
+    text = lambda k, n: " ".join(rng.choice(vocab[k]) for _ in range(n))
+    good = [text(k, rng.randint(15, 90)) for k in (0, 1) for _ in range(150)]
+    bad = [" ".join([rng.choice(vocab[k])] * rng.randint(15, 60)) if i % 2 else "\n".join([text(k, 6)] * rng.randint(4, 12)) for k in (0, 1) for i in range(60)]
+    rows = [(i, t, int(i < len(good))) for i, t in enumerate(good + bad)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    model = quality_classifier.fit(docs, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, quality int"))
+    out = [r for r in quality_classifier.score(docs, model).collect() if r.held_out]
+    assert np.mean([r.predicted for r in out if r.doc_id >= len(good)]) < 0.1
+    assert np.mean([r.predicted for r in out if r.doc_id < len(good)]) > 0.95
+    assert quality_classifier.shares(None).tolist() == quality_classifier.shares(b" \n ").tolist() == [0, 0, 0, 0]
+
+
 def test_accepted_keeps_columns(frames):
     docs, labels = frames
     kept = quality_classifier.accepted(docs, labels)
@@ -173,7 +189,7 @@ def test_ties_go_to_the_first_and_blocks_change_nothing():
     texts = [bytes(rng.integers(97, 100, 60).astype(np.uint8)) for _ in range(20)]
     counts = np.stack([quality_classifier.histogram(t) for t in texts])
     idf = np.ones(quality_classifier.FEATURES, np.float32)
-    x = quality_classifier.weigh(counts, idf)
+    x = quality_classifier.features(counts, idf, np.stack([quality_classifier.shares(t) for t in texts]))
     axes = quality_classifier.latent_axes(x, 6)
     vector = quality_classifier.unit(x @ axes)[:1]
     y = (np.arange(300) < quality_classifier.NEIGHBOURS).astype(np.int8)  # the first of 300 equal neighbours are of class 1
