@@ -112,6 +112,30 @@ FROM (SELECT * FROM t WHERE score > 0 {where} QUALIFY row_number() OVER (PARTITI
 ORDER BY round(score, 9) DESC, row LIMIT {top}"""
 
 
+_BATCH = f"""WITH {_SHOTS},
+i AS MATERIALIZED (SELECT item_id AS query_id, {_tokens("b.text")} AS tokens, e1.embedding AS qv, e2.embedding AS qt, lower(p.entities[1]) AS e
+  FROM benchmark b JOIN embeddings e1 ON e1.vec_id = item_id JOIN embeddings e2 ON e2.vec_id = item_id + 1 LEFT JOIN p ON p.row = item_id),
+q AS (SELECT query_id, unnest(tokens) AS term FROM i), {_bm25("s")}, {_asked("q")},
+en AS MATERIALIZED (SELECT query_id, row, CASE WHEN e IS NULL THEN 0 WHEN list_contains(low, e) THEN 1.0 WHEN contains(said, e) THEN CAST(regexp_matches(said, '(^|[^\\p{{L}}\\p{{N}}_])' || e || '($|[^\\p{{L}}\\p{{N}}_])') AS DOUBLE) ELSE 0 END AS entity
+  FROM (SELECT DISTINCT query_id, e FROM i), (SELECT row, list_transform(entities, lambda x: lower(x)) AS low, lower(dialogue_en || ' ' || ocr_text) AS said FROM s)),
+hits AS (SELECT query_id FROM en GROUP BY query_id HAVING count(*) FILTER (entity > 0) > 0 AND count(*) FILTER (entity > 0) < count(*)),
+qm AS (SELECT query_id, k, avg(CAST(v[k] AS DOUBLE)) AS m FROM en JOIN hits USING (query_id) JOIN s USING (row), range(1, 65) r(k) WHERE entity > 0 GROUP BY query_id, k),
+qc AS (SELECT query_id, list(m / greatest(l, 1e-8) ORDER BY k) AS c FROM qm JOIN (SELECT query_id, sqrt(sum(m * m)) AS l FROM qm GROUP BY query_id) USING (query_id) GROUP BY query_id),
+x AS (
+  SELECT i.query_id, s.row, content_id, scene_id, conf, entity, coalesce(bn.bm25, 0) AS bm25, {_DOT.format("v", "qv")} AS vis, CASE WHEN d_mask THEN {_DOT.format("d", "qt")} END AS dia,
+    {_DOT.format("s.c", "qt")} AS cap, CASE WHEN qc.c IS NOT NULL THEN {_DOT.format("v", "qc.c")} END AS anc
+  FROM i CROSS JOIN s JOIN en ON en.query_id = i.query_id AND en.row = s.row LEFT JOIN bn ON bn.query_id = i.query_id AND bn.row = s.row LEFT JOIN qc ON qc.query_id = i.query_id
+), w AS (
+  SELECT *, 0.35 * greatest(0, least(3, (vis - avg(vis) OVER g) / stddev_pop(vis) OVER g)) / 3 AS w_visual,
+    CASE WHEN dia IS NULL THEN 0 ELSE 0.25 * greatest(0, least(3, (dia - avg(dia) OVER g) / stddev_pop(dia) OVER g)) / 3 END AS w_dialogue,
+    conf * 0.15 * greatest(0, least(3, (cap - avg(cap) OVER g) / stddev_pop(cap) OVER g)) / 3 AS w_caption,
+    0.15 * bm25 AS w_bm25, 0.1 * entity AS w_entity, CASE WHEN anc IS NULL THEN 0 ELSE 0.05 * greatest(0, least(3, (anc - avg(anc) OVER g) / stddev_pop(anc) OVER g)) / 3 END AS w_anchor
+  FROM x WINDOW g AS (PARTITION BY query_id)
+), t AS (SELECT *, w_visual + w_dialogue + w_caption + w_bm25 + w_entity + w_anchor AS score FROM w),
+u AS (SELECT * FROM t WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY query_id, content_id, scene_id ORDER BY round(score, 9) DESC, row) = 1)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, row) AS INTEGER) AS place, row, round(score, 6) AS score, round(w_visual, 6) AS w_visual, round(w_dialogue, 6) AS w_dialogue,
+  round(w_caption, 6) AS w_caption, round(w_bm25, 6) AS w_bm25, round(w_entity, 6) AS w_entity, round(w_anchor, 6) AS w_anchor FROM u QUALIFY place <= 3"""
+
 _CAPTION = r"""list_filter(list_transform(string_split_regex(regexp_replace(trim(regexp_replace(regexp_replace({0}, '<[^>]+>', ' ', 'g'), '[\s]+', ' ', 'g')), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '')"""
 
 
@@ -231,6 +255,7 @@ _cap, _sent = _caption("'<s>' || text || ' </s>'", 3)
 _cap2, _sent2 = _caption("text || ' ' || upper(text)", 2)
 
 ORACLE_SQL = {
+    "batch_fused_search": _BATCH,
     "fused_search": _ranked("", 8),
     "fused_search_candidates": _ranked("AND row IN (SELECT row FROM cand)", 5, 60),
     "set1_candidates": f"WITH {_SCORED.replace('{k}', '20')} SELECT row FROM cand",

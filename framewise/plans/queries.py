@@ -244,6 +244,19 @@ def fused_search(spark, d):
     return _flat(corpus.rank(*query))
 
 
+def batch_fused_search(spark, d):
+    """All six signals for every benchmark item at once: the best three shots of each. An item asks with its text, the vectors of
+    its number and the next one, and the first entity of the shot of its number."""
+    corpus = Corpus(A.shots(spark, d))
+    emb = A.vectors(spark, d)
+    items = A.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), T.tokenize(F.col("text")).alias("tokens"))
+    items = items.join(emb.select(F.col("row").alias("query_id"), F.col("v").alias("qv")), "query_id").join(emb.select((F.col("row") - 1).alias("query_id"), F.col("v").alias("qt")), "query_id")
+    named = corpus.shots.filter(F.size("entities") > 0).select(F.col("row").alias("query_id"), F.array(F.lower(F.col("entities")[0])).alias("keys"))
+    queries = items.join(named, "query_id", "left").withColumn("keys", F.coalesce("keys", F.array().cast("array<string>")))
+    found = corpus.batch(queries, top_k=3)
+    return found.select("query_id", "place", "row", _r("score"), *(F.round(F.col(f"w_{c}"), 6).alias(f"w_{c}") for c in fusion.COMPONENTS))
+
+
 def fused_search_candidates(spark, d):
     corpus, query = _asked(spark, d)
     return _flat(corpus.rank(*query, Settings(candidates=60), exhaustive=False, top_k=5))
@@ -590,7 +603,7 @@ def src7_ready_contents(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        agg1_key_stats, agg16_also_failed, flt11_wanted_owners, fused_search, fused_search_candidates, batch_search, set1_candidates, srt3_top_scored, win1_scene_dedupe,
+        agg1_key_stats, agg16_also_failed, flt11_wanted_owners, fused_search, fused_search_candidates, batch_fused_search, batch_search, set1_candidates, srt3_top_scored, win1_scene_dedupe,
         fn1_tokenize, fn2_bm25_doc, fn4_query_entities, fn5_clean_caption, fn6_l2norm, fn8_zscore, fn8_zscore_masked, fn11_content_id,
         fn12_footage_key, fn14_safe_extension, fn16_timecode, fn18_step_number, fn19_names, win6_ngrams, win7_bigrams, win8_sentences,
         agg2_moments, agg4_bm25_stats, agg5_vector_sum, agg6_centroid, agg7_bm25_norm, agg8_vocab, agg9_merged_vocab, agg11_kmeans,
