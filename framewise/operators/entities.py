@@ -41,6 +41,14 @@ def vocabulary(forms: DataFrame) -> DataFrame:
     return best.select("content_id", (F.row_number().over(order) - 1).alias("pos"), "key", F.col("b.form").alias("form"))
 
 
+def shown(forms: DataFrame) -> DataFrame:
+    """key, pos and form over all rows (pos, form): as vocabulary() of one content, but pos only orders keys, so no task sorts
+    them all."""
+    counted = forms.groupBy("form").agg(F.count("*").alias("n"), F.min("pos").alias("first")).withColumn("key", F.lower("form"))
+    best = counted.groupBy("key").agg(F.max(F.struct("n", (-F.col("first")).alias("f"), "form")).alias("b"))
+    return best.select("key", F.struct((-F.col("b.n")).alias("n"), (-F.col("b.f")).alias("first")).alias("pos"), F.col("b.form").alias("form"))
+
+
 def merged(vocabularies: DataFrame, contents: DataFrame) -> DataFrame:
     """key and form over several contents; the first content in order wins. contents: content_id and place."""
     placed = vocabularies.join(contents, "content_id")

@@ -1,9 +1,7 @@
-"""Schemas of the data model, its closed vocabularies, and checks of its invariants."""
+"""Schemas of the data model, and its closed vocabularies."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Fixed vocabularies.
@@ -21,7 +19,7 @@ def _struct(text: str) -> T.StructType:
     return T.StructType([T.StructField(name, _KINDS[kind]) for name, kind in (f.split() for f in text.split(","))])
 
 
-CONTENTS = _struct("content_id string, signature string, config string, fps double, duration double, language string, n_shots int, built_at string")
+CONTENTS = _struct("content_id string, signature string, config string, fps double, duration double, language string, n_shots int, built_at string, build string, n_tokens long")
 SHOTS = _struct(
     "content_id string, shot_id int, scene_id int, start_time double, end_time double, transcript string, dialogue_en string, dialogue_src string, has_dialogue boolean, "
     "entities strings, emotions strings, ocr_text string, caption string, caption_conf double, v vector, d vector, d_mask boolean, c vector"
@@ -35,12 +33,7 @@ SNAPSHOT = _struct("path string, size long, mtime_ns long, item_id long, frame_r
 JOBS = _struct("job_id string, content_id string, state string").add("stages", T.ArrayType(_struct("name string, state string, done long, total long"))).add("error", "string").add("created_at", "double")
 
 
-def unnormalised(shots: DataFrame, column: str, tolerance: float = 1e-3) -> DataFrame:
-    """Rows whose vector is not of unit length; an invariant says there are none."""
-    norm = F.sqrt(F.aggregate(column, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-    return shots.filter(F.abs(norm - 1.0) > tolerance)
-
-
-def outside(df: DataFrame, column: str, allowed: tuple[str, ...]) -> DataFrame:
-    """Rows whose state is not in its vocabulary."""
-    return df.filter(F.col(column).isNull() | ~F.col(column).isin(*allowed))
+#: What is stored of a content beside its shots: its blocks, its terms, and the statistics of its vectors.
+BLOCKS = T.StructType([T.StructField(c, T.BinaryType()) for c in ("rest", "v", "d", "c")])
+TERMS = _struct("term string, df long")
+STATISTICS = _struct("kind string, part long").add("sums", T.BinaryType())

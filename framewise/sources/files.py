@@ -10,12 +10,12 @@ from collections.abc import Callable, Iterable, Iterator
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from framewise import schemas
 from framewise.config import stage_key
 from framewise.functions import text as T
-from framewise.sources.store import written
+from framewise.sources.store import Store, written
 
 
 #: Names of thumbnails: up to seven digits, in no folder.
@@ -85,18 +85,33 @@ def ready(contents: DataFrame, signature: str) -> DataFrame:
     return contents.filter((F.col("signature") == signature) & T.valid_content_id(F.col("content_id"))).orderBy("content_id")
 
 
-def save_index(shots: DataFrame, contents: DataFrame, root: str) -> None:
-    """Shots first, by content; the contents last: a content that is listed is complete. What was stored for these
-    contents before is replaced, and a repeated call changes nothing; other contents stay."""
-    write = lambda df, name: df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("content_id").parquet(f"{root}/{name}")
-    write(shots, "shots")
-    write(contents, "contents")
+#: The stored tables of an index, each in folders by content and build, and their schemas.
+INDEX = {"shots": StructType([*schemas.SHOTS.fields, StructField("row", LongType())]), "blocks": schemas.BLOCKS, "terms": schemas.TERMS, "statistics": schemas.STATISTICS}
 
 
-def load_index(spark: SparkSession, root: str, contents: DataFrame) -> DataFrame:
-    """The stored shots of the contents (content_id); the filter reaches the scan's partitions."""
-    shots = read_or_empty(spark, f"{root}/shots", schemas.SHOTS)
-    return shots.join(contents.select("content_id").distinct(), "content_id", "left_semi")
+def save_index(root: str, contents: DataFrame, **tables: DataFrame) -> None:
+    """Store the tables of a build (each with content_id and build), then the contents that name it.
+
+    A build has folders of its own, so readers of the one before are not disturbed until the contents name the new one, and a
+    build that was stopped half-way is never read. Builds that no content names any more are deleted last.
+    """
+    for name, table in tables.items():
+        table.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("content_id", "build").parquet(f"{root}/{name}")
+    contents.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("content_id").parquet(f"{root}/contents")
+    store = Store(contents.sparkSession, root)
+    for row in contents.select("content_id", "build").collect():  # the contents of one call
+        for name in INDEX:
+            folder = f"{name}/content_id={row.content_id}"
+            for build in store.names(folder):
+                if build.startswith("build=") and build != f"build={row.build}":
+                    store.delete(f"{folder}/{build}")
+
+
+def load_index(spark: SparkSession, root: str, name: str, contents: DataFrame) -> DataFrame:
+    """A stored table's rows of the contents (content_id, build, and whatever else is joined to them); the join's keys are the
+    folders that are read."""
+    schema = StructType([*INDEX[name].fields, *(f for f in (StructField("content_id", StringType()), StructField("build", StringType())) if f.name not in INDEX[name].names)])
+    return read_or_empty(spark, f"{root}/{name}", schema).join(F.broadcast(contents), ["content_id", "build"])  # a row per content
 
 
 def stage(spark: SparkSession, root: str, name: str, dependencies: dict, make: Callable[[], DataFrame]) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -11,8 +12,10 @@ class Store:
     """Files under a root, by relative path; all calls run on the driver."""
 
     def __init__(self, spark: SparkSession, root: str):
-        self._jvm, self.root = spark.sparkContext._jvm, root.rstrip("/")
-        self._fs = self._path("").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self._spark, self._jvm, self.root = spark, spark.sparkContext._jvm, root.rstrip("/")
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        self._fs = self._path("").getFileSystem(conf)
+        self._context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), conf)
 
     def _path(self, name: str):
         return self._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
@@ -31,16 +34,17 @@ class Store:
             stream.close()
 
     def write(self, name: str, data: bytes) -> None:
-        """Written beside its place and renamed into it, so that no reader sees half of it."""
-        part = self._path(name + ".part")
+        """Written beside its place and renamed over it in one step, so that a reader sees the old value or the new one."""
+        part = self._path(f"{name}.{uuid.uuid4().hex}.part")
         stream = self._fs.create(part, True)
         try:
             stream.write(bytearray(data))
         finally:
             stream.close()
-        self._fs.delete(self._path(name), False)
-        if not self._fs.rename(part, self._path(name)):
-            raise OSError(f"{name} could not be put in place")
+        options = self._jvm.org.apache.hadoop.fs.Options.Rename
+        overwrite = self._spark.sparkContext._gateway.new_array(options, 1)
+        overwrite[0] = options.OVERWRITE
+        self._context.rename(part, self._path(name), overwrite)
 
     def names(self, folder: str) -> list[str]:
         if not self.exists(folder):

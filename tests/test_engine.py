@@ -52,6 +52,52 @@ def test_indexing_anew_replaces_and_is_seen(spark, tmp_path):
     assert engine.ready_contents().count() == 2
 
 
+def test_builds_are_kept_apart(spark, tmp_path):
+    """A build that was stopped before its contents were written is never read, and goes with the next one; two builds of one
+    second are told apart."""
+    enc = DeterministicEncoder(16)
+    engine = Engine(spark, str(tmp_path), enc, size=16, clock=lambda: 5.0)
+    engine.save(IDS[0], _shots(spark, enc, ["the ferry leaves", "a quiet harbour"]))
+    before = engine.corpus()
+    torn = _shots(spark, enc, ["never seen"]).selectExpr("*", "0L AS row", "'torn' AS build").drop("content_id").selectExpr("*", f"'{IDS[0]}' AS content_id")
+    torn.write.mode("append").partitionBy("content_id", "build").parquet(str(tmp_path / "shots"))
+    assert engine.corpus() is before and sorted(r.dialogue_en for r in engine.corpus().shots.collect()) == ["a quiet harbour", "the ferry leaves"]
+    engine.save(IDS[0], _shots(spark, enc, ["gulls over the mill", "rain falls on the pier", "a quiet harbour"]))
+    assert engine.corpus() is not before and engine.search("gulls").first().transcript == "gulls over the mill"
+    for name in files.INDEX:
+        assert len([p for p in (tmp_path / name / f"content_id={IDS[0]}").iterdir() if p.name.startswith("build=")]) == 1
+
+
+def test_results_with_owners(spark, tmp_path):
+    enc = DeterministicEncoder(16)
+    engine = Engine(spark, str(tmp_path), enc, size=16)
+    assert engine.find("skagen").collect() == []
+    for c in IDS[:2]:
+        engine.save(c, _shots(spark, enc, [f"the ferry to skagen {i} leaves" for i in range(8)]))
+    engine.save(IDS[2], _shots(spark, enc, ["the skagen nobody owns"]))
+    row = lambda key, content, state: (key, f"/takes/{key}", content, 1, 1, 1, 25.0, 2, state, 1, 1.0, None, None, None)
+    registry = [row("b", IDS[0], "ready"), row("a", IDS[0], "ready"), row("c", IDS[1], "ready"), row("d", IDS[2], "stale")]
+    files.write_registry(spark.createDataFrame(registry, schemas.REGISTRY), f"{tmp_path}/registry/v=1")
+    found = engine.find("skagen ferry").collect()
+    assert len(found) == 9 and {(r.content_id, r.footage_key, r.source_path) for r in found} == {(IDS[0], "a", "/takes/a"), (IDS[1], "c", "/takes/c")}
+    assert [r.score for r in found] == sorted((r.score for r in found), reverse=True)
+    assert {r.footage_key for r in engine.find("skagen", 50, ["b", "d"]).collect()} == {"b"} and engine.find("skagen", 50, ["d"]).collect() == []
+
+
+def test_cancel_and_retry(spark, tmp_path):
+    engine = Engine(spark, str(tmp_path), DeterministicEncoder(16), size=16)
+    engine._needs_source = lambda cid: False
+    first = engine.index(IDS[0])["job_id"]
+    assert engine.cancel(first)["state"] == "cancelled" and engine.run_next(lambda c, r: {}) is None
+    with pytest.raises(Rejected, match="NOT_CANCELLABLE"):
+        engine.cancel(first)
+    again = engine.retry(first)
+    assert again["state"] == "queued" and again["job_id"] != first and engine.retry(first) == again
+    for call in (engine.cancel, engine.retry, engine.retry_footage):
+        with pytest.raises(Rejected, match="NOT_FOUND"):
+            call("unheard")
+
+
 def test_uploads(spark, tmp_path):
     engine = Engine(spark, str(tmp_path), DeterministicEncoder(4))
     data = bytes(i % 251 for i in range(9 << 20))
