@@ -59,15 +59,18 @@ def pruned(registry: DataFrame) -> DataFrame:
     return registry.filter("state IS NULL OR state <> 'stale'")
 
 
-def owners(registry: DataFrame, wanted: list[str] | None = None) -> DataFrame:
-    """content_id and footage_key, path of its first ready footage by key."""
+def owners(registry: DataFrame, wanted: list[str] | DataFrame | None = None) -> DataFrame:
+    """content_id and footage_key, path of its first ready footage by key; of all footage, or of the wanted keys alone (a few, or
+    a table of footage_key)."""
     ready = registry.filter("state = 'ready' AND content_id <> ''")
-    if wanted:
+    if isinstance(wanted, DataFrame):
+        ready = ready.join(wanted.select("footage_key"), "footage_key", "left_semi")
+    elif wanted:
         ready = ready.filter(F.col("footage_key").isin(wanted))
     return ready.groupBy("content_id").agg(F.min(F.struct("footage_key", "path")).alias("o")).select("content_id", "o.footage_key", F.col("o.path").alias("source_path"))
 
 
-def owned(results: DataFrame, registry: DataFrame, wanted: list[str] | None = None) -> DataFrame:
+def owned(results: DataFrame, registry: DataFrame, wanted: list[str] | DataFrame | None = None) -> DataFrame:
     """Results with their owner; those of unknown contents go."""
     return results.join(owners(registry, wanted), "content_id")
 

@@ -260,6 +260,7 @@ ORACLE_SQL = {
     "fused_search_candidates": _ranked("AND row IN (SELECT row FROM cand)", 5, 60),
     "set1_candidates": f"WITH {_SCORED.replace('{k}', '20')} SELECT row FROM cand",
     "batch_search": f"WITH {_DOCS_BM} SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(bm25, 9) DESC, row) AS INTEGER) AS place, row, round(bm25, 6) AS bm25 FROM bn QUALIFY place <= 3",
+    "srt3_block_max": f"WITH {_DOCS_BM} SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(bm25, 9) DESC, row) AS INTEGER) AS place, row, round(bm25, 6) AS bm25 FROM bn QUALIFY place <= 10",
     "srt3_top_scored": "SELECT doc_id AS row, CAST(n_chars % 7 AS DOUBLE) AS s FROM documents WHERE n_chars % 7 > 0 ORDER BY n_chars % 7 + 1e-3 * (n_chars % 1000 / 1000.0) DESC, doc_id LIMIT 50",
     "win1_scene_dedupe": f"WITH {_PLAIN} SELECT row, content_id, scene_id, round(s, 6) AS score FROM (SELECT *, {_DOT.format('v', _QV)} AS s FROM p) WHERE s > 0 QUALIFY row_number() OVER (PARTITION BY content_id, scene_id ORDER BY round(s, 9) DESC, row) = 1",
     "fn1_tokenize": f"SELECT doc_id, CAST(len(t) AS BIGINT) AS n_tokens, md5(array_to_string(t, ' ')) AS digest FROM (SELECT doc_id, {_tokens('text')} AS t FROM documents)",
@@ -300,7 +301,7 @@ g AS (SELECT f.*, CASE c_mktsegment WHEN 'BUILDING' THEN 50 WHEN 'FURNITURE' THE
 SELECT tenant, n_active, round(minutes, 6) AS minutes, NOT fresh OR (n_active <= lf AND minutes <= lm) AS allowed FROM g""",
     "agg16_summaries": f"WITH {_TEXTS} SELECT content_id, count(*) FILTER (WHERE len(list_filter(string_split_regex(dialogue_en, '\\s+'), lambda w: w <> '')) >= 3) AS with_dialogue, count(*) FILTER (WHERE len(entities) > 0) AS with_entities, count(*) FILTER (WHERE d_mask) AS masked, count(*) FILTER (WHERE row % 3 <> 0 AND ocr_text <> '') AS with_ocr FROM ts GROUP BY content_id",
     "agg16_also_failed": f"WITH {_REGISTRY} SELECT footage_key, (SELECT count(*) - 1 FROM r WHERE state = 'error') AS others FROM r WHERE state = 'error'",
-    "flt11_wanted_owners": f"WITH {_REGISTRY}, k AS (SELECT footage_key FROM r WHERE item_id % 2 = 0 ORDER BY footage_key LIMIT 500) SELECT content_id, min(footage_key) AS footage_key FROM r JOIN k USING (footage_key) WHERE state = 'ready' GROUP BY content_id",
+    "flt11_wanted_owners": f"WITH {_REGISTRY}, k AS (SELECT footage_key FROM r WHERE item_id % 2 = 0) SELECT content_id, min(footage_key) AS footage_key FROM r JOIN k USING (footage_key) WHERE state = 'ready' GROUP BY content_id",
     "j1_transcript_window": _said(0.0),
     "j1_dialogue_window": _said(3.0),
     "j2_entity_window": f"WITH {_SEGMENTS.replace('{pad}', '3.0')} SELECT win.conv_id, shot_id, count(*) AS n, min(seg_id) AS first, max(seg_id) AS last FROM win JOIN g ON g.conv_id = win.conv_id AND e >= t0 AND s <= t1 GROUP BY ALL",
@@ -376,6 +377,11 @@ k AS (SELECT doc_id, w, i FROM (SELECT doc_id, unnest(w) AS w, generate_subscrip
 o AS (SELECT doc_id, string_agg(w, ' ' ORDER BY i) AS t FROM (SELECT doc_id, w, min(i) AS i FROM k GROUP BY ALL) GROUP BY doc_id)
 SELECT doc_id, length(coalesce(t, '')) AS n, md5(coalesce(t, '')) AS digest FROM documents LEFT JOIN o USING (doc_id)""",
     "agg14_keyframe": "SELECT DISTINCT l_orderkey AS content_id, l_linenumber % 2 AS shot_id, CAST(first_value(l_linenumber) OVER (PARTITION BY l_orderkey, l_linenumber % 2 ORDER BY l_quantity DESC, l_linenumber) AS BIGINT) AS frame FROM lineitem WHERE l_partkey % 9 <> 0",
+    "src1_cut_scenes": """WITH RECURSIVE f AS (SELECT CAST(event_id // 4000 AS BIGINT) AS content_id, event_id % 4000 AS frame, CASE WHEN event_id % 10 = 3 THEN value * 8 ELSE value END AS score FROM events),
+g AS (SELECT *, (sum(score) OVER (w ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING) + sum(score) OVER (w ROWS BETWEEN 1 FOLLOWING AND 2 FOLLOWING)) / 4 AS mean, count(*) OVER (w ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS n FROM f WINDOW w AS (PARTITION BY content_id ORDER BY frame)),
+k AS MATERIALIZED (SELECT content_id, frame FROM g WHERE n = 5 AND score >= 15 AND CASE WHEN abs(mean) < 1e-5 THEN 255 ELSE least(255, score / mean) END >= 3),
+c AS (SELECT DISTINCT content_id, CAST(0 AS BIGINT) AS frame FROM f UNION ALL SELECT c.content_id, min(k.frame) FROM c JOIN k ON k.content_id = c.content_id AND k.frame >= c.frame + 15 GROUP BY c.content_id)
+SELECT content_id, CAST(row_number() OVER (PARTITION BY content_id ORDER BY frame) - 1 AS INTEGER) AS scene_id, frame AS start_frame, coalesce(lead(frame) OVER (PARTITION BY content_id ORDER BY frame), (SELECT max(frame) + 1 FROM f WHERE f.content_id = c.content_id)) AS end_frame FROM c""",
     "agg15_sharpness": """WITH p AS (SELECT o_orderkey, i, j, (o_orderkey * (4 * i + j + 1)) % 251 AS x FROM orders, range(0, 4) a(i), range(0, 4) b(j)),
 n AS (SELECT * FROM (VALUES (0, 1), (0, 1), (1, 0), (1, 2), (2, 1), (2, 3), (3, 2), (3, 2)) t(place, near)),
 v AS (SELECT o_orderkey, p.i, p.j, sum(q.x) AS s FROM p JOIN n ON place = p.i JOIN p q USING (o_orderkey) WHERE q.i = near AND q.j = p.j GROUP BY ALL),

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from framewise.config import Settings
 from framewise.functions import text as T
 from framewise.functions import vectors as V
-from framewise.operators import build, captions, entities, fusion, intervals, jobs, lexical, nearest, sync
+from framewise.operators import build, captions, clusters, cuts, entities, fusion, intervals, jobs, lexical, nearest, sync
 from framewise.operators.corpus import Corpus
 from framewise.sources import adapters as A
 from framewise.sources import files
@@ -127,8 +127,11 @@ def _bm25(spark, d):
     docs = _texts(spark, d)
     post = lexical.postings_of_text(docs).persist()  # an index: read for the frequencies of all terms, then for those asked
     stats = lexical.statistics_of_postings(docs, post)
-    items = A.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(T.tokenize(F.concat_ws(" ", "text", F.substring("text", 1, 20)))).alias("term"))
-    return lexical.scores(post, stats, lexical.inverse_frequencies(post, stats), items)
+    return lexical.scores(post, stats, lexical.inverse_frequencies(post, stats), _item_terms(spark, d))
+
+
+def _item_terms(spark, d):
+    return A.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(T.tokenize(F.concat_ws(" ", "text", F.substring("text", 1, 20)))).alias("term"))
 
 
 def j6_bm25(spark, d):
@@ -294,6 +297,16 @@ def batch_search(spark, d):
     return scored.withColumn("place", F.row_number().over(order)).filter("place <= 3").select("query_id", "place", "row", _r("bm25"))
 
 
+def srt3_block_max(spark, d):
+    """The ten best rows of each query by blocks of postings: those whose greatest shares cannot reach the tenth stay closed."""
+    docs = _texts(spark, d)
+    post = lexical.postings_of_text(docs).persist()  # read for the lengths, the frequencies and the blocks
+    stats = lexical.statistics_of_postings(docs, post)
+    index = lexical.block_postings(post, stats).persist()
+    best, _ = lexical.best_scores(index, lexical.inverse_frequencies(post, stats), _item_terms(spark, d), 10)
+    return best.select("query_id", "place", "row", _r("bm25"))
+
+
 def j1_transcript_window(spark, d):
     return intervals.text_in_window(A.grid(spark, d), A.segments(spark, d), "conv_id", ("shot_id",))
 
@@ -326,9 +339,10 @@ def agg12_medoid(spark, d):
     return captions.medoids(labelled, SIZE)
 
 
-def agg11_kmeans(spark, d):
-    """Representatives of 16 clusters; clusters depend on the library's random starts, so there is no SQL."""
-    return captions.pick_representatives(A.vectors(spark, d), 16, SIZE)
+def agg11_representatives(spark, d):
+    """Representatives of every content: 16 clusters each, of a hundred shots a content; starts are drawn from hashes, so there is no SQL."""
+    shots = A.vectors(spark, d).withColumn("content_id", F.concat(F.lit("c"), F.lpad(F.floor(F.col("row") / A.PER_CONTENT).cast("string"), 15, "0")))
+    return clusters.representatives(shots, 16)
 
 
 def j10_sync_diff(spark, d):
@@ -341,8 +355,8 @@ def j11_apply_sync(spark, d):
 
 
 def flt11_wanted_owners(spark, d):
-    keys = A.registry(spark, d).filter("item_id % 2 = 0").select("footage_key").orderBy("footage_key").limit(500)
-    return sync.owners(A.registry(spark, d), [r.footage_key for r in keys.collect()]).select("content_id", "footage_key")
+    registry = A.registry(spark, d)
+    return sync.owners(registry, registry.filter("item_id % 2 = 0").select("footage_key")).select("content_id", "footage_key")
 
 
 def flt13_prune(spark, d):
@@ -483,6 +497,21 @@ def agg15_sharpness(spark, d):
     return A.table(spark, d, "orders").select("o_orderkey", F.round(build.sharpness(pixels), 4).alias("sharpness"))
 
 
+def agg15_edges(spark, d):
+    """The share of edge pixels of small frames, half of them with a bright corner."""
+    k = F.col("o_orderkey")
+    pixels = F.array(*(F.array(*(F.when((k % 2 == 0) & F.lit(i > 2 and j > 2), 250).otherwise((k * (6 * i + j + 1)) % 97).cast("int") for j in range(6))) for i in range(6)))
+    return A.table(spark, d, "orders").select("o_orderkey", F.round(build.edge_fraction(pixels), 6).alias("edges"))
+
+
+def src1_cut_scenes(spark, d):
+    """Scenes of contents of 4,000 frames each: a frame per event, its score the event's value, every tenth one eight times over."""
+    e = A.table(spark, d, "events")
+    score = F.when(F.col("event_id") % 10 == 3, F.col("value") * 8).otherwise(F.col("value"))
+    frames = e.select(F.floor(F.col("event_id") / 4000).alias("content_id"), (F.col("event_id") % 4000).alias("frame"), score.alias("score"))
+    return cuts.scenes(frames, chunk=512)
+
+
 def _stage_tables(spark, d):
     """Shots, contents, both tracks of segments, and entities, from the conversations."""
     shots = A.grid(spark, d).select(F.col("conv_id").alias("content_id"), F.col("shot_id"), F.col("t0").alias("start_time"), F.col("t1").alias("end_time"))
@@ -603,15 +632,15 @@ def src7_ready_contents(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        agg1_key_stats, agg16_also_failed, flt11_wanted_owners, fused_search, fused_search_candidates, batch_fused_search, batch_search, set1_candidates, srt3_top_scored, win1_scene_dedupe,
+        agg1_key_stats, agg16_also_failed, flt11_wanted_owners, fused_search, fused_search_candidates, batch_fused_search, batch_search, srt3_block_max, set1_candidates, srt3_top_scored, win1_scene_dedupe,
         fn1_tokenize, fn2_bm25_doc, fn4_query_entities, fn5_clean_caption, fn6_l2norm, fn8_zscore, fn8_zscore_masked, fn11_content_id,
         fn12_footage_key, fn14_safe_extension, fn16_timecode, fn18_step_number, fn19_names, win6_ngrams, win7_bigrams, win8_sentences,
-        agg2_moments, agg4_bm25_stats, agg5_vector_sum, agg6_centroid, agg7_bm25_norm, agg8_vocab, agg9_merged_vocab, agg11_kmeans,
+        agg2_moments, agg4_bm25_stats, agg5_vector_sum, agg6_centroid, agg7_bm25_norm, agg8_vocab, agg9_merged_vocab, agg11_representatives,
         agg12_medoid, agg13_quota, agg16_summaries, j1_transcript_window, j1_dialogue_window, j2_entity_window, j4_propagate, j6_bm25,
         j7_entity_score, j8_fuzzy, j8_fuzzy_words, j9_owner, j10_sync_diff, j11_apply_sync, j12_knn, j12_knn_masked, j16_stranded, j17_ocr_codes,
         prj3_owned_results, set3_removed, flt2_valid_ids, flt4_hallucination, flt7_emotions, flt12_ner_input, flt13_prune,
         win2_span_merge, win3_latest_job, win3_live_job, win4_first_owner, win5_debounce, win9_ordinal, win10_split_spans,
-        fn3_clean_entities, fn20_prompt, fn23_utc_stamp, flt5_ocr_text, agg14_keyframe, agg15_sharpness, prj1_shot_rows, j3_assembled, prj4_footage,
+        fn3_clean_entities, fn20_prompt, fn23_utc_stamp, flt5_ocr_text, agg14_keyframe, agg15_sharpness, agg15_edges, src1_cut_scenes, prj1_shot_rows, j3_assembled, prj4_footage,
         prj6_status, prj8_canonical, prj9_cards, src6_corpus_order, st2_lifecycle, st3_cancel, st5_handoff, st6_calls, st4_upload, st9_recover, st10_library_state, st11_screen, srt7_step_order, snk9_layers, src7_ready_contents,
     )
 }
