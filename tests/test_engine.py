@@ -77,7 +77,7 @@ def test_results_with_owners(spark, tmp_path):
     engine.save(IDS[2], _shots(spark, enc, ["the skagen nobody owns"]))
     row = lambda key, content, state: (key, f"/takes/{key}", content, 1, 1, 1, 25.0, 2, state, 1, 1.0, None, None, None)
     registry = [row("b", IDS[0], "ready"), row("a", IDS[0], "ready"), row("c", IDS[1], "ready"), row("d", IDS[2], "stale")]
-    files.write_registry(spark.createDataFrame(registry, schemas.REGISTRY), f"{tmp_path}/registry/v=1")
+    engine._registry.replace(spark.createDataFrame(registry, schemas.REGISTRY))
     found = engine.find("skagen ferry").collect()
     assert len(found) == 9 and {(r.content_id, r.footage_key, r.source_path) for r in found} == {(IDS[0], "a", "/takes/a"), (IDS[1], "c", "/takes/c")}
     assert [r.score for r in found] == sorted((r.score for r in found), reverse=True)
@@ -187,8 +187,8 @@ def test_sync_and_quota(spark, tmp_path):
         engine.sync(snap(4))
     assert engine.footage().count() == 3 and len(engine.sync(snap(4), "pro")["added"]) == 1
     assert len(engine.sync(snap(4))["unchanged"]) == 4  # nothing new, so over the plan it passes
-    (tmp_path / "registry" / "v=9").mkdir()
-    (tmp_path / "registry" / "v=9" / "part-0.parquet").write_bytes(b"torn")
+    (tmp_path / "registry" / "change-torn").mkdir()
+    (tmp_path / "registry" / "change-torn" / "part-0.parquet").write_bytes(b"torn")
     assert engine.footage().count() == 4 and len(engine.sync(snap(2), "pro")["removed"]) == 2
 
 
@@ -229,3 +229,32 @@ def test_stream_goes_on_after_a_torn_version(spark, tmp_path):
     (root / "registry" / "v=1" / "part-0.parquet").write_bytes(b"torn")
     sync_stream(event_stream(spark, str(folder)), str(root), str(tmp_path / "cp")).awaitTermination(120)
     assert files.read_registry(spark, f"{root}/registry/v=1").count() == 1
+
+
+def test_a_sync_writes_what_it_changed(spark, tmp_path):
+    """One footage in a hundred drifts twice: both syncs write about a hundredth of the bytes, and the registry is that of whole rewrites."""
+    from framewise.functions import text as T
+    from framewise.operators import sync
+    from framewise.sources.registry import Registry
+    from pyspark.sql import functions as F
+
+    registry = Registry(spark, str(tmp_path / "r"))
+    assert registry.read().collect() == []
+    snap = lambda size: spark.range(20_000).select(F.concat(F.lit("/takes/"), "id").alias("path"), F.when(F.col("id") % 100 == 7, size).otherwise(10).cast("long").alias("size"), F.lit(5).cast("long").alias("mtime_ns"), F.col("id").alias("item_id"), F.lit(25.0).alias("frame_rate")).withColumn("footage_key", T.footage_key(F.col("path")))
+    empty = registry.read()
+    registry.replace(sync.apply(snap(10), sync.diff(snap(10), empty), empty))
+    size = lambda: sum(p.stat().st_size for p in (tmp_path / "r").rglob("*.parquet"))
+    whole, plain = size(), registry.read().collect()
+    for n in (1, 2):
+        before = registry.read()
+        assert registry.merge(sync.apply(snap(11), sync.diff(snap(11), before), before), before) == 200
+        assert len(registry.manifest()["changes"]) == n and size() - whole < 0.03 * n * whole
+        old = spark.createDataFrame(plain, schemas.REGISTRY)
+        plain = sync.apply(snap(11), sync.diff(snap(11), old), old).collect()
+        assert sorted(map(str, registry.read().collect())) == sorted(map(str, plain))
+    before = registry.read()
+    assert registry.merge(before, before) == 0 and len(registry.manifest()["changes"]) == 2
+    (tmp_path / "r" / "change-torn").mkdir()
+    assert registry.merge(before.withColumn("item_id", F.lit(-1).cast("long")), before) == 20_000  # as much as the base: a new base
+    assert registry.manifest()["changes"] == [] and len([p for p in (tmp_path / "r").iterdir() if p.is_dir()]) == 1
+    assert registry.read().filter("item_id = -1").count() == 20_000
