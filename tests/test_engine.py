@@ -7,6 +7,7 @@ from framewise.encoders import DeterministicEncoder
 from framewise.engine import Engine, Rejected
 from framewise.sources import files
 from framewise.streaming.snapshots import event_stream, sync_once, sync_stream
+from pyspark.sql import functions as F
 
 
 IDS = ["0" * 15 + c for c in "abc"]
@@ -52,6 +53,16 @@ def test_indexing_anew_replaces_and_is_seen(spark, tmp_path):
     assert engine.ready_contents().count() == 2
 
 
+def test_vectors_of_texts(spark, tmp_path):
+    enc = DeterministicEncoder(16)
+    engine = Engine(spark, str(tmp_path), enc, size=16)
+    lines = ["the ferry leaves", "a quiet harbour", "gulls over the mill"]
+    rows = engine.embedded(_shots(spark, enc, lines).withColumn("caption", F.when(F.col("shot_id") > 0, F.col("caption")))).orderBy("shot_id").collect()
+    assert [r.d for r in rows] == [v.tolist() for v in enc.text(lines)]
+    assert [r.c for r in rows] == [v.tolist() for v in enc.text(["", *(f"a {x.split()[1]} scene" for x in lines[1:])])]
+    assert engine.embedded(_shots(spark, enc, [])).collect() == []
+
+
 def test_builds_are_kept_apart(spark, tmp_path):
     """A build that was stopped before its contents were written is never read, and goes with the next one; two builds of one
     second are told apart."""
