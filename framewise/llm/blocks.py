@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 from .common import fresh, mapped, materialize
 
-#: Bytes of text in a block, as soon as which it is closed.
-BLOCK_BYTES = 8 << 20
+#: Bytes of text in a block, as soon as which it is closed, and documents that go to a Python worker at once.
+BLOCK_BYTES, ROWS_AT_ONCE = 4 << 20, 1_000
 
 
 def _as_bytes(column: pa.Array) -> pa.Array:
@@ -61,7 +61,7 @@ def packed(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
             yield row(held, n)
 
     rows = docs.select(*[docs[c] for c in docs.columns], docs["doc_id"].try_cast("long").alias(fresh(docs, "id")))
-    return materialize(mapped(rows, pack, "block long, n_bytes long, data binary"), "blocks")
+    return materialize(mapped(rows, pack, "block long, n_bytes long, data binary"), "blocks", rows=ROWS_AT_ONCE)
 
 
 class Block:

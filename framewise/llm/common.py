@@ -42,17 +42,31 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
 #: Spark's setting that removes the shuffle files of a query as soon as it has ended.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Spark's setting of how many rows are sent to a Python worker at once.
+_BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Cut the lineage: write df as Parquet in the shared folder and read it again. The write's shuffle files go at once."""
-    spark = df.sparkSession
-    path, before = scratch_path(spark, label), spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
+@contextlib.contextmanager
+def _with_settings(spark: SparkSession, settings: dict[str, str]) -> Iterator[None]:
+    before = {key: spark.conf.get(key, None) for key in settings}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
     try:
-        df.write.parquet(path)
+        yield
     finally:
-        spark.conf.set(_CLEANUP, before) if before is not None else spark.conf.unset(_CLEANUP)
+        for key, value in before.items():
+            spark.conf.set(key, value) if value is not None else spark.conf.unset(key)
+
+
+def materialize(df: DataFrame, label: str, rows: int | None = None) -> DataFrame:
+    """Cut the lineage: write df as Parquet in the shared folder and read it again. The write's shuffle files go at once.
+
+    rows: how many rows go to a Python worker at once meanwhile, where they are large.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, label)
+    with _with_settings(spark, {_CLEANUP: "true"} | ({_BATCH_ROWS: str(rows)} if rows else {})):
+        df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path
     return out

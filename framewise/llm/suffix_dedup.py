@@ -44,6 +44,8 @@ from .common import mapped, materialize, reading, table, trimmed
 LENGTH, TRIGGER = 50, 24
 #: Bytes of text whose triggers and phrases make a bucket, on average.
 BUCKET_BYTES = 8 << 20
+#: Blocks, or a block's parts for a bucket, that go to a Python worker at once.
+ROWS_AT_ONCE = 4
 #: Documents that may hold a trigger before its phrases are cut into single strings.
 HOT = 256
 #: Places where the strings of one trigger can start, and the bytes from the first one's start to the last one's end.
@@ -263,7 +265,7 @@ def shared_triggers(blocks: DataFrame, at: int, buckets: int) -> DataFrame:
             yield _batch([(name, bucket, _squeeze(states[k[i] : k[i + 1]]), first[t[i] : t[i + 1]].tobytes())], _STATES)
 
     sent = mapped(blocks.select("block", "data"), send, _SENT)
-    return materialize(sent.groupBy("bucket").applyInArrow(meet, _STATES), "trigger-states")
+    return materialize(sent.groupBy("bucket").applyInArrow(meet, _STATES), "trigger-states", rows=ROWS_AT_ONCE)
 
 
 class Dictionary:
@@ -430,7 +432,7 @@ def repeats(blocks: DataFrame, states: DataFrame, at: int, buckets: int) -> Data
                 yield _batch([(name, bucket, _squeeze((entry[own] - offsets[i]).astype(np.int32)), _squeeze(span[own]), _squeeze(origin[own]))], _REPEATS)
 
     sent = mapped(answered(blocks.select("block", "data"), states), send, _ENTRIES)
-    return materialize(sent.groupBy("bucket").applyInArrow(meet, _REPEATS), "repeats")
+    return materialize(sent.groupBy("bucket").applyInArrow(meet, _REPEATS), "repeats", rows=ROWS_AT_ONCE)
 
 
 def removed(block: Block, states: list[dict], found: list[dict], buckets: int) -> np.ndarray:

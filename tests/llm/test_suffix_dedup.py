@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from framewise.llm import suffix_dedup as sd
 
@@ -111,3 +112,30 @@ def test_deduplicated_texts(spark):
     df = spark.createDataFrame([(r[1], r[0], 2.5) for r in rows], "text string, doc_id long, _x double")
     out = {r.doc_id: r.text for r in sd.deduplicated(df).collect()}
     assert out == {1: rows[0][1], 2: rows[1][1], 3: "Béend", 4: None, 5: ""}
+
+
+def test_workers_hold_few_blocks_at_once(spark, monkeypatch):
+    """Blocks close after 4 MB of text, and only a few go to a Python worker in one batch; the session's own setting stays."""
+    from framewise.llm import blocks, common
+
+    key, asked = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+    before, materialize = spark.conf.get(key), common.materialize
+
+    def watched(df, label, rows=None):
+        asked.append((label, rows))
+        return materialize(df, label, rows)
+
+    monkeypatch.setattr(sd, "materialize", watched)
+    monkeypatch.setattr(blocks, "materialize", watched)
+    texts = [chr(97 + i) * 2_500_000 for i in range(4)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
+    assert blocks.packed(docs).count() == 2
+
+
+    def count(batches):
+        yield from (pa.RecordBatch.from_pydict({"n": pa.array([b.num_rows], pa.int64())}) for b in batches)
+
+    sizes = spark.range(20, numPartitions=1).mapInArrow(count, "n long")
+    assert {r.n for r in materialize(sizes, "sizes", rows=4).collect()} == {4} and spark.conf.get(key) == before
+    sd.report(docs.limit(1)).collect()
+    assert {label: rows for label, rows in asked} == {"blocks": 1_000, "trigger-states": 4, "repeats": 4}
