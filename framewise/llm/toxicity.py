@@ -101,6 +101,37 @@ class Margins:
             yield list(map(get, ws))
 
 
+class Hits:
+    """Which windows of one length are toxic under each of several parts. Most share no string with what any toxic text added
+    and are told at once for all parts; recent windows are not judged again."""
+
+    def __init__(self, parts: list[Part]):
+        self.parts = [(Margins(p.toxic, p.ordinary), p.threshold) for p in parts]
+        self.strings = {s for m, _ in self.parts for s in m.strings}
+        self.judged: set[bytes] = set()
+        self.toxic: dict[bytes, list[int]] = {}
+
+    def of(self, found: list[list[bytes]]) -> np.ndarray:
+        """How many windows of each text (a row) are toxic under each part (a column)."""
+        used = set().union(*found)
+        missing = used - self.judged
+        if len(self.judged) + len(missing) > CACHE_ENTRIES:
+            self.judged = used - missing
+            self.toxic = {w: own for w, own in self.toxic.items() if w in self.judged}
+        strings = self.strings
+        for w in missing:
+            padded = b" " + w + b" "
+            if any(padded[i : i + SHARED] in strings for i in range(len(padded) - SHARED + 1)):
+                if own := [k for k, (margins, threshold) in enumerate(self.parts) if margins.margin(w) >= threshold]:
+                    self.toxic[w] = own
+        self.judged |= missing
+        out = np.zeros((len(found), len(self.parts)), np.int64)
+        for row, ws in enumerate(found):
+            for w in filter(self.toxic.__contains__, ws):
+                out[row, self.toxic[w]] += 1
+        return out
+
+
 def train(samples: list[bytes], size: int) -> bytes:
     """A zstandard dictionary of the samples; b"" where they are too few to train on."""
     try:
@@ -269,18 +300,17 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
-        margins = [(part, Margins(part.toxic, part.ordinary)) for part in m.parts]
+        parts_of = {words: [p for p in m.parts if p.words == words] for words in {p.words for p in m.parts}}
+        hits_of = {words: Hits(parts) for words, parts in parts_of.items()}
         with no_gc():
             for batch in slices(batches, 1_000):
                 texts = binary_column(batch, "text")
                 excess = np.zeros(len(texts))
-                for words in {part.words for part in m.parts}:
+                for words, parts in parts_of.items():
                     found = [windows(t, words) for t in texts]
                     n = np.maximum([len(ws) for ws in found], 1)
-                    for part, own in margins:
-                        if part.words == words:
-                            hits = np.array([sum(x >= part.threshold for x in ms) for ms in own.of(found)], np.int64)
-                            excess = np.maximum(excess, 1000.0 * hits / n / part.limit)
+                    for part, hits in zip(parts, hits_of[words].of(found).T, strict=True):
+                        excess = np.maximum(excess, 1000.0 * hits / n / part.limit)
                 scores = np.array(m.scores)[excess_bin(excess)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores), pa.array(excess)], names=["doc_id", "score", "excess"])
 

@@ -114,6 +114,19 @@ def test_margins_need_a_shared_string():
     assert found[0][0] >= 3 and found[0][1] == 0 and found[1] == [] and found[2][0] >= 3 and found[2][1] == 0
 
 
+def test_windows_are_judged_once_for_all_parts(monkeypatch):
+    parts = [toxicity.Part(b" blockhead  nitwit ", b" ordinary  words ", 1, 3), toxicity.Part(b" scoundrel  nitwit ", b" ordinary  words ", 1, 2)]
+    texts = [toxicity.windows(t) for t in (b"a Blockhead and a nitwit and a nitwit", b"", b"ordinary words", b"scoundrel nitwits")]
+    want = [[sum(m >= p.threshold for m in ms) for ms in toxicity.Margins(p.toxic, p.ordinary).of(texts)] for p in parts]
+    judged, margin = [], toxicity.Margins.margin
+    monkeypatch.setattr(toxicity.Margins, "margin", lambda self, w: judged.append(w) or margin(self, w))
+    hits = toxicity.Hits(parts)
+    assert hits.of(texts).T.tolist() == want == hits.of(texts).T.tolist() and sum(want[0]) > 0 < sum(want[1])
+    assert sorted(set(judged)) == [b"blockhead", b"nitwit", b"nitwits", b"scoundrel"] and len(judged) == 8
+    monkeypatch.setattr(toxicity, "CACHE_ENTRIES", 2)
+    assert [toxicity.Hits(parts).of([t])[0].tolist() for t in texts] == hits.of(texts).tolist()
+
+
 def test_passages_are_what_toxic_documents_share():
     rng = random.Random(4)
     plain = lambda: " ".join(rng.choice(["alder", "birch", "cedar", "elm", "fir", "oak"]) for _ in range(40))
