@@ -271,3 +271,33 @@ def test_signature_ignores_ranking():
     assert base.signature() == config.Settings(w_visual=0.9, candidates=3).signature() != config.Settings(max_shot_sec=5.0).signature()
     assert config.from_environment(environ={"FRAMEWISE_MAX_SHOT_SEC": "5", "FRAMEWISE_DEDUPE_SCENES": "no"}) == config.Settings(max_shot_sec=5.0, dedupe_scenes=False)
     assert abs(sum(base.weights.values()) - 1.05) < 1e-12
+
+
+def test_bm25_of_a_block_holds_few_shots_at_once():
+    """The products of all shots of a block and all terms of a set of queries are never held together."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+    from framewise.operators import corpus as C
+
+    rng = np.random.default_rng(2)
+    n, terms, average = 2_048, [f"w{i}" for i in range(2_000)], 20.0
+    tokens = [[f"w{k}" for k in rng.integers(0, 2_500, rng.integers(0, 40))] for _ in range(n)]
+    rest, sink = pa.table({"tokens": pa.array(tokens, pa.list_(pa.string()))}), pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rest.schema) as out:
+        out.write_table(rest)
+    weights = rng.random((len(terms), 3))
+    asked = C._Asked([0, 1, 2], terms, weights, [], np.zeros((0, 3)), np.zeros(3), {}, {})
+    block = C.Block(0, pa.scalar(sink.getvalue().to_pybytes(), pa.binary()))
+    tracemalloc.start()
+    got = asked.bm25(block, average)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 32 << 20
+    for i in (0, 255, 256, 2_047):
+        want = np.zeros(3)
+        for t in {t for t in tokens[i] if int(t[1:]) < len(terms)}:
+            tf = tokens[i].count(t)
+            want += weights[int(t[1:])] * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(tokens[i]) / average))
+        assert got[i] == pytest.approx(want, abs=1e-9)
