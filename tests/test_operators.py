@@ -301,3 +301,30 @@ def test_bm25_of_a_block_holds_few_shots_at_once():
             tf = tokens[i].count(t)
             want += weights[int(t[1:])] * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(tokens[i]) / average))
         assert got[i] == pytest.approx(want, abs=1e-9)
+
+
+def test_postings_of_wanted_terms_keep_lengths_and_scores(spark, tmp_path):
+    """An index of wanted terms alone ranks as one of all; postings of other terms are not stored."""
+    import random
+
+    from framewise.operators import lexical
+    from framewise.plans import queries as Q
+
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice(["alpha", "beta", "the", "ab漢字", "ab"] + [f"w{i}" for i in range(90)]) for _ in range(rng.randint(0, 50))) for _ in range(300)]
+    rows = [(i // 2 if i < 6 else i, t) for i, t in enumerate([*texts, None])]  # some rows share an id
+    docs = spark.createDataFrame(rows, "row long, text string")
+    every = lexical.postings_of_text(docs)
+    wanted = lexical.postings_of_terms(docs, spark.createDataFrame([(t,) for t in ("w1", "w1", "ab", "b漢", "nowhere")], "term string"))
+    known = {(r.row, r.term): r.tf for r in every.collect()}
+    own = {(r.row, r.term): r.tf for r in wanted.collect() if r.term is not None}
+    assert own == {k: n for k, n in known.items() if k[1] in ("w1", "ab", "b漢")} and len(own) < len(known) / 5
+    assert sorted(map(tuple, lexical.lengths(wanted).collect())) == sorted(map(tuple, lexical.lengths(every).collect()))
+    assert lexical.statistics_of_postings(docs, wanted).first() == lexical.statistics_of_postings(docs, every).first()
+    docs.withColumnRenamed("row", "doc_id").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, "w1 w2 alpha"), (1, "ab漢 the w3"), (2, "nowhere")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {(r.query_id, r.place): (r.row, r.bm25) for r in Q.srt3_block_max(spark, str(tmp_path)).collect()}
+    ranked = {}
+    for r in Q.agg7_bm25_norm(spark, str(tmp_path)).collect():
+        ranked.setdefault(r.query_id, []).append((-r.bm25, r.row))
+    assert {k: b for k, (_, b) in got.items()} == {(q, i + 1): -b for q, found in ranked.items() for i, (b, _) in enumerate(sorted(found)[:10])}
