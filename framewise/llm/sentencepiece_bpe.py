@@ -8,8 +8,8 @@ it. Two tokens stay apart if, while both are put together from characters in ord
 ever comes first. The ids then follow backwards from the whole text's last token. Nothing is merged at encoding time.
 
 Pieces that the model's own merges never form are left out of the automaton. Characters without a piece become the ids of
-their bytes. Text is cut before each run of blanks and around line ends, where no piece of the model reaches across, and
-the parts are kept in a bounded cache of each worker.
+their bytes. Text is cut where no piece of the model reaches across: before each run of blanks, around line ends, and between
+characters (letters and marks, say) that no chain of neighbours in pieces joins. The parts are kept in a bounded cache of each worker.
 
 Defined results: a null or empty text has no ids and decodes to the empty text; a "▁" written in a text decodes to a blank,
 as the library does; rows that share a doc_id are encoded each on its own; an empty table gives no rows; other columns are
@@ -19,11 +19,13 @@ ignored. Models of another type, with user-defined or unused pieces, with a char
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import re
+from collections import defaultdict
+from collections.abc import Callable, Iterable, Iterator
+from itertools import pairwise
 
 import ahocorasick
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import mapped, no_gc, slices, table
@@ -67,6 +69,35 @@ def fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
         at += size
 
 
+def alphabets(pieces: Iterable[str]) -> list[str]:
+    """Characters that neighbours in pieces join, directly or through others; those that stay alone are left out."""
+    above: dict[str, str] = {}
+
+    def top(c: str) -> str:
+        while (up := above.setdefault(c, c)) != c:
+            above[c] = above[up]
+            c = above[c]
+        return c
+
+    for p in pieces:
+        for a, b in pairwise(p):
+            above[top(a)] = top(b)
+    groups = defaultdict(list)
+    for c in above:
+        groups[top(c)].append(c)
+    return ["".join(sorted(g)) for g in sorted(groups.values(), key=len, reverse=True) if len(g) > 1]
+
+
+class _Kept(dict):
+    """Answers by key; `ask` is called for one that is missing, and may keep it here."""
+
+    def __init__(self, ask: Callable):
+        self.ask = ask
+
+    def __missing__(self, key):
+        return self.ask(key)
+
+
 class PrefixTokenizer:
     """Encodes and decodes as the model file says."""
 
@@ -93,6 +124,9 @@ class PrefixTokenizer:
         self.controls = {i for i, (*_, kind) in enumerate(pieces) if kind == CONTROL}
         self.byte_ids = [i for _, i in sorted((int(p[1:-1], 16), i) for i, (p, _, kind) in enumerate(pieces) if kind == BYTE)]
         self.byte_of = {i: b for b, i in enumerate(self.byte_ids)}
+        #: what an id spells by itself, and how it is written; bytes spell nothing by themselves
+        self.spelling = {i: "" if i in self.controls else p.replace(BLANK, " ") for i, p in enumerate(self.pieces) if i not in self.byte_of}
+        self.names = [str(i) for i in range(len(pieces))]
         order = {s: r for r, s in enumerate(sorted({s for _, s, kind in pieces if kind == NORMAL}, reverse=True))}
         #: piece -> its place in the order of merges; pieces of equal score share one
         self.rank = {p: order[s] for p, s, kind in pieces if kind == NORMAL and len(p) > 1}
@@ -103,11 +137,13 @@ class PrefixTokenizer:
             if self._formed(p):
                 self.automaton.add_word(p, p)
         self.automaton.make_automaton()
-        inner = any(b == BLANK != a for p in self.ids for a, b in zip(p, p[1:], strict=False))
+        inner = any(b == BLANK != a for p in self.ids for a, b in pairwise(p))
         line = "\n" if not any("\n" in p for p in self.ids) else ""
-        self.cut = regex.compile(r"(?s).+" if inner else rf"{BLANK}*[^{BLANK}{line}]+|{BLANK}+|[{line or BLANK}]")
-        self.apart: dict[tuple[str, str], bool] = {}
-        self.cache: dict[str, tuple[str, str, int]] = {}
+        joined = alphabets(p.lstrip(BLANK) for p in self.ids)
+        runs = [*(f"[{re.escape(a)}]+" for a in joined), f"[^{re.escape(BLANK + line + ''.join(joined))}]+"]
+        self.cut = re.compile(r"(?s).+" if inner else rf"{BLANK}*(?:{'|'.join(runs)})|{BLANK}+|[{line or BLANK}]")
+        self.apart: dict[tuple[str, str], bool] = _Kept(self._judge)
+        self.cache: dict[str, tuple[str, str]] = _Kept(self._entry)
 
     def _formed(self, piece: str) -> bool:
         """Whether the merges make a piece of its own characters; if so, note the parts at both its ends, each with the rank
@@ -134,55 +170,64 @@ class PrefixTokenizer:
         The parts on either side of the border are followed in the order in which merges take them up. At one rank, merges
         inside a come before one across the border, and that one before merges inside b: the first from the left wins.
         """
-        found = self.apart.get((a, b))
-        if found is None:
-            ends, starts = self.right.get(a, [(a, _NEVER)]), self.left.get(b, [(b, _NEVER)])
-            i = j = 0
-            found = True
-            while True:
-                (x, x_until), (y, y_until) = ends[i], starts[j]
-                across = self.rank.get(x + y, _NEVER)
-                if across < x_until and across <= y_until and across < _NEVER:
-                    found = False
-                    break
-                if x_until == y_until == _NEVER:
-                    break
-                if x_until <= y_until:
-                    i += 1
-                else:
-                    j += 1
-            if len(self.apart) >= PAIR_ENTRIES:
-                self.apart.clear()
-            self.apart[a, b] = found
+        return self.apart[a, b]
+
+    def _judge(self, pair: tuple[str, str]) -> bool:
+        a, b = pair
+        ends, starts = self.right.get(a, [(a, _NEVER)]), self.left.get(b, [(b, _NEVER)])
+        i = j = 0
+        found = True
+        while a:  # nothing is merged with the emptiness before a text
+            (x, x_until), (y, y_until) = ends[i], starts[j]
+            across = self.rank.get(x + y, _NEVER)
+            if across < x_until and across <= y_until and across < _NEVER:
+                found = False
+                break
+            if x_until == y_until == _NEVER:
+                break
+            if x_until <= y_until:
+                i += 1
+            else:
+                j += 1
+        if len(self.apart) >= PAIR_ENTRIES:
+            self.apart.clear()
+        self.apart[pair] = found
         return found
 
     def tokens(self, part: str) -> list[str]:
         """The tokens of normalised text: the last one of each prefix, then those that the whole text's lead back to."""
-        last: list[str | None] = [None] * (len(part) + 1)
-        for end, token in self.automaton.iter(part):
-            end += 1
-            if last[end] is None:
-                at = end - len(token)
-                # a character that no piece holds is matched by nothing, and is its own last token
-                if at == 0 or self.stay_apart(last[at] or part[at - 1], token):
+        # by a prefix's last place, and "" for the emptiness before all; a character that no piece holds is its own last token
+        last: list[str | None] = [None] * len(part)
+        last.append("")
+        apart, found = self.apart, -1
+        for end, token in self.automaton.iter(part):  # of one end, the longest first
+            if end != found:
+                before = last[end - len(token)]
+                if before is None:
+                    before = part[end - len(token)]
+                if apart[before, token]:
                     last[end] = token
-        out, end = [], len(part)
-        while end:
-            out.append(last[end] or part[end - 1])
+                    found = end
+        out, end = [], len(part) - 1
+        while end >= 0:
+            out.append(last[end] or part[end])
             end -= len(out[-1])
-        return out[::-1]
+        out.reverse()
+        return out
 
     def encode_part(self, part: str) -> list[int]:
-        out: list[int] = []
-        for token in self.tokens(part):
-            if (i := self.ids.get(token)) is not None:
-                out.append(i)
-            else:
-                out += [self.byte_ids[b] for b in token.encode()]
-        return out
+        tokens = self.tokens(part)
+        try:
+            return [self.ids[token] for token in tokens]
+        except KeyError:  # some character is spelt in bytes
+            return [i for token in tokens for i in ([self.ids[token]] if token in self.ids else [self.byte_ids[b] for b in token.encode()])]
 
     def spelt(self, ids: list[int]) -> str:
         """What ids spell: runs of bytes are read as UTF-8, marks become blanks, controls vanish."""
+        try:
+            return "".join([self.spelling[i] for i in ids])
+        except KeyError:  # some are bytes
+            pass
         out, held = [], bytearray()
         for i in ids:
             if (b := self.byte_of.get(i)) is not None:
@@ -191,8 +236,7 @@ class PrefixTokenizer:
             if held:
                 out.append(held.decode("utf-8", "replace"))
                 held.clear()
-            if i not in self.controls:
-                out.append(self.pieces[i].replace(BLANK, " "))
+            out.append(self.spelling[i])
         return "".join(out) + held.decode("utf-8", "replace")
 
     def decode(self, ids: list[int]) -> str:
@@ -201,32 +245,29 @@ class PrefixTokenizer:
         first = next((i for i in ids if i not in self.controls), None)
         return text[1:] if self.prefix and first is not None and self.pieces[first].startswith(BLANK) else text
 
-    def _entry(self, part: str) -> tuple[str, str, int]:
+    def _entry(self, part: str) -> tuple[str, str]:
+        """The ids of a part, as text, and what they spell."""
         ids = self.encode_part(part)
-        return ",".join(map(str, ids)), self.spelt(ids), len(ids)
-
-    def _entries(self, text: str) -> list[tuple[str, str, int]]:
-        cache, out = self.cache, []
-        for part in self.cut.findall(self.prefix + text.replace(" ", BLANK)):
-            entry = cache.get(part)
-            if entry is None:
-                entry = self._entry(part)
-                if len(part) <= CACHED_CHARS:
-                    if len(cache) >= CACHE_ENTRIES:
-                        cache.clear()
-                    cache[part] = entry
-            out.append(entry)
-        return out
+        entry = ",".join([self.names[i] for i in ids]), self.spelt(ids)
+        if len(part) <= CACHED_CHARS:
+            if len(self.cache) >= CACHE_ENTRIES:
+                self.cache.clear()
+            self.cache[part] = entry
+        return entry
+
+    def _entries(self, text: str) -> list[tuple[str, str]]:
+        return list(map(self.cache.__getitem__, self.cut.findall(self.prefix + text.replace(" ", BLANK))))
 
     def digests(self, text: str | None) -> tuple[int, str, str]:
         """Number of ids, and digests of the ids and of the decoded text."""
         found = self._entries(text) if text else []
-        decoded = "".join([d for _, d, _ in found])
+        ids = ",".join([i for i, _ in found])
+        decoded = "".join([d for _, d in found])
         decoded = decoded[1:] if found and self.prefix else decoded
-        return sum(n for *_, n in found), hashlib.sha256(",".join([i for i, *_ in found]).encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
+        return ids.count(",") + bool(ids), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
 
     def encode(self, text: str | None) -> list[int]:
-        return [int(x) for ids, *_ in (self._entries(text) if text else []) for x in ids.split(",")]
+        return [int(x) for ids, _ in (self._entries(text) if text else []) for x in ids.split(",")]
 
 
 _LOADED: dict[bytes, PrefixTokenizer] = {}

@@ -66,6 +66,37 @@ def test_caches_stay_bounded(own, library, monkeypatch):
         assert len(own.cache) <= 50 and len(own.apart) <= 50
 
 
+def test_words_are_encoded_apart_from_the_marks_around_them(own, library, monkeypatch):
+    words, marks = [f"w{a}{b}" for a in "abcdefghij" for b in "klmno"], [".", ",", "!", "%%%", "###", "(", '"', "…", "7", "東"]
+    seen, encode_part = [], own.encode_part
+    monkeypatch.setattr(own, "encode_part", lambda part: seen.append(part) or encode_part(part))
+    own.cache.clear()
+    for mark in marks:
+        text = " ".join(w + mark for w in words)
+        assert own.encode(text) == library.encode(text)
+    assert len(seen) == len(words) + len(marks)
+
+
+def test_no_piece_reaches_across_a_cut(own, library):
+    assert all(own.cut.findall(p) == [p] for p in own.ids)
+    rng = random.Random(11)
+    signs = ["a", "er", "É", "ß", "ж", "ии", "г", "ω", "ا", "ال", "取获", "一个", "据数", "가", "🙂", "\u0301", "\u00a0", "1", "20", ".", "...", "])", "-", "^", "\\", "&&", "||", "~~", "’", "…", "·", " ", "   ", "▁", "\n", "\r\n", "\t"]
+    for _ in range(3000):
+        text = "".join(rng.choice(signs) for _ in range(rng.randint(1, 40)))
+        assert "".join(own.cut.findall(text)) == text
+        assert own.encode(text) == library.encode(text), text
+        assert own.decode(own.encode(text)) == library.decode(library.encode(text)), text
+
+
+def test_alphabets():
+    assert S.alphabets(["ab", "c", "bc", "x", "yz", "z"]) == ["abc", "yz"]
+    chain = "".join(map(chr, range(0x100, 0x300)))
+    pairs = [a + b for a, b in itertools.pairwise(chain)]
+    random.Random(1).shuffle(pairs)
+    assert S.alphabets(pairs) == [chain]
+    assert S.alphabets([]) == []
+
+
 def test_other_models_are_refused(own):
     with pytest.raises(ValueError):
         S.PrefixTokenizer(b"\x0a\x05\x0a\x01a\x18\x01")
