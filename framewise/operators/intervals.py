@@ -39,8 +39,8 @@ def text_in_window(spans: DataFrame, segments: DataFrame, key: str, ids: tuple[s
 
 
 def merge_spans(spans: DataFrame, key: str) -> DataFrame:
-    """key, start, end and score: spans that touch or overlap made one, the greatest score kept."""
-    order = Window.partitionBy(key).orderBy("start", "end")
+    """key, start, end and score: spans that touch or overlap made one, the greatest score kept. Unknown ends come last."""
+    order = Window.partitionBy(key).orderBy(F.asc_nulls_last("start"), F.asc_nulls_last("end"))
     before = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     island = F.sum(F.when(F.col("start") <= before, 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0))
     return spans.withColumn("_island", island).groupBy(key, "_island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.max("score").alias("score")).drop("_island")

@@ -97,3 +97,17 @@ def test_equal_neighbours_go_by_row(spark, monkeypatch):
     assert got == sorted((q, round(c), r) for q, c, r in want)
     assert nearest.of_each(rows, queries.limit(0), 3).collect() == []
     assert nearest.nearest_one(rows, queries.limit(0).selectExpr("query_id AS target", "q AS v")).collect() == []
+
+
+def test_spans_without_an_end_are_merged(spark, tmp_path):
+    """An end that is not known hides no other span's; equal spans are one, in whatever order they come."""
+    import duckdb
+    from framewise.plans import oracles
+
+    rows = [(1, 1, None, 0.1), (1, 1, 15.0, 0.2), (1, 2, None, 0.5), (1, 2, 3.0, 0.3), (2, 1, 15.0, 0.1), (2, 1, 15.0, 0.4), (2, 1, 6.0, 0.0), (3, 4, None, 0.2)]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_quantity double, l_discount double").coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = sorted(map(tuple, Q.win2_span_merge(spark, str(tmp_path)).collect()))
+    assert got == [(1, 10.0, 15.0, 0.2), (1, 20.0, 21.0, 0.5), (2, 10.0, 15.0, 0.4), (3, 40.0, None, 0.2)]
+    own = duckdb.connect(config={"threads": 1})
+    own.sql(f"CREATE VIEW lineitem AS FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    assert got == sorted(own.sql(oracles.ORACLE_SQL["win2_span_merge"]).fetchall())
