@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from framewise.config import Settings
 from framewise.functions import text as T
 from framewise.functions import vectors as V
-from framewise.operators import build, captions, clusters, cuts, entities, fusion, intervals, jobs, lexical, nearest, sync
+from framewise.operators import blockmax, build, captions, clusters, cuts, entities, fusion, intervals, jobs, lexical, nearest, sync
 from framewise.operators.corpus import Corpus
 from framewise.sources import adapters as A
 from framewise.sources import files
@@ -298,16 +298,8 @@ def batch_search(spark, d):
 
 
 def srt3_block_max(spark, d):
-    """The ten best rows of each query by blocks of postings: those whose greatest shares cannot reach the tenth stay closed.
-    Of terms that no query asks for, only lengths and frequencies are kept, not their postings."""
-    docs, asked = _texts(spark, d), _item_terms(spark, d)
-    post = lexical.postings_of_terms(docs, asked).persist()  # read for the lengths, the statistics and the blocks
-    stats = lexical.statistics_of_postings(docs, post)
-    frequencies = lexical.document_frequencies(lexical.postings_of_text(docs)).persist()  # a row a term, read for the mean and for those asked
-    wanted = post.join(lexical.lengths(post), "row").filter("term IS NOT NULL")
-    index = lexical.block_postings(wanted, stats).persist()
-    best, _ = lexical.best_scores(index, lexical.weighed(frequencies, stats), asked, 10)
-    return best.select("query_id", "place", "row", _r("bm25"))
+    """The ten best rows of each query by blocks of rows: those whose greatest shares cannot reach the tenth stay closed."""
+    return blockmax.best_of_texts(_texts(spark, d), _item_terms(spark, d), 10).select("query_id", "place", "row", _r("bm25"))
 
 
 def j1_transcript_window(spark, d):
