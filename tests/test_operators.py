@@ -328,3 +328,23 @@ def test_postings_of_wanted_terms_keep_lengths_and_scores(spark, tmp_path):
     for r in Q.agg7_bm25_norm(spark, str(tmp_path)).collect():
         ranked.setdefault(r.query_id, []).append((-r.bm25, r.row))
     assert {k: b for k, (_, b) in got.items()} == {(q, i + 1): -b for q, found in ranked.items() for i, (b, _) in enumerate(sorted(found)[:10])}
+
+
+def test_blocks_are_sent_smaller_than_their_texts(spark):
+    """What the JVM and a worker hold of a block's texts and tokens is compressed; all of it comes back."""
+    import random
+
+    from framewise.operators import corpus as C
+
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(300)]
+    said = [[rng.choice(words) for _ in range(200)] for _ in range(120)]
+    rows = [(i, f"c{i % 2}", i // 5, [0.5] * 4, [0.25] * 4, True, [1.0] * 4, 0.5, t, " ".join(t), "", ["Ab"]) for i, t in enumerate(said)]
+    shots = spark.createDataFrame(rows, "row long, content_id string, scene_id int, v array<float>, d array<float>, d_mask boolean, c array<float>, caption_conf double, tokens array<string>, dialogue_en string, ocr_text string, entities array<string>")
+    for by in ([], ["content_id"]):
+        packed = C.pack(shots, {"v": 4, "d": 4, "c": 4}, 1, *by).toArrow().combine_chunks()
+        assert packed.num_rows == (2 if by else 1)
+        assert sum(len(x.as_buffer()) for x in packed.column("rest")) < 0.5 * 2 * sum(len(" ".join(t)) for t in said)
+        blocks = [C.Block(0, packed.column("rest")[i], v=packed.column("v")[i]) for i in range(packed.num_rows)]
+        found = {int(r): (t, x) for b in blocks for r, t, x in zip(b.row(), b.column("tokens").to_pylist(), b.column("text").to_pylist(), strict=True)}
+        assert found == {i: (t, " ".join(t) + " ") for i, t in enumerate(said)}
